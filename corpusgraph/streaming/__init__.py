@@ -1,0 +1 @@
+"""No streaming operators: every source of these workloads is bounded."""
