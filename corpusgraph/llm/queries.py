@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import bpe, url_filter
 
 
 def queries() -> dict:
-    return {"op2_url_filter": url_filter.op2_url_filter}
+    return {"op2_url_filter": url_filter.op2_url_filter, "op6_bpe": bpe.op6_bpe}
 
 
 def oracle_sql() -> dict:
