@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_topk, url_filter
+from . import ann, bpe, exact_topk, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_ann": ann.op1_ann,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op4_warc": warc.op4_warc,
         "op6_bpe": bpe.op6_bpe,
         "op7_exact_topk": exact_topk.op7_exact_topk,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_url_filter": url_filter.OP2_SQL, "op7_exact_topk": exact_topk.OP7_SQL}
+    return {"op2_url_filter": url_filter.OP2_SQL, "op4_warc": warc.OP4_SQL, "op7_exact_topk": exact_topk.OP7_SQL}
