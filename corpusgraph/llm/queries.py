@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_topk, url_filter, warc
+from . import ann, bpe, exact_topk, mixing, url_filter, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_ann": ann.op1_ann,
         "op2_url_filter": url_filter.op2_url_filter,
         "op4_warc": warc.op4_warc,
+        "op5_mixing": mixing.op5_mixing,
         "op6_bpe": bpe.op6_bpe,
         "op7_exact_topk": exact_topk.op7_exact_topk,
     }

@@ -64,16 +64,17 @@ def search_grid(
     candidate rows) gives positions of queries and candidates and their scores.
     """
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / size)).cast("int")
-    sizes = (
-        candidates.groupBy(*keys)
-        .agg(F.count("*").alias("n_c"))
-        .join(queries.groupBy(*keys).agg(F.count("*").alias("n_q")), keys)
-        .select(*keys, blocks(F.col("n_c"), CANDIDATE_BLOCK).alias("cbs"), blocks(F.col("n_q"), QUERY_BLOCK).alias("qbs"))
-    )
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
-    left = candidates.join(F.broadcast(sizes), keys).select(*keys, mine("vec_id", "cbs").alias("cb"), each("qbs").alias("qb"), "vec_id", "v")
-    right = queries.join(F.broadcast(sizes), keys).select(*keys, each("cbs").alias("cb"), mine("query_id", "qbs").alias("qb"), "query_id", F.col("v").alias("qv"))
+    if keys:
+        sizes = F.broadcast(candidates.groupBy(*keys).agg(F.count("*").alias("n_c")).join(queries.groupBy(*keys).agg(F.count("*").alias("n_q")), keys))
+        left, right = candidates.join(sizes, keys), queries.join(sizes, keys)
+    else:
+        counts = {"n_c": F.lit(candidates.count()), "n_q": F.lit(queries.count())}
+        left, right = candidates.withColumns(counts), queries.withColumns(counts)
+    dealt = {"cbs": blocks(F.col("n_c"), CANDIDATE_BLOCK), "qbs": blocks(F.col("n_q"), QUERY_BLOCK)}
+    left = left.withColumns(dealt).select(*keys, mine("vec_id", "cbs").alias("cb"), each("qbs").alias("qb"), "vec_id", "v")
+    right = right.withColumns(dealt).select(*keys, each("cbs").alias("cb"), mine("query_id", "qbs").alias("qb"), "query_id", F.col("v").alias("qv"))
     cell = [*keys, "cb", "qb"]
     kind = pa.int64() if score_type == "long" else pa.float64()
 
