@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_topk, mixing, url_filter, warc
+from . import ann, bpe, exact_topk, mixing, quality, url_filter, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_mixing": mixing.op5_mixing,
         "op6_bpe": bpe.op6_bpe,
         "op7_exact_topk": exact_topk.op7_exact_topk,
+        "op8_quality": quality.op8_quality,
     }
 
 
