@@ -30,6 +30,10 @@ SEED = 10
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _times(a: int, b: int) -> np.uint64:
+    return np.uint64(a * b & 0xFFFFFFFFFFFFFFFF)
+
+
 def sketches(elements: np.ndarray, begins: np.ndarray, bins: int = BINS) -> np.ndarray:
     """(sets, bins) coordinates; sets must not be empty."""
     n = len(begins) - 1
@@ -39,7 +43,7 @@ def sketches(elements: np.ndarray, begins: np.ndarray, bins: int = BINS) -> np.n
     for turn in range(2 * bins):
         if not len(item):
             break
-        h = mix(item + np.uint64(turn + 1) * _M1)
+        h = mix(item + _times(turn + 1, 0x9E3779B97F4A7C15))
         at = (h % np.uint64(bins)).astype(np.int64) if turn < bins else np.full(len(h), turn - bins)
         order = np.sort((owner * bins + at).astype(np.uint64) << low | h >> np.uint64(24))
         cell = (order >> low).astype(np.int64)
@@ -48,7 +52,7 @@ def sketches(elements: np.ndarray, begins: np.ndarray, bins: int = BINS) -> np.n
         new = ~filled.ravel()[cell]
         # Only the value counts, not whose cell it is.
         value = value[new] & np.uint64((1 << 40) - 1)
-        out.ravel()[cell[new]] = mix(value + np.uint64(turn + 1) * np.uint64(0xA0761D6478BD642F))
+        out.ravel()[cell[new]] = mix(value + _times(turn + 1, 0xA0761D6478BD642F))
         filled.ravel()[cell] = True
         open_ = ~filled.all(axis=1)
         if not open_.all():

@@ -63,10 +63,9 @@ def shingle_sets(column: pa.Array, words: int = WORDS):
                 own = np.sort(s[i : j - words + 1])
                 own = own[np.concatenate([[True], own[1:] != own[:-1]])]
             elif j > i:
-                short = np.uint64(j - i)
-                for x in w[i:j]:
-                    short = mix(np.array([short * _M2 + x], dtype=np.uint64))[0]
-                own = np.array([short], dtype=np.uint64)
+                own = np.array([j - i], dtype=np.uint64)
+                for x in range(i, j):
+                    own = mix(own * _M2 + w[x : x + 1])
             else:
                 own = s[:0]
             sets.append(own)

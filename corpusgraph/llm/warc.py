@@ -42,13 +42,13 @@ def payload_chunks(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     )
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+def plan_records(pages: DataFrame, n_files: int, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
     The payload is the body in UTF-8 (null: empty). Of records with equal payloads
     of at least REVISIT_BYTES bytes, that with the largest page_id is the response
     and the others revisit it; null ids are always responses. Rows that repeat the
-    winning id are responses too.
+    winning id are responses too. Rows come in ``n_files`` partitions.
     """
     payload = F.encode(F.coalesce(F.col(body_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
@@ -58,6 +58,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     # Only digests that several pages share travel back; a hot one is split by the adaptive join.
     shared = groups.filter(F.col("least") < F.col("refers_to")).drop("least")
     revisits = small.join(shared, ["payload_digest", "payload_bytes"]).filter(F.col("page_id") < F.col("refers_to")).select("page_id", "payload_digest", "refers_to").distinct()
+    # The payloads move once: this dealing serves the join and the archives.
+    keyed = keyed.repartition(n_files, "page_id", "payload_digest")
     return keyed.join(revisits, ["page_id", "payload_digest"], "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
@@ -78,8 +80,8 @@ def _header(r, length: int, http: bytes) -> bytes:
     return "\r\n".join(lines).encode() + _END + http
 
 
-def write_archives(records: DataFrame, folder: str, n_files: int) -> DataFrame:
-    """Writes the records as .warc.gz archives below ``folder``, ``n_files`` at most (each record its own gzip member); returns the manifest (path, records, bytes), still lazy.
+def write_archives(records: DataFrame, folder: str) -> DataFrame:
+    """Writes the records as .warc.gz archives below ``folder``, one for each partition (each record its own gzip member); returns the manifest (path, records, bytes), still lazy.
 
     One task writes one archive, under a name of its attempt, and moves it to its
     final name when it is whole, so a repeated task replaces it. A payload whose
@@ -120,7 +122,7 @@ def write_archives(records: DataFrame, folder: str, n_files: int) -> DataFrame:
     key = F.xxhash64("page_id", "payload_digest", "url")
     ordered = chunks.withColumn("record_id", F.regexp_replace(F.md5(F.concat_ws("|", F.col("page_id").cast("string"), "payload_digest", "url")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"))
     # Equal rows (same page, same payload) stay records of their own: "copy" keeps their chunks apart.
-    return ordered.withColumn("key", key).repartition(n_files, "key").sortWithinPartitions("key", "copy", "chunk").drop("key").mapInPandas(write, schema)
+    return ordered.withColumn("key", key).sortWithinPartitions("key", "copy", "chunk").drop("key").mapInPandas(write, schema)
 
 
 class _Lines:
@@ -221,11 +223,11 @@ def archive_pages(pages: DataFrame, name: str = "warc") -> DataFrame:
     every row is a record.
     """
     scratch = Scratch(pages.sparkSession, name)
-    numbered = plan_records(pages).withColumn("copy", F.monotonically_increasing_id())
     total = pages.select(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
     n_files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // ARCHIVE_BYTES))
+    numbered = plan_records(pages, n_files).withColumn("copy", F.monotonically_increasing_id())
     # The written manifest is what later reads use: archives are made once.
-    manifest = scratch.save(write_archives(numbered, f"{scratch.root}/archives", n_files), "manifest")
+    manifest = scratch.save(write_archives(numbered, f"{scratch.root}/archives"), "manifest")
     chunks = read_archives(manifest.repartition(max(1, manifest.count())), with_data=False)
     response = F.col("record_type") == "response"
     return chunks.filter("last").select(
