@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_topk, minhash, mixing, quality, url_filter, warc
+from . import ann, bpe, exact_topk, minhash, mixing, quality, suffixes, url_filter, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_bpe": bpe.op6_bpe,
         "op7_exact_topk": exact_topk.op7_exact_topk,
         "op8_quality": quality.op8_quality,
+        "op9_suffixes": suffixes.op9_suffixes,
         "op10_minhash": minhash.op10_minhash,
     }
 
