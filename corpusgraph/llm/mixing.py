@@ -28,7 +28,7 @@ BLOCK_WORDS = 2048
 #: Output shards.
 SHARDS = 32
 #: Blocks whose order one task works out.
-BUCKET_BLOCKS = 20_000
+BUCKET_BLOCKS = 1_000
 #: Sources are a dimension table that the driver holds; more than this is refused.
 MOST_SOURCES = 100_000
 SEED = 5
