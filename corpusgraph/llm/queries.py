@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_topk, minhash, mixing, quality, suffixes, url_filter, warc
+from . import ann, bpe, exact_topk, minhash, mixing, quality, sharding, suffixes, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_ann": ann.op1_ann,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_sharding": sharding.op3_sharding,
         "op4_warc": warc.op4_warc,
         "op5_mixing": mixing.op5_mixing,
         "op6_bpe": bpe.op6_bpe,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_url_filter": url_filter.OP2_SQL, "op4_warc": warc.OP4_SQL, "op7_exact_topk": exact_topk.OP7_SQL}
+    return {"op2_url_filter": url_filter.OP2_SQL, "op3_sharding": sharding.OP3_SQL, "op4_warc": warc.OP4_SQL, "op7_exact_topk": exact_topk.OP7_SQL}
