@@ -125,7 +125,7 @@ def term_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 REPORTS_SQL = r"""
 li AS (SELECT l_orderkey AS k, l_linenumber % 4 AS n, l_quantity AS qty, l_discount AS disc, l_tax AS tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord FROM lineitem),
 nodes AS (SELECT k, ord, CASE n WHEN 0 THEN 'cooling' WHEN 1 THEN 'warpage' WHEN 2 THEN 'packing' ELSE 'filling' END AS stage, CASE n WHEN 0 THEN 'MoldTemperatureDifference' WHEN 1 THEN 'TotalDisplacement' WHEN 2 THEN 'GateFreezeTime' ELSE 'MeltFrontTime' END AS field,
-  CASE n WHEN 0 THEN qty WHEN 1 THEN disc * 10 WHEN 2 THEN qty / 8 ELSE tax END AS m FROM li),
+  CASE n WHEN 0 THEN qty WHEN 1 THEN disc * 10 WHEN 2 THEN qty / 9.7::DOUBLE ELSE tax END AS m FROM li),
 last_nodes AS (SELECT k, stage, field, m FROM (SELECT *, row_number() OVER (PARTITION BY k, stage, field ORDER BY ord DESC) AS back FROM nodes JOIN orders ON o_orderkey = k) WHERE back = 1),
 runs AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_key, o_orderkey % 9 / 2 AS packing_time_s, o_orderstatus, (SELECT m FROM last_nodes WHERE k = o_orderkey AND stage = 'warpage') AS warpage, (SELECT m FROM last_nodes WHERE k = o_orderkey AND stage = 'cooling') AS dt,
   (SELECT m FROM last_nodes WHERE k = o_orderkey AND stage = 'packing') AS freeze_s, (SELECT m FROM last_nodes WHERE k = o_orderkey AND stage = 'filling') AS fill_s FROM orders)"""
@@ -135,7 +135,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, raw): a JSON report of every order; its line items are the statistic nodes, in line order."""
     n = F.col("l_linenumber") % 4
     tag = F.when(n == 0, "Cooling_MoldTemperatureDifference").when(n == 1, "Warpage_TotalDisplacement").when(n == 2, "Packing_GateFreezeTime").otherwise("Filling_MeltFrontTime")
-    most = F.when(n == 0, F.col("l_quantity").cast("double")).when(n == 1, F.col("l_discount").cast("double") * 10).when(n == 2, F.col("l_quantity").cast("double") / 8).otherwise(F.col("l_tax").cast("double"))
+    most = F.when(n == 0, F.col("l_quantity").cast("double")).when(n == 1, F.col("l_discount").cast("double") * 10).when(n == 2, F.col("l_quantity").cast("double") / 9.7).otherwise(F.col("l_tax").cast("double"))
     node = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(tag.alias("Tag"), most.cast("string").alias("Statistics_Max"), F.lit(" mm ").alias("Unit")).alias("node"))
     nodes = table(spark, sf_dir, "lineitem").select("l_orderkey", node.alias("n")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("n")).alias("ns"))
     orders = table(spark, sf_dir, "orders").join(nodes, F.col("o_orderkey") == F.col("l_orderkey"), "left")

@@ -345,7 +345,7 @@ def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = "hard_constraints"
     return d.select(
         "run_key", "is_converged", F.round("current_warpage_mm", 6).alias("current_warpage_mm"), F.col(f"{c}.packing_time_s_min").isNotNull().alias("has_min"), F.col(f"{c}.packing_time_s_max").isNotNull().alias("has_max"),
-        F.round(F.coalesce(f"{c}.packing_time_s_min", f"{c}.packing_time_s_max"), 0).alias("bound"), F.col(f"{c}.mold_temperature_action").alias("action"), F.col("active_causal_paths")[0].substr(2, 4).alias("gate"), F.size(f"{c}.target_mold_temp_range_C").alias("n_interval"),
+        F.coalesce(f"{c}.packing_time_s_min", f"{c}.packing_time_s_max").alias("bound"), F.col(f"{c}.mold_temperature_action").alias("action"), F.col("active_causal_paths")[0].substr(2, 4).alias("gate"), F.size(f"{c}.target_mold_temp_range_C").alias("n_interval"),
     )
 
 
@@ -356,7 +356,7 @@ def undiagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIAGNOSES_SQL = """
 f AS (SELECT *, nullif(freeze_s, 0) AS fz, run_key::BIGINT % 3 = 0 AND coalesce(dt, 0) > 20 AS hot FROM runs WHERE warpage IS NOT NULL),
 b AS (SELECT *, fz IS NOT NULL AND packing_time_s < fz AS blocked FROM f)
-SELECT run_key, warpage <= 0.3::DOUBLE AS is_converged, round(warpage, 6) AS current_warpage_mm, blocked AS has_min, NOT blocked AND fz IS NOT NULL AS has_max, round(round(CASE WHEN blocked THEN fz * 1.05::DOUBLE ELSE fz * 1.2::DOUBLE END, 1), 0) AS bound,
+SELECT run_key, warpage <= 0.3::DOUBLE AS is_converged, round(warpage, 6) AS current_warpage_mm, blocked AS has_min, NOT blocked AND fz IS NOT NULL AS has_max, round(CASE WHEN blocked THEN fz * 1.05::DOUBLE ELSE fz * 1.2::DOUBLE END, 1) AS bound,
   CASE WHEN hot THEN 'INCREASE' ELSE 'MAINTAIN' END AS action, CASE WHEN blocked THEN '因果阻断' ELSE '保压有效' END AS gate, CASE WHEN hot THEN 2 END AS n_interval FROM b"""
 
 
