@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Remembered fragments and words of one worker; beyond it the memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Characters of text that one step of a worker encodes before it hands rows on.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 # The white space and the splitting pattern of this family of vocabularies.
 _SPACE = r"\t-\r \x85\xa0  -     　"

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import text_bytes, word_spans
+from .words import byte_steps, text_bytes, word_spans
 
 #: Hashed features.
 BITS = 18
@@ -27,6 +27,8 @@ COST = 1.0
 EPOCHS = 30
 #: Texts whose features are told apart at once.
 STEP = 32
+#: Bytes of text whose words are worked out at once.
+STEP_BYTES = 1_000_000
 SEED = 8
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -63,7 +65,13 @@ def _shapes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, words: np.nd
 
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each STEP texts: their number within the column and feature, both sorted, without repeats."""
-    raw, ends = text_bytes(column)
+    raw_all, ends_all = text_bytes(column)
+    for begin, end in byte_steps(ends_all, STEP_BYTES):
+        for at, f in _features(raw_all[ends_all[begin] : ends_all[end]], ends_all[begin : end + 1] - ends_all[begin]):
+            yield at + begin, f
+
+
+def _features(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     starts, stops, first = word_spans(raw, ends)
     n, width = len(first) - 1, np.uint64(64 - BITS)
     words = _hash_words(raw, starts, stops)

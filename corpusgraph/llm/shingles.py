@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .words import LOWER, text_bytes, word_spans
+from .words import LOWER, byte_steps, text_bytes, word_spans
 
 #: Words in a shingle.
 WORDS = 5
 #: Bytes of text whose shingles are worked out at once.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LETTER = np.random.default_rng(51).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -47,9 +47,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS):
     A text of fewer words is one shingle; a text without words has none.
     """
     raw_all, ends_all = text_bytes(column)
-    step = ends_all[1:] // STEP_BYTES
-    edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(ends_all) - 1] if len(ends_all) > 1 else [0]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
+    for a, b in byte_steps(ends_all, STEP_BYTES):
         raw, ends = raw_all[ends_all[a] : ends_all[b]], ends_all[a : b + 1] - ends_all[a]
         starts, stops, first = word_spans(raw, ends)
         w = word_hashes(raw, starts, stops)

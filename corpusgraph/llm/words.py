@@ -24,6 +24,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0] if len(column) else np.zeros(1, np.int64)
 
 
+def byte_steps(ends: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes; a longer text is a range of its own."""
+    step = ends[1:] // size
+    edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(ends) - 1] if len(ends) > 1 else [0]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def word_spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the first word of each text (one more than texts); a text's end ends its word."""
     space = IS_SPACE[raw]
@@ -39,4 +46,5 @@ def word_spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def count_words(column: pa.Array) -> np.ndarray:
     raw, ends = text_bytes(column)
-    return np.diff(word_spans(raw, ends)[2])
+    parts = [np.diff(word_spans(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a])[2]) for a, b in byte_steps(ends, 4_000_000)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
