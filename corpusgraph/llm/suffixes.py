@@ -5,7 +5,10 @@ suffixes so that any two positions have a common short shift at which both are
 sampled. The sample is ranked first: a sampled suffix whose first COVER_DEPTH
 bytes occur once has no equal, and by the cover two suffixes can only tie beyond
 that depth if a sampled one below them has an equal. All others are settled and
-leave the sort. What is left is dealt into suffix buckets by the leading bits of
+leave the sort. Long repeats are settled before that: texts are cut at content-
+defined places, and where two neighbouring pieces occur together earlier, all
+windows in them are repeats; the earliest place of any window is never among them,
+so it still meets the others in the sort. What is left is dealt into suffix buckets by the leading bits of
 its sort key (a 64-bit fingerprint of the first WINDOW bytes) and each task sorts
 one bucket at a time, so memory is bounded by a bucket. Equal keys are ordered by
 document and start; all but the first are repeats.
@@ -37,8 +40,12 @@ COVER_PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 #: A sampled suffix within the period of a window's start still lies in the window with so many bytes.
 COVER_DEPTH = WINDOW - COVER_PERIOD + 1
+#: Pieces between two cuts have so many bytes at least, so a window lies in two neighbours at most.
+LEAST_PIECE = 128
+#: Bits that are zero where a text may be cut: a place every 64 bytes, about.
+CUT_BITS = 6
 #: Bytes of text that one row of the block table holds (more only for a single longer text).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of text for each suffix bucket, about.
 BUCKET_BYTES = 24 << 20
 
@@ -63,16 +70,26 @@ def prefix_sums(raw: np.ndarray) -> np.ndarray:
 
 def fingerprints(sums: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """64-bit fingerprint of the n bytes from each position."""
-    h = (sums[at + n] - sums[at]) * _powers(len(sums))[1][at]
+    return _scramble((sums[at + n] - sums[at]) * _powers(len(sums))[1][at])
+
+
+def _scramble(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[list]:
+    """Row by row, so that one block's bytes are copied at a time."""
+    for i in range(len(batch)):
+        yield [column[i].as_py() for column in batch.columns]
+
+
 class _Block:
     """One row of the block table; texts lie end to end in the order of their ids."""
 
     def __init__(self, raw: bytes, ends: bytes) -> None:
         self.raw, self.ends = np.frombuffer(raw, dtype=np.uint8), np.frombuffer(ends, dtype=np.int64)
+        self.begins = np.concatenate([np.zeros(1, np.int64), self.ends[:-1]])
         self.sums = prefix_sums(self.raw)
 
     def inside(self, at: np.ndarray, n: int) -> np.ndarray:
@@ -80,30 +97,67 @@ class _Block:
         at = at[at + n <= len(self.raw)]
         return at[at + n <= self.ends[np.searchsorted(self.ends, at, side="right")]]
 
-    def sample(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sampled positions; the different keys of 32 bits after the bucket's, sorted; each position's key; which keys repeat in the block."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of every two neighbouring pieces (of the whole text, if it is one piece) of WINDOW bytes or more."""
+        n = max(0, len(self.raw) - 7)
+        grams = np.ndarray(n, dtype="<u8", buffer=self.raw, strides=(1,)) if n else np.zeros(0, np.uint64)
+        places = np.flatnonzero(grams * np.uint64(_BASE) < np.uint64(1 << (64 - CUT_BITS)))
+        after = np.searchsorted(places, places + LEAST_PIECE).tolist()
+        first = np.searchsorted(places, self.begins + LEAST_PIECE).tolist()
+        last = np.searchsorted(places, self.ends - 8, side="right").tolist()
+        starts, stops, places = [], [], places.tolist()
+        for begin, end, i, stop in zip(self.begins.tolist(), self.ends.tolist(), first, last, strict=True):
+            before, now = begin, None
+            while i < stop:
+                if now is not None:
+                    starts.append(before)
+                    stops.append(places[i])
+                    before = now
+                now, i = places[i], after[i]
+            if end - before >= WINDOW:
+                starts.append(before)
+                stops.append(end)
+        return np.array(starts, dtype=np.int64), np.array(stops, dtype=np.int64)
+
+    def pair_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs, then their different keys in order of first place, the first place's number and each pair's key."""
+        starts, stops = self.pairs()
+        h = _scramble((self.sums[stops] - self.sums[starts]) * _powers(len(self.sums))[1][starts] + (stops - starts).astype(np.uint64))
+        return starts, stops, *_in_order(h)
+
+    def settled(self, starts: np.ndarray, stops: np.ndarray, repeat: np.ndarray) -> np.ndarray:
+        """Which positions start a window within a pair that occurs earlier."""
+        change = np.zeros(len(self.raw) + 1, dtype=np.int32)
+        np.add.at(change, starts[repeat], 1)
+        np.add.at(change, stops[repeat] - WINDOW + 1, -1)
+        return np.cumsum(change[:-1]) > 0
+
+    def sample(self, settled: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled positions that lie in a window not settled yet, and their keys (the bucket's bits and 32 more)."""
         periods = np.arange(0, len(self.raw), COVER_PERIOD)
         at = self.inside((periods[:, None] + np.array(COVER)).ravel(), COVER_DEPTH)
-        keys = fingerprints(self.sums, at, COVER_DEPTH) >> np.uint64(32 - bits)
-        unique, which, count = np.unique(keys, return_inverse=True, return_counts=True)
-        return at, unique, which, count > 1
+        open_ = np.concatenate([np.zeros(1, np.int64), np.cumsum(~settled)])
+        at = at[open_[at + 1] > open_[np.maximum(at - COVER_PERIOD + 1, 0)]]
+        return at, fingerprints(self.sums, at, COVER_DEPTH) >> np.uint64(32 - bits)
 
-    def unsettled(self, at: np.ndarray, equal: np.ndarray) -> np.ndarray:
-        """Starts of windows that hold a sampled suffix with an equal."""
+    def unsettled(self, settled: np.ndarray, equal: np.ndarray) -> np.ndarray:
+        """Starts of windows, not settled yet, that hold a sampled suffix with an equal."""
         change = np.zeros(len(self.raw) + 1, dtype=np.int32)
-        s = at[equal]
-        np.add.at(change, np.maximum(s - COVER_PERIOD + 1, 0), 1)
-        np.add.at(change, s + 1, -1)
-        return self.inside(np.flatnonzero(np.cumsum(change[:-1]) > 0), WINDOW)
+        np.add.at(change, np.maximum(equal - COVER_PERIOD + 1, 0), 1)
+        np.add.at(change, equal + 1, -1)
+        return self.inside(np.flatnonzero((np.cumsum(change[:-1]) > 0) & ~settled), WINDOW)
 
     def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The different keys in order of their first start; that start's number in ``at``; each start's key."""
-        h = fingerprints(self.sums, at, WINDOW)
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        order = np.argsort(first, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        return h[first[order]], first[order], rank[which]
+        """The different window keys in order of their first start; that start's number in ``at``; each start's key."""
+        return _in_order(fingerprints(self.sums, at, WINDOW))
+
+
+def _in_order(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(first, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return h[first[order]], first[order], rank[which]
 
 
 def block_table(docs: DataFrame) -> DataFrame:
@@ -171,7 +225,7 @@ _REPLY = "block long, bucket int, n long, bits binary"
 
 
 def rank_sample(table: pa.Table) -> pa.Table:
-    """Of one bucket of the cover sample: which keys occur in several blocks."""
+    """Of one bucket of the cover sample: which keys occur more than once."""
     parts = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in table.column("keys")]
     keys, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
     ordered = np.sort(keys)
@@ -239,48 +293,71 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     blocks = scratch.save(block_table(docs), "blocks")
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = max(3, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
-    n_buckets = 1 << bits
-    sample_root, repeat_root = f"{scratch.root}/sample", f"{scratch.root}/repeats"
-    low = np.uint64((1 << 32) - 1)
+    n_buckets, small = 1 << bits, np.int16 if bits < 15 else np.int32
+    pair_root, sample_root, repeat_root = (f"{scratch.root}/{x}" for x in ("pairs", "sample", "repeats"))
+    low, shift = np.uint64((1 << 32) - 1), np.uint64(64 - bits)
+
+    def owners(block: _Block, ids: bytes, at: np.ndarray) -> np.ndarray:
+        return np.frombuffer(ids, dtype=np.int64)[np.searchsorted(block.ends, at, side="right")]
+
+    def answered(root: str, number: int, buckets: np.ndarray) -> np.ndarray:
+        """The reply in the order of asking; replies come bucket by bucket."""
+        bits_, out = _reply(root, number), np.empty(len(buckets), dtype=bool)
+        if len(bits_) != len(buckets):
+            raise ValueError("the replies do not fit their block")
+        out[np.argsort(buckets, kind="stable")] = bits_
+        return out
+
+    def repeats(root: str, number: int, keys: np.ndarray, first: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Of all places asked for: those that are not the first of their equals, here or in another block."""
+        out = answered(root, number, (keys >> shift).astype(small))[which]
+        later = np.ones(len(which), dtype=bool)
+        later[first] = False
+        return out | later
+
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, raw, ends, ids in _rows(batch):
+                block = _Block(raw, ends)
+                starts, _, keys, first, _ = block.pair_keys()
+                yield _blobs(number, (keys >> shift).astype(small), n_buckets, keys, owners(block, ids, starts[first]))
+
+    def settle(number: int, raw: bytes, ends: bytes) -> tuple[_Block, np.ndarray]:
+        block = _Block(raw, ends)
+        starts, stops, keys, first, which = block.pair_keys()
+        return block, block.settled(starts, stops, repeats(pair_root, number, keys, first, which))
 
     def ask_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, raw, ends in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                _, keys, _, _ = _Block(raw, ends).sample(bits)
-                yield _blobs(number, (keys >> np.uint64(32)).astype(np.int64), n_buckets, (keys & low).astype(np.uint32))
+            for number, raw, ends in _rows(batch):
+                _, keys = (made := settle(number, raw, ends))[0].sample(made[1], bits)
+                yield _blobs(number, (keys >> np.uint64(32)).astype(small), n_buckets, (keys & low).astype(np.uint32))
 
     def open_windows(number: int, raw: bytes, ends: bytes):
-        block = _Block(raw, ends)
-        at, keys, which, local = block.sample(bits)
-        elsewhere = _reply(sample_root, number)
-        if len(elsewhere) != len(keys):
-            raise ValueError("the replies do not fit their block")
-        starts = block.unsettled(at, (local | elsewhere)[which])
-        return block, starts, *block.keys(starts)
+        block, settled = settle(number, raw, ends)
+        at, keys = block.sample(settled, bits)
+        starts = block.unsettled(settled, at[answered(sample_root, number, (keys >> np.uint64(32)).astype(small))])
+        return block, settled, starts, *block.keys(starts)
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, raw, ends, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                block, starts, keys, first, _ = open_windows(number, raw, ends)
-                owner = np.frombuffer(ids, dtype=np.int64)[np.searchsorted(block.ends, starts[first], side="right")]
-                yield _blobs(number, (keys >> np.uint64(64 - bits)).astype(np.int64), n_buckets, keys, owner)
+            for number, raw, ends, ids in _rows(batch):
+                block, _, starts, keys, first, _ = open_windows(number, raw, ends)
+                yield _blobs(number, (keys >> shift).astype(small), n_buckets, keys, owners(block, ids, starts[first]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, raw, ends, rest in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                block, starts, keys, first, which = open_windows(number, raw, ends)
-                # Replies come bucket by bucket; within a bucket in the order of asking.
-                order = np.argsort((keys >> np.uint64(64 - bits)).astype(np.int64), kind="stable")
-                repeat = np.empty(len(keys), dtype=bool)
-                repeat[order] = _reply(repeat_root, number)
-                gone = repeat[which]
-                later = np.ones(len(starts), dtype=bool)
-                later[first] = False
+            for number, raw, ends, rest in _rows(batch):
+                block, settled, starts, keys, first, which = open_windows(number, raw, ends)
+                gone = settled
+                gone[starts[repeats(repeat_root, number, keys, first, which)]] = True
+                edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
+                on, off = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
                 cover = np.zeros(len(block.raw) + 1, dtype=np.int32)
-                np.add.at(cover, starts[gone | later], 1)
-                np.add.at(cover, starts[gone | later] + WINDOW, -1)
+                np.add.at(cover, on, 1)
+                np.add.at(cover, off + WINDOW - 1, -1)
                 removed = np.cumsum(cover[:-1]) > 0
-                begins = np.concatenate([[0], block.ends[:-1]])
+                begins = block.begins
                 edge = removed.copy()
                 edge[1:] &= ~removed[:-1]
                 edge[begins[begins < len(removed)]] = removed[begins[begins < len(removed)]]
@@ -297,6 +374,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     made = ("n_bytes", "n_removed", "n_spans", "kept")
     if clash := [c for c in made if c in names]:
         raise ValueError(f"columns {clash} are made here")
+    _ask(blocks.select("block", "raw", "ends", "ids").mapInArrow(ask_pairs, _BLOB), sort_bucket, pair_root, spark)
     _ask(blocks.select("block", "raw", "ends").mapInArrow(ask_sample, _BLOB), rank_sample, sample_root, spark)
     _ask(blocks.select("block", "raw", "ends", "ids").mapInArrow(ask_windows, _BLOB), sort_bucket, repeat_root, spark)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n_bytes long, n_removed long, n_spans long, kept binary"
