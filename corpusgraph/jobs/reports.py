@@ -45,12 +45,14 @@ def run_header(reports: DataFrame, key_col: str = "path") -> DataFrame:
     """run_key and one struct for each section; numbers as doubles beside their raw text (``<field>_raw``), missing keys null."""
     cbase = F.from_json("raw", "struct<CBASE:map<string,string>>")["CBASE"]
     base = reports.select(F.col(key_col).alias("run_key"), cbase.alias("c"))
+    # One lambda parses all values: a copy of the rule for each field would outgrow compiled code.
+    base = base.select("run_key", "c", F.transform_values("c", lambda k, v: parse_value(v)).alias("numbers"))
     structs = []
     for section, fields in HEADER.items():
         cells = []
         for field, key, number in fields:
             value = F.try_element_at("c", F.lit(key))
-            cells += [parse_value(value).alias(field), F.when(value != "", value).alias(f"{field}_raw")] if number else [value.alias(field)]
+            cells += [F.try_element_at("numbers", F.lit(key)).alias(field), F.when(value != "", value).alias(f"{field}_raw")] if number else [value.alias(field)]
         structs.append(F.struct(*cells).alias(section))
     return base.select("run_key", *structs)
 
