@@ -23,6 +23,8 @@ from .shingles import mix, shingle_sets
 #: Coordinates of a sketch, and of a band of it: 32 bands of 4. A pair at similarity 0.75 shares none with probability 5e-6.
 BINS = 128
 ROWS = 4
+#: Sets on either side of a cell in which the members of a group meet.
+BLOCK = 256
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 SEED = 10
@@ -116,6 +118,45 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     return met.select("u", "v", "p", "q").mapInArrow(run, "u long, v long")
 
 
+def link_cells(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) between members of different components within a group.
+
+    members: lead (the group), rep, c (its component), out (whether it is outside
+    the group's largest component). What is outside meets all members in cells of
+    BLOCK x BLOCK sets, each in a task of its own that hands on links only; pairs
+    are never rows.
+    """
+    sizes = members.groupBy("lead").agg(F.ceil(F.sum(F.col("out").cast("int")) / BLOCK).cast("int").alias("obs"), F.ceil(F.count("*") / BLOCK).cast("int").alias("mbs"))
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_out = F.transform(F.when(F.col("out"), each("mbs")).otherwise(F.array().cast("array<int>")), lambda i: F.struct(mine("obs").alias("ob"), i.alias("mb"), F.lit(True).alias("outer")))
+    as_member = F.transform(each("obs"), lambda i: F.struct(i.alias("ob"), mine("mbs").alias("mb"), F.lit(False).alias("outer")))
+    placed = members.join(sizes, "lead").join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep").select("lead", "rep", "c", "s", F.explode(F.concat(as_out, as_member)).alias("cell"))
+    rows = placed.select("lead", "cell.ob", "cell.mb", "cell.outer", "rep", "c", "s")
+
+    def meet(t: pa.Table) -> pa.Table:
+        outer = np.asarray(t.column("outer"))
+        rep, c = np.asarray(t.column("rep")), np.asarray(t.column("c"))
+        own = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("s")]
+        size = np.array([len(x) for x in own])
+        inner, pairs = np.flatnonzero(~outer), []
+        if len(inner) and outer.any():
+            flat = np.concatenate([own[i] for i in inner])
+            order = np.argsort(flat, kind="stable")
+            flat, whose = flat[order], np.repeat(np.arange(len(inner)), size[inner])[order]
+            for i in np.flatnonzero(outer):
+                a, b = np.searchsorted(flat, own[i]), np.searchsorted(flat, own[i], side="right")
+                n = b - a
+                at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(whose[at], minlength=len(inner))
+                linked = (100 * both >= percent * (size[i] + size[inner] - both)) & (c[inner] != c[i])
+                pairs += [(max(rep[i], y), min(rep[i], y)) for y in rep[inner[linked]]]
+        u, v = zip(*set(pairs), strict=True) if pairs else ((), ())
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return rows.groupBy("lead", "ob", "mb").applyInArrow(meet, "u long, v long")
+
+
 def _alike(n, m):
     """Sizes that a link can have."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
@@ -125,9 +166,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Equal sets are one class and need no pairs. Classes that share a band are first
-    compared with the least id of their bucket only. Where a bucket then still
-    holds several components, everything outside its largest component is compared
-    with all members of other components; no pair is capped or dropped. Rows
+    compared with the least id of their bucket only, its leader. Where the members of
+    a leader's buckets are then still in several components, everything outside the
+    largest is compared with all members; no pair is capped or dropped. Rows
     without words are linked with nothing and kept; rows without id have no
     component and are not kept; rows that share an id count as one document.
     """
@@ -136,26 +177,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
     leaders = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("many")).filter("many > 1").select("key", "lead")
-    shared = scratch.save(members.join(leaders, "key"), "shared")
-    star = shared.filter((F.col("rep") != F.col("lead.rep")) & _alike(F.col("n"), F.col("lead.n"))).select(F.col("rep").alias("u"), F.col("lead.rep").alias("v")).distinct()
+    shared = scratch.save(members.join(leaders, "key").select("rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")).distinct(), "shared")
+    star = shared.filter((F.col("rep") != F.col("lead")) & _alike(F.col("n"), F.col("lead_n"))).select(F.col("rep").alias("u"), F.col("lead").alias("v"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = scratch.save(packed_sets(texts), "sets")
     links = scratch.save(verify_pairs(star, sets), "star")
     known = components(links, scratch, "first")
-    # What the stars left apart within a bucket.
-    now = shared.join(known, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    parts = now.groupBy("key", "c").agg(F.count("*").alias("many")).groupBy("key").agg(F.max(F.struct("many", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    left = scratch.save(now.join(parts.select("key", F.col("top.c").alias("largest")), "key"), "left")
-    outside = left.filter("c <> largest").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    others = left.select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"), "largest")
-    cross = (
-        outside.join(others, "key")
-        .filter((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("largest")) | (F.col("x") > F.col("y"))) & _alike(F.col("xn"), F.col("yn")))
-        .select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-        .distinct()
-        .join(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
-    )
-    more = scratch.save(verify_pairs(cross, sets), "cross")
+    # What the stars left apart: members of one leader's buckets in several components. Pairs with the leader itself are done.
+    now = shared.join(known, F.col("rep") == F.col("node"), "left").select("lead", "rep", F.coalesce("component", "rep").alias("c"))
+    parts = now.groupBy("lead", "c").agg(F.count("*").alias("many")).groupBy("lead").agg(F.max(F.struct("many", "c")).alias("top"), F.count("*").alias("parts"), F.sum("many").alias("all")).filter("parts > 1 and all > 2")
+    left = scratch.save(now.join(parts.select("lead", F.col("top.c").alias("largest")), "lead").select("lead", "rep", "c", (F.col("c") != F.col("largest")).alias("out")), "left")
+    more = scratch.save(link_cells(left, sets).distinct(), "cells")
     tree = known.select(F.col("node").alias("u"), F.col("component").alias("v"))
     found = components(tree.unionByName(more), scratch, "second")
     reps = classes.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
