@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 
 #: Bytes of payload in a row of the chunk table.
 CHUNK_BYTES = 32 * 1024
@@ -224,7 +224,8 @@ def archive_pages(pages: DataFrame, name: str = "warc") -> DataFrame:
     """
     scratch = Scratch(pages.sparkSession, name)
     total = pages.select(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
-    n_files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // ARCHIVE_BYTES))
+    # With fewer partitions than a shuffle has, the join would deal the payloads again.
+    n_files = max(partitions(pages.sparkSession), -(-total // ARCHIVE_BYTES))
     numbered = plan_records(pages, n_files).withColumn("copy", F.monotonically_increasing_id())
     # The written manifest is what later reads use: archives are made once.
     manifest = scratch.save(write_archives(numbered, f"{scratch.root}/archives"), "manifest")
