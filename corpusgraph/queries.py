@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .functions import models as M
 from .functions import text as X
 from .functions.ranking import top_k_inner_product
+from .jobs import answer
 from .jobs import inputs as I
 from .jobs import reports as D
 from .operators import align, fuse, graph, layout, search
 
-NAMED = {"head": "chunk", "n": 3}
 TOP = 40
 
 # --- blocks and chunks ------------------------------------------------------------------------
@@ -293,6 +293,24 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("query_id", F.md5("prompt").alias("prompt"), F.length("prompt").alias("letters"))
 
 
+def chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many reasoning chains each of the best chunks has."""
+    triples, edges, hits = _graph_parts(spark, sf_dir)
+    got = graph.graph_search(hits, I.questions(spark, sf_dir), triples, edges, TOP)
+    return got.select("query_id", "chunk_index", F.size("reasoning_chains").alias("chains"))
+
+
+def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both searches, fusion and reranking for every question."""
+    words = I.term_counts(I.questions(spark, sf_dir), "query_id", "query").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("sparse"))
+    asked = I.questions(spark, sf_dir).join(I.question_vectors(spark, sf_dir), "query_id").join(words, "query_id")
+    docs = I.table(spark, sf_dir, "documents")
+    hype = {"vectors": I.vectors(spark, sf_dir), "postings": I.term_counts(docs.withColumnRenamed("doc_id", "row_id"), "row_id", "text"), "chunks": docs.select(F.col("doc_id").alias("index"), "text")}
+    triples, edges, _ = _graph_parts(spark, sf_dir)
+    found = answer.retrieve(asked, hype, {"triples": triples, "edges": edges, "vectors": I.vectors(spark, sf_dir)}, _length_scorer)
+    return found.select("query_id", "chunk_index", F.round("rrf_score", 8).alias("rrf_score"), "graph_rank", "hype_rank", "rerank_score", "rank")
+
+
 NODES_SQL = "nodes AS (SELECT node, min(first_seen) AS first_seen FROM (SELECT head AS node, 2 * edge_id AS first_seen FROM edges UNION ALL SELECT tail, 2 * edge_id + 1 FROM edges) GROUP BY node)"
 NAMED_SQL = r"""
 cand AS (SELECT DISTINCT query_id, query, substr(lower(query), i, n) AS piece FROM q, (SELECT DISTINCT length(trim(node)) AS n FROM nodes WHERE length(trim(node)) >= 2) l, range(1, 1000) t(i) WHERE i + n - 1 <= length(query)),
@@ -388,7 +406,9 @@ def queries() -> dict:
         "named_nodes": named_nodes,
         "expansion": expansion,
         "graph_hits": graph_hits,
+        "chain_counts": chain_counts,
         "fused_hits": fused_hits,
+        "retrieved": retrieved,
         "reranked_hits": reranked_hits,
         "prompts": prompts,
         "report_headers": report_headers,
@@ -403,6 +423,21 @@ def queries() -> dict:
 _RERANK_SQL = "rr AS (SELECT * FROM (SELECT query_id, chunk_index, text, -abs(length(text) - 1000.0::DOUBLE) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY -abs(length(text) - 1000.0::DOUBLE) DESC, rank) AS r FROM hybrid JOIN documents ON doc_id = chunk_index WHERE text IS NOT NULL) WHERE r <= 20)"
 
 
+def _graph_sql(n: int) -> list[str]:
+    """Graph search with n dense seeds a question."""
+    return [
+        I.TRIPLES_SQL,
+        NODES_SQL,
+        I.SEARCH_SQL,
+        SEEDS_SQL.replace("rank <= 20", f"rank <= {n}"),
+        NAMED_SQL,
+        "seeds AS (SELECT coalesce(d.query_id, n.query_id) AS query_id, coalesce(d.node, n.node) AS node, CASE WHEN n.node IS NULL THEN score ELSE greatest(coalesce(score, 0.0), 0.8::DOUBLE) + 0.2::DOUBLE END AS score, CASE WHEN d.node IS NULL THEN [1::BIGINT, first_seen::BIGINT] ELSE [0::BIGINT, seen::BIGINT] END AS path FROM seed_d d FULL JOIN named n ON n.query_id = d.query_id AND n.node = d.node)",
+        EXPAND_SQL,
+        "given AS (SELECT query_id, chunk_index, w FROM contrib UNION ALL SELECT query_id, chunk_index, score FROM seed_e), scored AS (SELECT query_id, chunk_index, round(max(w) + 0.1::DOUBLE * (sum(w) - max(w)), 9) AS score FROM given GROUP BY ALL)",
+        "by_graph AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) AS rank FROM scored) WHERE rank <= 40)",
+    ]
+
+
 def oracle_sql() -> dict:
     blocks = [I.LINES_SQL, RULES_SQL]
     chunks = [*blocks, CHUNKS_SQL]
@@ -431,14 +466,15 @@ def oracle_sql() -> dict:
         "hybrid_hits": _with(I.SEARCH_SQL) + " SELECT query_id, chunk_index, round(score, 6) AS score, round(dense_score, 6) AS dense_score, round(sparse_score, 6) AS sparse_score, rank::INTEGER AS rank FROM hybrid",
         "named_nodes": _with(*found, NAMED_SQL) + " SELECT * FROM named",
         "expansion": _with(*seeds, "seeds AS (SELECT query_id, node, score, [0::BIGINT, seen::BIGINT] AS path FROM seed_d)", EXPAND_SQL) + " SELECT query_id, chunk_index, hop, count(*) AS n, round(sum(w), 4) AS w FROM contrib GROUP BY ALL",
-        "graph_hits": _with(
-            *seeds,
-            NAMED_SQL,
-            "seeds AS (SELECT coalesce(d.query_id, n.query_id) AS query_id, coalesce(d.node, n.node) AS node, CASE WHEN n.node IS NULL THEN score ELSE greatest(coalesce(score, 0.0), 0.8::DOUBLE) + 0.2::DOUBLE END AS score, CASE WHEN d.node IS NULL THEN [1::BIGINT, first_seen::BIGINT] ELSE [0::BIGINT, seen::BIGINT] END AS path FROM seed_d d FULL JOIN named n ON n.query_id = d.query_id AND n.node = d.node)",
-            EXPAND_SQL,
-            "given AS (SELECT query_id, chunk_index, w FROM contrib UNION ALL SELECT query_id, chunk_index, score FROM seed_e), scored AS (SELECT query_id, chunk_index, round(max(w) + 0.1::DOUBLE * (sum(w) - max(w)), 9) AS score FROM given GROUP BY ALL)",
+        "graph_hits": _with(*_graph_sql(20)) + " SELECT query_id, chunk_index, round(score, 6) AS score, rank::INTEGER AS rank FROM by_graph",
+        "chain_counts": _with(*_graph_sql(20)) + " SELECT query_id, chunk_index, count(*)::INTEGER AS chains FROM given JOIN by_graph USING (query_id, chunk_index) GROUP BY ALL",
+        "retrieved": _with(
+            *_graph_sql(80),
+            "ranked AS (SELECT query_id, chunk_index, rank, 0 AS o FROM by_graph UNION ALL SELECT query_id, chunk_index, rank, 1 FROM hybrid), fused AS (SELECT query_id, chunk_index, sum(1.0::DOUBLE / (100 + rank)) AS rrf_score, min(rank) FILTER (o = 0)::INTEGER AS graph_rank, min(rank) FILTER (o = 1)::INTEGER AS hype_rank, min(o * 1000 + rank) AS f FROM ranked GROUP BY ALL)",
+            "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, f, chunk_index) AS r FROM fused) WHERE r <= 40)",
+            "again AS (SELECT b.*, -abs(length(coalesce(text, '')) - 1000.0::DOUBLE) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY -abs(length(coalesce(text, '')) - 1000.0::DOUBLE) DESC, r) AS rank FROM best b LEFT JOIN documents ON doc_id = chunk_index)",
         )
-        + " SELECT query_id, chunk_index, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) AS rank FROM scored) WHERE rank <= 40",
+        + " SELECT query_id, chunk_index, round(rrf_score, 8) AS rrf_score, graph_rank, hype_rank, rerank_score, rank::INTEGER AS rank FROM again WHERE rank <= 20",
         "fused_hits": _with(
             I.SEARCH_SQL,
             "ranked AS (SELECT query_id, row_id AS chunk_index, rank, 0 AS o FROM dense UNION ALL SELECT query_id, row_id, rank, 1 FROM sparse), fused AS (SELECT query_id, chunk_index, sum(1.0::DOUBLE / (100 + rank)) AS rrf_score, min(rank) FILTER (o = 0)::INTEGER AS dense_rank, min(rank) FILTER (o = 1)::INTEGER AS sparse_rank, min(o * 1000 + rank) AS f FROM ranked GROUP BY ALL)",
