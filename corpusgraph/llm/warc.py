@@ -114,6 +114,8 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                         out.write(member.compress(_END) + member.flush())
             size = out.tell()
         if n:
+            if store.get_file_info(name).type != fs.FileType.NotFound:  # an earlier attempt's
+                store.delete_file(name)
             store.move(part, name)
             yield pd.DataFrame({"path": [name], "records": [n], "bytes": [size]})
         else:
