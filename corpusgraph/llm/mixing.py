@@ -94,7 +94,7 @@ class Mix:
         spark = docs.sparkSession
         self.scratch, self.shards, self.seed = Scratch(spark, "mixing"), shards, seed
         self.sizes = self.scratch.save(document_sizes(docs).withColumn("row", F.monotonically_increasing_id()), "sizes")
-        totals = self.sizes.groupBy("source").agg(F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect()
+        totals = self.sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
         if len(totals) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
         totals.sort(key=lambda r: (r.source is None, r.source or ""))
@@ -103,6 +103,8 @@ class Mix:
         self.total = sum(words)
         # Above 1e9 blocks numpy's draw ends, so a very large corpus has larger blocks.
         self.block = max(BLOCK_WORDS, -(-2 * self.total // 500_000_000))
+        # Blocks at most: every document may end in a short one.
+        self.blocks = sum(r.docs for r in totals) + self.total // self.block
         takes = [round(t) for t in targets]
         quotas = [-(-t // self.block) for t in takes]
         bounds = np.concatenate([np.zeros((1, len(words)), np.int64), np.cumsum(split_quotas(quotas, shards, seed), axis=0)]) if words else np.zeros((1, 0), np.int64)
@@ -115,7 +117,7 @@ class Mix:
 
     def draws(self) -> DataFrame:
         """One row for each drawn block: row, doc_id, key, pass, block (number in its document), words (taken of it), shard, turn (its place in the shard's shuffle)."""
-        bits = max(1, int(np.ceil(np.log2(max(2, self.total / self.block / BUCKET_BLOCKS)))))
+        bits = max(1, int(np.ceil(np.log2(max(2, self.blocks / BUCKET_BLOCKS)))))
         pieces = (
             self.sizes.filter("size > 0")
             .select("row", "doc_id", "source", "key", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / self.block))).alias("block"))
