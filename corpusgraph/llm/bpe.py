@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches
+
 #: Remembered fragments and words of one worker; beyond it the memory is emptied.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Characters of text that one step of a worker encodes before it hands rows on.
 STEP_CHARS = 1_000_000
 
+_ID_BITS = 20
+_ID_MASK = (1 << _ID_BITS) - 1
+_NEVER = 1 << 62
+
 # The white space and the splitting pattern of this family of vocabularies.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -74,7 +81,8 @@ class ForcedBoundaryBpe:
         self.merged = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merged[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            # Rank and result in one number, so that the least of several is the next merge.
+            self.merged[vocab[a], vocab[b]] = rank << _ID_BITS | vocab[a + b]
         self.inside = np.zeros((256, 256), dtype=bool)
         for token in raw.values():
             t = np.frombuffer(token, dtype=np.uint8)
@@ -108,48 +116,52 @@ class ForcedBoundaryBpe:
         return tuple(ids) if len(ids) < 2 else self._merge_short(ids) if len(ids) <= 32 else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> tuple[int, ...]:
-        get, none = self.merged.get, (1 << 60, -1)
-        ranks = [get(pair, none) for pair in zip(ids[:-1], ids[1:], strict=True)]
-        while ranks and (best := min(ranks))[1] >= 0:
+        get = self.merged.get
+        ranks = [get(pair, _NEVER) for pair in zip(ids[:-1], ids[1:], strict=True)]
+        while ranks and (best := min(ranks)) != _NEVER:
             i = ranks.index(best)
-            ids[i : i + 2] = [best[1]]
+            ids[i : i + 2] = [best & _ID_MASK]
             del ranks[i]
             if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), none)
+                ranks[i] = get((ids[i], ids[i + 1]), _NEVER)
             if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+                ranks[i - 1] = get((ids[i - 1], ids[i]), _NEVER)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a queue: n log n in the fragment's length."""
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        queue = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merged.get((ids[i], ids[i + 1])))]
+        queue = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merged.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b, new = heapq.heappop(queue)
+            best, i, a, b = heapq.heappop(queue)
+            new = best & _ID_MASK
             j = after[i] if alive[i] else n
             if j >= n or ids[i] != a or ids[j] != b:
                 continue
             ids[i], alive[j], after[i] = new, False, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if m := self.merged.get((new, ids[after[i]])):
-                    heapq.heappush(queue, (m[0], i, new, ids[after[i]], m[1]))
-            if before[i] >= 0 and (m := self.merged.get((ids[before[i]], new))):
-                heapq.heappush(queue, (m[0], before[i], ids[before[i]], new, m[1]))
+                if (m := self.merged.get((new, ids[after[i]]))) is not None:
+                    heapq.heappush(queue, (m, i, new, ids[after[i]]))
+            if before[i] >= 0 and (m := self.merged.get((ids[before[i]], new))) is not None:
+                heapq.heappush(queue, (m, before[i], ids[before[i]], new))
         return tuple(x for x, kept in zip(ids, alive, strict=True) if kept)
 
     def word_ids(self, word: str) -> bytes:
         """The word's ids as 32-bit numbers, one after another."""
+        parts = self.fragments(word.encode())
+        if len(parts) == 1:
+            return array("i", self.merge(parts[0])).tobytes()
         out: list[int] = []
-        for part in self.fragments(word.encode()):
+        for part in parts:
             if (ids := self.known.get(part)) is None:
                 ids = self.merge(part)
                 if len(part) <= 64:
                     self.known[part] = ids
             out += ids
-        return np.array(out, dtype=np.int32).tobytes()
+        return array("i", out).tobytes()
 
     def encode_packed(self, text: str) -> bytes:
         if len(self.known_words) > REMEMBERED or len(self.known) > REMEMBERED:
@@ -215,6 +227,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
     no ids. A column already called ``ids_col`` is replaced; all others, their
     order and repeated rows stay. Nothing is shuffled.
     """
+    bound_batches(docs.sparkSession)
     shared = _Shared(docs.sparkSession, path)
     docs = docs.drop(ids_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
