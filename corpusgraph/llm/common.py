@@ -30,10 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get(name)
 
 
+#: Bytes of rows that go to a Python worker at once; the default of 64 MB and its copies on either side crowd small executors.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES where they are larger; operators on whole texts call it."""
+    value = str(spark.conf.get(_BATCH, "64m")).lower()
+    if not (value.rstrip("b").isdigit() and int(value.rstrip("b")) <= BATCH_BYTES):
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; each use has a folder of its own."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

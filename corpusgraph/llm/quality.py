@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .words import byte_steps, text_bytes, word_spans
 
 #: Hashed features.
@@ -130,6 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> tupl
     Rows of ``labels`` without id or quality are left out; an id with both labels
     counts as both. No label or only one class: every score is 0.5.
     """
+    bound_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")).filter(F.col("_id").isNotNull() & F.col("_quality").isin(0, 1) & ~held_out(F.col("_id")))
     sample = None
     for quality in (0, 1):
@@ -155,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> tupl
 def score_texts(docs: DataFrame, model: tuple[np.ndarray, float], score_col: str = "score") -> DataFrame:
     """``docs`` with the score (0 to 1) of each whole text; null and empty texts get that of a text without features."""
     spark, docs = docs.sparkSession, docs.drop(score_col)
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast((model[0].astype(np.float32), float(model[1])))
     names = docs.columns
 
