@@ -47,6 +47,19 @@ def byte_letters() -> list[str]:
     return letters
 
 
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """The bytes of every token of a parsed vocabulary, added tokens included."""
+    byte_of = {c: b for b, c in enumerate(byte_letters())}
+    out = {i: bytes(map(byte_of.__getitem__, t)) for t, i in spec["model"]["vocab"].items() if all(c in byte_of for c in t)}
+    return out | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+
+
+def join_tokens(bytes_of: dict[int, bytes], ids) -> str:
+    """The tokens' bytes as UTF-8; what is not valid becomes U+FFFD, unknown ids nothing."""
+    get = bytes_of.get
+    return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
+
+
 class _Known(dict):
     """What make(key) gives, kept for short keys."""
 
@@ -73,10 +86,7 @@ class ForcedBoundaryBpe:
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
             raise ValueError("only byte-level BPE with its own splitting pattern is supported")
-        self.byte_of = {c: b for b, c in enumerate(byte_letters())}
-        vocab = model["vocab"]
-        raw = {t: bytes(map(self.byte_of.__getitem__, t)) for t in vocab if all(c in self.byte_of for c in t)}
-        self.bytes_of = {vocab[t]: b for t, b in raw.items()}
+        vocab, self.bytes_of = model["vocab"], token_bytes(spec)
         self.single = [vocab[c] for c in byte_letters()]
         self.merged = {}
         for rank, pair in enumerate(model["merges"]):
@@ -84,8 +94,8 @@ class ForcedBoundaryBpe:
             # Rank and result in one number, so that the least of several is the next merge.
             self.merged[vocab[a], vocab[b]] = rank << _ID_BITS | vocab[a + b]
         self.inside = np.zeros((256, 256), dtype=bool)
-        for token in raw.values():
-            t = np.frombuffer(token, dtype=np.uint8)
+        for i in set(vocab.values()) & self.bytes_of.keys():
+            t = np.frombuffer(self.bytes_of[i], dtype=np.uint8)
             self.inside[t[:-1], t[1:]] = True
         self.inside_pairs = {bytes(pair) for pair in np.argwhere(self.inside).tolist()}
         self.added = {}
@@ -93,7 +103,6 @@ class ForcedBoundaryBpe:
             if token["lstrip"] or token["rstrip"] or token["single_word"]:
                 raise ValueError("added tokens that strip or need whole words are not supported")
             self.added[token["content"]] = token["id"]
-            self.bytes_of[token["id"]] = token["content"].encode()
         ordered = sorted(self.added, key=len, reverse=True)
         self.between = regex.compile("(" + "|".join(map(regex.escape, ordered)) + ")") if ordered else None
         self.words = regex.compile(_PATTERN)
@@ -181,20 +190,7 @@ class ForcedBoundaryBpe:
         return np.frombuffer(self.encode_packed(text), dtype=np.int32).tolist()
 
     def decode(self, ids) -> str:
-        """The tokens' bytes as UTF-8; what is not valid becomes U+FFFD, unknown ids nothing."""
-        get = self.bytes_of.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
-
-
-_BUILT: dict[int, ForcedBoundaryBpe] = {}
-
-
-def _bpe(shared) -> ForcedBoundaryBpe:
-    """One vocabulary for each worker process."""
-    if shared.id not in _BUILT:
-        _BUILT.clear()
-        _BUILT[shared.id] = ForcedBoundaryBpe(shared.value)
-    return _BUILT[shared.id]
+        return join_tokens(self.bytes_of, ids)
 
 
 class _Shared:
@@ -203,15 +199,11 @@ class _Shared:
     def __init__(self, spark: SparkSession, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             self.broadcast = spark.sparkContext.broadcast(f.read())
-        self.id = hash((path, self.broadcast._jbroadcast.id() if self.broadcast._jbroadcast else 0))
 
     @property
     def value(self) -> str:
         return self.broadcast.value
 
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
-
 
 def _steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about STEP_CHARS bytes of text, so that no result holds a whole large batch."""
@@ -233,7 +225,8 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(shared)
+        # Made for each task: a worker that goes on to other work keeps none of it.
+        bpe = ForcedBoundaryBpe(shared.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             for a, b in _steps(column):
@@ -253,12 +246,12 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: st
     schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(shared)
+        bytes_of = token_bytes(json.loads(shared.value))
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids_col))
             values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             valid = column.is_valid().to_numpy(zero_copy_only=False)
-            texts = pa.array([bpe.decode(values[a:b].tolist()) if ok else "" for a, b, ok in zip(ends[:-1], ends[1:], valid, strict=True)], pa.string())
+            texts = pa.array([join_tokens(bytes_of, values[a:b].tolist()) if ok else "" for a, b, ok in zip(ends[:-1], ends[1:], valid, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, text_col])
 
     return encoded.mapInArrow(run, schema)
