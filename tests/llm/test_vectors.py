@@ -63,3 +63,15 @@ def test_ann_recall_and_equal_vectors(spark):
     hits = [len(set(got[i]) & set(exact(np.round(unit @ unit[i], 12), ids, i, 5))) / 5 for i in range(0, 600, 20)]
     assert np.mean(hits) >= 0.9
     assert got[100] == [101, 102, 103, 104, 105] and got[120] == [100, 101, 102, 103, 104]
+
+
+def test_ann_rows_are_complete_on_few_and_on_clustered_vectors(spark):
+    rng = np.random.default_rng(11)
+    few = vectors.usable_vectors(frame(spark, rng.normal(size=(4, 64)), range(4)))
+    got = ann.nearest_cosine(few, few.withColumnRenamed("vec_id", "query_id"), 5).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(q, c) for q in range(4) for c in range(4) if q != c]
+    middle = rng.normal(size=64)
+    tight = middle / np.linalg.norm(middle) + rng.normal(size=(400, 64)) * 0.02 / 8
+    outside = frame(spark, rng.normal(size=(30, 64)), range(1000, 1030)).toDF("query_id", "v")
+    got = ann.nearest_cosine(vectors.usable_vectors(frame(spark, tight, range(400))), outside, 5).collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(q, n) for q in range(1000, 1030) for n in range(1, 6)]
