@@ -114,8 +114,8 @@ def triple_text(head: Column, relation: Column, tail: Column) -> Column:
     return F.concat(F.lit("("), head, F.lit(") --["), relation, F.lit("]--> ("), tail, F.lit(")"))
 
 
-def encode(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable[[list[str], int], list[tuple[list[float], dict[str, float]]]]], max_length: int, batch_size: int = 16) -> DataFrame:
-    """``df`` with dense and sparse: the encoder is made once in each worker and called in batches."""
+def encode(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable[[list[str], int | None], list[tuple[list[float], dict[str, float]]]]], max_length: int | None, batch_size: int = 16) -> DataFrame:
+    """``df`` with dense and sparse: the encoder is made once in each worker and called in batches; max_length None means whole texts."""
 
     @F.pandas_udf(ENCODED)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -140,7 +140,7 @@ class HashingEncoder:
     def __init__(self, dims: int = 64) -> None:
         self.dims = dims
 
-    def __call__(self, texts: list[str], max_length: int) -> list[tuple[list[float], dict[str, float]]]:
+    def __call__(self, texts: list[str], max_length: int | None) -> list[tuple[list[float], dict[str, float]]]:
         out = []
         for text in texts:
             counts: dict[str, float] = {}

@@ -144,7 +144,7 @@ def _encoder():
 
 def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    e = M.encode(rows, "text", _encoder, 1024)
+    e = M.encode(rows, "text", _encoder, None)
     total = F.aggregate(F.map_values("sparse"), F.lit(0.0), lambda a, x: a + x)
     norm = F.aggregate("dense", F.lit(0.0), lambda a, x: a + x * x)
     return e.select("conv_id", "turn", F.size("sparse").alias("tokens"), total.cast("long").alias("words"), F.round(norm, 3).alias("norm"))

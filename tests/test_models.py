@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from corpusgraph import queries as Q
 from corpusgraph.functions import models as M
 from corpusgraph.jobs import answer
 from corpusgraph.operators.align import entity_vocabulary
@@ -70,3 +71,9 @@ def test_vocabulary_files_keep_their_order(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"z": "R1", "a": "R2"}')
     assert rows(tables.read_entities(spark, str(tmp_path / "e.json"))) == [(0, "B"), (1, "A")]
     assert rows(tables.read_relations(spark, str(tmp_path / "r.json"))) == [(0, "z", "R1"), (1, "a", "R2")]
+
+
+def test_long_turns_are_encoded_whole(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(3000)) + " w0"
+    spark.createDataFrame([(1, 0, "a b a"), (1, 1, long)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert rows(Q.encoded_pages(spark, str(tmp_path))) == [(1, 0, 2, 3, 1.0), (1, 1, 3000, 3001, 1.0)]
