@@ -121,10 +121,14 @@ def encode(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable[[li
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = make_encoder()
         for part in parts:
-            texts, rows = part.fillna("").tolist(), []
-            for a in range(0, len(texts), batch_size):
-                rows += encoder(texts[a : a + batch_size], max_length)
-            yield pd.DataFrame({"dense": [list(map(float, d)) for d, _ in rows], "sparse": [dict(s) for _, s in rows]})
+            texts = part.fillna("").tolist()
+            # A batch's maps take many times the room of its texts, so they go on in steps.
+            step = 16 * batch_size
+            for start in range(0, len(texts), step):
+                some, rows = texts[start : start + step], []
+                for a in range(0, len(some), batch_size):
+                    rows += encoder(some[a : a + batch_size], max_length)
+                yield pd.DataFrame({"dense": [list(map(float, d)) for d, _ in rows], "sparse": [dict(s) for _, s in rows]})
 
     return df.withColumn("_e", run(F.col(text_col))).select("*", "_e.dense", "_e.sparse").drop("_e")
 

@@ -6,9 +6,14 @@ front of the lines by arithmetic on ids; the SQL of the queries does the same.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.models import encode
+
 DECORATIONS = {
     0: "concat('[12] Smith ', line)",
     1: "concat('2009, 60(3): 1432-1441 ', line)",
@@ -116,6 +121,46 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).join(vectors(spark, sf_dir), F.col("row_id") == F.col("query_id")).select("query_id", "dense")
 
 
+def encoded(rows: DataFrame, id_col: str, text_col: str, make_encoder) -> DataFrame:
+    """id_col, dense: every text encoded whole, in steps of 2^-20: inner products are then exact, so equal ones tie in any order of adding."""
+    fine = F.transform("dense", lambda x: F.floor(x.cast("double") * F.lit(1048576.0) + 0.5) / F.lit(1048576.0))
+    return encode(rows.select(id_col, F.col(text_col).alias("_text")), "_text", make_encoder, None).select(id_col, fine.alias("dense"))
+
+
+# CRC-32 of a word's UTF-8 bytes, as the stand-in encoder takes it.
+_CRC_TABLE = [reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), i) for i in range(256)]
+_BYTES = "list_transform(range(1, length(hex(token)) // 2 + 1), lambda i: ('0x' || substr(hex(token), 2 * i - 1, 2))::UBIGINT)"
+_CRC = f"xor(list_reduce(list_concat([4294967295::UBIGINT], {_BYTES}), lambda c, b: xor(c >> 8, ({_CRC_TABLE}::UBIGINT[])[(xor(c, b) & 255)::INTEGER + 1])), 4294967295::UBIGINT)"
+
+
+def _dense_sql(name: str, id_col: str, counts: str) -> str:
+    """name: id_col, d, x of the encoded texts whose word counts (id_col, token, weight) are in ``counts``."""
+    sums = f"SELECT {id_col}, (h % 64)::INTEGER AS d, sum(CASE WHEN (h >> 16) & 1 = 1 THEN weight ELSE -weight END) AS s FROM {counts} JOIN word_hash USING (token) GROUP BY ALL"
+    return f"{name} AS (SELECT {id_col}, d, floor((s / sqrt(sum(s * s) OVER (PARTITION BY {id_col})))::FLOAT::DOUBLE * 1048576.0::DOUBLE + 0.5::DOUBLE) / 1048576.0::DOUBLE AS x FROM ({sums}) WHERE s <> 0)"
+
+
+def _scores_sql(name: str, ids: str, vectors: str) -> str:
+    """Every question with every row of ``ids``; a pair without a common dimension scores 0."""
+    return f"{name} AS (SELECT query_id, row_id, coalesce(score, 0.0::DOUBLE) AS score FROM (SELECT query_id, row_id FROM q, {ids}) LEFT JOIN (SELECT query_id, row_id, sum(a.x * b.x) AS score FROM q_dense a JOIN {vectors} b USING (d) GROUP BY ALL) USING (query_id, row_id))"
+
+
+#: Questions, documents and triples encoded; the counts, the sparse and the hybrid search are those of SEARCH_SQL.
+ENCODED_SQL = ",".join(
+    [
+        "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)",
+        *(part for name in ("post", "qpost") for part in re.findall(rf"^({name} AS .*),$", SEARCH_SQL, re.M)),
+        "tpost AS (SELECT row_id, token, count(*)::DOUBLE AS weight FROM (SELECT row_id, unnest(regexp_split_to_array(lower('(' || head || ') --[' || relation || ']--> (' || tail || ')'), '\\s+')) AS token FROM triples) WHERE token <> '' GROUP BY ALL)",
+        f"word_hash AS (SELECT token, {_CRC} AS h FROM (SELECT token FROM post UNION SELECT token FROM qpost UNION SELECT token FROM tpost))",
+        _dense_sql("q_dense", "query_id", "qpost"),
+        _dense_sql("d_dense", "row_id", "post"),
+        _dense_sql("t_dense", "row_id", "tpost"),
+        _scores_sql("dense_all", "(SELECT doc_id AS row_id FROM documents)", "d_dense"),
+        _scores_sql("triple_all", "(SELECT row_id FROM triples)", "t_dense"),
+        *(part for name in ("dense", "sparse_all", "sparse", "hybrid_all", "hybrid") for part in re.findall(rf"^({name} AS .*?),?$", SEARCH_SQL, re.M)),
+    ]
+)
+
+
 def term_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_col, token, weight: how often each lower-cased word occurs."""
     tokens = texts.select(F.col(id_col), F.explode(F.split(F.lower(text_col), r"\s+")).alias("token")).filter("token <> ''")

@@ -311,6 +311,24 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_index", F.round("rrf_score", 8).alias("rrf_score"), "graph_rank", "hype_rank", "rerank_score", "rank")
 
 
+def encoded_triples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The triple table, and a vector of every triple."""
+    triples = graph.triple_table(I.raw_triples(spark, sf_dir))
+    told = triples.select("row_id", M.triple_text(F.col("head"), F.col("relation"), F.col("tail")).alias("t"))
+    return triples, I.encoded(told, "row_id", "t", _encoder)
+
+
+def encoded_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``retrieved`` with every question, document and triple encoded, so that each of them is a dense candidate."""
+    asked, docs = I.questions(spark, sf_dir), I.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
+    words = I.term_counts(asked, "query_id", "query").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("sparse"))
+    asked = asked.join(I.encoded(asked, "query_id", "query", _encoder), "query_id").join(words, "query_id", "left")
+    hype = {"vectors": I.encoded(docs, "row_id", "text", _encoder), "postings": I.term_counts(docs, "row_id", "text"), "chunks": docs.select(F.col("row_id").alias("index"), "text")}
+    triples, vectors = encoded_triples(spark, sf_dir)
+    found = answer.retrieve(asked, hype, {"triples": triples, "edges": graph.build_edges(I.raw_triples(spark, sf_dir)), "vectors": vectors}, _length_scorer)
+    return found.select("query_id", "chunk_index", F.round("rrf_score", 8).alias("rrf_score"), "graph_rank", "hype_rank", "rerank_score", "rank")
+
+
 NODES_SQL = "nodes AS (SELECT node, min(first_seen) AS first_seen FROM (SELECT head AS node, 2 * edge_id AS first_seen FROM edges UNION ALL SELECT tail, 2 * edge_id + 1 FROM edges) GROUP BY node)"
 NAMED_SQL = r"""
 cand AS (SELECT DISTINCT query_id, query, substr(lower(query), i, n) AS piece FROM q, (SELECT DISTINCT length(trim(node)) AS n FROM nodes WHERE length(trim(node)) >= 2) l, range(1, 1000) t(i) WHERE i + n - 1 <= length(query)),
@@ -409,6 +427,7 @@ def queries() -> dict:
         "chain_counts": chain_counts,
         "fused_hits": fused_hits,
         "retrieved": retrieved,
+        "encoded_retrieved": encoded_retrieved,
         "reranked_hits": reranked_hits,
         "prompts": prompts,
         "report_headers": report_headers,
@@ -438,6 +457,11 @@ def _graph_sql(n: int) -> list[str]:
     ]
 
 
+def _encoded_graph_sql(n: int) -> list[str]:
+    """The same over encoded documents and triples."""
+    return [{I.SEARCH_SQL: I.ENCODED_SQL}.get(part, part.replace("FROM dense_all", "FROM triple_all")) for part in _graph_sql(n)]
+
+
 def oracle_sql() -> dict:
     blocks = [I.LINES_SQL, RULES_SQL]
     chunks = [*blocks, CHUNKS_SQL]
@@ -475,6 +499,13 @@ def oracle_sql() -> dict:
             "again AS (SELECT b.*, -abs(length(coalesce(text, '')) - 1000.0::DOUBLE) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY -abs(length(coalesce(text, '')) - 1000.0::DOUBLE) DESC, r) AS rank FROM best b LEFT JOIN documents ON doc_id = chunk_index)",
         )
         + " SELECT query_id, chunk_index, round(rrf_score, 8) AS rrf_score, graph_rank, hype_rank, rerank_score, rank::INTEGER AS rank FROM again WHERE rank <= 20",
+        "encoded_retrieved": _with(
+            *_encoded_graph_sql(80),
+            "ranked AS (SELECT query_id, chunk_index, rank, 0 AS o FROM by_graph UNION ALL SELECT query_id, chunk_index, rank, 1 FROM hybrid), fused AS (SELECT query_id, chunk_index, sum(1.0::DOUBLE / (100 + rank)) AS rrf_score, min(rank) FILTER (o = 0)::INTEGER AS graph_rank, min(rank) FILTER (o = 1)::INTEGER AS hype_rank, min(o * 1000 + rank) AS f FROM ranked GROUP BY ALL)",
+            "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, f, chunk_index) AS r FROM fused) WHERE r <= 40)",
+            "again AS (SELECT b.*, -abs(length(coalesce(text, '')) - 1000.0::DOUBLE) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY -abs(length(coalesce(text, '')) - 1000.0::DOUBLE) DESC, r) AS rank FROM best b LEFT JOIN documents ON doc_id = chunk_index)",
+        )
+        + " SELECT query_id, chunk_index, round(rrf_score, 8) AS rrf_score, graph_rank, hype_rank, rerank_score, rank::INTEGER AS rank FROM again WHERE rank <= 20",
         "fused_hits": _with(
             I.SEARCH_SQL,
             "ranked AS (SELECT query_id, row_id AS chunk_index, rank, 0 AS o FROM dense UNION ALL SELECT query_id, row_id, rank, 1 FROM sparse), fused AS (SELECT query_id, chunk_index, sum(1.0::DOUBLE / (100 + rank)) AS rrf_score, min(rank) FILTER (o = 0)::INTEGER AS dense_rank, min(rank) FILTER (o = 1)::INTEGER AS sparse_rank, min(o * 1000 + rank) AS f FROM ranked GROUP BY ALL)",

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from corpusgraph import queries as Q
 from corpusgraph.operators import graph
 from tests.conftest import rows
 
@@ -66,3 +67,17 @@ def test_search_scores_chains_and_stub_chunks(spark):
     chunks = spark.createDataFrame([(7, "seven")], "index long, text string")
     assert rows(graph.attach_chunk(got, chunks), "chunk_index", "text") == [(7, "seven"), (9, "Out: (y) -[s]-> (z) [hop=1, score=0.410]")]
     assert graph.graph_search(hits.limit(0), q, triples, edges, 5).count() == 0
+
+
+def test_every_triple_and_document_is_a_dense_candidate(spark, tmp_path):
+    tables = {
+        "documents": ([(5000, "alpha beta gamma"), (5001, "delta epsilon zeta")], "doc_id long, text string"),
+        "benchmark": ([(7000, "an unrelated question")], "item_id long, text string"),
+        "embeddings": ([(0, [1.0] * 64)], "vec_id long, embedding array<float>"),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    triples, vectors = Q.encoded_triples(spark, str(tmp_path))
+    assert rows(vectors, "row_id") == rows(triples, "row_id") == [(0,), (1,)]
+    found = Q.encoded_retrieved(spark, str(tmp_path))
+    assert rows(found.filter("graph_rank is not null and hype_rank is not null"), "query_id", "chunk_index") == [(7000, 5000), (7000, 5001)]
