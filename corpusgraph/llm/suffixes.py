@@ -1,20 +1,26 @@
 """Removal of repeated 100-byte strings by difference-cover blockwise suffix sorting.
 
-Suffixes are compared on their first WINDOW bytes. A difference cover samples
-suffixes so that any two positions have a common short shift at which both are
-sampled. The sample is ranked first: a sampled suffix whose first COVER_DEPTH
-bytes occur once has no equal, and by the cover two suffixes can only tie beyond
-that depth if a sampled one below them has an equal. All others are settled and
-leave the sort. Long repeats are settled before that: texts are cut at content-
-defined places, and where two neighbouring pieces occur together earlier, all
-windows in them are repeats; the earliest place of any window is never among them,
-so it still meets the others in the sort. What is left is dealt into suffix buckets by the leading bits of
-its sort key (a 64-bit fingerprint of the first WINDOW bytes) and each task sorts
-one bucket at a time, so memory is bounded by a bucket. Equal keys are ordered by
-document and start; all but the first are repeats.
-
-The depth being bounded, keys stand in hash order rather than byte order; only
-which suffixes are equal, and which of them is first, matters here.
+Suffixes are compared on their first WINDOW bytes. Three steps, each over blocks of
+texts laid end to end:
+
+1. A difference cover samples suffixes so that any two positions have a common short
+   shift at which both are sampled. The sample is ranked first: a sampled suffix
+   whose first COVER_DEPTH bytes occur nowhere else settles all windows that could
+   only be equal through it, and they leave the sort. (Ranks compare hashes: equal
+   bytes never get different ones, so nothing is missed; a chance equality only
+   leaves a window in the sort.)
+2. What is left is dealt into suffix buckets: two equal windows have the same least
+   (hashed) ANCHOR-byte string at the same shift, so that string names the bucket.
+   Neighbouring windows mostly share it and travel as one run of text. Each bucket is
+   sorted by the bytes of its anchored suffixes, which gives these their ranks. Windows
+   of one shift then tie where the bytes before the anchor are the same; such ties are
+   resolved by the ranks of the anchored suffixes and the lengths of their common
+   prefixes. All of this compares bytes, never hashes.
+3. In each set of equal windows all but the first (document, then start) are repeats,
+   and the bytes that repeats cover are cut out.
+
+Memory is bounded by a block and by one bucket's different runs; a bucket that
+outgrows CROWDED runs is dealt anew, window by window.
 """
 
 from __future__ import annotations
@@ -24,13 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 from .words import text_bytes
 
 #: Bytes of a string whose repeats go.
@@ -40,42 +47,36 @@ COVER_PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 #: A sampled suffix within the period of a window's start still lies in the window with so many bytes.
 COVER_DEPTH = WINDOW - COVER_PERIOD + 1
-#: Pieces between two cuts have so many bytes at least, so a window lies in two neighbours at most.
-LEAST_PIECE = 128
-#: Bits that are zero where a text may be cut: a place every 64 bytes, about.
-CUT_BITS = 6
+#: Bytes of the strings that name suffix buckets, and the shifts at which a window can hold one.
+ANCHOR = 24
+SHIFTS = WINDOW - ANCHOR + 1
 #: Bytes of text that one row of the block table holds (more only for a single longer text).
-BLOCK_BYTES = 1 << 20
-#: Bytes of text for each suffix bucket, about.
-BUCKET_BYTES = 24 << 20
+BLOCK_BYTES = 4 << 20
+#: Bytes of text for each bucket of the cover sample, and for each partition of suffix buckets, about.
+SAMPLE_BYTES = 48 << 20
+BUCKET_BYTES = 12 << 20
+#: Runs that are worked on at once, and different runs of one bucket beyond which it is dealt anew.
+STEP_RUNS = 60_000
+CROWDED = 300_000
+#: Columns that are made here.
+MADE = ("n_bytes", "n_removed", "n_spans", "kept")
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_LETTER = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: list[np.ndarray] = []
+_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, dtype=np.uint64)]), dtype=np.uint64) for b in (_BASE, _INVERSE)]
-    return _POWERS
+def _hash(words: np.ndarray, at: np.ndarray, steps: tuple[int, ...]) -> np.ndarray:
+    """64-bit hashes of the 8-byte words at ``steps`` after each position."""
+    h = np.zeros(len(at), dtype=np.uint64)
+    for step in steps:
+        h = (h ^ words[at + step]) * _M1
+        h ^= h >> np.uint64(32)
+        h *= _M2
+        h ^= h >> np.uint64(29)
+    return h * _M3
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    up = _powers(len(raw) + 1)[0]
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * up[: len(raw)], dtype=np.uint64)])
-
-
-def fingerprints(sums: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """64-bit fingerprint of the n bytes from each position."""
-    return _scramble((sums[at + n] - sums[at]) * _powers(len(sums))[1][at])
-
-
-def _scramble(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+_SAMPLE_STEPS = (*range(0, COVER_DEPTH - 7, 8), COVER_DEPTH - 8)
+_ANCHOR_STEPS = tuple(range(0, ANCHOR, 8))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[list]:
@@ -84,92 +85,81 @@ def _rows(batch: pa.RecordBatch) -> Iterator[list]:
         yield [column[i].as_py() for column in batch.columns]
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of ranges, one range after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 class _Block:
     """One row of the block table; texts lie end to end in the order of their ids."""
 
     def __init__(self, raw: bytes, ends: bytes) -> None:
-        self.raw, self.ends = np.frombuffer(raw, dtype=np.uint8), np.frombuffer(ends, dtype=np.int64)
+        padded = np.frombuffer(raw + bytes(16), dtype=np.uint8)
+        self.raw, self.ends = padded[:-16], np.frombuffer(ends, dtype=np.int64)
         self.begins = np.concatenate([np.zeros(1, np.int64), self.ends[:-1]])
-        self.sums = prefix_sums(self.raw)
+        self.words = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
 
     def inside(self, at: np.ndarray, n: int) -> np.ndarray:
         """Positions whose n bytes lie within one text."""
         at = at[at + n <= len(self.raw)]
         return at[at + n <= self.ends[np.searchsorted(self.ends, at, side="right")]]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of every two neighbouring pieces (of the whole text, if it is one piece) of WINDOW bytes or more."""
-        n = max(0, len(self.raw) - 7)
-        grams = np.ndarray(n, dtype="<u8", buffer=self.raw, strides=(1,)) if n else np.zeros(0, np.uint64)
-        places = np.flatnonzero(grams * np.uint64(_BASE) < np.uint64(1 << (64 - CUT_BITS)))
-        after = np.searchsorted(places, places + LEAST_PIECE).tolist()
-        first = np.searchsorted(places, self.begins + LEAST_PIECE).tolist()
-        last = np.searchsorted(places, self.ends - 8, side="right").tolist()
-        starts, stops, places = [], [], places.tolist()
-        for begin, end, i, stop in zip(self.begins.tolist(), self.ends.tolist(), first, last, strict=True):
-            before, now = begin, None
-            while i < stop:
-                if now is not None:
-                    starts.append(before)
-                    stops.append(places[i])
-                    before = now
-                now, i = places[i], after[i]
-            if end - before >= WINDOW:
-                starts.append(before)
-                stops.append(end)
-        return np.array(starts, dtype=np.int64), np.array(stops, dtype=np.int64)
-
-    def pair_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The pairs, then their different keys in order of first place, the first place's number and each pair's key."""
-        starts, stops = self.pairs()
-        h = _scramble((self.sums[stops] - self.sums[starts]) * _powers(len(self.sums))[1][starts] + (stops - starts).astype(np.uint64))
-        return starts, stops, *_in_order(h)
-
-    def settled(self, starts: np.ndarray, stops: np.ndarray, repeat: np.ndarray) -> np.ndarray:
-        """Which positions start a window within a pair that occurs earlier."""
-        change = np.zeros(len(self.raw) + 1, dtype=np.int32)
-        np.add.at(change, starts[repeat], 1)
-        np.add.at(change, stops[repeat] - WINDOW + 1, -1)
-        return np.cumsum(change[:-1]) > 0
-
-    def sample(self, settled: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled positions that lie in a window not settled yet, and their keys (the bucket's bits and 32 more)."""
+    def sample(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The cover's positions and their keys (the bucket's bits and 32 more)."""
         periods = np.arange(0, len(self.raw), COVER_PERIOD)
         at = self.inside((periods[:, None] + np.array(COVER)).ravel(), COVER_DEPTH)
-        open_ = np.concatenate([np.zeros(1, np.int64), np.cumsum(~settled)])
-        at = at[open_[at + 1] > open_[np.maximum(at - COVER_PERIOD + 1, 0)]]
-        return at, fingerprints(self.sums, at, COVER_DEPTH) >> np.uint64(32 - bits)
+        return at, _hash(self.words, at, _SAMPLE_STEPS) >> np.uint64(32 - bits)
 
-    def unsettled(self, settled: np.ndarray, equal: np.ndarray) -> np.ndarray:
-        """Starts of windows, not settled yet, that hold a sampled suffix with an equal."""
+    def unsettled(self, equal: np.ndarray) -> np.ndarray:
+        """Starts of the windows that hold, within a period of their start, a sampled suffix with an equal."""
         change = np.zeros(len(self.raw) + 1, dtype=np.int32)
         np.add.at(change, np.maximum(equal - COVER_PERIOD + 1, 0), 1)
         np.add.at(change, equal + 1, -1)
-        return self.inside(np.flatnonzero((np.cumsum(change[:-1]) > 0) & ~settled), WINDOW)
-
-    def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The different window keys in order of their first start; that start's number in ``at``; each start's key."""
-        return _in_order(fingerprints(self.sums, at, WINDOW))
-
-
-def _in_order(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    order = np.argsort(first, kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    return h[first[order]], first[order], rank[which]
+        return self.inside(np.flatnonzero(np.cumsum(change[:-1]) > 0), WINDOW)
+
+    def runs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, windows, anchor and the anchor's hash of each run: neighbouring windows of ``at`` with the same anchor.
+
+        The anchor is the window's string of ANCHOR bytes of least hash, the first of several.
+        """
+        if not len(at):
+            return at, at, at, np.zeros(0, np.uint64)
+        head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+        sizes = np.diff(np.concatenate([head, [len(at)]]))
+        place = _runs(at[head], sizes + SHIFTS - 1)
+        h = _hash(self.words, place, _ANCHOR_STEPS)
+        low = np.uint64(max(1, int(len(place) - 1).bit_length()))
+        least, span = (h >> low << low) | np.arange(len(place), dtype=np.uint64), 1
+        while span * 2 <= SHIFTS:
+            least[: len(least) - span] = np.minimum(least[: len(least) - span], least[span:])
+            span *= 2
+        if rest := SHIFTS - span:
+            least[: len(least) - rest] = np.minimum(least[: len(least) - rest], least[rest:])
+        # Window i of a stretch of neighbours stands at place i of the stretch.
+        own = np.repeat((SHIFTS - 1) * np.arange(len(head)), sizes) + np.arange(len(at))
+        anchor = (least[own] & np.uint64((1 << int(low)) - 1)).astype(np.int64)
+        new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        new[head] = True
+        first = np.flatnonzero(new)
+        return at[first], np.diff(np.concatenate([first, [len(at)]])), place[anchor[first]], h[anchor[first]]
 
 
 def block_table(docs: DataFrame) -> DataFrame:
-    """block, raw (texts end to end), ends, ids, rest (all other columns as an Arrow stream)."""
+    """block, raw (texts end to end), ends, ids, rest (all other columns as an Arrow stream), n_bytes.
+
+    A block's number is its partition's number, then its own within it.
+    """
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def row(parts: list[pa.Table], number: int) -> pa.RecordBatch:
-            t = pa.concat_tables(parts).append_column("_order", pa.array(np.arange(sum(map(len, parts)))))
-            t = t.sort_by([("doc_id", "ascending"), ("_order", "ascending")]).drop_columns(["_order"])
+            t = pa.concat_tables(parts)
+            ids = t.column("doc_id").cast(pa.int64())
+            order = np.lexsort((np.arange(len(t)), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy()))
+            t = t.take(pa.array(order))
             raw, ends = text_bytes(t.column("text"))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, t.select(names).schema) as out:
@@ -194,75 +184,147 @@ def block_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "block long, raw binary, ends binary, ids binary, rest binary, n_bytes long")
 
 
-def _blobs(block: int, buckets: np.ndarray, n_buckets: int, keys: np.ndarray, ids: np.ndarray | None = None) -> pa.RecordBatch:
-    """A row for each bucket: its keys in their order and, with ``ids``, each key's document in runs. Bucket 0 is always there."""
-    order = np.argsort(buckets, kind="stable")
-    keys = keys[order]
-    edges = np.searchsorted(buckets[order], np.arange(n_buckets + 1))
-    some = [b for b in range(n_buckets) if edges[b + 1] > edges[b] or b == 0]
+def _blobs(block: int, buckets: np.ndarray, n_buckets: int, keys: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket with keys: these in their order."""
+    keys = keys[np.argsort(buckets, kind="stable")]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(buckets, minlength=n_buckets))])
+    some = np.flatnonzero(np.diff(edges)).tolist()
     cells = [keys[edges[b] : edges[b + 1]].tobytes() for b in some]
-    docs, runs = [None] * len(some), [None] * len(some)
-    if ids is not None:
-        ids = ids[order]
-        for i, b in enumerate(some):
-            own = ids[edges[b] : edges[b + 1]]
-            new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-            docs[i], runs[i] = own[new].tobytes(), np.diff(np.concatenate([new, [len(own)]])).astype(np.uint32).tobytes()
-    return pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(cells, pa.binary()), pa.array(docs, pa.binary()), pa.array(runs, pa.binary())], names=["block", "bucket", "keys", "docs", "runs"])
-
-
-_BLOB = "block long, bucket int, keys binary, docs binary, runs binary"
+    return pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(cells, pa.binary())], names=["block", "bucket", "keys"])
 
 
-def _flags(table: pa.Table, flags: np.ndarray, sizes: np.ndarray) -> pa.Table:
-    """The reply to every block of a bucket: a bit for each of its keys."""
+def rank_sample(table: pa.Table) -> pa.Table:
+    """Of one bucket of the cover sample: a bit for each of a block's keys, whether it occurs more than once."""
+    parts = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in table.column("keys")]
+    keys, sizes = np.concatenate(parts), [len(p) for p in parts]
+    ordered = np.sort(keys)
+    equal = ordered[1:][ordered[1:] == ordered[:-1]]
+    equal = equal[np.concatenate([[True], equal[1:] != equal[:-1]])] if len(equal) else equal
+    at = np.searchsorted(equal, keys)
+    flags = equal[np.minimum(at, len(equal) - 1)] == keys if len(equal) else np.zeros(len(keys), bool)
     edges = np.concatenate([[0], np.cumsum(sizes)])
     bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
     return pa.table([table.column("block"), table.column("bucket"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["block", "bucket", "n", "bits"])
 
 
-_REPLY = "block long, bucket int, n long, bits binary"
+def _file_by_part(replies: DataFrame, root: str) -> None:
+    """One folder for each partition of the block table, whose tasks read it back."""
+    replies.withColumn("of", F.shiftright("block", 32)).repartition("of").write.mode("overwrite").partitionBy("of").parquet(root)
+
+
+class _Replies:
+    """Replies to the blocks of one part after another."""
+
+    def __init__(self, root: str) -> None:
+        self.root, self.part, self.rows = root, None, None
+
+    def of(self, block: int) -> pa.Table | None:
+        if self.part != block >> 32:
+            store, where = fs.FileSystem.from_uri(self.root)
+            self.part = block >> 32
+            found = store.get_file_info(fs.FileSelector(f"{where}/of={self.part}", allow_not_found=True))
+            files = sorted(f.path for f in found if f.path.endswith(".parquet"))
+            self.rows = pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read() for f in files]) if files else None
+        return None if self.rows is None else self.rows.filter(pc.equal(self.rows.column("block"), block))
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, width) bytes, padded with zeros behind, and the lengths."""
+    raw, ends = text_bytes(column)
+    sizes = np.diff(ends)
+    out = np.zeros((len(sizes), width), dtype=np.uint8)
+    out[np.arange(width) < sizes[:, None]] = raw
+    return out, sizes
+
+
+def _common(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bytes that each row shares with the row before it, from the start; 0 for the first."""
+    out = np.zeros(len(rows), dtype=np.int64)
+    if len(rows) > 1:
+        differ = rows[1:] != rows[:-1]
+        some = differ.any(axis=1)
+        out[1:] = np.where(some, differ.argmax(axis=1), rows.shape[1])
+        out[1:] = np.minimum(out[1:], np.minimum(sizes[1:], sizes[:-1]))
+    return out
+
+
+class _Bucket:
+    """Runs in the order of their anchor's hash, right and left side, without those that are the same text."""
+
+    def __init__(self, t: pa.Table) -> None:
+        key = t.column("mkey").to_numpy()
+        right, n_right = _matrix(t.column("rhs"), WINDOW)
+        left, n_left = _matrix(t.column("lhs"), SHIFTS)
+        shared = _common(right, n_right)
+        same_key = np.concatenate([[False], key[1:] == key[:-1]])
+        again = np.zeros(len(key), dtype=bool)
+        again[1:] = same_key[1:] & (n_right[1:] == n_right[:-1]) & (shared[1:] == n_right[1:]) & (n_left[1:] == n_left[:-1]) & (left[1:] == left[:-1]).all(axis=1)
+        keep = np.flatnonzero(~again)
+        self.t, self.key, self.right, self.left, self.n_right, self.n_left = t.take(pa.array(keep)), key[keep], right[keep], left[keep], n_right[keep], n_left[keep]
+
+    def firsts(self) -> np.ndarray:
+        """(runs, SHIFTS) whether the window at this place of the run is the first of its equals."""
+        n = len(self.key)
+        out = np.zeros((n, SHIFTS), dtype=bool)
+        if not n:
+            return out
+        new_key = np.concatenate([[True], self.key[1:] != self.key[:-1]])
+        # Ranks of the anchored suffixes are their places; what neighbours share tells which are equal up to a depth.
+        shared = np.where(new_key, 0, _common(self.right, self.n_right))
+        group = np.cumsum(new_key)
+        words = np.ascontiguousarray(np.pad(self.left, ((0, 0), (0, -SHIFTS % 8)))).view(">u8").astype(np.uint64)
+        order = np.lexsort((self.n_left, *words.T[::-1], group))
+        before = np.where(np.concatenate([[True], group[order][1:] != group[order][:-1]]), 0, _common(self.left[order], self.n_left[order]))
+        head = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+        block, at, ids = (self.t.column(c).to_numpy() for c in ("block", "a", "id"))
+        turn = np.lexsort((at + self.n_left, block, ids))
+        left_name = np.empty(n, dtype=np.int64)
+        n_left, n_right = self.n_left[turn], self.n_right[turn]
+        for shift in range(SHIFTS):
+            rows = turn[(shift <= n_left) & (WINDOW - shift <= n_right)]
+            if not len(rows):
+                continue
+            right_name = np.cumsum(new_key | (shared < WINDOW - shift))
+            left_name[order] = np.cumsum(head | (before < shift))
+            _, first = np.unique(right_name[rows] * (n + 1) + left_name[rows], return_index=True)
+            out[rows[first], self.n_left[rows[first]] - shift] = True
+        return out
+
 
+_FOUND = "block long, a int, mask binary, id long, w binary"
 
-def rank_sample(table: pa.Table) -> pa.Table:
-    """Of one bucket of the cover sample: which keys occur more than once."""
-    parts = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in table.column("keys")]
-    keys, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
-    ordered = np.sort(keys)
-    equal = ordered[1:][ordered[1:] == ordered[:-1]]
-    equal = equal[np.concatenate([[True], equal[1:] != equal[:-1]])] if len(equal) else equal
-    at = np.searchsorted(equal, keys)
-    return _flags(table, equal[np.minimum(at, len(equal) - 1)] == keys if len(equal) else np.zeros(len(keys), bool), sizes)
-
-
-def sort_bucket(table: pa.Table) -> pa.Table:
-    """Of one suffix bucket: which keys are not the first of their equals (least document, then least block)."""
-    table = table.sort_by("block")
-    parts = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("keys")]
-    keys, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
-    ids = np.concatenate([np.repeat(np.frombuffer(d.as_buffer(), dtype=np.int64), np.frombuffer(r.as_buffer(), dtype=np.uint32)) for d, r in zip(table.column("docs"), table.column("runs"), strict=True)])
-    order = np.argsort(keys, kind="stable")
-    sorted_keys = keys[order]
-    head = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    repeat = np.zeros(len(keys), dtype=bool)
-    if len(keys):
-        count = np.diff(np.concatenate([head, [len(keys)]]))
-        least = np.repeat(np.minimum.reduceat(ids[order], head), count)
-        first = ids[order] == least
-        # Equal documents in two blocks: the first block's counts.
-        seen = np.cumsum(first)
-        first &= seen - np.repeat(seen[head] - first[head], count) == 1
-        repeat[order] = ~first
-    return _flags(table, repeat, sizes)
-
-
-def _reply(root: str, block: int) -> np.ndarray:
-    """The bits for a block's keys, bucket by bucket."""
-    store, where = fs.FileSystem.from_uri(root)
-    files = [f.path for f in store.get_file_info(fs.FileSelector(f"{where}/of={block}")) if f.path.endswith(".parquet")]
-    rows = pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read() for f in sorted(files)]).sort_by("bucket")
-    bits = [np.unpackbits(np.frombuffer(b.as_buffer(), dtype=np.uint8), count=n.as_py()) for b, n in zip(rows.column("bits"), rows.column("n"), strict=True)]
-    return np.concatenate(bits).astype(bool)
+
+def _found(block, a, mask=None, ids=None, w=None) -> pa.RecordBatch:
+    n = len(block)
+    empty = lambda v, kind: pa.nulls(n, kind) if v is None else v
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(a, pa.int32()), empty(mask, pa.binary()), empty(ids, pa.int64()), empty(w, pa.binary())], names=["block", "a", "mask", "id", "w"])
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A binary column of rows of equal width."""
+    rows = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
+def _sorted_bucket(bucket: _Bucket) -> Iterator[pa.RecordBatch]:
+    """For each run with windows that are the first of their equals: which."""
+    firsts = bucket.firsts()
+    some = np.flatnonzero(firsts.any(axis=1))
+    yield _found(bucket.t.column("block").to_numpy()[some], bucket.t.column("a").to_numpy()[some], _fixed(np.packbits(firsts[some], axis=1)))
+
+
+def _windows(bucket: _Bucket) -> Iterator[pa.RecordBatch]:
+    """Every window of the runs as a row of its own."""
+    for i in range(0, len(bucket.key), 2000):
+        part = slice(i, i + 2000)
+        n_left, n = bucket.n_left[part], bucket.n_left[part] + bucket.n_right[part] - WINDOW + 1
+        text = np.concatenate([bucket.left[part][:, ::-1], bucket.right[part]], axis=1)
+        run, j = np.repeat(np.arange(len(n)), n), _runs(np.zeros(len(n), np.int64), n)
+        start = SHIFTS - n_left[run] + j
+        w = text[run[:, None], start[:, None] + np.arange(WINDOW)]
+        block, a, ids = (bucket.t.column(c).to_numpy()[part][run] for c in ("block", "a", "id"))
+        yield _found(block, a + j, None, pa.array(ids), _fixed(w))
 
 
 def _release(spark: SparkSession) -> None:
@@ -271,112 +333,158 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _ask(blobs: DataFrame, answer, root: str, spark: SparkSession) -> None:
-    """Deals the blobs to buckets, answers each bucket in one task and files the replies by block."""
-    replies = blobs.groupBy("bucket").applyInArrow(answer, _REPLY)
-    replies.withColumn("of", F.col("block")).repartition("of").write.mode("overwrite").partitionBy("of").parquet(root)
-    _release(spark)
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """``docs`` without text, and with n_bytes, n_removed, n_spans and kept (the bytes left) of every row.
 
     Texts are UTF-8 bytes; a byte goes if a WINDOW-byte string over it also starts
     earlier: in a document of smaller id (null ids come last; rows of equal id in
     order of their blocks), or earlier in its own. Null, empty and short texts lose
-    nothing. Repeated rows count as later documents. Other columns stay.
+    nothing. Repeated rows count as later documents. Other columns stay, but those
+    named as one that is made here are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*MADE)
     names = [c for c in docs.columns if c != "text"]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     scratch = Scratch(spark, "suffixes")
     blocks = scratch.save(block_table(docs), "blocks")
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    bits = max(3, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
+    bits = max(3, int(np.ceil(np.log2(max(1, total / SAMPLE_BYTES)))))
     n_buckets, small = 1 << bits, np.int16 if bits < 15 else np.int32
-    pair_root, sample_root, repeat_root = (f"{scratch.root}/{x}" for x in ("pairs", "sample", "repeats"))
-    low, shift = np.uint64((1 << 32) - 1), np.uint64(64 - bits)
-
-    def owners(block: _Block, ids: bytes, at: np.ndarray) -> np.ndarray:
-        return np.frombuffer(ids, dtype=np.int64)[np.searchsorted(block.ends, at, side="right")]
-
-    def answered(root: str, number: int, buckets: np.ndarray) -> np.ndarray:
-        """The reply in the order of asking; replies come bucket by bucket."""
-        bits_, out = _reply(root, number), np.empty(len(buckets), dtype=bool)
-        if len(bits_) != len(buckets):
-            raise ValueError("the replies do not fit their block")
-        out[np.argsort(buckets, kind="stable")] = bits_
-        return out
-
-    def repeats(root: str, number: int, keys: np.ndarray, first: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """Of all places asked for: those that are not the first of their equals, here or in another block."""
-        out = answered(root, number, (keys >> shift).astype(small))[which]
-        later = np.ones(len(which), dtype=bool)
-        later[first] = False
-        return out | later
-
-    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, raw, ends, ids in _rows(batch):
-                block = _Block(raw, ends)
-                starts, _, keys, first, _ = block.pair_keys()
-                yield _blobs(number, (keys >> shift).astype(small), n_buckets, keys, owners(block, ids, starts[first]))
-
-    def settle(number: int, raw: bytes, ends: bytes) -> tuple[_Block, np.ndarray]:
-        block = _Block(raw, ends)
-        starts, stops, keys, first, which = block.pair_keys()
-        return block, block.settled(starts, stops, repeats(pair_root, number, keys, first, which))
+    n_parts = max(partitions(spark), -(-total // BUCKET_BYTES))
+    sample_root, first_root = (f"{scratch.root}/{x}" for x in ("sample", "first"))
+    low = np.uint64((1 << 32) - 1)
 
     def ask_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, raw, ends in _rows(batch):
-                _, keys = (made := settle(number, raw, ends))[0].sample(made[1], bits)
+                _, keys = _Block(raw, ends).sample(bits)
                 yield _blobs(number, (keys >> np.uint64(32)).astype(small), n_buckets, (keys & low).astype(np.uint32))
 
-    def open_windows(number: int, raw: bytes, ends: bytes):
-        block, settled = settle(number, raw, ends)
-        at, keys = block.sample(settled, bits)
-        starts = block.unsettled(settled, at[answered(sample_root, number, (keys >> np.uint64(32)).astype(small))])
-        return block, settled, starts, *block.keys(starts)
+    def open_windows(block: _Block, number: int, replies: _Replies) -> np.ndarray:
+        """Starts of the windows that the cover sample leaves open; replies come bucket by bucket."""
+        at, keys = block.sample(bits)
+        rows = replies.of(number) if len(at) else None
+        if rows is None:
+            return at[:0]
+        rows = rows.sort_by("bucket")
+        got = [np.unpackbits(np.frombuffer(b.as_buffer(), dtype=np.uint8), count=n.as_py()) for b, n in zip(rows.column("bits"), rows.column("n"), strict=True)]
+        if sum(map(len, got)) != len(at):
+            raise ValueError("the replies do not fit their block")
+        equal = np.empty(len(at), dtype=bool)
+        equal[np.argsort((keys >> np.uint64(32)).astype(small), kind="stable")] = np.concatenate(got)
+        return block.unsettled(at[equal])
 
-    def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs of open windows; of runs of the same text only the block's first, as the others are repeats as a whole."""
+        replies = _Replies(sample_root)
         for batch in batches:
             for number, raw, ends, ids in _rows(batch):
-                block, _, starts, keys, first, _ = open_windows(number, raw, ends)
-                yield _blobs(number, (keys >> shift).astype(small), n_buckets, keys, owners(block, ids, starts[first]))
+                block = _Block(raw, ends)
+                start, n, anchor, key = block.runs(open_windows(block, number, replies))
+                stop, seen, own = start + n + WINDOW - 1, set(), []
+                for i, (a, b) in enumerate(zip(start.tolist(), stop.tolist(), strict=True)):
+                    text = raw[a:b]
+                    if text not in seen:
+                        seen.add(text)
+                        own.append(i)
+                owners = np.frombuffer(ids, dtype=np.int64)
+                for i in range(0, len(own), 20_000):
+                    some = own[i : i + 20_000]
+                    a, b, c = start[some], stop[some], anchor[some]
+                    offsets = lambda sizes: pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                    right = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, offsets(b - c), pa.py_buffer(block.raw[_runs(c, b - c)])])
+                    back = np.repeat(c - 1, c - a) - _runs(np.zeros(len(some), np.int64), c - a)
+                    left = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, offsets(c - a), pa.py_buffer(block.raw[back])])
+                    of = owners[np.searchsorted(block.ends, a, side="right")]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), right, left, pa.array(of), pa.array(np.full(len(some), number)), pa.array(a.astype(np.int32))], names=["mkey", "rhs", "lhs", "id", "block", "a"])
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted runs come bucket by bucket; whole buckets are worked on, some at a time."""
+        held, n, outgrown = [], 0, None
+        for batch in batches:
+            if outgrown is not None:
+                own = np.asarray(batch.column(0)) == outgrown
+                yield from _windows(_Bucket(pa.Table.from_batches([batch.filter(pa.array(own))])))
+                batch = batch.filter(pa.array(~own))
+                if not len(batch):
+                    continue
+                outgrown = None
+            held.append(batch)
+            n += len(batch)
+            if n < STEP_RUNS:
+                continue
+            bucket = _Bucket(pa.Table.from_batches(held))
+            last = int(np.searchsorted(bucket.key, bucket.key[-1]))
+            if last:
+                yield from _sorted_bucket(_Bucket(bucket.t.slice(0, last)))
+            rest = bucket.t.slice(last)
+            if len(rest) > crowded:
+                yield from _windows(_Bucket(rest))
+                outgrown, rest = int(bucket.key[-1]), rest.slice(0, 0)
+            # What is held of a bucket that goes on counts again only as it grows.
+            held, n = rest.to_batches(), min(len(rest), STEP_RUNS // 2)
+        if held:
+            yield from _sorted_bucket(_Bucket(pa.Table.from_batches(held)))
+
+    def first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of sorted single windows: the first of each."""
+        before = None
+        mask = np.packbits(np.arange(SHIFTS) == 0)
+        for batch in batches:
+            w = batch.column(0).to_pylist()
+            new = np.array([x != y for x, y in zip(w, [before, *w[:-1]], strict=True)], dtype=bool)
+            before = w[-1] if w else before
+            some = batch.filter(pa.array(new))
+            yield _found(some.column(2).to_numpy(), some.column(3).to_numpy(), _fixed(np.tile(mask, (len(some), 1))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples, firsts = _Replies(sample_root), _Replies(first_root)
         for batch in batches:
             for number, raw, ends, rest in _rows(batch):
-                block, settled, starts, keys, first, which = open_windows(number, raw, ends)
-                gone = settled
-                gone[starts[repeats(repeat_root, number, keys, first, which)]] = True
+                block = _Block(raw, ends)
+                gone = np.zeros(len(block.raw), dtype=bool)
+                gone[open_windows(block, number, samples)] = True
+                rows = firsts.of(number)
+                if rows is not None and len(rows):
+                    mask = np.frombuffer(b"".join(rows.column("mask").to_pylist()), dtype=np.uint8).reshape(len(rows), -1)
+                    run, j = np.nonzero(np.unpackbits(mask, axis=1))
+                    gone[rows.column("a").to_numpy()[run] + j] = False
                 edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
                 on, off = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
                 cover = np.zeros(len(block.raw) + 1, dtype=np.int32)
                 np.add.at(cover, on, 1)
                 np.add.at(cover, off + WINDOW - 1, -1)
                 removed = np.cumsum(cover[:-1]) > 0
-                begins = block.begins
+                begins = block.begins[block.begins < len(removed)]
                 edge = removed.copy()
                 edge[1:] &= ~removed[:-1]
-                edge[begins[begins < len(removed)]] = removed[begins[begins < len(removed)]]
-                upto = lambda m: np.concatenate([[0], np.cumsum(m)])
-                n_removed, n_spans, left = np.diff(upto(removed)[np.concatenate([[0], block.ends])]), np.diff(upto(edge)[np.concatenate([[0], block.ends])]), block.raw[~removed].tobytes()
-                sizes = np.diff(np.concatenate([[0], block.ends]))
+                edge[begins] = removed[begins]
+                bounds = np.concatenate([[0], block.ends])
+                upto = lambda m: np.concatenate([[0], np.cumsum(m)])[bounds]
+                sizes, n_removed, n_spans, left = np.diff(bounds), np.diff(upto(removed)), np.diff(upto(edge)), block.raw[~removed].tobytes()
                 stops = np.cumsum(sizes - n_removed)
                 kept = [left[b - n : b] for b, n in zip(stops.tolist(), (sizes - n_removed).tolist(), strict=True)]
                 t = pa.ipc.open_stream(rest).read_all()
-                for name, column in (("n_bytes", pa.array(sizes, pa.int64())), ("n_removed", pa.array(n_removed, pa.int64())), ("n_spans", pa.array(n_spans, pa.int64())), ("kept", pa.array(kept, pa.binary()))):
+                for name, column in zip(MADE, (pa.array(sizes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())), strict=True):
                     t = t.append_column(name, column)
                 yield from t.combine_chunks().to_batches()
 
-    made = ("n_bytes", "n_removed", "n_spans", "kept")
-    if clash := [c for c in made if c in names]:
-        raise ValueError(f"columns {clash} are made here")
-    _ask(blocks.select("block", "raw", "ends", "ids").mapInArrow(ask_pairs, _BLOB), sort_bucket, pair_root, spark)
-    _ask(blocks.select("block", "raw", "ends").mapInArrow(ask_sample, _BLOB), rank_sample, sample_root, spark)
-    _ask(blocks.select("block", "raw", "ends", "ids").mapInArrow(ask_windows, _BLOB), sort_bucket, repeat_root, spark)
+    asked = blocks.select("block", "raw", "ends").mapInArrow(ask_sample, "block long, bucket int, keys binary")
+    _file_by_part(asked.groupBy("bucket").applyInArrow(rank_sample, "block long, bucket int, n long, bits binary"), sample_root)
+    _release(spark)
+    runs = blocks.select("block", "raw", "ends", "ids").mapInArrow(deal, "mkey long, rhs binary, lhs binary, id long, block long, a int")
+    ordered = runs.repartition(n_parts, "mkey").sortWithinPartitions("mkey", "rhs", "lhs", "id", "block", "a")
+    found = scratch.save(ordered.mapInArrow(resolve, _FOUND), "found")
+    _release(spark)
+    firsts = found.filter("w is null").select("block", "a", "mask")
+    single = found.filter("w is not null").select("w", "id", "block", "a")
+    if not single.isEmpty():
+        alone = single.repartition(n_parts, "w").sortWithinPartitions("w", "id", "block", "a").mapInArrow(first_windows, _FOUND)
+        firsts = firsts.unionByName(alone.select("block", "a", "mask"))
+    _file_by_part(firsts, first_root)
+    scratch.drop("found")
+    _release(spark)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n_bytes long, n_removed long, n_spans long, kept binary"
     return blocks.select("block", "raw", "ends", "rest").mapInArrow(cut, schema)
 

@@ -57,19 +57,42 @@ def test_repeated_rows_other_columns_and_empty_table(spark):
     got = sorted((r.doc_id, r.n_removed, r.lang) for r in S.remove_repeats(df).collect() if r.doc_id == 1)
     assert [x[2] for x in got] == ["en", "en"] and got[1][1] == len(text) and 0 < got[0][1] < len(text)
     assert S.remove_repeats(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        S.remove_repeats(df.withColumn("kept", F.lit(1)))
-
-
-def test_pairs_hold_every_window():
-    raw = "".join(random.Random(1).choice("abcdef ") for _ in range(20_000)).encode()
-    block = S._Block(raw, np.array([7_000, 7_050, 20_000]).tobytes())
-    starts, stops = block.pairs()
-    at = block.inside(np.arange(len(raw)), S.WINDOW)
-    held = np.zeros(len(raw), bool)
-    for a, b in zip(starts, stops, strict=True):
-        held[a : b - S.WINDOW + 1] = True
-    assert held[at].all()
+    clash = df.select("*", *[F.lit("x").alias(c) for c in ("kept", "_order", "block", "n_bytes")])
+    made = S.remove_repeats(clash)
+    assert {"_order", "block", *S.MADE} <= set(made.columns) and sorted((r.doc_id, r.n_removed, r.block) for r in made.collect() if r.doc_id == 1) == [(*x[:2], "x") for x in got]
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_structured_texts_without_common_strings(spark):
+    """Letters of a Thue-Morse word and of its complement, with equal filler between: weak hashes take them for equal."""
+    filler = "".join(random.Random(4).choices("cdefgh", k=1024))
+    docs = [(i, "".join(x + y for x, y in zip(thue_morse(1024, i), filler, strict=True))) for i in (0, 1)]
+    assert [r[2] for r in ours(spark.createDataFrame(docs, "doc_id long, text string"))] == [0, 0]
+
+
+def test_structured_corpus(spark):
+    """A million bytes of a few periodic and nested patterns, where many different windows share long strings."""
+    rng = random.Random(6)
+    words = [thue_morse(64, 0), thue_morse(64, 1), "ab" * 30, "aab" * 25, "x" * 70, "the same line of boilerplate in many places, word for word;"]
+    docs = [(i, " ".join(rng.choice(words) + (str(rng.randint(0, 50)) if rng.random() < 0.5 else "") for _ in range(rng.randint(5, 40)))) for i in range(620)]
+    assert sum(len(t) for _, t in docs) > 900_000
+    assert ours(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)) == brute(docs)
+
+
+def test_crowded_bucket(spark):
+    """One line in all texts, each time in other surroundings: its bucket is dealt anew, window by window."""
+    rng = random.Random(3)
+    line = "one very common line that stands in every single document of this corpus"
+    noise = lambda: "".join(rng.choice("abcdefghijklmnop \0") for _ in range(rng.choice([3, 12, 60])))
+    docs = [(i, noise() + line + noise() + line * (i % 3) + noise()) for i in range(400)] + [(1000 + i, line + line) for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = brute(docs)
+    for crowded in (1, 40, S.CROWDED):
+        got = S.remove_repeats(df, crowded).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == want
 
 
 def test_query_against_brute_force(spark):
