@@ -1,16 +1,24 @@
-"""Rankings and dense numbering without one task for all rows."""
+"""Rankings, dense numbering and exact inner-product search without one task for all rows."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries whose vectors are broadcast at once; more of them take further passes.
-QUERY_BLOCK = 4096
+#: Vectors in a pack, and bytes of packs that are broadcast at most; beyond that both sides are shuffled.
+PACK_ROWS = 4096
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a matrix of scores, and of the best scores a task holds before it hands them on.
+SCORE_BYTES = 16 << 20
+HELD_BYTES = 64 << 20
+#: Parts in which a pack of queries meets its vectors when both sides are shuffled.
+SALTS = 32
+#: Ranges of keys whose counts are added up side by side.
+RANGES = 64
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
@@ -21,12 +29,28 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank_col
 def dense_index(df: DataFrame, coarse: list[str], fine: list[str], index_col: str) -> DataFrame:
     """Numbers rows from 0 in the order of coarse, then fine columns.
 
-    Rows are counted by coarse key (files, say); the keys alone are added up in
-    order, and each key's rows are numbered in a task of their own.
+    Rows are counted by coarse key (files, say). RANGES keys, the least by hash, cut
+    the keys into ranges; keys are added up within each range in a task of its own,
+    and only one total of each range meets the others. Each key's rows are numbered
+    in a task of their own.
     """
     counts = df.groupBy(*coarse).count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(coarse)], before.alias("_before"))
+    cuts = counts.select(F.struct(*coarse).alias("k")).orderBy(F.xxhash64(*coarse), "k").limit(RANGES - 1).collect()
+    kind = counts.select(F.struct(*coarse).alias("k")).schema["k"].dataType
+    key = F.struct(*coarse)
+    range_no = F.lit(0)
+    if cuts:
+        bounds = counts.sparkSession.createDataFrame([([r.k for r in cuts],)], f"cuts array<{kind.simpleString()}>")
+        counts = counts.join(F.broadcast(bounds), F.lit(True))
+        range_no = F.size(F.filter("cuts", lambda c: c <= key))
+    counts = counts.withColumn("_range", range_no).drop("cuts")
+    totals = counts.groupBy("_range").agg(F.sum("count").alias("_total"))
+    upto = lambda w: F.coalesce(w, F.lit(0))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", upto(F.sum("_total").over(earlier)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)
+    summed = counts.withColumn("_inside", upto(F.sum("count").over(inside))).join(F.broadcast(starts), "_range")
+    offsets = summed.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(coarse)], (F.col("_start") + F.col("_inside")).alias("_before"))
     same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(coarse)]
     on = same[0]
     for more in same[1:]:
@@ -35,39 +59,118 @@ def dense_index(df: DataFrame, coarse: list[str], fine: list[str], index_col: st
     return df.join(offsets, on).withColumn(index_col, (F.col("_before") + F.row_number().over(within) - 1).cast("long")).drop("_before", *[f"_{i}" for i in range(len(coarse))])
 
 
-def top_k_inner_product(queries: DataFrame, vectors: DataFrame, n: int, id_col: str = "row_id", vector_col: str = "dense") -> DataFrame:
+def vector_matrix(column: pa.Array) -> np.ndarray:
+    """(rows, dims) of an Arrow list column without nulls whose lists are equally long."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def pack_vectors(df: DataFrame, id_col: str, vector_col: str, prefix: str) -> DataFrame:
+    """dims and the ids and row-major doubles of up to PACK_ROWS vectors of equal length; null and empty vectors are left out."""
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def pack(dims: int) -> pa.RecordBatch:
+            ids = pa.concat_arrays([x for x, _ in held[dims]])
+            flat = np.concatenate([m for _, m in held.pop(dims)])
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), lists, pa.array([flat.tobytes()], pa.binary())], names=["dims", f"{prefix}_ids", f"{prefix}_rows"])
+
+        for batch in batches:
+            ids, v = batch.column(0), batch.column(1)
+            sizes = np.diff(v.offsets.to_numpy())
+            for dims in np.unique(sizes).tolist():
+                some = pa.array(np.flatnonzero(sizes == dims))
+                own, m = ids.take(some), vector_matrix(v.take(some))
+                for a in range(0, len(own), PACK_ROWS):
+                    held.setdefault(dims, []).append((own.slice(a, PACK_ROWS), m[a : a + PACK_ROWS]))
+                    if sum(len(x) for x, _ in held[dims]) >= PACK_ROWS:
+                        yield pack(dims)
+        for dims in list(held):
+            yield pack(dims)
+
+    return rows.mapInArrow(run, f"dims int, {prefix}_ids array<{kind}>, {prefix}_rows binary")
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n best of each row: largest score, ties to the smaller id; both sorted."""
+    order = np.lexsort((ids, -scores))[:, :n] if scores.shape[1] <= 4 * n else None
+    if order is None:
+        least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+        out_s, out_i = np.empty((len(scores), n)), np.empty((len(scores), n), dtype=ids.dtype)
+        for i, row in enumerate(scores):
+            some = np.flatnonzero(row >= least[i])
+            some = some[np.lexsort((ids[i, some], -row[some]))[:n]]
+            out_s[i], out_i[i] = row[some], ids[i, some]
+        return out_s, out_i
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _search(n: int):
+    """Keeps each query's n best over all packs that a task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, list] = {}
+        held = 0
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for q_ids, scores, ids in best.values():
+                at = np.repeat(np.arange(len(q_ids)), scores.shape[1])
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at)), pa.array(ids.ravel()), pa.array(scores.ravel())], names=["query_id", "id", "score"])
+            best.clear()
+
+        for batch in batches:
+            for i in range(len(batch)):
+                cell = {c: batch.column(c)[i] for c in batch.schema.names}
+                dims = cell["dims"].as_py()
+                q_ids, v_ids = cell["q_ids"].values, cell["v_ids"].values.to_numpy()
+                q, v = (np.frombuffer(cell[c].as_buffer(), dtype=np.float64).reshape(-1, dims) for c in ("q_rows", "v_rows"))
+                name = cell["q_rows"].as_buffer().to_pybytes()[:64] + repr(q_ids[0]).encode() + len(q_ids).to_bytes(4, "big")
+                parts = []
+                step = max(1, SCORE_BYTES // 8 // len(v))
+                for a in range(0, len(q), step):
+                    s = q[a : a + step] @ v.T
+                    parts.append(_best(s, np.broadcast_to(v_ids, s.shape), n))
+                scores, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+                if name in best:
+                    _, was, was_ids = best[name]
+                    held -= was.size
+                    scores, ids = _best(np.concatenate([was, scores], axis=1), np.concatenate([was_ids, ids], axis=1), n)
+                best[name] = [q_ids, scores, ids]
+                held += scores.size
+                if 16 * held > HELD_BYTES:
+                    yield from hand_on()
+                    held = 0
+        yield from hand_on()
+
+    return run
+
+
+def top_k_inner_product(queries: DataFrame, vectors: DataFrame, n: int, id_col: str = "row_id", vector_col: str = "dense", query_id: str = "query_id") -> DataFrame:
     """query_id, id_col, score, rank: the n largest inner products in double precision, ties to the smaller id.
 
-    queries: query_id and vector_col. A block of queries is broadcast; each batch of
-    vectors meets it in one matrix product and hands on its n best.
+    queries: query_id and vector_col; vectors: id_col (a whole number) and
+    vector_col. Both are packed where they lie; the packs of the smaller side are
+    broadcast if they fit BROADCAST_BYTES, else packs of both sides meet by a
+    shuffle. A task keeps the n best of each query over all it meets, so only those
+    are ranked in the end. Vectors of different length do not meet; rows with a null
+    id, a null vector or a null component have no part.
     """
-    spark, total = queries.sparkSession, queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    numbered = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    parts = []
-    for b in range(blocks):
-        rows = numbered.filter(F.col("block") == b).select("query_id", "q").toPandas()
-        if not len(rows):
-            continue
-        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.stack([np.asarray(v, dtype=float) for v in rows["q"]])))
-
-        def meet(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qids, q = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                ids = batch[id_col].to_numpy()
-                scores = q @ np.stack([np.asarray(v, dtype=float) for v in batch["v"]]).T
-                keep = min(n, len(ids))
-                least = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
-                # All ties of the last place go on: the ranking below settles them by id.
-                i, j = np.nonzero(scores >= least[:, None])
-                yield pd.DataFrame({"query_id": qids[i], id_col: ids[j], "score": scores[i, j]})
-
-        parts.append(vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias("v")).mapInPandas(meet, f"query_id long, {id_col} long, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id long, {id_col} long, score double, rank int")
-    hits = parts[0]
-    for more in parts[1:]:
-        hits = hits.unionByName(more)
-    return top_k(hits, ["query_id"], [F.desc("score"), F.col(id_col)], n)
+    size = lambda df: df.agg(F.coalesce(F.sum(8 * F.greatest(F.lit(1), F.size(vector_col))), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    q_size, v_size = size(queries), size(vectors)
+    q = pack_vectors(queries, query_id, vector_col, "q")
+    v = pack_vectors(vectors.withColumn(id_col, F.col(id_col).cast("long")), id_col, vector_col, "v")
+    if min(q_size.b, v_size.b) <= BROADCAST_BYTES:
+        met = v.join(F.broadcast(q), "dims") if q_size.b <= v_size.b else q.join(F.broadcast(v), "dims")
+    else:
+        # Every pack of vectors goes to each block of queries, in one of SALTS parts.
+        blocks = max(1, -(-q_size.n // PACK_ROWS))
+        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        dealt = lambda rows, k: F.pmod(F.xxhash64(rows), F.lit(k)).cast("int")
+        met = v.withColumn("salt", dealt("v_ids", SALTS)).withColumn("block", each(blocks)).join(q.withColumn("block", dealt("q_ids", blocks)).withColumn("salt", each(SALTS)), ["dims", "block", "salt"])
+    kind = queries.schema[query_id].dataType.simpleString()
+    hits = met.select("dims", "q_ids", "q_rows", "v_ids", "v_rows").mapInArrow(_search(n), f"{query_id} {kind}, {id_col} long, score double")
+    return top_k(hits, [query_id], [F.desc("score"), F.col(id_col)], n)

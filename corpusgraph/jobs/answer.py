@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.models import encode, extract_triples, generate_questions, index_text, map_with_fallback, postings, triple_text
+from ..functions.ranking import dense_index
 from ..operators.align import align_entities, align_relations, apply_alignment, distinct_mentions, drop_empty_and_loops
 from ..operators.fuse import answer_prompts, build_context, rerank, rrf
 from ..operators.graph import attach_chunk, build_edges, graph_search, triple_table
@@ -15,8 +16,8 @@ from ..operators.search import dense_top_k, hybrid_search, sparse_top_k
 
 
 def number_triples(found: DataFrame) -> DataFrame:
-    """triple_no in the order of chunk index and position; positions stay below 100,000 a chunk."""
-    return drop_empty_and_loops(found).withColumn("triple_no", F.col("index") * 100_000 + F.col("pos")).drop("pos")
+    """triple_no, dense from 0, in the order of chunk index and position; triples with an empty field or equal ends take no number."""
+    return dense_index(drop_empty_and_loops(found), ["index"], ["pos", "head", "relation", "tail"], "triple_no").drop("pos")
 
 
 def build_graph(raw: DataFrame, entities: DataFrame, relations: DataFrame, make_encoder) -> tuple[DataFrame, DataFrame]:
@@ -45,18 +46,19 @@ def build_index(chunks: DataFrame, make_generator, make_encoder, entities: DataF
     }
 
 
-def retrieve(queries: DataFrame, hype: dict[str, DataFrame], graph: dict[str, DataFrame], make_scorer, top_k: int = 20) -> DataFrame:
+def retrieve(queries: DataFrame, hype: dict[str, DataFrame], graph: dict[str, DataFrame], make_scorer, top_k: int = 20, save: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """query_id, chunk_index, rrf_score, ranks, rerank_score, text, rank: the top_k chunks of every question.
 
     queries: query_id, query, dense, and query postings as a map ``sparse``. Both
-    searches give 2 * top_k hits from twice as many candidates each.
+    searches give 2 * top_k hits from twice as many candidates each. ``save`` is
+    that of graph_search.
     """
     wide = 2 * top_k
     vectors = queries.select("query_id", "dense")
     words = queries.select("query_id", F.explode("sparse").alias("token", "weight")).withColumn("weight", F.col("weight").cast("double"))
     hybrid = hybrid_search(dense_top_k(vectors, hype["vectors"], 2 * wide), sparse_top_k(words, hype["postings"], 2 * wide), wide)
     over_triples = dense_top_k(vectors, graph["vectors"], 2 * wide)
-    by_graph = graph_search(over_triples, queries.select("query_id", "query"), graph["triples"], graph["edges"], wide, chains=False)
+    by_graph = graph_search(over_triples, queries.select("query_id", "query"), graph["triples"], graph["edges"], wide, chains=False, save=save)
     fused = attach_chunk(rrf({"graph": by_graph, "hype": hybrid}, wide), hype["chunks"])
     pairs = fused.join(queries.select("query_id", "query"), "query_id").withColumn("text", F.coalesce("text", F.lit("")))
     return rerank(pairs, make_scorer, top_k)
@@ -66,4 +68,5 @@ def answer(queries: DataFrame, found: DataFrame, make_generator) -> DataFrame:
     """query_id, answer: one generation per question; null where it failed."""
     prompts = answer_prompts(build_context(found), queries)
     told = map_with_fallback(prompts, ["prompt"], make_generator)
+    # Fixed value: the wording in front of an answer.
     return told.select("query_id", F.concat(F.lit("\nANWSER:\n"), "reply").alias("answer"), "error")

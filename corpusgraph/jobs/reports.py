@@ -73,7 +73,7 @@ def _stat_nodes(raw: str | None) -> list[dict] | None:
         return None
     try:
         stack, out = [json.loads(raw)], []
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than a reader follows
         return None
     text = lambda v: None if v is None else json.dumps(v) if not isinstance(v, str) else v
     while stack:
@@ -136,10 +136,18 @@ def stats_pivot(stats: DataFrame) -> DataFrame:
     return stats.groupBy("run_key").pivot("stage", list(STAGES)).agg(F.map_from_entries(F.collect_list(cell)))
 
 
-@F.pandas_udf(T.DoubleType())
-def round_one(x: pd.Series) -> pd.Series:
-    """Half to even on the exact binary value, one decimal."""
-    return x.map(lambda v: round(v, 1), na_action="ignore")
+def round_one(x: Column) -> Column:
+    """Half to even on the exact binary value, one decimal.
+
+    Twenty times the number, in two exact parts, against the odd number in the middle
+    tells on which side of the half it lies; from 1e15 on a double has no decimals.
+    """
+    size = F.abs(x)
+    low = F.floor(size * 10.0).cast("double")
+    coarse = size.cast("float").cast("double")
+    side = (coarse * 20.0 - (low * 2.0 + 1.0)) + (size - coarse) * 20.0
+    up = (side > 0) | ((side == 0) & (F.pmod(low, F.lit(2.0)) == 1.0))
+    return F.when(size < 1e15, F.signum(x) * F.when(up, low + 1.0).otherwise(low) / 10.0).otherwise(x)
 
 
 def number_text(x: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.models import encode
+from ..functions.ranking import dense_index, top_k_inner_product
 from ..functions.text import strip
 
 ENTITY_THRESHOLD, RELATION_THRESHOLD = 0.525, 0.55
@@ -20,9 +20,13 @@ def entity_vocabulary(names: DataFrame) -> DataFrame:
 def relation_vocabulary(relations: DataFrame) -> DataFrame:
     """(ord, phrase, canonical) from a map canonical -> phrases in ``relations``; the first owner of a phrase wins."""
     owners = relations.select(F.posexplode(F.map_entries("relations")).alias("c", "e")).select("c", F.col("e.key").alias("canonical"), F.posexplode("e.value").alias("p", "phrase"))
-    first = owners.groupBy("phrase").agg(F.min(F.struct("c", "p", "canonical")).alias("f"))
-    order = F.array_sort(F.collect_list(F.struct("f.c", "f.p", "phrase", "f.canonical")))
-    return first.agg(order.alias("all")).select(F.posexplode("all").alias("ord", "r")).select("ord", F.col("r.phrase").alias("phrase"), F.col("r.canonical").alias("canonical"))
+    first = owners.groupBy("phrase").agg(F.min(F.struct("c", "p", "canonical")).alias("f")).select(F.col("f.c").alias("c"), F.col("f.p").alias("p"), "phrase", F.col("f.canonical").alias("canonical"))
+    return dense_index(first, ["c"], ["p"], "ord").select(F.col("ord").cast("int").alias("ord"), "phrase", "canonical")
+
+
+def encoded_vocabulary(vocabulary: DataFrame, text_col: str, make_encoder, max_length: int = 32) -> DataFrame:
+    """``vocabulary`` with vec, the vector of each entry's text: what the alignments match against."""
+    return encode(vocabulary, text_col, make_encoder, max_length).withColumn("vec", F.col("dense")).drop("dense", "sparse")
 
 
 def distinct_mentions(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,10 +39,10 @@ def distinct_mentions(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
 def align_entities(mentions: DataFrame, vocabulary: DataFrame, threshold: float = ENTITY_THRESHOLD, name_col: str = "name") -> DataFrame:
     """mention, aligned, score, ord: the nearest name if its inner product reaches the threshold, else the mention.
 
-    mentions: mention, vec; vocabulary: ord, name_col, vec (its vectors are
-    broadcast as blocks of queries are). Ties go to the lowest ord.
+    mentions: mention, vec; vocabulary: ord, name_col, vec. Ties go to the lowest
+    ord, which may have gaps. A mention without a vector, or without any name of its
+    vector's length, stays as it is with null score and ord.
     """
-    # The vocabulary is the smaller side: it plays the queries' part in matrix blocks of bounded size.
     return _nearest(mentions, vocabulary.withColumnRenamed(name_col, "name"), threshold)
 
 
@@ -48,40 +52,16 @@ def align_relations(mentions: DataFrame, vocabulary: DataFrame, threshold: float
 
 
 def _nearest(mentions: DataFrame, vocabulary: DataFrame, threshold: float) -> DataFrame:
-    best = best_match(mentions, vocabulary)
-    joined = best.join(vocabulary.select("ord", "name"), "ord")
-    return joined.select("mention", F.when(F.col("score") >= threshold, F.col("name")).otherwise(F.col("mention")).alias("aligned"), "score", "ord")
+    best = best_match(mentions, vocabulary).select(F.col("mention").alias("_m"), "ord", "score")
+    named = best.join(vocabulary.select("ord", "name"), "ord")
+    aligned = F.when(F.col("score") >= threshold, F.col("name")).otherwise(F.col("mention"))
+    return mentions.select("mention").distinct().join(named, F.col("mention") == F.col("_m"), "left").select("mention", aligned.alias("aligned"), "score", "ord")
 
 
 def best_match(mentions: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """mention, ord, score of the largest inner product; the mentions are never collected."""
-    hits = _best_of_blocks(mentions, vocabulary)
-    return hits.groupBy("mention").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"))).alias("b")).select("mention", (-F.col("b.o")).cast("int").alias("ord"), F.col("b.score").alias("score"))
-
-
-def _best_of_blocks(mentions: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """mention, ord, score: for each mention its best of every block of the vocabulary."""
-    spark, size, parts = mentions.sparkSession, vocabulary.count(), None
-    block = 4096
-    vocab = vocabulary.select(F.col("ord").cast("int").alias("ord"), F.col("vec").cast("array<double>").alias("vec"))
-    for b in range(max(1, -(-size // block))):
-        rows = vocab.filter((F.col("ord") >= b * block) & (F.col("ord") < (b + 1) * block)).orderBy("ord").toPandas()
-        if not len(rows):
-            continue
-        shared = spark.sparkContext.broadcast((rows["ord"].to_numpy(), np.stack([np.asarray(v, dtype=float) for v in rows["vec"]])))
-
-        def meet(batches, shared=shared):
-            ords, v = shared.value
-            for batch in batches:
-                if len(batch):
-                    scores = np.stack([np.asarray(x, dtype=float) for x in batch["vec"]]) @ v.T
-                    at = scores.argmax(axis=1)
-                    yield pd.DataFrame({"mention": batch["mention"], "ord": ords[at], "score": scores[np.arange(len(at)), at]})
-
-        kind = mentions.schema["mention"].dataType.simpleString()
-        part = mentions.select("mention", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(meet, f"mention {kind}, ord int, score double")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts if parts is not None else mentions.select("mention", F.lit(0).alias("ord"), F.lit(0.0).alias("score")).limit(0)
+    """mention, ord, score of the largest inner product; mentions and vocabulary meet in packs of vectors."""
+    vocab = vocabulary.select("ord", "vec")
+    return top_k_inner_product(mentions.select("mention", "vec"), vocab, 1, "ord", "vec", "mention").select("mention", F.col("ord").cast("int").alias("ord"), "score")
 
 
 def apply_alignment(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:

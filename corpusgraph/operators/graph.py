@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions.ranking import dense_index, top_k
 from ..functions.text import strip
 
 DECAY, MAX_DEPTH, SEED_BONUS, LEXICAL_SCORE, REST_SHARE = 0.82, 2, 0.2, 0.8, 0.1
+#: Parts in which the rows of one neighbour are looked through first.
+HUB_PARTS = 16
 
 
 def build_edges(aligned: DataFrame) -> DataFrame:
@@ -74,26 +78,40 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.unionByName(pair.select(F.col("tail").alias("node"), F.col("head").alias("nbr"), F.lit(1).cast("long").alias("dir"), *rest))
 
 
-def expand_graph(seeds: DataFrame, edges: DataFrame, decay: float = DECAY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def _above_before(met: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``met`` whose w is above all that their neighbour had before, in the order of path.
+
+    A row that exceeds all before it also does so within its own part, so each part of
+    a hub's rows first keeps only such rows; the parts' largest so far are those of all.
+    """
+    def rising(rows: DataFrame, keys: list[str]) -> DataFrame:
+        before = F.max("w").over(Window.partitionBy(*keys).orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("_before", F.coalesce(before, F.lit(0.0))).filter(F.col("w") > F.col("_before"))
+
+    parts = met.withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(HUB_PARTS)))
+    onward = rising(rising(parts, ["query_id", "nbr", "_part"]), ["query_id", "nbr"])
+    return onward.join(known, ["query_id", "nbr"], "left").filter(F.col("w") > F.coalesce("best", F.lit(0.0))).drop("_before", "_part", "best")
+
+
+def expand_graph(seeds: DataFrame, edges: DataFrame, decay: float = DECAY, max_depth: int = MAX_DEPTH, save: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Contributions of a first-in-first-out expansion by best score: query_id, node, nbr, dir, relation, chunk_index, hop, w, path.
 
     Each level joins its frontier with the edges of both directions; a neighbour
     goes on if its score is above its best so far, in the order of ``path``.
-    Parallel edges each contribute.
+    Parallel edges each contribute. ``save`` writes a table and reads it back: with
+    it the adjacency and each level are worked out once.
     """
-    links, frontier, best, out = adjacency(edges), seeds.select("query_id", "node", "score", "path"), None, None
+    save = save or (lambda df, name: df)
+    seeds = save(seeds.select("query_id", "node", "score", "path"), "seeds")
+    links, frontier, out = save(adjacency(edges), "adjacency"), seeds, None
     best = seeds.groupBy("query_id", "node").agg(F.max("score").alias("best"))
-    in_order = Window.partitionBy("query_id", "nbr").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     for hop in range(1, max_depth + 1):
         met = frontier.join(links, "node").withColumn("w", F.col("score") * decay).withColumn("path", F.concat("path", F.array("dir", "grp", "edge_id"))).drop("score")
-        part = met.select("query_id", "node", "nbr", "dir", "relation", "chunk_index", F.lit(hop).alias("hop"), "w", "path")
+        part = save(met.select("query_id", "node", "nbr", "dir", "relation", "chunk_index", F.lit(hop).alias("hop"), "w", "path"), f"hop-{hop}")
         out = part if out is None else out.unionByName(part)
         if hop == max_depth:
             break
-        known = best.withColumnRenamed("node", "nbr")
-        before = F.greatest(F.coalesce("best", F.lit(0.0)), F.coalesce(F.max("w").over(in_order), F.lit(0.0)))
-        onward = met.join(known, ["query_id", "nbr"], "left").withColumn("_before", before).filter(F.col("w") > F.col("_before"))
-        frontier = onward.select("query_id", F.col("nbr").alias("node"), F.col("w").alias("score"), "path")
+        frontier = save(_above_before(part.select("query_id", "nbr", "w", "path"), best.withColumnRenamed("node", "nbr")).select("query_id", F.col("nbr").alias("node"), F.col("w").alias("score"), "path"), f"frontier-{hop}")
         best = best.unionByName(frontier.select("query_id", "node", F.col("score").alias("best"))).groupBy("query_id", "node").agg(F.max("best").alias("best"))
     empty = links.select(F.lit(0).cast("long").alias("query_id"), "node", "nbr", "dir", "relation", "chunk_index", F.lit(0).alias("hop"), F.lit(0.0).alias("w"), F.array("dir").alias("path")).limit(0)
     return out if out is not None else empty
@@ -135,15 +153,19 @@ def attach_chunk(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined
 
 
-def graph_search(dense_hits: DataFrame, queries: DataFrame, triples: DataFrame, edges: DataFrame, k: int, chains: bool = True, decay: float = DECAY, max_depth: int = MAX_DEPTH, bonus: float = SEED_BONUS) -> DataFrame:
+def graph_search(dense_hits: DataFrame, queries: DataFrame, triples: DataFrame, edges: DataFrame, k: int, chains: bool = True, decay: float = DECAY, max_depth: int = MAX_DEPTH, bonus: float = SEED_BONUS, save: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """query_id, chunk_index, score, rank (and reasoning_chains) of the k best chunks.
 
     dense_hits: hits over the triples' vectors (query_id, row_id, score, rank);
-    queries: query_id, query. A question without seeds has no rows.
+    queries: query_id, query. A question without seeds has no rows. ``save`` is
+    that of expand_graph; the edges are read several times, so they should be a
+    written table.
     """
     seeds = seed_edges(dense_hits, triples)
+    if save:
+        seeds = save(seeds, "seed-edges")
     named = match_nodes(queries, graph_nodes(edges))
-    expanded = expand_graph(seed_nodes(seed_nodes_dense(seeds), named, bonus), edges, decay, max_depth)
+    expanded = expand_graph(seed_nodes(seed_nodes_dense(seeds), named, bonus), edges, decay, max_depth, save)
     given = contributions(seeds, expanded)
     hits = top_k(score_chunks(given), ["query_id"], [F.desc("score"), F.col("chunk_index")], k)
     return reasoning_chains(given, hits) if chains else hits

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.ranking import top_k, top_k_inner_product
 
 DENSE_WEIGHT = 0.7
+#: Postings of questions that are broadcast at most.
+BROADCAST_POSTINGS = 500_000
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
@@ -19,10 +21,17 @@ def sparse_top_k(query_postings: DataFrame, postings: DataFrame, n: int) -> Data
     """query_id, row_id, score, rank: sums of weight products over shared tokens; n best, positive ones only.
 
     query_postings: query_id, token, weight; postings: row_id, token, weight. Only
-    shared tokens meet; a hot token is split by the adaptive join.
+    shared tokens meet. While the questions' postings are few they are broadcast:
+    a row's postings lie in one partition, its scores are summed and the best of each
+    question chosen there, so that a token in all rows sends no pairs about. Beyond
+    BROADCAST_POSTINGS both sides meet by token; a hot token is split by the adaptive join.
     """
     q = query_postings.select("query_id", "token", F.col("weight").alias("q_weight"))
-    scored = postings.join(q, "token").groupBy("query_id", "row_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
+    if query_postings.count() <= BROADCAST_POSTINGS:
+        met = postings.join(F.broadcast(q.select("token").distinct()), "token", "left_semi").repartition("row_id").join(F.broadcast(q), "token")
+    else:
+        met = postings.join(q, "token")
+    scored = met.groupBy("query_id", "row_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.col("row_id")], n).filter("score > 0")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import models as M
 from .functions import text as X
 from .functions.ranking import top_k_inner_product
+from .functions.scratch import Scratch
 from .jobs import answer
 from .jobs import inputs as I
 from .jobs import reports as D
@@ -244,8 +245,11 @@ def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph_parts(spark, sf_dir):
-    raw = I.raw_triples(spark, sf_dir)
-    return graph.triple_table(raw), graph.build_edges(raw), top_k_inner_product(I.question_vectors(spark, sf_dir), I.vectors(spark, sf_dir), 20)
+    """Triples, edges and the triples nearest to each question, and where to save tables: triples are made and encoded once."""
+    scratch = Scratch(spark, "graph")
+    triples, vectors = encoded_triples(spark, sf_dir, scratch)
+    hits = top_k_inner_product(I.encoded(I.questions(spark, sf_dir), "query_id", "query", _encoder), vectors, 20)
+    return triples, graph.build_edges(scratch.read("raw")), scratch.save(hits, "hits"), scratch.save
 
 
 def named_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,14 +259,14 @@ def named_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two levels of expansion from the dense seeds: per question and chunk, contributions and their sum."""
-    triples, edges, hits = _graph_parts(spark, sf_dir)
+    triples, edges, hits, save = _graph_parts(spark, sf_dir)
     seeds = graph.seed_nodes_dense(graph.seed_edges(hits, triples)).select("query_id", "node", "score", F.array(F.lit(0).cast("long"), F.col("seen")).alias("path"))
-    return graph.expand_graph(seeds, edges).groupBy("query_id", "chunk_index", "hop").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("w"))
+    return graph.expand_graph(seeds, edges, save=save).groupBy("query_id", "chunk_index", "hop").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("w"))
 
 
 def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triples, edges, hits = _graph_parts(spark, sf_dir)
-    got = graph.graph_search(hits, I.questions(spark, sf_dir), triples, edges, TOP, chains=False)
+    triples, edges, hits, save = _graph_parts(spark, sf_dir)
+    got = graph.graph_search(hits, I.questions(spark, sf_dir), triples, edges, TOP, chains=False, save=save)
     return got.select("query_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
 
@@ -295,8 +299,8 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many reasoning chains each of the best chunks has."""
-    triples, edges, hits = _graph_parts(spark, sf_dir)
-    got = graph.graph_search(hits, I.questions(spark, sf_dir), triples, edges, TOP)
+    triples, edges, hits, save = _graph_parts(spark, sf_dir)
+    got = graph.graph_search(hits, I.questions(spark, sf_dir), triples, edges, TOP, save=save)
     return got.select("query_id", "chunk_index", F.size("reasoning_chains").alias("chains"))
 
 
@@ -306,14 +310,19 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = I.questions(spark, sf_dir).join(I.question_vectors(spark, sf_dir), "query_id").join(words, "query_id")
     docs = I.table(spark, sf_dir, "documents")
     hype = {"vectors": I.vectors(spark, sf_dir), "postings": I.term_counts(docs.withColumnRenamed("doc_id", "row_id"), "row_id", "text"), "chunks": docs.select(F.col("doc_id").alias("index"), "text")}
-    triples, edges, _ = _graph_parts(spark, sf_dir)
-    found = answer.retrieve(asked, hype, {"triples": triples, "edges": edges, "vectors": I.vectors(spark, sf_dir)}, _length_scorer)
+    scratch = Scratch(spark, "retrieved")
+    raw = scratch.save(I.raw_triples(spark, sf_dir), "raw")
+    triples = scratch.save(graph.triple_table(raw), "triples")
+    found = answer.retrieve(asked, hype, {"triples": triples, "edges": graph.build_edges(raw), "vectors": I.vectors(spark, sf_dir)}, _length_scorer, save=scratch.save)
     return found.select("query_id", "chunk_index", F.round("rrf_score", 8).alias("rrf_score"), "graph_rank", "hype_rank", "rerank_score", "rank")
 
 
-def encoded_triples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def encoded_triples(spark: SparkSession, sf_dir: str, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """The triple table, and a vector of every triple."""
-    triples = graph.triple_table(I.raw_triples(spark, sf_dir))
+    raw = I.raw_triples(spark, sf_dir)
+    triples = graph.triple_table(scratch.save(raw, "raw") if scratch else raw)
+    if scratch:
+        triples = scratch.save(triples, "triples")
     told = triples.select("row_id", M.triple_text(F.col("head"), F.col("relation"), F.col("tail")).alias("t"))
     return triples, I.encoded(told, "row_id", "t", _encoder)
 
@@ -324,8 +333,9 @@ def encoded_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = I.term_counts(asked, "query_id", "query").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("sparse"))
     asked = asked.join(I.encoded(asked, "query_id", "query", _encoder), "query_id").join(words, "query_id", "left")
     hype = {"vectors": I.encoded(docs, "row_id", "text", _encoder), "postings": I.term_counts(docs, "row_id", "text"), "chunks": docs.select(F.col("row_id").alias("index"), "text")}
-    triples, vectors = encoded_triples(spark, sf_dir)
-    found = answer.retrieve(asked, hype, {"triples": triples, "edges": graph.build_edges(I.raw_triples(spark, sf_dir)), "vectors": vectors}, _length_scorer)
+    scratch = Scratch(spark, "encoded-retrieved")
+    triples, vectors = encoded_triples(spark, sf_dir, scratch)
+    found = answer.retrieve(asked, hype, {"triples": triples, "edges": graph.build_edges(scratch.read("raw")), "vectors": vectors}, _length_scorer, save=scratch.save)
     return found.select("query_id", "chunk_index", F.round("rrf_score", 8).alias("rrf_score"), "graph_rank", "hype_rank", "rerank_score", "rank")
 
 
@@ -457,9 +467,13 @@ def _graph_sql(n: int) -> list[str]:
     ]
 
 
-def _encoded_graph_sql(n: int) -> list[str]:
+def _encoded(parts: list[str]) -> list[str]:
     """The same over encoded documents and triples."""
-    return [{I.SEARCH_SQL: I.ENCODED_SQL}.get(part, part.replace("FROM dense_all", "FROM triple_all")) for part in _graph_sql(n)]
+    return [{I.SEARCH_SQL: I.ENCODED_SQL}.get(part, part.replace("FROM dense_all", "FROM triple_all")) for part in parts]
+
+
+def _encoded_graph_sql(n: int) -> list[str]:
+    return _encoded(_graph_sql(n))
 
 
 def oracle_sql() -> dict:
@@ -467,7 +481,7 @@ def oracle_sql() -> dict:
     chunks = [*blocks, CHUNKS_SQL]
     pages = [I.PAGES_SQL, CAPTIONS_SQL]
     found = [I.TRIPLES_SQL, NODES_SQL, I.SEARCH_SQL]
-    seeds = [*found, SEEDS_SQL]
+    seeds = [*_encoded(found), *_encoded([SEEDS_SQL])]
     return {
         "block_rules": _with(*blocks) + " SELECT doc_id, block_no, keep, claim, reason FROM judged",
         "text_chunks": _with(*chunks) + " SELECT * FROM text_chunks",
@@ -477,7 +491,7 @@ def oracle_sql() -> dict:
         "described_chunks": _with(I.LINES_SQL, *pages) + DESCRIBED_SQL,
         "parsed_triples": PARSED_SQL,
         "index_texts": INDEX_TEXT_SQL,
-        "encoded_texts": r"SELECT conv_id, turn, len(list_distinct(w))::INTEGER AS tokens, len(w) AS words, CASE WHEN len(w) > 0 THEN 1.0 ELSE 0.0 END AS norm FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM conversations)",
+        "encoded_texts": r"SELECT conv_id, turn, len(list_distinct(w))::INTEGER AS tokens, len(w) AS words, CASE WHEN len(w) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM conversations)",
         "aligned_vectors": _with(ALIGNED_SQL) + " SELECT * FROM aligned",
         "alignment_cases": _with(ALIGNED_SQL, CASES_SQL) + " SELECT * FROM evaluated",
         "alignment_report": _with(ALIGNED_SQL, CASES_SQL) + " SELECT kind, status, count(*) AS cases, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY kind), 6) AS percent FROM evaluated GROUP BY kind, status UNION ALL SELECT NULL, NULL, count(*), round(100.0 * count(*) FILTER (status LIKE '%\\_hit' ESCAPE '\\') / count(*), 6) FROM evaluated",
@@ -490,8 +504,8 @@ def oracle_sql() -> dict:
         "hybrid_hits": _with(I.SEARCH_SQL) + " SELECT query_id, chunk_index, round(score, 6) AS score, round(dense_score, 6) AS dense_score, round(sparse_score, 6) AS sparse_score, rank::INTEGER AS rank FROM hybrid",
         "named_nodes": _with(*found, NAMED_SQL) + " SELECT * FROM named",
         "expansion": _with(*seeds, "seeds AS (SELECT query_id, node, score, [0::BIGINT, seen::BIGINT] AS path FROM seed_d)", EXPAND_SQL) + " SELECT query_id, chunk_index, hop, count(*) AS n, round(sum(w), 4) AS w FROM contrib GROUP BY ALL",
-        "graph_hits": _with(*_graph_sql(20)) + " SELECT query_id, chunk_index, round(score, 6) AS score, rank::INTEGER AS rank FROM by_graph",
-        "chain_counts": _with(*_graph_sql(20)) + " SELECT query_id, chunk_index, count(*)::INTEGER AS chains FROM given JOIN by_graph USING (query_id, chunk_index) GROUP BY ALL",
+        "graph_hits": _with(*_encoded_graph_sql(20)) + " SELECT query_id, chunk_index, round(score, 6) AS score, rank::INTEGER AS rank FROM by_graph",
+        "chain_counts": _with(*_encoded_graph_sql(20)) + " SELECT query_id, chunk_index, count(*)::INTEGER AS chains FROM given JOIN by_graph USING (query_id, chunk_index) GROUP BY ALL",
         "retrieved": _with(
             *_graph_sql(80),
             "ranked AS (SELECT query_id, chunk_index, rank, 0 AS o FROM by_graph UNION ALL SELECT query_id, chunk_index, rank, 1 FROM hybrid), fused AS (SELECT query_id, chunk_index, sum(1.0::DOUBLE / (100 + rank)) AS rrf_score, min(rank) FILTER (o = 0)::INTEGER AS graph_rank, min(rank) FILTER (o = 1)::INTEGER AS hype_rank, min(o * 1000 + rank) AS f FROM ranked GROUP BY ALL)",
@@ -513,9 +527,9 @@ def oracle_sql() -> dict:
         + " SELECT query_id, chunk_index, round(rrf_score, 8) AS rrf_score, dense_rank, sparse_rank, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, f, chunk_index) AS rank FROM fused) WHERE rank <= 40",
         "reranked_hits": _with(I.SEARCH_SQL, _RERANK_SQL) + " SELECT query_id, chunk_index, rerank_score, r::INTEGER AS rank FROM rr",
         "prompts": _with(I.SEARCH_SQL, _RERANK_SQL, "p AS (SELECT query_id, 'Answer the question: ' || query || chr(10) || 'Here the retrived chunks:' || chr(10) || coalesce(c, '') || chr(10) || 'Output in markdown format' || chr(10) AS prompt FROM q LEFT JOIN (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY r) AS c FROM rr GROUP BY query_id) USING (query_id))") + " SELECT query_id, md5(prompt) AS prompt, length(prompt)::INTEGER AS letters FROM p",
-        "report_headers": "SELECT o_orderkey::VARCHAR AS run_key, 'Run' || o_orderkey AS run_id, o_orderstatus AS polymer_type, 1000.0 AS element_count, o_orderkey % 9 / 2 AS packing_time_s, 60.0 AS \"mold_temperature_C\", NULL::DOUBLE AS cycle_time_s FROM orders",
+        "report_headers": "SELECT o_orderkey::VARCHAR AS run_key, 'Run' || o_orderkey AS run_id, o_orderstatus AS polymer_type, 1000.0::DOUBLE AS element_count, o_orderkey % 9 / 2 AS packing_time_s, 60.0::DOUBLE AS \"mold_temperature_C\", NULL::DOUBLE AS cycle_time_s FROM orders",
         "report_stats": _with(I.REPORTS_SQL) + " SELECT k::VARCHAR AS run_key, stage, field, round(m, 6) AS max, NULL::DOUBLE AS min, 'mm' AS unit FROM last_nodes",
-        "report_summaries": _with(I.REPORTS_SQL) + ' SELECT run_key, round(fill_s, 6) AS actual_filling_time_s, round(warpage, 6) AS warpage_mm, round(dt, 6) AS mold_temp_diff, round(freeze_s, 6) AS packing_gate_freeze, packing_time_s, NULL::DOUBLE AS gate_freeze_time_s, NULL::DOUBLE AS "max_sprue_pressure_MPa", 100.0 AS volume_filled_percent FROM runs',
+        "report_summaries": _with(I.REPORTS_SQL) + ' SELECT run_key, round(fill_s, 6) AS actual_filling_time_s, round(warpage, 6) AS warpage_mm, round(dt, 6) AS mold_temp_diff, round(freeze_s, 6) AS packing_gate_freeze, packing_time_s, NULL::DOUBLE AS gate_freeze_time_s, NULL::DOUBLE AS "max_sprue_pressure_MPa", 100.0::DOUBLE AS volume_filled_percent FROM runs',
         "report_pivot": _with(I.REPORTS_SQL) + " SELECT k::VARCHAR AS run_key, (count(*) FILTER (stage = 'filling'))::INTEGER AS filling, (count(*) FILTER (stage = 'packing'))::INTEGER AS packing, (count(*) FILTER (stage = 'cooling'))::INTEGER AS cooling, (count(*) FILTER (stage = 'warpage'))::INTEGER AS warpage, round(max(m) FILTER (stage = 'warpage'), 6) AS warpage_max FROM last_nodes GROUP BY k",
         "diagnoses": _with(I.REPORTS_SQL, DIAGNOSES_SQL),
         "undiagnosed": _with(I.REPORTS_SQL) + " SELECT run_key, 'no warpage' AS reason FROM runs WHERE warpage IS NULL",

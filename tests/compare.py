@@ -1,6 +1,7 @@
 """Runs a query and its SQL over the same tables and compares the rows."""
 
 import os
+from decimal import Decimal
 
 import duckdb
 import numpy as np
@@ -18,7 +19,7 @@ def plain(v):
         return None if v != v else round(float(v), 6) + 0.0
     if isinstance(v, (bool, np.bool_)):
         return bool(v)
-    return float(v) if isinstance(v, (int, np.integer)) else v
+    return round(float(v), 6) + 0.0 if isinstance(v, (int, np.integer, Decimal)) else v
 
 
 def frame_rows(df):
