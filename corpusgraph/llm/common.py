@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scratch
+from ..functions.scratch import shared_dir  # noqa: F401
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.
-
-    Where the setting is absent (tests, a laptop) a temporary folder of this
-    machine is chosen once per application.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    name = "corpusgraph.own.scratch"
-    if not spark.conf.get(name, None):
-        spark.conf.set(name, "file://" + tempfile.mkdtemp(prefix="spark-corpusgraph-"))
-    return spark.conf.get(name)
-
-
 #: Bytes of rows that go to a Python worker at once; the default of 64 MB and its copies on either side crowd small executors.
 BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: A key with more than this part of all rows is hot; there are at most as many such keys.
+HOT_PART = 1024
+#: Rows of a hot key that one task gets, about.
+HOT_ROWS = 64
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -42,23 +27,29 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
-class Scratch:
-    """Tables written to the shared folder to cut lineage; each use has a folder of its own."""
+class Scratch(scratch.Scratch):
+    """Tables of one use of an operator on whole texts."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         bound_batches(spark)
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Deletes a table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        super().__init__(spark, name)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` (one row for each key) where some keys may hold a large share of the rows.
+
+    Hot keys, each with more than a HOT_PART-th of all rows and so at most HOT_PART of
+    them, are broadcast with their counts: their rows are dealt into parts, and their
+    facts are repeated for each part. All other keys meet as in any join.
+    """
+    counts = rows.groupBy(*keys).count()
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    parts = F.least(F.lit(4 * HOT_PART), F.ceil(F.col("count") / F.greatest(F.lit(HOT_ROWS), F.lit(total // HOT_PART)))).cast("int")
+    hot = F.broadcast(counts.filter(F.col("count") > max(HOT_ROWS, total // HOT_PART)).select(*keys, parts.alias("_parts")))
+    n = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), n).cast("int")).drop("_parts")
+    many = facts.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    return dealt.join(many, [*keys, "_part"], how).drop("_part")
 
 
 def ascii_lower(col):

@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every source's words are dealt into blocks (documents, long ones in slices) and
-permuted by hash. A tree splits the exact block quotas of all sources among the
+Every source's documents (long ones in slices) are permuted by hash and dealt into
+numbered blocks. A tree splits the exact block quotas of all sources among the
 output shards, drawing the left half's share without replacement at every node.
-Each shard then owns a range of every source's permuted blocks, disjoint from all
-other shards', and shuffles its own blocks.
+Each shard draws a range of every source's permuted blocks, disjoint from all other
+shards' and as long as its quota, and shuffles what it drew; the words that a
+document gives are those that the shards drew of it.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch
 from .words import count_words, text_bytes, word_spans
@@ -23,12 +26,15 @@ from .words import count_words, text_bytes, word_spans
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_COPIES = 2
-#: Words of a block; a document of more words is several blocks.
+#: Words of a block; a document of more words is cut into slices of so many.
 BLOCK_WORDS = 2048
-#: Output shards.
+#: Output shards at least, and words of a shard beyond which there are more.
 SHARDS = 32
-#: Blocks whose order one task works out.
-BUCKET_BLOCKS = 1_000
+SHARD_WORDS = 4_000_000
+#: Shards times sources at most: the size of the tree that the driver draws. Beyond it shards grow.
+MOST_CELLS = 1_000_000
+#: Slices whose order one task works out.
+BUCKET_SLICES = 1_000
 #: Sources are a dimension table that the driver holds; more than this is refused.
 MOST_SOURCES = 100_000
 SEED = 5
@@ -69,30 +75,37 @@ def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray
     return out
 
 
+def columns_hash(df: DataFrame, salt: int):
+    """A 64-bit hash of all columns of a row; columns with maps go in as JSON."""
+    return F.xxhash64(F.lit(salt), *[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key (hash of id and text), size: words of each whole text (null: 0)."""
+    """doc_id, source, k1, k2 (hashes of the whole row), size: words of each whole text (null: 0)."""
+    names = ["doc_id", "source", "k1", "k2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                t = b.column(b.schema.get_field_index("text"))
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("doc_id", "source", "key")), pa.array(count_words(t), pa.int64())], names=["doc_id", "source", "key", "size"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(count_words(b.column(4)), pa.int64())], names=[*names, "size"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", "text").alias("key"), "text")
-    return keyed.mapInArrow(run, "doc_id long, source string, key long, size long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), columns_hash(docs, 1).alias("k1"), columns_hash(docs, 2).alias("k2"), "text")
+    return keyed.mapInArrow(run, "doc_id long, source string, k1 long, k2 long, size long")
 
 
 class Mix:
-    """The plan of one mix over ``docs`` (doc_id, source, text).
+    """The plan of one mix over ``docs`` (doc_id, source, text and any other columns).
 
-    sizes: row, doc_id, source, key, size. sources: source, target, source_size and
-    quotas. Null sources are a source of their own, last in order. Null ids and
-    texts, empty tables and repeated rows are fine: each row is a document.
+    sizes: row, doc_id, source, k1, k2, size. sources: source, its number, target,
+    source_size, full passes and words of the last. block_list: the sources' numbered
+    blocks. bounds: the tree's split of each source's drawn blocks among the shards.
+    Null sources are a source of their own, last in order. Null ids and texts, empty tables and repeated
+    rows are fine: each row is a document. Texts without words are in no mix.
     """
 
-    def __init__(self, docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> None:
+    def __init__(self, docs: DataFrame, shards: int | None = None, seed: int = SEED) -> None:
         spark = docs.sparkSession
-        self.scratch, self.shards, self.seed = Scratch(spark, "mixing"), shards, seed
+        self.scratch, self.seed = Scratch(spark, "mixing"), seed
         self.sizes = self.scratch.save(document_sizes(docs).withColumn("row", F.monotonically_increasing_id()), "sizes")
         totals = self.sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
         if len(totals) > MOST_SOURCES:
@@ -103,84 +116,117 @@ class Mix:
         self.total = sum(words)
         # Above 1e9 blocks numpy's draw ends, so a very large corpus has larger blocks.
         self.block = max(BLOCK_WORDS, -(-2 * self.total // 500_000_000))
-        # Blocks at most: every document may end in a short one.
-        self.blocks = sum(r.docs for r in totals) + self.total // self.block
-        takes = [round(t) for t in targets]
-        quotas = [-(-t // self.block) for t in takes]
-        bounds = np.concatenate([np.zeros((1, len(words)), np.int64), np.cumsum(split_quotas(quotas, shards, seed), axis=0)]) if words else np.zeros((1, 0), np.int64)
-        rows = [(r.source, i, float(t), n, n and take // n, n and take % n, bounds[:, i].tolist()) for i, (r, t, n, take) in enumerate(zip(totals, targets, words, takes, strict=True))]
-        self.sources = spark.createDataFrame(rows, "source string, src int, target double, source_size long, passes long, rest long, bounds array<long>")
+        self.shards = shards or min(max(SHARDS, -(-self.total // SHARD_WORDS)), max(1, MOST_CELLS // max(1, len(words))))
+        # Slices at most: every document may end in a short one.
+        self.slices = sum(r.docs for r in totals) + self.total // self.block
+        rows = []
+        for i, (r, target) in enumerate(zip(totals, targets, strict=True)):
+            passes, rest = divmod(round(target), r.words) if r.words else (0, 0)
+            rows.append((r.source, i, float(target), r.words, passes, rest))
+        self.sources = spark.createDataFrame(rows, "source string, src int, target double, source_size long, passes long, rest long")
+        self.block_list = self.scratch.save(self._block_list(), "blocks")
+        # Blocks of each source, and those of them that begin within the last pass.
+        upto = F.max(F.when(F.col("start") < F.col("rest"), F.col("block") + 1))
+        counts = self.block_list.join(F.broadcast(self.sources), "src").groupBy("src").agg((F.max("block") + 1).alias("blocks"), F.coalesce(upto, F.lit(0)).alias("rest_blocks"), F.first("passes").alias("passes")).orderBy("src").collect()
+        quotas = [r.passes * r.blocks + r.rest_blocks for r in counts]
+        bounds = np.concatenate([np.zeros((1, len(quotas)), np.int64), np.cumsum(split_quotas(quotas, self.shards, seed), axis=0)])
+        self.bounds = spark.createDataFrame([(r.src, r.blocks, bounds[:, i].tolist()) for i, r in enumerate(counts)], "src int, blocks long, bounds array<long>")
 
     def with_sources(self, df: DataFrame) -> DataFrame:
         s = self.sources.withColumnRenamed("source", "of")
         return df.join(F.broadcast(s), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
-    def draws(self) -> DataFrame:
-        """One row for each drawn block: row, doc_id, key, pass, block (number in its document), words (taken of it), shard, turn (its place in the shard's shuffle)."""
-        bits = max(1, int(np.ceil(np.log2(max(2, self.blocks / BUCKET_BLOCKS)))))
+    def _block_list(self) -> DataFrame:
+        """Every source's numbered blocks: src, block, and the slices in it (row, k1, k2, size, slice, words, h, start).
+
+        Slices are permuted by hash and laid end to end; a block holds those that start
+        in its ``self.block`` words, so no document is cut but a longer one. Buckets of
+        hashes keep the running sums in tasks of bounded size.
+        """
+        bits = max(1, int(np.ceil(np.log2(max(2, self.slices / BUCKET_SLICES)))))
         pieces = (
             self.sizes.filter("size > 0")
-            .select("row", "doc_id", "source", "key", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / self.block))).alias("block"))
-            .withColumn("words", F.least(F.lit(self.block).cast("long"), F.col("size") - F.col("block") * self.block))
-            .withColumn("h", F.xxhash64(F.lit(self.seed), "key", "block"))
+            .select("row", "source", "k1", "k2", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / self.block))).alias("slice"))
+            .withColumn("words", F.least(F.lit(self.block).cast("long"), F.col("size") - F.col("slice") * self.block))
+            .withColumn("h", F.xxhash64(F.lit(self.seed), "k1", "k2", "slice"))
             .withColumn("bucket", F.shiftright("h", 64 - bits))
         )
-        pieces = self.with_sources(pieces).drop("source", "target")
+        pieces = self.with_sources(pieces).select("src", "row", "k1", "k2", "size", "slice", "words", "h", "bucket")
         by_source = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = pieces.groupBy("src", "bucket").agg(F.sum("words").alias("n")).select("src", "bucket", F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("offset"))
-        in_bucket = Window.partitionBy("src", "bucket").orderBy("h", "key", "block", "row").rowsBetween(Window.unboundedPreceding, -1)
+        in_bucket = Window.partitionBy("src", "bucket").orderBy("h", "k1", "k2", "slice", "row").rowsBetween(Window.unboundedPreceding, -1)
         placed = pieces.join(offsets, ["src", "bucket"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("words").over(in_bucket), F.lit(0)))
-        taken = F.when(F.col("pass") < F.col("passes"), F.col("words")).otherwise(F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("start"))))
-        drawn = (
-            placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("pass"))
-            .withColumn("words", taken)
-            .filter("words > 0")
-            .withColumn("at", F.floor((F.col("pass") * F.col("source_size") + F.col("start")) / self.block))
-        )
-        shard = F.greatest(F.lit(0), F.least(F.lit(self.shards - 1), F.size(F.filter("bounds", lambda b: b <= F.col("at"))) - 1))
-        return drawn.select("row", "doc_id", "key", "pass", "block", "words", shard.alias("shard"), F.xxhash64(F.lit(self.seed + 1), "h", "pass").alias("turn"))
+        return placed.withColumn("block", F.floor(F.col("start") / self.block)).drop("bucket", "offset")
+
+    def shard_quotas(self) -> DataFrame:
+        """What the tree gives each shard of each source: shard, src, first, last: its range of the source's drawn blocks, last excluded."""
+        ranges = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda i: F.struct(F.element_at("bounds", i).alias("first"), F.element_at("bounds", i + 1).alias("last")))
+        return self.bounds.join(F.broadcast(self.sources), "src").select("src", "blocks", "passes", "rest", F.posexplode(ranges).alias("shard", "range")).select("shard", "src", "blocks", "passes", "rest", "range.first", "range.last").filter("last > first")
+
+    def draws(self) -> DataFrame:
+        """What the shards draw, a row for each slice: shard, src, row, k1, k2, size, pass, block, slice, words (taken of it), turn (its place in the shard's shuffle).
+
+        A source's drawn blocks are numbered pass after pass, and every shard takes the
+        range that the tree gave it, as many blocks as its quota. In the last pass a
+        slice gives only as many words as the target leaves.
+        """
+        quotas = self.shard_quotas().repartition("src", "shard")
+        numbers = quotas.select("shard", "src", "passes", "rest", "blocks", F.explode(F.sequence("first", F.col("last") - 1)).alias("number"))
+        drawn = numbers.select("shard", "src", "passes", "rest", F.floor(F.col("number") / F.col("blocks")).alias("pass"), (F.col("number") % F.col("blocks")).alias("block"))
+        taken = F.when(F.col("pass") < F.col("passes"), F.col("words")).otherwise(F.least("words", F.col("rest") - F.col("start")))
+        met = self.block_list.join(drawn, ["src", "block"]).withColumn("words", taken).filter("words > 0")
+        return met.select("shard", "src", "row", "k1", "k2", "size", "pass", "block", "slice", "words", F.xxhash64(F.lit(self.seed + 1), "h", "pass").alias("turn"))
 
     def taken(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken of every row."""
-        per_row = self.draws().groupBy("row").agg(F.sum("words").alias("taken"))
+        """doc_id, size, source_size, target, taken (words that the shards drew) and shards (which, in order) of every row."""
+        per_row = self.draws().groupBy("row").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_set("shard")).alias("shards"))
         rows = self.with_sources(self.sizes)
-        return rows.join(per_row, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        none = F.array().cast("array<int>")
+        return rows.join(per_row, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", none).alias("shards"))
 
     def documents(self, docs: DataFrame) -> DataFrame:
-        """The mix itself: the columns of ``docs``, a row for each document and pass, in shards and their shuffled order.
+        """The mix itself: the columns of ``docs``, a row for each document, pass and shard that drew of it; a shard's rows lie in one partition, shuffled.
 
-        The text is the taken blocks' text; a document taken whole is unchanged.
+        The text is the taken words' text (all of it, unchanged, where all words are
+        taken); a column n_chars is counted anew. ``docs`` must be the rows the plan was
+        made from; other columns may have any names.
         """
         names = docs.columns
-        first = docs.withColumn("_key", F.xxhash64("doc_id", "text")).groupBy("doc_id", "_key").agg(*[F.first(c).alias(c) for c in names if c != "doc_id"])
-        lists = self.draws().groupBy("doc_id", "key", "row", "pass").agg(F.array_sort(F.collect_list(F.struct("block", "words"))).alias("_taken"), F.min("shard").alias("_shard"), F.min("turn").alias("_turn"))
-        both = first.alias("d").join(lists.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d._key") == F.col("l.key")))
-        chosen = both.select(*[F.col(f"d.`{c}`") for c in names], "_taken", "_shard", "_turn")
-        block = self.block
+        turn = Window.partitionBy("k1", "k2").orderBy("row")
+        lists = (
+            self.draws()
+            .groupBy("k1", "k2", "row", "size", "pass", "shard")
+            .agg(F.array_sort(F.collect_list(F.struct("slice", "words"))).alias("taken"), F.sum("words").alias("words"), F.min("turn").alias("turn"))
+            .withColumn("copy", F.dense_rank().over(turn))
+        )
+        # Equal rows are told apart by their turn among their equals, on both sides.
+        rows = docs.select(columns_hash(docs, 1).alias("k1"), columns_hash(docs, 2).alias("k2"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"))
+        rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")))
+        met = rows.join(lists, ["k1", "k2"]).filter(F.col("own") - F.col("copy") == 0)
+        chosen = met.select("d", F.when(F.col("words") < F.col("size"), F.col("taken")).alias("taken"), "shard", "turn")
+        block, text_at = self.block, names.index("text")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not len(b):
-                    continue
-                t = b.column(b.schema.get_field_index("text"))
-                raw, ends = text_bytes(t)
-                starts, stops, words = word_spans(raw, ends)
-                texts = []
-                for i, taken in enumerate(b.column(b.schema.get_field_index("_taken")).to_pylist()):
-                    own, stop = raw[ends[i] : ends[i + 1]].tobytes(), words[i + 1] - words[i]
-                    if sum(x["words"] for x in taken) == stop:
-                        texts.append(own.decode())
-                        continue
-                    spans = [(words[i] + x["block"] * block, words[i] + x["block"] * block + x["words"] - 1) for x in taken]
-                    texts.append(" ".join(own[starts[p] - ends[i] : stops[q] - ends[i]].decode() for p, q in spans))
-                columns = [pa.array(texts, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in b.schema.names if c != "_taken"]
-                yield pa.RecordBatch.from_arrays(columns, names=[c for c in b.schema.names if c != "_taken"])
-
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name != "_taken")
-        made = chosen.mapInArrow(cut, kinds)
-        if "n_chars" in names:
-            made = made.withColumn("n_chars", F.length("text").cast("long"))
-        return made.repartition(self.shards, "_shard").sortWithinPartitions("_shard", "_turn").select(*names)
+                d, taken = b.column(0), b.column(1)
+                some = np.flatnonzero(taken.is_valid().to_numpy(zero_copy_only=False))
+                if len(some):
+                    columns = d.flatten()
+                    texts = []
+                    for i in some.tolist():
+                        raw, ends = text_bytes(columns[text_at].slice(i, 1))
+                        starts, stops, _ = word_spans(raw, ends)
+                        spans = [(x["slice"] * block, x["slice"] * block + x["words"] - 1) for x in taken[i].as_py()]
+                        texts.append(" ".join(raw[starts[p] : stops[q]].tobytes().decode() for p, q in spans))
+                    mask = np.zeros(len(b), dtype=bool)
+                    mask[some] = True
+                    columns[text_at] = pc.replace_with_mask(columns[text_at], pa.array(mask), pa.array(texts, columns[text_at].type))
+                    d = pa.StructArray.from_arrays(columns, fields=list(d.type))
+                yield pa.RecordBatch.from_arrays([d, b.column(2), b.column(3)], names=["d", "shard", "turn"])
+
+        made = chosen.mapInArrow(cut, T.StructType([chosen.schema["d"], chosen.schema["shard"], chosen.schema["turn"]]))
+        dealt = made.repartitionById(self.shards, F.col("shard")).sortWithinPartitions("turn").select("d.*")
+        return dealt.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else dealt
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpusgraph.llm import mixing as M
 from tests.conftest import rows
@@ -47,7 +48,7 @@ def test_mix_against_its_contract_at_any_partitioning(spark):
     want = None
     for n in (1, 5):
         got = M.Mix(spark.createDataFrame(ROWS, schema).repartition(n)).taken()
-        assert len(got.columns) == 5
+        assert got.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
         now = rows(got)
         want = want or now
         assert now == want
@@ -74,6 +75,74 @@ def test_documents_of_the_mix(spark):
     assert len(shards) >= 2 and set(shards) <= set(range(M.SHARDS))
 
 
+def mixed(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"s{i % 5}", f"{i} " + "word " * int(rng.integers(0, 900))) for i in range(600)]
+    return spark.createDataFrame([*rows, (900, "s1", "long " * 30_000), (901, None, "long " * 9_000)], "doc_id long, source string, text string").repartition(5)
+
+
+def test_every_shard_draws_its_quota_and_sources_meet_their_targets(spark):
+    mix = M.Mix(mixed(spark), shards=7)
+    quota = {(r.shard, r.src): r["last"] - r["first"] for r in mix.shard_quotas().collect()}
+    drawn = mix.draws().collect()
+    blocks = {}
+    for r in drawn:
+        blocks.setdefault((r.shard, r.src), set()).add((r["pass"], r.block))
+    assert {k: len(v) for k, v in blocks.items()} == quota
+    everything = [(src, b) for (_, src), own in blocks.items() for b in own]
+    assert len(everything) == len(set(everything)), "a block is drawn by two shards"
+    totals = [sum(n for (s, _), n in quota.items() if s == shard) for shard in range(7)]
+    assert max(totals) - min(totals) <= 1
+    target = {r.src: r.target for r in mix.sources.collect()}
+    words = {}
+    for r in drawn:
+        words[r.src] = words.get(r.src, 0) + r.words
+    assert all(abs(words[src] - t) <= 1 for src, t in target.items() if t)
+
+
+def test_the_result_comes_through_the_tree(spark, monkeypatch):
+    docs = mixed(spark)
+    first = rows(M.Mix(docs, shards=7).taken())
+    assert rows(M.Mix(docs, shards=7).taken()) == first
+    other = rows(M.Mix(docs, shards=7, seed=6).taken())
+    assert [r[:4] for r in other] == [r[:4] for r in first] and other != first
+    tree = M.split_quotas
+
+    def half(quotas, shards, seed):
+        out = tree(quotas, shards, seed)
+        out[shards // 2 :] = 0
+        return out
+
+    monkeypatch.setattr(M, "split_quotas", half)
+    fewer = rows(M.Mix(docs, shards=7).taken())
+    assert 0.2 < sum(r[4] for r in fewer) / sum(r[4] for r in first) < 0.8 and all(set(r[5]) <= {0, 1, 2} for r in fewer)
+    monkeypatch.setattr(M, "split_quotas", lambda quotas, shards, seed: 0 * tree(quotas, shards, seed))
+    assert not any(r[4] for r in rows(M.Mix(docs, shards=7).taken()))
+
+
+def test_documents_with_clashing_columns_repeated_rows_and_shards(spark):
+    docs = mixed(spark)
+    docs = docs.unionByName(docs.filter("doc_id < 5")).select("*", *[F.col("doc_id").cast("string").alias(c) for c in ("shard", "turn", "row", "d", "k1", "taken", "words", "slice", "_taken", "size")], F.create_map(F.lit("a"), "doc_id").alias("m"))
+    mix = M.Mix(docs, shards=6)
+    got = mix.documents(docs)
+    assert got.columns == docs.columns
+    parts = got.withColumn("_p", F.spark_partition_id()).collect()
+    taken, kept = {}, {r.doc_id: r.text for r in docs.collect()}
+    for r in parts:
+        assert r.shard == str(r.doc_id) and r.m == {"a": r.doc_id}
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + len(r.text.split())
+        assert r.text in kept[r.doc_id] or len(kept[r.doc_id].split()) > M.BLOCK_WORDS
+    want = {}
+    for r in mix.taken().collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    assert taken == {k: v for k, v in want.items() if v}
+    per_shard = {r.shard: r.words for r in mix.draws().groupBy("shard").agg(F.sum("words").alias("words")).collect()}
+    by_part = {}
+    for r in parts:
+        by_part[r._p] = by_part.get(r._p, 0) + len(r.text.split())
+    assert by_part == per_shard
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, source string, text string")
     assert M.Mix(none).taken().count() == 0
