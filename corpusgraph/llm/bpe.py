@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 
 from .common import bound_batches
 
-#: Remembered fragments and words of one worker; beyond it the memory is emptied.
-REMEMBERED = 400_000
+#: Bytes that one worker's remembered words and fragments may take; beyond it they are forgotten.
+REMEMBERED_BYTES = 96 << 20
+#: Bytes of a remembered entry besides its key's and value's own.
+_ENTRY_BYTES = 190
 #: Characters of text that one step of a worker encodes before it hands rows on.
 STEP_CHARS = 1_000_000
 
@@ -61,17 +63,22 @@ def join_tokens(bytes_of: dict[int, bytes], ids) -> str:
 
 
 class _Known(dict):
-    """What make(key) gives, kept for short keys."""
+    """What make(key) gives, kept for short keys; held counts the bytes that takes."""
 
     def __init__(self, make) -> None:
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, key):
         made = self.make(key)
         if len(key) <= 64:
             self[key] = made
+            self.held += len(key) + len(made) + _ENTRY_BYTES
         return made
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
 
 class ForcedBoundaryBpe:
     """A byte-level BPE vocabulary in the JSON form of the tokenizers library.
@@ -107,7 +114,7 @@ class ForcedBoundaryBpe:
         self.between = regex.compile("(" + "|".join(map(regex.escape, ordered)) + ")") if ordered else None
         self.words = regex.compile(_PATTERN)
         self.known_words = _Known(self.word_ids)
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known = _Known(self.merge)
 
     def fragments(self, word: bytes) -> list[bytes]:
         """The word cut wherever its two neighbouring bytes occur in no token."""
@@ -165,15 +172,11 @@ class ForcedBoundaryBpe:
             return array("i", self.merge(parts[0])).tobytes()
         out: list[int] = []
         for part in parts:
-            if (ids := self.known.get(part)) is None:
-                ids = self.merge(part)
-                if len(part) <= 64:
-                    self.known[part] = ids
-            out += ids
+            out += self.known[part]
         return array("i", out).tobytes()
 
     def encode_packed(self, text: str) -> bytes:
-        if len(self.known_words) > REMEMBERED or len(self.known) > REMEMBERED:
+        if self.known_words.held + self.known.held > REMEMBERED_BYTES:
             self.known_words.clear()
             self.known.clear()
         out: list[bytes] = []
@@ -212,29 +215,36 @@ def _steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
     yield from zip(edges[:-1], edges[1:], strict=True)
 
 
-def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the token ids of each whole text in ``ids_col`` (array<int>).
 
     ``path`` is the vocabulary's JSON file on the driver. Null and empty texts have
-    no ids. A column already called ``ids_col`` is replaced; all others, their
-    order and repeated rows stay. Nothing is shuffled.
+    no ids. With ``decoded_col`` the ids are decoded again in the same pass, as
+    decode_ids does. Columns already called so are replaced; all others, their order
+    and repeated rows stay. Nothing is shuffled.
     """
     bound_batches(docs.sparkSession)
     shared = _Shared(docs.sparkSession, path)
-    docs = docs.drop(ids_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
+    made_cols = [ids_col] if decoded_col is None else [ids_col, decoded_col]
+    text_at = docs.columns.index(text_col)
+    kept = [c for c in docs.columns if c not in made_cols]
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded_col or "", T.StringType())][: len(made_cols)]
+    schema = T.StructType([*[docs.schema[c] for c in kept], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Made for each task: a worker that goes on to other work keeps none of it.
         bpe = ForcedBoundaryBpe(shared.value)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
+            column = batch.column(text_at)
             for a, b in _steps(column):
                 ids = [bpe.encode_packed(text or "") for text in column.slice(a, b - a).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)]) // 4
-                made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+                values = np.frombuffer(b"".join(ids), dtype=np.int32)
+                made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))]
+                if decoded_col is not None:
+                    made.append(pa.array([bpe.decode(values[i:j].tolist()) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.string()))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, ids_col])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=[*kept, *made_cols])
 
     return docs.mapInArrow(run, schema)
 
@@ -259,13 +269,12 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: st
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text."""
-    encoded = encode_texts(docs.select("doc_id", "text"), path).drop("text")
-    decoded = decode_ids(encoded, path)
-    return decoded.select(
+    there_and_back = encode_texts(docs.select("doc_id", "text"), path, "text", "ids", "text")
+    return there_and_back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
     )
 
 

@@ -23,6 +23,25 @@ def test_same_ids_and_text_as_the_library(text):
     assert OWN.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+def test_all_code_points():
+    """Each code point behind a letter, a space and itself, a thousand to a text."""
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for a in range(0, len(points), 1000):
+        text = "".join(f"a{c} {c}{c}1" for c in points[a : a + 1000])
+        ids = library(text)
+        assert OWN.encode(text) == ids
+        assert OWN.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    own = bpe.ForcedBoundaryBpe(open(PATH, encoding="utf-8").read())
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 10_000)
+    for i in range(300):
+        text = f" word{i} next{i * 7}é"
+        assert own.encode(text) == library(text)
+        assert own.known_words.held + own.known.held < 20_000
+
+
 def test_cuts_lie_on_token_boundaries():
     word = "supercalifragilistic§日本xq"
     ends, at = set(), 0
