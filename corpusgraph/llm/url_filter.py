@@ -2,8 +2,9 @@
 
 Every url is cut into host and path; its candidate keys are all host suffixes
 times all path prefixes that a listed rule could have. A blocked Bloom filter of
-the listed keys throws out almost all candidates inside the scan; what passes
-goes to an exact hash join with the list, which removes the false positives.
+the listed keys, sized from their number, throws out almost all candidates inside
+the row; only urls with a possible hit move on to an exact hash join with the list,
+which removes the false positives.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-#: Words of 64 bits in the filter: 2 ** 16 of them are 512 KB, whatever the list's size.
-BLOOM_WORDS = 1 << 16
-#: Bits that a key sets in its word.
+#: Listed keys for a word of 64 bits of the filter: 16 bits a key, of which it sets BLOOM_BITS; about 1 in 300 strangers passes.
+WORD_KEYS = 4
 BLOOM_BITS = 4
+#: Words of a filter that goes to every task (8 MB) at most; a longer list's filter is a table that candidates meet by word.
+MOST_WORDS = 1 << 20
 #: A list of at most so many rules, and so many characters, is broadcast; a longer one is shuffled.
 BROADCAST_RULES = 100_000
 BROADCAST_CHARS = 8_000_000
@@ -51,8 +53,13 @@ def canonical_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def _word(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BLOOM_WORDS)).cast("int")
+def bloom_words(n_rules: int) -> int:
+    """Words of the filter of so many keys: a power of two, so that about WORD_KEYS keys share a word."""
+    return 1 << max(6, (max(1, n_rules) // WORD_KEYS).bit_length())
+
+
+def _word(key: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(words)).cast("int")
 
 
 def _mask(key: Column) -> Column:
@@ -64,15 +71,27 @@ def _mask(key: Column) -> Column:
     return mask
 
 
-def blocked_bloom(rules: DataFrame) -> DataFrame:
-    """The filter's words that are not empty: (word, bits).
+def blocked_bloom(rules: DataFrame, words: int) -> DataFrame:
+    """The filter's words that are not empty: (word, bits)."""
+    return rules.groupBy(_word(F.col("rule"), words).alias("word")).agg(F.bit_or(_mask(F.col("rule"))).alias("bits"))
+
+
+def _possible(urls: DataFrame, listed: DataFrame, words: int) -> DataFrame:
+    """``urls`` with hits: the candidate keys (struct of host and path) that the filter lets pass.
 
-    At most BLOOM_WORDS rows, so its size does not follow the list.
+    The filter is one array, worked out once and sent with the plan.
     """
-    return rules.groupBy(_word(F.col("rule")).alias("word")).agg(F.bit_or(_mask(F.col("rule"))).alias("bits"))
+    filled = blocked_bloom(listed, words).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    array = filled.select(F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("filter")).scalar()
 
+    def passes(key: Column) -> Column:
+        whole = F.concat(key["rule_host"], key["rule_path"])
+        return F.get("filter", _word(whole, words)).bitwiseAND(_mask(whole)) == _mask(whole)
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+    return urls.withColumn("filter", array).withColumn("hits", F.filter("keys", passes)).drop("keys", "filter")
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", most_words: int = MOST_WORDS) -> DataFrame:
     """Judges every url: page_id, host, path, rule, verdict.
 
     A rule fits its host and all subdomains if the path starts with the rule's
@@ -81,7 +100,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     ones have empty host and path. Equal rows each come back; ids may be null;
     other columns of ``pages`` are not read. An empty list or table is fine.
     """
-    spark = pages.sparkSession
     listed = canonical_rules(rules)
     size = listed.agg(
         F.count("*").alias("n"),
@@ -97,11 +115,22 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     labels = F.split("host", r"\.")
     first = F.greatest(F.lit(1), F.size(labels) - size.most_labels + 1)
     suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # Lengths that listed paths have: no more of them than a path has letters.
     lengths = F.filter(F.array(*[F.lit(n) for n in size.path_lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
-    candidates = urls.select("*", F.explode(suffixes).alias("rule_host")).select("*", F.explode(lengths).alias("n"))
-    keys = candidates.withColumn("rule_path", F.col("path").substr(F.lit(1), F.col("n"))).withColumn("key", F.concat("rule_host", "rule_path"))
-    probed = keys.withColumn("word", _word(F.col("key"))).join(F.broadcast(blocked_bloom(listed)), "word")
-    hits = probed.filter(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).select("page_id", "host", "path", "rule_host", "rule_path")
+    prefixes = F.transform(lengths, lambda n: F.col("path").substr(F.lit(1), n))
+    keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("rule_host"), p.alias("rule_path")))))
+    words = bloom_words(size.n)
+    if words <= most_words:
+        judged = _possible(urls.withColumn("keys", keys), listed, words)
+        clear = judged.filter(F.size("hits") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        open_ = judged.filter(F.size("hits") > 0)
+        hits = open_.select("page_id", "host", "path", F.inline("hits"))
+    else:
+        clear, open_ = None, urls
+        each = urls.withColumn("keys", keys).select("page_id", "host", "path", F.inline("keys"))
+        key = F.concat("rule_host", "rule_path")
+        met = each.withColumn("word", _word(key, words)).join(blocked_bloom(listed, words), "word")
+        hits = met.filter(F.col("bits").bitwiseAND(_mask(key)) == _mask(key)).select("page_id", "host", "path", "rule_host", "rule_path")
     exact = listed.select("rule_host", "rule_path", "rule", "action")
     if small:
         found = hits.join(F.broadcast(exact), ["rule_host", "rule_path"])
@@ -109,14 +138,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         salted = exact.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         found = hits.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(salted.hint("shuffle_hash"), ["rule_host", "rule_path", "salt"])
     best = F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), "rule", "action")
-    rows = urls.select("page_id", "host", "path", F.lit(1).alias("rows"), F.lit(None).cast("struct<n:int,h:int,rule:string,action:string>").alias("best"))
+    rows = open_.select("page_id", "host", "path", F.lit(1).alias("rows"), F.lit(None).cast("struct<n:int,h:int,rule:string,action:string>").alias("best"))
     won = (
         rows.unionByName(found.select("page_id", "host", "path", F.lit(0).alias("rows"), best.alias("best")))
         .groupBy("page_id", "host", "path")
         .agg(F.sum("rows").alias("rows"), F.max("best").alias("best"))
     )
     copies = F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))
-    return won.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"), copies.alias("copy")).drop("copy")
+    out = won.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"), copies.alias("copy")).drop("copy")
+    return clear.unionByName(out) if clear is not None else out
 
 
 #: The rules of the query: action, host, path.

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from corpusgraph.llm import url_filter as U
 from tests.compare import assert_same
 from tests.conftest import rows
@@ -28,23 +30,30 @@ def test_rules_against_brute_force(spark):
     assert rows(U.judge_urls(pages, U.rules_table(spark))) == want
 
 
-def test_long_lists_take_the_salted_join(spark, monkeypatch):
+def test_long_lists_take_the_salted_join_and_the_filter_as_a_table(spark, monkeypatch):
     monkeypatch.setattr(U, "BROADCAST_RULES", 2)
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
-    assert rows(U.judge_urls(pages, U.rules_table(spark))) == sorted([(i, *brute(u, RULES)) for i, u in enumerate(URLS)], key=repr)
+    for most in (U.MOST_WORDS, 1):
+        assert rows(U.judge_urls(pages, U.rules_table(spark), most_words=most)) == sorted([(i, *brute(u, RULES)) for i, u in enumerate(URLS)], key=repr)
+
+
+def test_urls_without_a_possible_hit_do_not_move(spark):
+    pages = spark.createDataFrame([(i, f"http://host{i}.dev/x") for i in range(3000)], "page_id long, url string")
+    possible = U._possible(pages.select("page_id", F.array(F.struct(F.regexp_extract("url", "//([^/]*)", 1).alias("rule_host"), F.lit("/").alias("rule_path"))).alias("keys")), U.canonical_rules(U.rules_table(spark)), 64)
+    assert possible.filter(F.size("hits") > 0).count() < 300
 
 
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     rules = [("block", f"h{i}.x", "/p/") for i in range(2000)]
     listed = U.canonical_rules(U.rules_table(spark, rules[:1])).limit(0)
     listed = U.canonical_rules(spark.createDataFrame(rules, "action string, host string, path string"))
-    bloom = U.blocked_bloom(listed)
-    from pyspark.sql import functions as F
-
+    words = U.bloom_words(2000)
+    assert words == 512 and U.bloom_words(10**7) * U.WORD_KEYS > 10**7
+    bloom = U.blocked_bloom(listed, words)
     keys = spark.range(4000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".x/p/")).alias("key"), "id")
-    hit = keys.withColumn("word", U._word(F.col("key"))).join(bloom, "word").filter(F.col("bits").bitwiseAND(U._mask(F.col("key"))) == U._mask(F.col("key")))
+    hit = keys.withColumn("word", U._word(F.col("key"), words)).join(bloom, "word").filter(F.col("bits").bitwiseAND(U._mask(F.col("key"))) == U._mask(F.col("key")))
     assert hit.filter("id < 2000").count() == 2000
-    assert hit.filter("id >= 2000").count() < 20
+    assert hit.filter("id >= 2000").count() < 40
 
 
 def test_empty_list_and_empty_table(spark):
