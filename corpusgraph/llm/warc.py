@@ -8,18 +8,20 @@ tasks write and read them through pyarrow's file systems.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, partitions, spread_join
 
 #: Bytes of payload in a row of the chunk table.
 CHUNK_BYTES = 32 * 1024
@@ -27,119 +29,158 @@ CHUNK_BYTES = 32 * 1024
 REVISIT_BYTES = 1000
 #: Bytes of html that one archive gets, about.
 ARCHIVE_BYTES = 64 * 1024 * 1024
+#: Bytes in which the head of an HTTP message is looked for.
+MOST_HEAD = 1 << 20
 _END = b"\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
 
 
 def payload_chunks(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """record columns without ``payload`` plus chunk (number from 0), n_chunks, data (bytes); an empty payload is one empty chunk."""
+    """record columns without ``payload`` plus chunk (number from 0), n_chunks, data (bytes); an empty payload is one empty chunk.
+
+    The payload is cut inside its row, so no chunk's row carries the whole of it.
+    """
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk_bytes)).cast("int")
     others = [c for c in records.columns if c != "payload"]
-    return (
-        records.withColumn("n_chunks", n)
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
-        .select(*others, "n_chunks", "chunk", F.substring("payload", F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data"))
-    )
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("payload", i * chunk_bytes + 1, F.lit(chunk_bytes)))
+    return records.withColumn("n_chunks", n).select(*others, "n_chunks", F.posexplode(cut).alias("chunk", "data"))
 
 
-def plan_records(pages: DataFrame, n_files: int, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
+def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> tuple[DataFrame, DataFrame]:
+    """The pages as records with payload, and which of them revisit another.
 
-    The payload is the body in UTF-8 (null: empty). Of records with equal payloads
-    of at least REVISIT_BYTES bytes, that with the largest page_id is the response
-    and the others revisit it; null ids are always responses. Rows that repeat the
-    winning id are responses too. Rows come in ``n_files`` partitions.
+    records: page_id, url, payload, payload_bytes, payload_digest, copy (tells equal
+    rows apart). revisits: page_id, payload_digest, refers_to, refers_url. The
+    payload is the body in UTF-8 (null: empty). Of records with equal payloads of at
+    least REVISIT_BYTES bytes, that with the largest page_id is the response and the
+    others revisit it; null ids are always responses. Rows that repeat the winning id
+    are responses too.
     """
     payload = F.encode(F.coalesce(F.col(body_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     keyed = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    small = keyed.select("page_id", "payload_bytes", "payload_digest").filter((F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
-    groups = small.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"))
-    # Only digests that several pages share travel back; a hot one is split by the adaptive join.
-    shared = groups.filter(F.col("least") < F.col("refers_to")).drop("least")
-    revisits = small.join(shared, ["payload_digest", "payload_bytes"]).filter(F.col("page_id") < F.col("refers_to")).select("page_id", "payload_digest", "refers_to").distinct()
-    # The payloads move once: this dealing serves the join and the archives.
-    keyed = keyed.repartition(n_files, "page_id", "payload_digest")
-    return keyed.join(revisits, ["page_id", "payload_digest"], "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    small = keyed.drop("payload").filter((F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
+    groups = small.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("best"), F.min("page_id").alias("least"))
+    # Only digests that several pages share travel back; a hot one is spread.
+    shared = groups.filter(F.col("least") < F.col("best.page_id")).select("payload_digest", F.col("best.page_id").alias("refers_to"), F.col("best.url").alias("refers_url"))
+    revisits = spread_join(small.select("page_id", "payload_digest"), shared, ["payload_digest"]).filter(F.col("page_id") < F.col("refers_to")).distinct()
+    return keyed.withColumn("copy", F.monotonically_increasing_id()), revisits
+
+
+def plan_chunks(pages: DataFrame, n_files: int, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The chunk table to write: page_id, url, payload_bytes, payload_digest, copy, n_chunks, chunk, data, record_type, refers_to, refers_url.
+
+    Payloads are cut in the scan and move once, as chunks: that dealing into
+    ``n_files`` partitions serves the join and the archives. A revisit keeps one empty chunk.
+    """
+    records, revisits = plan_records(pages, id_col, url_col, body_col)
+    dealt = payload_chunks(records, chunk_bytes).repartition(n_files, "page_id", "payload_digest")
+    again = F.col("refers_to").isNotNull()
+    met = dealt.join(revisits, ["page_id", "payload_digest"], "left").filter(~again | (F.col("chunk") == 0))
+    return met.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "data": F.when(again, F.lit(b"")).otherwise(F.col("data")), "n_chunks": F.when(again, 1).otherwise(F.col("n_chunks"))})
 
 
-def _header(r, length: int, http: bytes) -> bytes:
+def record_uuid(page_id: int | None, digest: str, url: str | None, n: int) -> str:
+    """The identifier of the n-th record of a page, payload and url."""
+    return str(uuid.UUID(hashlib.md5(json.dumps([page_id, digest, url, n]).encode()).hexdigest()))
+
+
+def _uri(url: str | None) -> str:
+    return "".join(c if c > " " else "%20" for c in (url or ""))
+
+
+def _header(r: dict, n: int, length: int, http: bytes) -> bytes:
+    again = r["record_type"] == "revisit"
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {r.record_type}",
-        f"WARC-Record-ID: <urn:uuid:{r.record_id}>",
+        f"WARC-Type: {r['record_type']}",
+        f"WARC-Record-ID: <urn:uuid:{record_uuid(r['page_id'], r['payload_digest'], r['url'], n)}>",
         f"WARC-Date: {_DATE}",
-        "WARC-Target-URI: " + "".join(c if c > " " else "%20" for c in (r.url or "")),
-        f"WARC-Payload-Digest: sha1:{r.payload_digest}",
-        f"X-Payload-Bytes: {r.payload_bytes}",
-        *([] if pd.isna(r.page_id) else [f"X-Page-Id: {int(r.page_id)}"]),
-        *([] if pd.isna(r.refers_to) else [f"X-Refers-To-Page-Id: {int(r.refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
-        "Content-Type: application/http;msgtype=response",
-        f"Content-Length: {length + len(http)}",
+        f"WARC-Target-URI: {_uri(r['url'])}",
+        f"WARC-Payload-Digest: sha1:{r['payload_digest']}",
+        f"X-Payload-Bytes: {r['payload_bytes']}",
+        *([] if r["page_id"] is None else [f"X-Page-Id: {r['page_id']}"]),
     ]
+    if again:
+        lines += [
+            f"X-Refers-To-Page-Id: {r['refers_to']}",
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: <urn:uuid:{record_uuid(r['refers_to'], r['payload_digest'], r['refers_url'], 0)}>",
+            f"WARC-Refers-To-Target-URI: {_uri(r['refers_url'])}",
+            f"WARC-Refers-To-Date: {_DATE}",
+        ]
+    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {length + len(http)}"]
     return "\r\n".join(lines).encode() + _END + http
 
 
-def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Writes the records as .warc.gz archives below ``folder``, one for each partition (each record its own gzip member); returns the manifest (path, records, bytes), still lazy.
+def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
+    """Writes a chunk table (plan_chunks) as .warc.gz archives below ``folder``, one for each partition (each record its own gzip member); returns the manifest (path, records, bytes), still lazy.
 
     One task writes one archive, under a name of its attempt, and moves it to its
     final name when it is whole, so a repeated task replaces it. A payload whose
-    digest differs from the planned one fails the task.
+    digest differs from the planned one fails the task. Equal rows (same page, payload
+    and url) are records of their own, numbered in their identifiers.
     """
-    chunks = payload_chunks(records.withColumn("payload", F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))))
     schema = "path string, records long, bytes long"
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name = f"{root}/part-{task.partitionId():06d}.warc.gz"
         part = f"{root}/.part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         n = size = 0
+        before, number, digest, member = None, -1, None, None
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + _END
         with store.open_output_stream(part, compression=None) as out:
             for batch in batches:
-                for r in batch.itertuples(index=False):
-                    response = r.record_type == "response"
-                    if r.chunk == 0:
-                        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + _END
+                names = batch.schema.names
+                for i in range(len(batch)):
+                    r = {c: batch.column(k)[i].as_py() for k, c in enumerate(names)}
+                    response = r["record_type"] == "response"
+                    if r["chunk"] == 0:
+                        own = (r["page_id"], r["payload_digest"], r["url"])
+                        number = number + 1 if own == before else 0
+                        before, n = own, n + 1
                         digest, member = hashlib.sha1(), zlib.compressobj(6, zlib.DEFLATED, 31)
-                        out.write(member.compress(_header(r, r.payload_bytes if response else 0, http)))
-                        n += 1
-                    digest.update(r.data)
-                    out.write(member.compress(r.data))
-                    if r.chunk == r.n_chunks - 1:
-                        if response and digest.hexdigest() != r.payload_digest:
-                            raise OSError(f"payload of page {r.page_id} changed while it was written")
+                        out.write(member.compress(_header(r, number, r["payload_bytes"] if response else 0, http)))
+                    digest.update(r["data"])
+                    out.write(member.compress(r["data"]))
+                    if r["chunk"] == r["n_chunks"] - 1:
+                        if response and digest.hexdigest() != r["payload_digest"]:
+                            raise OSError(f"payload of page {r['page_id']} changed while it was written")
                         out.write(member.compress(_END) + member.flush())
             size = out.tell()
         if n:
             if store.get_file_info(name).type != fs.FileType.NotFound:  # an earlier attempt's
                 store.delete_file(name)
             store.move(part, name)
-            yield pd.DataFrame({"path": [name], "records": [n], "bytes": [size]})
+            yield pa.RecordBatch.from_pydict({"path": [name], "records": [n], "bytes": [size]})
         else:
             store.delete_file(part)
 
-    key = F.xxhash64("page_id", "payload_digest", "url")
-    ordered = chunks.withColumn("record_id", F.regexp_replace(F.md5(F.concat_ws("|", F.col("page_id").cast("string"), "payload_digest", "url")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"))
-    # Equal rows (same page, same payload) stay records of their own: "copy" keeps their chunks apart.
-    return ordered.withColumn("key", key).sortWithinPartitions("key", "copy", "chunk").drop("key").mapInPandas(write, schema)
+    return chunks.sortWithinPartitions("payload_digest", "page_id", "url", "copy", "chunk").mapInArrow(write, schema)
 
 
 class _Lines:
-    """Reads a gzip file of many members piece by piece."""
+    """Reads a WARC file, gzip of many members or plain, piece by piece."""
 
     def __init__(self, raw) -> None:
-        self.raw, self.z, self.buffer = raw, zlib.decompressobj(31), b""
+        self.raw, self.buffer = raw, b""
+        begin = raw.read(1 << 16)
+        self.z, self.ahead = (zlib.decompressobj(31), begin) if begin[:2] == b"\x1f\x8b" else (None, begin)
 
     def _more(self) -> bool:
         while True:
-            data = self.z.unused_data or self.raw.read(1 << 16)
-            if self.z.eof:
-                self.z = zlib.decompressobj(31)
+            data = self.ahead or (self.z.unused_data if self.z else b"") or self.raw.read(1 << 16)
+            self.ahead = b""
             if not data:
                 return False
+            if self.z is None:
+                self.buffer += data
+                return True
+            if self.z.eof:
+                self.z = zlib.decompressobj(31)
             if got := self.z.decompress(data):
                 self.buffer += got
                 return True
@@ -152,8 +193,8 @@ class _Lines:
                     raise OSError("archive ends inside a header")
                 return None
         block, _, self.buffer = self.buffer.partition(_END)
-        lines = block.decode("utf-8").split("\r\n")
-        return {"": lines[0]} | {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+        lines = block.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
+        return {"": lines[0]} | {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
     def body(self, n: int, most: int) -> Iterator[bytes]:
         while n:
@@ -168,53 +209,100 @@ class _Lines:
             yield piece
 
 
-CHUNK_SCHEMA = "record_id string, record_type string, page_id long, refers_to long, url string, header_digest string, header_bytes long, chunk int, data binary, digest string, last boolean"
+def _without_http_head(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What follows the HTTP head; all of it where there is none."""
+    held: bytes | None = b""
+    for piece in pieces:
+        if held is None:
+            yield piece
+            continue
+        held += piece
+        at = held.find(_END)
+        if at >= 0 or len(held) > MOST_HEAD:
+            yield held[at + len(_END) :] if at >= 0 else held
+            held = None
+    if held:
+        yield held
+
+
+def _chunks(pieces: Iterator[bytes], size: int) -> Iterator[tuple[bytes, bool]]:
+    """Chunks of ``size`` bytes, and whether each is the last; without any bytes one empty chunk."""
+    held = b""
+    for piece in pieces:
+        held += piece
+        while len(held) > size:
+            yield held[:size], False
+            held = held[size:]
+    yield held, True
+
+
+def _digest(text: str) -> str:
+    """Hex digits of a digest header, which other writers give in base 32."""
+    value = text.partition(":")[2] or text
+    try:
+        return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+    except ValueError:
+        return value
+
+
+CHUNK_SCHEMA = "record_id string, record_type string, page_id long, refers_to long, url string, header_digest string, header_bytes long, chunk int, data binary, digest string, upto long, last boolean"
 
 
 def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
     """The chunk table of the archives that ``manifest`` (path) names.
 
-    Each row holds one chunk and the SHA-1 of the payload up to its end; ``last``
-    marks a record's final row. A revisit is one row without bytes. ``with_data``
-    False leaves the bytes out.
+    Each row holds one chunk, the SHA-1 and the number of bytes of the payload up to
+    its end; ``last`` marks a record's final row. The payload of an HTTP message is
+    what follows its head, that of any other record its whole block. A record without
+    payload, a revisit say, is one row without bytes. Archives of other writers may be
+    plain or compressed and hold records of any type; what they do not tell is null.
+    ``with_data`` False leaves the bytes out.
     """
     store_uri = "file://"
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split(" ")[0] for x in CHUNK_SCHEMA.split(", ")]
+    names = [x.split(" ")[0] for x in CHUNK_SCHEMA.split(", ")]
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = [types[x.split(" ")[1]] for x in CHUNK_SCHEMA.split(", ")]
+
+    def whole(h: dict[str, str], name: str) -> int | None:
+        return int(h[name]) if h.get(name, "").isdigit() else None
+
+    def rows_of(h: dict[str, str], lines: _Lines) -> Iterator[list]:
+        length = int(h["content-length"])
+        body = lines.body(length, chunk_bytes)
+        if h.get("content-type", "").startswith("application/http"):
+            body = _without_http_head(body)
+        found = h.get("warc-payload-digest") or h.get("warc-block-digest")
+        name = h.get("warc-record-id", "").strip("<>")
+        first = [name.removeprefix("urn:uuid:"), h.get("warc-type"), whole(h, "x-page-id"), whole(h, "x-refers-to-page-id"), h.get("warc-target-uri"), found and _digest(found), whole(h, "x-payload-bytes")]
+        digest, upto = hashlib.sha1(), 0
+        for n, (piece, last) in enumerate(_chunks(body, chunk_bytes)):
+            digest.update(piece)
+            upto += len(piece)
+            yield [*first, n, piece if with_data else None, digest.hexdigest(), upto, last]
+        if next(lines.body(4, 4)) != _END:
+            raise OSError("record does not end where its length says")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
-            for path in batch["path"]:
+            for path in batch.column(0).to_pylist():
                 store, where = fs.FileSystem.from_uri(path if "://" in path else store_uri + path)
                 rows, held = [], 0
                 with store.open_input_stream(where, compression=None) as raw:
                     lines = _Lines(raw)
                     while (h := lines.head()) is not None:
-                        if h[""] != "WARC/1.1":
+                        if not h[""].startswith("WARC/1."):
                             raise OSError(f"not a WARC record: {h['']!r}")
-                        http = lines.head()
-                        length = int(h["x-payload-bytes"]) if h["warc-type"] == "response" else 0
-                        assert http is not None
-                        first = [h["warc-record-id"][10:-1], h["warc-type"], int(h["x-page-id"]) if "x-page-id" in h else None, int(h["x-refers-to-page-id"]) if "x-refers-to-page-id" in h else None, h["warc-target-uri"], h["warc-payload-digest"][5:], int(h["x-payload-bytes"])]
-                        digest, chunk, left = hashlib.sha1(), 0, length
-                        for piece in lines.body(length, chunk_bytes) if length else [b""]:
-                            digest.update(piece)
-                            left -= len(piece)
-                            rows.append([*first, chunk, piece if with_data else None, digest.hexdigest(), left == 0])
-                            chunk, held = chunk + 1, held + len(piece) * with_data + 300
+                        for row in rows_of(h, lines):
+                            rows.append(row)
+                            held += (len(row[8]) if with_data else 0) + 300
                             if held > 8 << 20:
-                                yield _frame(rows, names)
+                                yield pack(rows)
                                 rows, held = [], 0
-                        if next(lines.body(4, 4)) != _END:
-                            raise OSError("record does not end where its length says")
                 if rows:
-                    yield _frame(rows, names)
-
-    return manifest.select("path").mapInPandas(read, CHUNK_SCHEMA)
-
+                    yield pack(rows)
 
-def _frame(rows: list[list], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    return manifest.select("path").mapInArrow(read, CHUNK_SCHEMA)
 
 
 def archive_pages(pages: DataFrame, name: str = "warc") -> DataFrame:
@@ -228,14 +316,13 @@ def archive_pages(pages: DataFrame, name: str = "warc") -> DataFrame:
     total = pages.select(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
     # With fewer partitions than a shuffle has, the join would deal the payloads again.
     n_files = max(partitions(pages.sparkSession), -(-total // ARCHIVE_BYTES))
-    numbered = plan_records(pages, n_files).withColumn("copy", F.monotonically_increasing_id())
     # The written manifest is what later reads use: archives are made once.
-    manifest = scratch.save(write_archives(numbered, f"{scratch.root}/archives"), "manifest")
+    manifest = scratch.save(write_archives(plan_chunks(pages, n_files), f"{scratch.root}/archives"), "manifest")
     chunks = read_archives(manifest.repartition(max(1, manifest.count())), with_data=False)
     response = F.col("record_type") == "response"
     return chunks.filter("last").select(
         "page_id",
-        F.col("header_bytes").alias("payload_bytes"),
+        F.when(response, F.col("upto")).otherwise(F.col("header_bytes")).alias("payload_bytes"),
         F.when(response, F.col("digest")).otherwise(F.col("header_digest")).alias("payload_digest"),
         "record_type",
         "refers_to",
