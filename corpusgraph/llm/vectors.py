@@ -3,7 +3,7 @@
 Candidates and queries that share a key are dealt into blocks of bounded size;
 every candidate block meets every query block of its key in a task of its own,
 which hands on its k best for each query. A key with a third of all rows only
-makes more blocks.
+makes more blocks. Only vectors of equal length meet.
 """
 
 from __future__ import annotations
@@ -15,29 +15,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Candidates and queries in a block, on average.
-CANDIDATE_BLOCK = 2048
-QUERY_BLOCK = 512
+from .common import partitions
+
+#: Numbers in a block of candidates and of queries, about: as many rows as have so many components.
+CANDIDATE_NUMBERS = 1 << 20
+QUERY_NUMBERS = 1 << 18
+#: Candidates below which a block is not cut further to make more tasks.
+CANDIDATE_BLOCK = 1024
+
+Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table, pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def usable_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v): one row per id, without vectors that take no part.
 
-    Left out: null ids, null or empty vectors, vectors with a null or non-finite
-    component, and vectors whose length is not the commonest one (ties: the
-    longer). Of rows that share an id the smallest vector stands for all.
+    Left out: null ids, null or empty vectors, and vectors with a null or non-finite
+    component. Of rows that share an id the smallest vector stands for all. Vectors
+    of single precision stay so, all others become doubles.
     """
-    v = F.col(vector_col).cast("array<double>")
+    kind = table.schema[vector_col].dataType.simpleString()
+    v = F.col(vector_col).cast("array<float>" if kind == "array<float>" else "array<double>")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = table.select(F.col(id_col).alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite)
-    commonest = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.filter(F.size("v") == (commonest.n if commonest else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """(rows, length) doubles of lists of equal length."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in chunks]
+    return np.concatenate(flat).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -50,32 +57,42 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def search_grid(
-    candidates: DataFrame,
-    queries: DataFrame,
-    keys: list[str],
-    kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
-    score_type: str,
-) -> DataFrame:
+def search_grid(candidates: DataFrame, queries: DataFrame, keys: list[str], kernel: Kernel, score_type: str, dims: int | None = None) -> DataFrame:
     """(query_id, vec_id, score) of every block pair.
 
-    candidates: keys, vec_id, v; queries: keys, query_id, v. The number of keys
-    must be bounded by parameters. kernel(query ids, query rows, candidate ids,
-    candidate rows) gives positions of queries and candidates and their scores.
+    candidates: keys, vec_id, v; queries: keys, query_id, v; both may have columns of
+    their own for the kernel. The number of keys must be bounded by parameters.
+    kernel(query ids, query rows, candidate ids, candidate rows, query table,
+    candidate table) gives positions of queries and candidates and their scores.
+
+    Blocks are as large as memory allows, as a candidate travels once for each block
+    of queries and a query once for each block of candidates; without keys and while
+    there are fewer pairs of blocks than tasks, candidates are dealt into more.
+    ``dims`` is the length of the vectors, if known (the largest of several).
     """
-    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / size)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
+    left = candidates.withColumn("dims", F.size("v"))
+    right = queries.withColumn("dims", F.size("v"))
+    want = partitions(candidates.sparkSession)
+    size = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.max("dims"), F.lit(1)).alias("d")).first()
+    if not keys:
+        c, q = size(left), size(right)
+        dims = max(c.d, q.d)
+    dims = dims or size(left).d
+    c_rows, q_rows = max(1, CANDIDATE_NUMBERS // dims), max(1, QUERY_NUMBERS // dims)
+    blocks = lambda n, rows: F.greatest(F.lit(1), F.ceil(n / rows)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    mine = lambda col, n: F.pmod(F.xxhash64(col), n).cast("int")
     if keys:
-        sizes = F.broadcast(candidates.groupBy(*keys).agg(F.count("*").alias("n_c")).join(queries.groupBy(*keys).agg(F.count("*").alias("n_q")), keys))
-        left, right = candidates.join(sizes, keys), queries.join(sizes, keys)
+        sizes = F.broadcast(left.groupBy(*keys).agg(F.count("*").alias("n_c")).join(right.groupBy(*keys).agg(F.count("*").alias("n_q")), keys))
+        left, right = left.join(sizes, keys), right.join(sizes, keys)
+        qbs = blocks(F.col("n_q"), q_rows)
+        cbs = blocks(F.col("n_c"), c_rows)
     else:
-        counts = {"n_c": F.lit(candidates.count()), "n_q": F.lit(queries.count())}
-        left, right = candidates.withColumns(counts), queries.withColumns(counts)
-    dealt = {"cbs": blocks(F.col("n_c"), CANDIDATE_BLOCK), "qbs": blocks(F.col("n_q"), QUERY_BLOCK)}
-    left = left.withColumns(dealt).select(*keys, mine("vec_id", "cbs").alias("cb"), each("qbs").alias("qb"), "vec_id", "v")
-    right = right.withColumns(dealt).select(*keys, each("cbs").alias("cb"), mine("query_id", "qbs").alias("qb"), "query_id", F.col("v").alias("qv"))
-    cell = [*keys, "cb", "qb"]
+        n_q = max(1, -(-q.n // q_rows))
+        qbs, cbs = F.lit(n_q), F.lit(max(1, -(-c.n // c_rows), min(-(-c.n // CANDIDATE_BLOCK), -(-want // n_q))))
+    left = left.select(*[x for x in left.columns if x not in ("n_c", "n_q")], mine("vec_id", cbs).alias("cb"), each(qbs).alias("qb"))
+    right = right.select(*[x for x in right.columns if x not in ("n_c", "n_q", "v")], F.col("v").alias("qv"), each(cbs).alias("cb"), mine("query_id", qbs).alias("qb"))
+    cell = ["dims", *keys, "cb", "qb"]
     kind = pa.int64() if score_type == "long" else pa.float64()
 
     def meet(c: pa.Table, q: pa.Table) -> pa.Table:
@@ -83,7 +100,7 @@ def search_grid(
         if not len(c) or not len(q):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], kind)], names=names)
         ids, qids = c.column("vec_id").to_numpy(), q.column("query_id").to_numpy()
-        qi, ci, scores = kernel(qids, matrix(q.column("qv")), ids, matrix(c.column("v")))
+        qi, ci, scores = kernel(qids, matrix(q.column("qv")), ids, matrix(c.column("v")), q, c)
         return pa.table([pa.array(qids[qi], pa.int64()), pa.array(ids[ci], pa.int64()), pa.array(scores, kind)], names=names)
 
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, f"query_id long, vec_id long, score {score_type}")
