@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread_join
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -38,6 +38,12 @@ def _times(a: int, b: int) -> np.uint64:
 
 def sketches(elements: np.ndarray, begins: np.ndarray, bins: int = BINS) -> np.ndarray:
     """(sets, bins) coordinates; sets must not be empty."""
+    most = (1 << 24) // bins  # sets whose cells' numbers fit beside a value of 40 bits
+    parts = [_sketches(elements[begins[a] : begins[min(a + most, len(begins) - 1)]], begins[a : a + most + 1] - begins[a], bins) for a in range(0, len(begins) - 1, most)]
+    return np.concatenate(parts) if parts else np.zeros((0, bins), dtype=np.uint64)
+
+
+def _sketches(elements: np.ndarray, begins: np.ndarray, bins: int) -> np.ndarray:
     n = len(begins) - 1
     out = np.zeros((n, bins), dtype=np.uint64)
     filled = np.zeros((n, bins), dtype=bool)
@@ -112,9 +118,10 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("p"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("q"))
-    met = pairs.join(left, F.col("u") == F.col("a")).drop("a").join(right, F.col("v") == F.col("b"))
+    left = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("p"))
+    right = sets.select(F.col("doc_id").alias("v"), F.col("s").alias("q"))
+    # A leader may be the v of very many pairs.
+    met = spread_join(pairs.select("u", "v"), right, ["v"]).join(left, "u")
     return met.select("u", "v", "p", "q").mapInArrow(run, "u long, v long")
 
 
@@ -131,7 +138,7 @@ def link_cells(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     as_out = F.transform(F.when(F.col("out"), each("mbs")).otherwise(F.array().cast("array<int>")), lambda i: F.struct(mine("obs").alias("ob"), i.alias("mb"), F.lit(True).alias("outer")))
     as_member = F.transform(each("obs"), lambda i: F.struct(i.alias("ob"), mine("mbs").alias("mb"), F.lit(False).alias("outer")))
-    placed = members.join(sizes, "lead").join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep").select("lead", "rep", "c", "s", F.explode(F.concat(as_out, as_member)).alias("cell"))
+    placed = spread_join(members, sizes, ["lead"]).join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep").select("lead", "rep", "c", "s", F.explode(F.concat(as_out, as_member)).alias("cell"))
     rows = placed.select("lead", "cell.ob", "cell.mb", "cell.outer", "rep", "c", "s")
 
     def meet(t: pa.Table) -> pa.Table:
@@ -174,10 +181,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.save(sketch_documents(docs), "rows")
-    classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    worded = rows.filter("n_shingles > 0 and doc_id is not null")
+    classes = worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
     leaders = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("many")).filter("many > 1").select("key", "lead")
-    shared = scratch.save(members.join(leaders, "key").select("rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")).distinct(), "shared")
+    shared = scratch.save(spread_join(members, leaders, ["key"]).select("rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")).distinct(), "shared")
     star = shared.filter((F.col("rep") != F.col("lead")) & _alike(F.col("n"), F.col("lead_n"))).select(F.col("rep").alias("u"), F.col("lead").alias("v"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = scratch.save(packed_sets(texts), "sets")
@@ -186,14 +194,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # What the stars left apart: members of one leader's buckets in several components. Pairs with the leader itself are done.
     now = shared.join(known, F.col("rep") == F.col("node"), "left").select("lead", "rep", F.coalesce("component", "rep").alias("c"))
     parts = now.groupBy("lead", "c").agg(F.count("*").alias("many")).groupBy("lead").agg(F.max(F.struct("many", "c")).alias("top"), F.count("*").alias("parts"), F.sum("many").alias("all")).filter("parts > 1 and all > 2")
-    left = scratch.save(now.join(parts.select("lead", F.col("top.c").alias("largest")), "lead").select("lead", "rep", "c", (F.col("c") != F.col("largest")).alias("out")), "left")
+    left = scratch.save(spread_join(now, parts.select("lead", F.col("top.c").alias("largest")), ["lead"]).select("lead", "rep", "c", (F.col("c") != F.col("largest")).alias("out")), "left")
     more = scratch.save(link_cells(left, sets).distinct(), "cells")
     tree = known.select(F.col("node").alias("u"), F.col("component").alias("v"))
     found = components(tree.unionByName(more), scratch, "second")
     reps = classes.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
-    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(reps, ["h1", "h2"], "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    linked = spread_join(worded.select("doc_id", "n_shingles", "h1", "h2"), reps, ["h1", "h2"]).select("doc_id", "n_shingles", F.col("c").alias("component_id"))
+    alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
