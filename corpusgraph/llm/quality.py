@@ -1,7 +1,8 @@
 """Quality classifier: naive Bayes support vectors over hashed n-grams.
 
-A text's features are indicators of its word n-grams (one and two words) and of
-its word-shape n-grams (one to three words). Each indicator is scaled by the log
+A text's features are indicators of its word n-grams (one and two words), of its
+word-shape n-grams (one to three words) and of the byte n-grams of long words, so
+that text without spaces has as many as any. Each indicator is scaled by the log
 ratio of its class counts; a linear hinge-loss model on the scaled, length-
 normalised indicators is fitted by dual coordinate descent.
 """
@@ -12,16 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches
-from .words import byte_steps, text_bytes, word_spans
+from .words import byte_steps, hash_words, text_bytes, word_spans
 
 #: Hashed features.
 BITS = 18
-#: Labelled rows that the model is fitted on, at most, of each class; the sample is chosen by hash of the id.
+#: Labelled rows that the model is fitted on, at most, of each class, and their features in all; the sample is chosen by hash of the id.
 MOST_TRAINING = 3000
+MOST_FEATURES = 30_000_000
+#: A word of more bytes also gives all its strings of GRAM_BYTES bytes (two letters of most scripts without spaces).
+LONG_WORD = 24
+GRAM_BYTES = 6
 #: Added to every class count.
 SMOOTHING = 1.0
 COST = 1.0
@@ -42,16 +47,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _hash_words(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """From a word's first and last eight bytes and its length."""
-    padded = np.concatenate([np.zeros(8, np.uint8), raw, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(raw) + 9, dtype="<u8", buffer=padded, strides=(1,))
-    size = stops - starts
-    cut = (8 - np.minimum(size, 8)).astype(np.uint64) * np.uint64(8)
-    head, tail = eight[starts + 8] << cut, eight[stops] >> cut << cut
-    return _mix(head * _M1 + _mix(tail + size.astype(np.uint64)))
-
-
 def _shapes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, words: np.ndarray, first: np.ndarray) -> np.ndarray:
     """First and last three character classes of each word, and whether it repeats the word before it."""
     kind = _CLASS[raw]
@@ -64,6 +59,17 @@ def _shapes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, words: np.nd
     return _mix(shape * _M1)
 
 
+def _byte_grams(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all strings of GRAM_BYTES bytes of the long words, and their texts."""
+    long = np.flatnonzero(stops - starts > LONG_WORD)
+    n = stops[long] - starts[long] - GRAM_BYTES + 1
+    at = np.repeat(starts[long] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    cut = np.uint64(64 - 8 * GRAM_BYTES)
+    return _mix((eight[at] << cut >> cut) * _M1 + np.uint64(4)), np.repeat(text_of[long], n)
+
+
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each STEP texts: their number within the column and feature, both sorted, without repeats."""
     raw_all, ends_all = text_bytes(column)
@@ -75,11 +81,13 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _features(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     starts, stops, first = word_spans(raw, ends)
     n, width = len(first) - 1, np.uint64(64 - BITS)
-    words = _hash_words(raw, starts, stops)
+    words = hash_words(raw, starts, stops)
     shapes = _shapes(raw, starts, stops, words, first)
     text_of = np.repeat(np.arange(n), np.diff(first))
     grams = [(words, 0), (_mix(words[:-1] * _M1 + words[1:]), 1), (shapes + np.uint64(1), 0), (_mix(shapes[:-1] * _M1 + shapes[1:] + np.uint64(2)), 1), (_mix(_mix(shapes[:-2] * _M1 + shapes[1:-1]) * _M1 + shapes[2:] + np.uint64(3)), 2)]
     hashed = [((g * _M2) >> width).astype(np.int64) for g, _ in grams]
+    inner, inner_of = _byte_grams(raw, starts, stops, text_of)
+    inner = ((inner * _M2) >> width).astype(np.int64)
     for a in range(0, n, STEP):
         b = min(a + STEP, n)
         seen = np.zeros((b - a) << BITS, dtype=bool)
@@ -88,6 +96,8 @@ def _features(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, n
             t = text_of[i:j]
             one_text = t == text_of[i + more : j + more]
             seen[((t - a)[one_text] << BITS) + h[i:j][one_text]] = True
+        i, j = np.searchsorted(inner_of, [a, b])
+        seen[(inner_of[i:j] - a << BITS) + inner[i:j]] = True
         at = np.flatnonzero(seen)
         yield (at >> BITS) + a, at & ((1 << BITS) - 1)
 
@@ -125,11 +135,13 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> tuple[np.ndarray, float]:
-    """Fits on at most ``most`` labelled ids of each class that are not held out (the bounded sample of this operator).
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, most_features: int = MOST_FEATURES) -> tuple[np.ndarray, float]:
+    """Fits on at most ``most`` labelled ids of each class that are not held out, and on at most ``most_features`` features in all (the bounded sample of this operator).
 
-    Rows of ``labels`` without id or quality are left out; an id with both labels
-    counts as both. No label or only one class: every score is 0.5.
+    The sample is taken in the order of the ids' hashes. Rows of ``labels`` without
+    id or quality are left out; an id with both labels counts as both; of an id's
+    several texts the one of least hash counts. No label or only one class: every
+    score is 0.5.
     """
     bound_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")).filter(F.col("_id").isNotNull() & F.col("_quality").isin(0, 1) & ~held_out(F.col("_id")))
@@ -138,16 +150,21 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> tupl
         part = usable.filter(F.col("_quality") == quality).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "_quality", "text")
+    schema = "_doc long, _quality int, _hash long, f array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, f in features(b.column(2)):
+            for at, f in features(b.column(3)):
                 rows = np.unique(at)
                 edges = np.searchsorted(at, [*rows, at[-1] + 1 if len(at) else 0])
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(f, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), lists], names=["_doc", "_quality", "f"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(rows)) for i in range(3)), lists], names=["_doc", "_quality", "_hash", "f"])
 
-    got = texts.mapInArrow(run, "_doc long, _quality int, f array<int>").toArrow().sort_by([("_doc", "ascending"), ("_quality", "ascending")])
+    found = texts.select("_doc", "_quality", F.xxhash64("text").alias("_hash"), "text").mapInArrow(run, schema)
+    one = found.groupBy("_doc", "_quality").agg(F.min_by("f", F.struct("_hash", F.size("f"))).alias("f"))
+    # At most 2 * most rows are left, so one task can add up their sizes.
+    upto = F.sum(F.size("f")).over(Window.orderBy(F.xxhash64("_doc"), "_doc", "_quality").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = one.withColumn("_upto", upto).filter(F.col("_upto") <= most_features).drop("_upto").toArrow().sort_by([("_doc", "ascending"), ("_quality", "ascending")])
     lists = got.column("f").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     values, ends = np.asarray(lists.values), np.asarray(lists.offsets)

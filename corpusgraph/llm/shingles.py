@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .words import LOWER, byte_steps, text_bytes, word_spans
+from .words import LOWER, byte_steps, hash_words, mix, text_bytes, word_spans
 
 #: Words in a shingle.
 WORDS = 5
@@ -13,32 +13,11 @@ WORDS = 5
 STEP_BYTES = 1_000_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_LETTER = np.random.default_rng(51).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_POWERS = [np.ones(1, dtype=np.uint64)]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _M2
-    x = (x ^ (x >> np.uint64(29))) * _M1
-    return x ^ (x >> np.uint64(32))
-
-
-def _powers(n: int) -> np.ndarray:
-    if len(_POWERS[0]) < n:
-        with np.errstate(over="ignore"):
-            _POWERS[0] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1024) - 1, _M1, dtype=np.uint64)]), dtype=np.uint64)
-    return _POWERS[0]
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """A hash of each word's bytes, A-Z lower-cased."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    sizes = stops - starts
-    inside = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    place = inside - np.repeat(starts, sizes)
-    value = _LETTER[LOWER[raw[inside]]] * _powers(int(sizes.max()))[place]
-    return mix(np.add.reduceat(value, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
+    return hash_words(LOWER[raw], starts, stops)
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS):

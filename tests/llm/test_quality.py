@@ -40,3 +40,54 @@ def test_dual_coordinate_descent_separates_and_odd_inputs(spark):
     got = Q.judge_quality(docs, labels).collect()
     assert len(got) == 4 and all(r.score == 0.5 and r.predicted == 1 for r in got)
     assert Q.judge_quality(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def feature_sets(*texts):
+    import pyarrow as pa
+
+    out = [set() for _ in texts]
+    for at, f in Q.features(pa.array(texts, pa.string())):
+        for i, x in zip(at.tolist(), f.tolist(), strict=True):
+            out[i].add(x)
+    return out
+
+
+def test_every_byte_of_a_word_counts():
+    x, y = "a" * 8 + "p" * 3000 + "b" * 8, "a" * 8 + "p" * 1500 + "q" + "p" * 1499 + "b" * 8
+    a, b, c, d = feature_sets(x, y, "one two", "one twp")
+    assert a != b and c != d
+    chinese = "".join(chr(0x4E00 + i * 7 % 3000) for i in range(800))
+    whole, half, none = feature_sets(chinese, chinese[:400], "")
+    assert len(whole) > 1500 and half < whole | half and len(half - whole) < 10 and not none
+
+
+def test_fit_against_a_second_solver():
+    """The dual solved by projected gradient steps of a dense matrix."""
+    rng = np.random.default_rng(1)
+    y = np.where(rng.random(40) < 0.4, 1, 0)
+    texts = [np.unique(np.concatenate([rng.integers(0, 60, 12), [100 + 7 * v, 200 + rng.integers(0, 9)]])) for v in y]
+    w, bias = Q.fit(texts, y)
+    n = 1 << Q.BITS
+    sign = np.where(y == 1, 1.0, -1.0)
+    count = {s: np.bincount(np.concatenate([t for t, c in zip(texts, sign, strict=True) if c == s]), minlength=n) + Q.SMOOTHING for s in (1.0, -1.0)}
+    ratio = np.log(count[1.0] / count[1.0].sum()) - np.log(count[-1.0] / count[-1.0].sum())
+    dense = np.zeros((len(y), n + 1))
+    for i, t in enumerate(texts):
+        dense[i, t], dense[i, n] = ratio[t] / np.sqrt(len(t)), 1.0
+    gram = (dense * sign[:, None]) @ (dense * sign[:, None]).T
+    most = Q.COST * len(y) / (2.0 * np.where(sign > 0, (sign > 0).sum(), (sign < 0).sum()))
+    alpha = np.zeros(len(y))
+    step = 1.0 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(200_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1.0), 0.0, most)
+    want = (alpha * sign) @ dense
+    assert np.abs(w - want[:n] * ratio).max() < 0.02 and abs(bias - want[n]) < 0.02
+
+
+def test_bounds_of_the_sample_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(i, ("good plain words here " if i % 2 else "BAD!!! $$$ junk 123 ") * 3) for i in range(40)] + [(1, "other text")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    again = Q.train(docs, labels), Q.train(docs.repartition(7), labels)
+    assert np.allclose(again[0][0], again[1][0]) and again[0][1] == again[1][1]
+    w, bias = Q.train(docs, labels, most_features=0)
+    assert not w.any() and bias == 0.0
