@@ -96,9 +96,13 @@ def parse_questions(reply: Column) -> Column:
     return F.coalesce(F.from_json(reply, QUESTIONS)["questions"], F.array().cast("array<string>"))
 
 
+def questions_prompt(n: int) -> str:
+    return f'Write {n} questions that this text answers as JSON {{"questions": [...]}}:\n'
+
+
 def generate_questions(chunks: DataFrame, make_generator, n: int = 2, tasks: int | None = None) -> DataFrame:
     """``chunks`` with questions: what a reader could ask that the text answers."""
-    prompt = F.concat(F.lit(f'Write {n} questions that this text answers as JSON {{"questions": [...]}}:\n'), "text")
+    prompt = F.concat(F.lit(questions_prompt(n)), "text")
     told = map_with_fallback(chunks.withColumn("_prompt", prompt), ["_prompt"], make_generator, "_reply", tasks)
     return told.withColumn("questions", parse_questions(F.col("_reply"))).drop("_prompt", "_reply", "error")
 

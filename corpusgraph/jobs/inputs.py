@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.models import encode
+from .reports import HEADER
 
 DECORATIONS = {
     0: "concat('[12] Smith ', line)",
@@ -34,7 +35,7 @@ LINES_SQL = f"""
 lines AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS block_no, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)),
 blocks AS (SELECT 'doc' || doc_id || '.pdf' AS source_file, CAST(block_no // 20 + 1 AS INTEGER) AS page, CAST(block_no AS INTEGER) AS block_no, doc_id,
   CAST(block_no * 10 % 50 AS DOUBLE) AS x0, CAST(block_no % 20 * 20 AS DOUBLE) AS y0, CAST(block_no * 10 % 50 + 100 + block_no % 7 * 10 AS DOUBLE) AS x1, CAST(block_no % 20 * 20 + 15 AS DOUBLE) AS y1, {DECORATE} AS text FROM lines),
-page_tables AS (SELECT 'doc' || doc_id || '.pdf' AS source_file, 1 AS page, 0 AS table_no, 0.0::DOUBLE AS x0, 30.0::DOUBLE AS y0, 120.0::DOUBLE AS x1, CAST(30 + doc_id % 5 * 20 AS DOUBLE) AS y1, '| a | b |' || chr(10) || substr(text, 1, doc_id % 40) AS markdown FROM documents WHERE text IS NOT NULL)"""
+page_tables AS (SELECT 'doc' || doc_id || '.pdf' AS source_file, 1 AS page, 0 AS table_no, 0.0::DOUBLE AS x0, 30.0::DOUBLE AS y0, 120.0::DOUBLE AS x1, CAST(30 + doc_id % 5 * 20 AS DOUBLE) AS y1, CASE WHEN doc_id % 8 = 0 THEN '| a | b |' ELSE '| a | b |' || chr(10) || text END AS markdown FROM documents WHERE text IS NOT NULL)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,26 +59,27 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    markdown = F.concat(F.lit("| a | b |\n"), F.expr("substr(text, 1, cast(doc_id % 40 as int))"))
+    markdown = F.when(F.col("doc_id") % 8 == 0, "| a | b |").otherwise(F.concat(F.lit("| a | b |\n"), "text"))
     box = [F.lit(0.0).alias("x0"), F.lit(30.0).alias("y0"), F.lit(120.0).alias("x1"), (30 + F.col("doc_id") % 5 * 20).cast("double").alias("y1")]
     return docs.select(_file().alias("source_file"), F.lit(1).alias("page"), F.lit(0).alias("table_no"), *box, markdown.alias("markdown"))
 
 
 PAGES_SQL = r"""
-page_text AS (SELECT 'p' || page_id || '.pdf' AS source_file, 1 AS page, 'intro ' || page_id || chr(10) || 'Figure 7. first ' || chr(9) || ' caption ' || page_id || chr(10) || 'second line' || chr(10) || chr(10) || 'fig 2: small' || chr(10) || chr(10) || '图 3 说明' || (page_id % 5) AS raw_text FROM pages),
-page_images AS (SELECT 'p' || page_id || '.pdf' AS source_file, 1 AS page, CAST(i AS INTEGER) AS figure_index, CAST(100 + page_id % 3 * 60 + i * 10 AS INTEGER) AS width, CAST(140 + i * 20 AS INTEGER) AS height, 4000 + page_id % 7 * 500 AS n_bytes, 'png' AS ext FROM pages, range(4) t(i))"""
+page_text AS (SELECT 'p' || page_id || '.pdf' AS source_file, 1 AS page, 'intro ' || page_id || chr(10) || 'Figure 7. first ' || chr(9) || ' caption ' || coalesce(url, '') || chr(10) || 'second line' || chr(10) || chr(10) || coalesce(html, '') || chr(10) || chr(10) || 'fig 2: small' || chr(10) || chr(10) || '图 3 说明' || (page_id % 5) AS raw_text FROM pages),
+page_images AS (SELECT 'p' || page_id || '.pdf' AS source_file, 1 AS page, CAST(i AS INTEGER) AS figure_index, CAST(100 + page_id % 3 * 60 + i * 10 AS INTEGER) AS width, CAST(140 + i * 20 AS INTEGER) AS height, 4000 + length(coalesce(html, '')) % 3000 AS n_bytes, 'png' AS ext FROM pages, range(4) t(i))"""
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("page_id").cast("string")
-    raw = F.concat(F.lit("intro "), p, F.lit("\nFigure 7. first \t caption "), p, F.lit("\nsecond line\n\nfig 2: small\n\n图 3 说明"), (F.col("page_id") % 5).cast("string"))
+    given = lambda c: F.coalesce(F.col(c), F.lit(""))
+    raw = F.concat(F.lit("intro "), p, F.lit("\nFigure 7. first \t caption "), given("url"), F.lit("\nsecond line\n\n"), given("html"), F.lit("\n\nfig 2: small\n\n图 3 说明"), (F.col("page_id") % 5).cast("string"))
     return table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), p, F.lit(".pdf")).alias("source_file"), F.lit(1).alias("page"), raw.alias("raw_text"))
 
 
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, p = F.col("figure_index"), F.col("page_id")
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("figure_index"))
-    return rows.select(F.concat(F.lit("p"), p.cast("string"), F.lit(".pdf")).alias("source_file"), F.lit(1).alias("page"), "figure_index", (100 + p % 3 * 60 + i * 10).cast("int").alias("width"), (140 + i * 20).cast("int").alias("height"), (4000 + p % 7 * 500).alias("n_bytes"), F.lit("png").alias("ext"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.length(F.coalesce("html", F.lit(""))).alias("size"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("figure_index"))
+    return rows.select(F.concat(F.lit("p"), p.cast("string"), F.lit(".pdf")).alias("source_file"), F.lit(1).alias("page"), "figure_index", (100 + p % 3 * 60 + i * 10).cast("int").alias("width"), (140 + i * 20).cast("int").alias("height"), (4000 + F.col("size") % 3000).cast("long").alias("n_bytes"), F.lit("png").alias("ext"))
 
 
 TRIPLES_SQL = r"""
@@ -169,28 +171,71 @@ def term_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 REPORTS_SQL = r"""
-li AS (SELECT l_orderkey AS k, l_linenumber % 4 AS n, l_quantity AS qty, l_discount AS disc, l_tax AS tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord FROM lineitem),
-nodes AS (SELECT k, ord, CASE n WHEN 0 THEN 'cooling' WHEN 1 THEN 'warpage' WHEN 2 THEN 'packing' ELSE 'filling' END AS stage, CASE n WHEN 0 THEN 'MoldTemperatureDifference' WHEN 1 THEN 'TotalDisplacement' WHEN 2 THEN 'GateFreezeTime' ELSE 'MeltFrontTime' END AS field,
-  CASE n WHEN 0 THEN qty WHEN 1 THEN disc * 10 WHEN 2 THEN qty / 9.7::DOUBLE ELSE tax END AS m FROM li),
-last_nodes AS (SELECT k, stage, field, m FROM (SELECT *, row_number() OVER (PARTITION BY k, stage, field ORDER BY ord DESC) AS back FROM nodes JOIN orders ON o_orderkey = k) WHERE back = 1),
-runs AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_key, o_orderkey % 9 / 2 AS packing_time_s, o_orderstatus, (SELECT m FROM last_nodes WHERE k = o_orderkey AND stage = 'warpage') AS warpage, (SELECT m FROM last_nodes WHERE k = o_orderkey AND stage = 'cooling') AS dt,
-  (SELECT m FROM last_nodes WHERE k = o_orderkey AND stage = 'packing') AS freeze_s, (SELECT m FROM last_nodes WHERE k = o_orderkey AND stage = 'filling') AS fill_s FROM orders)"""
+li AS (SELECT l_orderkey AS k, l_linenumber AS ln, l_linenumber % 4 AS n, l_suppkey % 3 AS sup, l_quantity AS qty, l_discount AS disc, l_tax AS tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord FROM lineitem),
+nodes AS (SELECT k, ord, CASE n WHEN 0 THEN 'cooling' WHEN 1 THEN 'warpage' WHEN 2 THEN 'packing' ELSE 'filling' END AS stage,
+  CASE n WHEN 0 THEN 'MoldTemperatureDifference' WHEN 1 THEN CASE WHEN ln = 5 THEN 'ThermallyInducedResidualVonMisesStress' ELSE 'TotalDisplacement' END WHEN 2 THEN 'GateFreezeTime' ELSE CASE sup WHEN 0 THEN 'MeltFrontTime' WHEN 1 THEN 'XY_ClampingForce' ELSE 'XY_SpruePressure' END END AS field,
+  CASE n WHEN 0 THEN qty WHEN 1 THEN CASE WHEN ln = 5 THEN qty ELSE disc * 10 END WHEN 2 THEN qty * 0.13::DOUBLE ELSE tax END AS m, CASE WHEN ln % 2 = 1 THEN -1.5::DOUBLE END AS least FROM li),
+last_nodes AS (SELECT k, stage, field, m, least FROM (SELECT *, row_number() OVER (PARTITION BY k, stage, field ORDER BY ord DESC) AS back FROM nodes JOIN orders ON o_orderkey = k) WHERE back = 1),
+runs AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_key, o_orderkey % 9 / 2 AS packing_time_s, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 11 * 0.37::DOUBLE END AS header_freeze, nullif(o_orderkey % 6, 0)::DOUBLE AS part_weight, (o_orderkey % 7)::DOUBLE AS runner_weight, max(m) FILTER (field = 'TotalDisplacement') AS warpage, max(m) FILTER (field = 'MoldTemperatureDifference') AS dt,
+  max(m) FILTER (field = 'GateFreezeTime') AS freeze_s, max(m) FILTER (field = 'MeltFrontTime') AS fill_s, max(m) FILTER (field = 'XY_ClampingForce') AS clamp, max(m) FILTER (field = 'XY_SpruePressure') AS sprue, max(m) FILTER (field = 'ThermallyInducedResidualVonMisesStress') AS stress FROM orders LEFT JOIN last_nodes ON k = o_orderkey GROUP BY o_orderkey)"""
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, raw): a JSON report of every order; its line items are the statistic nodes, in line order."""
-    n = F.col("l_linenumber") % 4
-    tag = F.when(n == 0, "Cooling_MoldTemperatureDifference").when(n == 1, "Warpage_TotalDisplacement").when(n == 2, "Packing_GateFreezeTime").otherwise("Filling_MeltFrontTime")
-    most = F.when(n == 0, F.col("l_quantity").cast("double")).when(n == 1, F.col("l_discount").cast("double") * 10).when(n == 2, F.col("l_quantity").cast("double") / 9.7).otherwise(F.col("l_tax").cast("double"))
-    node = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(tag.alias("Tag"), most.cast("string").alias("Statistics_Max"), F.lit(" mm ").alias("Unit")).alias("node"))
-    nodes = table(spark, sf_dir, "lineitem").select("l_orderkey", node.alias("n")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("n")).alias("ns"))
+    """(path, raw): a JSON report of every order; its line items are the statistic nodes, in line order.
+
+    By line number a node's largest value stands where a reader looks first, second or
+    third, behind values that count as missing.
+    """
+    ln, n = F.col("l_linenumber"), F.col("l_linenumber") % 4
+    filling = F.when(F.col("l_suppkey") % 3 == 0, "Filling_MeltFrontTime").when(F.col("l_suppkey") % 3 == 1, "Filling_XY_ClampingForce").otherwise("Filling_XY_SpruePressure")
+    tag = F.when(n == 0, "Cooling_MoldTemperatureDifference").when(ln == 5, "Warpage_ThermallyInducedResidualVonMisesStress").when(n == 1, "Warpage_TotalDisplacement").when(n == 2, "Packing_GateFreezeTime").otherwise(filling)
+    quantity = F.col("l_quantity").cast("double")
+    most = F.when((n == 0) | (ln == 5), quantity).when(n == 1, F.col("l_discount").cast("double") * 10).when(n == 2, quantity * 0.13).otherwise(F.col("l_tax").cast("double")).cast("string")
+    quoted = F.concat(F.lit('"'), most, F.lit('"'))
+    value = F.when(ln % 3 == 0, F.concat(F.lit('"Statistics_Max":'), quoted)).when(ln % 3 == 1, F.concat(F.lit('"Statistics_Max":0,"History_Y_YMax":'), quoted)).otherwise(F.concat(F.lit('"Statistics_Max":"","History_Y_YMax":null,"Y_SpecificTime":'), quoted))
+    least = F.when(ln % 2 == 1, ',"Statistics_Min":0,"History_Y_YMin":"-1.5"').otherwise("")
+    node = F.concat(F.lit('{"Tag":"'), tag, F.lit('",'), value, least, F.lit(',"Unit":" mm "}'))
+    nodes = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", node.alias("node")).alias("n")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("n")).alias("ns"))
     orders = table(spark, sf_dir, "orders").join(nodes, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    key = F.col("o_orderkey")
     base = F.struct(
-        F.concat(F.lit("Run"), F.col("o_orderkey").cast("string")).alias("Value_Run_ID"),
-        (F.col("o_orderkey") % 9 / 2).cast("string").alias("Value_Process_PackingTime"),
+        F.concat(F.lit("Run"), key.cast("string")).alias("Value_Run_ID"),
+        (key % 9 / 2).cast("string").alias("Value_Process_PackingTime"),
         F.lit("60").alias("Value_Process_MoldTemperature"),
         F.lit(" 1_000 ").alias("Value_Mesh_ElementNumber"),
         F.col("o_orderstatus").alias("Value_Material_PartType"),
+        F.when(key % 4 > 0, (key % 11 * 0.37).cast("string")).alias("Value_GateFreezeTime"),
+        F.when(key % 6 > 0, (key % 6).cast("string")).otherwise("").alias("Value_Result_TotalPartWeight"),
+        (key % 7).cast("string").alias("Value_Result_TotalRunnerWeight"),
     )
-    items = F.coalesce(F.transform("ns", lambda x: x["node"]), F.array().cast("array<struct<Tag:string,Statistics_Max:string,Unit:string>>"))
-    return orders.select(F.col("o_orderkey").cast("string").alias("path"), F.to_json(F.struct(base.alias("CBASE"), items.alias("Items"))).alias("raw"))
+    items = F.array_join(F.coalesce(F.transform("ns", lambda x: x["node"]), F.array().cast("array<string>")), ",")
+    raw = F.concat(F.lit('{"CBASE":'), F.to_json(base), F.lit(',"Parts":[{"Items":['), items, F.lit("]}]}"))
+    return orders.select(key.cast("string").alias("path"), raw.alias("raw"))
+
+
+#: Header fields in order; what a supplier's report says of field i, by (7 * key + i) % 5: nothing, "", a number, a text, a number in digit groups.
+HEADER_FIELDS = [(f"{section}.{field}", key, number) for section, fields in HEADER.items() for field, key, number in fields]
+
+
+def supplier_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, raw): a JSON report of every supplier with all header fields."""
+    k = F.col("s_suppkey")
+
+    def told(i: int) -> Column:
+        kind = (7 * k + i) % 5
+        return F.when(kind == 1, "").when(kind == 2, (k * i).cast("string")).when(kind == 3, f"text {i}").when(kind == 4, f" 1_{i:03d}.5 ")
+
+    base = F.struct(*[told(i).alias(key) for i, (_, key, _) in enumerate(HEADER_FIELDS)])
+    return table(spark, sf_dir, "supplier").select(k.alias("key"), F.to_json(F.struct(base.alias("CBASE"))).alias("raw"))
+
+
+def _header_sql() -> str:
+    cells = ["s_suppkey::VARCHAR AS run_key"]
+    for i, (name, _, number) in enumerate(HEADER_FIELDS):
+        kind, field = f"(7 * s_suppkey + {i}) % 5", name.split(".")[1]
+        text = f"CASE {kind} WHEN 1 THEN '' WHEN 2 THEN (s_suppkey * {i})::VARCHAR WHEN 3 THEN 'text {i}' WHEN 4 THEN ' 1_{i:03d}.5 ' END"
+        cells += [f"CASE {kind} WHEN 2 THEN (s_suppkey * {i})::DOUBLE WHEN 4 THEN {1000 + i}.5::DOUBLE END AS \"{field}\"", f"nullif({text}, '') AS \"{field}_raw\""] if number else [f"{text} AS \"{field}\""]
+    return "SELECT " + ", ".join(cells) + " FROM supplier"
+
+
+HEADERS_SQL = _header_sql()

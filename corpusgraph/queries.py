@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from .jobs import answer
 from .jobs import inputs as I
 from .jobs import reports as D
 from .operators import align, fuse, graph, layout, search
+from .sources import tables
 
 TOP = 40
 
@@ -350,11 +354,15 @@ seed_e AS (SELECT query_id, head, tail, relation, "index" AS chunk_index, score,
 seed_d AS (SELECT query_id, node, greatest(0.0, max(score)) AS score, min(seen) AS seen FROM (SELECT query_id, head AS node, score, 2 * rank AS seen FROM seed_e UNION ALL SELECT query_id, tail, score, 2 * rank + 1 FROM seed_e) GROUP BY ALL)"""
 EXPAND_SQL = """
 pair AS (SELECT *, min(edge_id) OVER (PARTITION BY head, tail) AS grp FROM edges),
-adj AS (SELECT head AS node, tail AS nbr, 0::BIGINT AS dir, grp, edge_id, chunk_index FROM pair UNION ALL SELECT tail, head, 1, grp, edge_id, chunk_index FROM pair),
-c1 AS (SELECT s.query_id, a.nbr, a.chunk_index, 1 AS hop, s.score * 0.82::DOUBLE AS w, list_concat(s.path, [a.dir, a.grp, a.edge_id]) AS path FROM seeds s JOIN adj a ON a.node = s.node),
+adj AS (SELECT head AS node, tail AS nbr, 0::BIGINT AS dir, grp, edge_id, chunk_index, relation FROM pair UNION ALL SELECT tail, head, 1, grp, edge_id, chunk_index, relation FROM pair),
+c1 AS (SELECT s.query_id, s.node, a.nbr, a.dir, a.relation, a.chunk_index, 1 AS hop, s.score * 0.82::DOUBLE AS w, list_concat(s.path, [a.dir, a.grp, a.edge_id]) AS path FROM seeds s JOIN adj a ON a.node = s.node),
 b1 AS (SELECT c1.*, greatest(coalesce(s.score, 0.0), coalesce(max(w) OVER (PARTITION BY c1.query_id, nbr ORDER BY c1.path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS before FROM c1 LEFT JOIN seeds s ON s.query_id = c1.query_id AND s.node = nbr),
-c2 AS (SELECT b.query_id, a.nbr, a.chunk_index, 2 AS hop, b.w * 0.82::DOUBLE AS w, b.path FROM b1 b JOIN adj a ON a.node = b.nbr WHERE b.w > b.before),
-contrib AS (SELECT query_id, chunk_index, hop, w FROM c1 UNION ALL SELECT query_id, chunk_index, hop, w FROM c2)"""
+c2 AS (SELECT b.query_id, a.node, a.nbr, a.dir, a.relation, a.chunk_index, 2 AS hop, b.w * 0.82::DOUBLE AS w, list_concat(b.path, [a.dir, a.grp, a.edge_id]) AS path FROM b1 b JOIN adj a ON a.node = b.nbr WHERE b.w > b.before),
+contrib AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2)"""
+CHAINS_SQL = """
+told AS (SELECT query_id, chunk_index, [-1::BIGINT, rank::BIGINT] AS o, 'SeedTriple: (' || head || ') -[' || relation || ']-> (' || tail || ') [score=' || printf('%.3f', score) || ']' AS chain FROM seed_e
+  UNION ALL SELECT query_id, chunk_index, list_concat([hop::BIGINT], path), CASE WHEN dir = 0 THEN 'Out: (' || node || ') -[' || relation || ']-> (' || nbr ELSE 'In: (' || nbr || ') -[' || relation || ']-> (' || node END || ') [hop=' || hop || ', score=' || printf('%.3f', w) || ']' FROM contrib)
+SELECT query_id, chunk_index, (row_number() OVER (PARTITION BY query_id, chunk_index ORDER BY o, chain) - 1)::INTEGER AS pos, chain FROM told JOIN by_graph USING (query_id, chunk_index)"""
 
 
 # --- reports -----------------------------------------------------------------------------------
@@ -376,7 +384,8 @@ def _runs(spark, sf_dir):
 
 def report_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _runs(spark, sf_dir)
-    return s.select("run_key", *[F.round(c, 6).alias(c) for c in ("actual_filling_time_s", "warpage_mm", "mold_temp_diff", "packing_gate_freeze")], "packing_time_s", "gate_freeze_time_s", "max_sprue_pressure_MPa", "volume_filled_percent")
+    stats = ("actual_filling_time_s", "warpage_mm", "mold_temp_diff", "packing_gate_freeze", "max_sprue_pressure_MPa", "max_clamping_force_ton", "residual_stress")
+    return s.select("run_key", *[F.round(c, 6).alias(c) for c in stats], "packing_time_s", "gate_freeze_time_s", "part_weight_g", "runner_weight_g", "volume_filled_percent")
 
 
 def report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,9 +394,7 @@ def report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports get a fixed residual stress in every third run, so that both heat rules apply."""
-    runs = _runs(spark, sf_dir).withColumn("residual_stress", F.when(F.col("run_key").cast("long") % 3 == 0, 12.5))
-    d = D.diagnose(runs)
+    d = D.diagnose(_runs(spark, sf_dir))
     c = "hard_constraints"
     return d.select(
         "run_key", "is_converged", F.round("current_warpage_mm", 6).alias("current_warpage_mm"), F.col(f"{c}.packing_time_s_min").isNotNull().alias("has_min"), F.col(f"{c}.packing_time_s_max").isNotNull().alias("has_max"),
@@ -395,15 +402,197 @@ def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def diagnosis_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings and report text of every run, word for word."""
+    d = D.diagnose(_runs(spark, sf_dir))
+    return d.select("run_key", F.col("active_causal_paths")[0].alias("gate"), F.col("active_causal_paths")[1].alias("heat"), F.col("llm_prompt_context").alias("context"))
+
+
 def undiagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.undiagnosed(_runs(spark, sf_dir))
 
 
 DIAGNOSES_SQL = """
-f AS (SELECT *, nullif(freeze_s, 0) AS fz, run_key::BIGINT % 3 = 0 AND coalesce(dt, 0) > 20 AS hot FROM runs WHERE warpage IS NOT NULL),
-b AS (SELECT *, fz IS NOT NULL AND packing_time_s < fz AS blocked FROM f)
-SELECT run_key, warpage <= 0.3::DOUBLE AS is_converged, round(warpage, 6) AS current_warpage_mm, blocked AS has_min, NOT blocked AND fz IS NOT NULL AS has_max, round(CASE WHEN blocked THEN fz * 1.05::DOUBLE ELSE fz * 1.2::DOUBLE END, 1) AS bound,
-  CASE WHEN hot THEN 'INCREASE' ELSE 'MAINTAIN' END AS action, CASE WHEN blocked THEN '因果阻断' ELSE '保压有效' END AS gate, CASE WHEN hot THEN 2 END AS n_interval FROM b"""
+f AS (SELECT *, coalesce(nullif(header_freeze, 0), nullif(freeze_s, 0)) AS fz, coalesce(stress, 0) > 10 AND coalesce(dt, 0) > 20 AS hot FROM runs WHERE warpage IS NOT NULL),
+b AS (SELECT *, fz IS NOT NULL AND packing_time_s < fz AS blocked FROM f),
+judged AS (SELECT *, warpage <= 0.3::DOUBLE AS is_converged, round(CASE WHEN blocked THEN fz * 1.05::DOUBLE ELSE fz * 1.2::DOUBLE END, 1) AS bound FROM b)"""
+DIAGNOSED_SQL = """
+SELECT run_key, is_converged, round(warpage, 6) AS current_warpage_mm, blocked AS has_min, NOT blocked AND fz IS NOT NULL AS has_max, bound,
+  CASE WHEN hot THEN 'INCREASE' ELSE 'MAINTAIN' END AS action, CASE WHEN blocked THEN '因果阻断' ELSE '保压有效' END AS gate, CASE WHEN hot THEN 2 END AS n_interval FROM judged"""
+# The wording of the findings, as in the reports.
+DIAGNOSIS_TEXT_SQL = """
+said AS (SELECT *, CASE WHEN blocked THEN '【因果阻断】保压时间(' || n(packing_time_s) || 's) < 浇口冻结时间(' || n(fz) || 's)。浇口未封闭即撤压，引发熔体倒流，导致型腔严重失压与体积收缩不均！' ELSE '【保压有效】保压时间已覆盖浇口冻结，补缩通道正常。' END AS gate,
+  CASE WHEN hot THEN '【热应力主导】动定模温差达 ' || n(dt) || '℃，诱发了高达 ' || n(stress) || ' MPa 的热残余应力，为翘曲的第一致因！优先消除温差而非盲目加大压力。' ELSE '【比容收缩主导】模温场基本平衡，翘曲主要受体积收缩各向异性控制。' END AS heat FROM judged)
+SELECT run_key, gate, heat, chr(10) || '=== CAUSAL DIAGNOSIS & ACTION BOUNDS ===' || chr(10) || '- 状态判定: ' || CASE WHEN is_converged THEN '【已收敛 / PASS】' ELSE '【未达标 / NEED OPTIMIZATION】' END || chr(10) || '- 当前实际翘曲量: ' || n(warpage) || ' mm (设计目标: <= 0.3 mm)' || chr(10) || '- 物理瓶颈因果链:' || chr(10) || '  * ' || gate || ' ' || heat || chr(10) || chr(10)
+  || '[PHYSICAL HARD CONSTRAINTS] (大模型严禁违背的可行域边界):' || chr(10) || '1. 保压时间 (Packing Time): 必须设定为 >= ' || CASE WHEN blocked THEN bound::DOUBLE::VARCHAR ELSE n(packing_time_s) END || ' 秒' || chr(10) || '2. 模具温度 (Mold Temperature): 策略为 ' || CASE WHEN hot THEN 'INCREASE' ELSE 'MAINTAIN' END || ' (建议设定区间: ' || CASE WHEN hot THEN '[70.0, 75.0]' ELSE '[60]' END || ' ℃)' || chr(10) || '========================================' || chr(10) AS context FROM said"""
+
+
+def _spelled(sql: str) -> str:
+    """n(x) in the SQL: a number without its decimal point where it is whole."""
+    return re.sub(r"\bn\((\w+)\)", r"(CASE WHEN \1 = floor(\1) THEN \1::BIGINT::VARCHAR ELSE \1::DOUBLE::VARCHAR END)", sql)
+
+
+# --- stored tables -----------------------------------------------------------------------------
+
+
+def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all suppliers written as files, one each, and read back: every field of their headers."""
+    folder = f"{Scratch(spark, 'reports').root}/files"
+    I.supplier_reports(spark, sf_dir).repartition("key").write.partitionBy("key").text(folder)
+    found = tables.read_reports(spark, f"{folder}/*/*").withColumn("path", F.regexp_extract("path", r"key=(\d+)/", 1))
+    header = D.run_header(found)
+    names = [name for name, _, _ in I.HEADER_FIELDS] + [f"{name}_raw" for name, _, number in I.HEADER_FIELDS if number]
+    return header.select("run_key", *[F.col(n).alias(n.split(".")[1]) for n in names])
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout tables written and read back, then cut into chunks."""
+    folder = f"{Scratch(spark, 'layout').root}/tables"
+    made = {"page_text": I.page_text, "blocks": I.blocks, "page_tables": I.page_tables, "page_images": I.page_images}
+    for name, table in made.items():
+        table(spark, sf_dir).write.parquet(f"{folder}/{name}")
+    read = tables.read_layout(spark, folder)
+    text = layout.text_chunks(read["blocks"], read["page_tables"]).select("modality", "source_file", "page", "no", "piece", "text")
+    return text.unionByName(layout.figure_chunks(read["page_images"], read["page_text"]).select(text.columns))
+
+
+def stored_vocabularies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities and relations written as JSON files and read back; of relations the map of regions to nations, each with a phrase that several own."""
+    folder = Scratch(spark, "vocabularies").root
+    n, r = I.table(spark, sf_dir, "nation"), I.table(spark, sf_dir, "region")
+    names = n.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
+    names.select(F.to_json(F.transform("ns", lambda x: x["n_name"]))).write.text(f"{folder}/entities")
+    owned = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
+    phrases = F.concat(F.transform("ns", lambda x: F.lower(x["n_name"])), F.array(F.lit("shared phrase")))
+    ordered = owned.agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name", phrases.alias("p")))).alias("all"))
+    vocabulary = align.relation_vocabulary(ordered.select(F.map_from_entries(F.transform("all", lambda x: F.struct(x["r_name"].alias("key"), x["p"].alias("value")))).alias("relations")))
+    pairs = vocabulary.agg(F.array_sort(F.collect_list(F.struct("ord", "phrase", "canonical"))).alias("all"))
+    pairs.select(F.to_json(F.map_from_entries(F.transform("all", lambda x: F.struct(x["phrase"].alias("key"), x["canonical"].alias("value")))))).write.text(f"{folder}/relations")
+    entities = tables.read_entities(spark, f"{folder}/entities/*.txt").select(F.lit("entity").alias("kind"), "ord", "name", F.lit(None).cast("string").alias("canonical"))
+    return entities.unionByName(tables.read_relations(spark, f"{folder}/relations/*.txt").select(F.lit("relation").alias("kind"), "ord", F.col("phrase").alias("name"), "canonical"))
+
+
+VOCABULARIES_SQL = """
+owned AS (SELECT r_regionkey AS c, r_name AS canonical, lower(n_name) AS phrase, n_nationkey AS p FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey, r_name, 'shared phrase', 1000 FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY c, p) AS r FROM owned)
+SELECT 'entity' AS kind, (row_number() OVER (ORDER BY n_nationkey, n_name) - 1)::INTEGER AS ord, n_name AS name, NULL AS canonical FROM nation
+UNION ALL SELECT 'relation', (row_number() OVER (ORDER BY c, p) - 1)::INTEGER, phrase, canonical FROM firsts WHERE r = 1"""
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all documents written and read back: per document its text, its tokens and the length of its vector."""
+    folder = Scratch(spark, "index").root
+    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), "text")
+    encoded = M.encode(docs.select(F.col("index").alias("row_id"), "text"), "text", _encoder, None).drop("text")
+    tables.write_index({"chunks": docs, "vectors": encoded.select("row_id", "dense"), "postings": M.postings(encoded)}, folder, "hype")
+    read = tables.read_index(spark, folder, "hype")
+    words = read["postings"].groupBy("row_id").agg(F.count("*").alias("tokens"), F.sum("weight").cast("long").alias("words"))
+    norm = F.round(F.aggregate("dense", F.lit(0.0), lambda a, x: a + x * x), 3)
+    joined = read["chunks"].join(read["vectors"], F.col("index") == F.col("row_id")).drop("row_id").join(words, F.col("index") == F.col("row_id"), "left")
+    return joined.select("index", F.md5("text").alias("text"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("words", F.lit(0)).alias("words"), norm.alias("norm"))
+
+
+STORED_INDEX_SQL = r"""
+SELECT doc_id AS "index", md5(text) AS text, len(list_distinct(w)) AS tokens, len(w) AS words, CASE WHEN len(w) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
+FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents)"""
+
+
+# Mentions are single words, so each has one dimension; phrases have up to two.
+NEAREST_SQL = rf"""
+items AS (SELECT * FROM (SELECT item_id::INTEGER AS ord, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 2),
+vocab AS (SELECT 'entity' AS kind, ord, w[1] AS name, [lower(w[1])] AS tokens FROM items UNION ALL SELECT 'relation', ord, w[1], [lower(w[1]), lower(w[2])] FROM items),
+vtok AS (SELECT kind, ord, unnest(tokens) AS token FROM vocab),
+ments AS (SELECT head AS mention, 'entity' AS kind FROM facts UNION SELECT tail, 'entity' FROM facts UNION SELECT relation, 'relation' FROM facts),
+word_hash AS (SELECT token, {I._CRC} AS h FROM (SELECT token FROM vtok UNION SELECT lower(mention) FROM ments)),
+signs AS (SELECT token, (h % 64)::INTEGER AS d, CASE WHEN (h >> 16) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM word_hash),
+v_dense AS (SELECT kind, ord, d, (s / sqrt(sum(s * s) OVER (PARTITION BY kind, ord)))::FLOAT::DOUBLE AS x FROM (SELECT kind, ord, d, sum(s) AS s FROM vtok JOIN signs USING (token) GROUP BY ALL) WHERE s <> 0),
+scored_names AS (SELECT m.kind, m.mention, v.ord, v.name, coalesce(e.x * g.s, 0.0::DOUBLE) AS score FROM ments m JOIN signs g ON g.token = lower(m.mention) JOIN vocab v ON v.kind = m.kind LEFT JOIN v_dense e ON e.kind = v.kind AND e.ord = v.ord AND e.d = g.d),
+nearest AS (SELECT kind, mention, CASE WHEN score >= CASE kind WHEN 'entity' THEN 0.525 ELSE 0.55 END THEN name ELSE mention END AS aligned, ord, score FROM (SELECT *, row_number() OVER (PARTITION BY kind, mention ORDER BY score DESC, ord) AS r FROM scored_names) WHERE r = 1)"""
+BUILT_SQL = """
+asked AS (SELECT doc_id, text, (length(text) + {extra}) % 3 AS questions FROM documents WHERE text IS NOT NULL),
+facts AS (SELECT r.*, row_number() OVER (ORDER BY "index", triple_no) - 1 AS no FROM raw_triples r JOIN asked ON doc_id = "index" WHERE length(asked.text) % 9 <> 0)"""
+BUILT_GRAPH_SQL = """
+mapped AS (SELECT no, "index", h.aligned AS head, l.aligned AS relation, t.aligned AS tail FROM facts f JOIN nearest h ON h.kind = 'entity' AND h.mention = head JOIN nearest t ON t.kind = 'entity' AND t.mention = tail JOIN nearest l ON l.kind = 'relation' AND l.mention = relation WHERE h.aligned <> t.aligned)
+SELECT row_number() OVER (ORDER BY "index", no) - 1 AS row_id, "index", head, relation, tail, md5(text) AS text, questions::INTEGER AS questions, count(*) OVER (PARTITION BY "index") AS edges FROM mapped JOIN asked ON mapped."index" = doc_id"""
+
+
+# --- whole jobs --------------------------------------------------------------------------------
+
+
+def _fact_generator():
+    """A stand-in model: a document's facts are its lines' first, middle and last words; every ninth reply is broken."""
+
+    def reply(row):
+        text = row["prompt"].split("\n", 1)[1]
+        if len(text) % 9 == 0:
+            return '{"triples": ['
+        words = [re.findall(r"\S+", line, re.ASCII) for line in text.split("\n")]
+        facts = [{"head": w[0], "relation": w[(len(w) - 1) // 2], "tail": w[-1]} for w in words if len(w) >= 3]
+        return json.dumps({"triples": facts})
+
+    return reply
+
+
+def _question_generator():
+    return lambda row: json.dumps({"questions": [f"what is in {len(row['_prompt'])} letters", "why"][: len(row["_prompt"]) % 3]})
+
+
+def _one_generator():
+    facts, questions = _fact_generator(), _question_generator()
+    return lambda row: facts(row) if "prompt" in row else questions(row)
+
+
+def _vocabularies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entity names: the first words of the benchmark's items; relation phrases: their first two words, which mean the first."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    items = I.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("ord"), words.alias("w")).filter(F.size("w") >= 2)
+    entities = items.select("ord", F.col("w")[0].alias("name"))
+    relations = items.select("ord", F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("phrase"), F.col("w")[0].alias("canonical"))
+    return align.encoded_vocabulary(entities, "name", _encoder, None), align.encoded_vocabulary(relations, "phrase", _encoder, None)
+
+
+def aligned_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entities and relations of the lines, encoded and aligned to the vocabularies."""
+    entities, relations = _vocabularies(spark, sf_dir)
+    heads, rels = align.distinct_mentions(I.raw_triples(spark, sf_dir))
+    vec = lambda m: I.encoded(m, "mention", "mention", _encoder).withColumnRenamed("dense", "vec")
+    e = align.align_entities(vec(heads), entities).withColumn("kind", F.lit("entity"))
+    r = align.align_relations(vec(rels), relations).withColumn("kind", F.lit("relation"))
+    return e.unionByName(r).select("kind", "mention", "aligned", "ord", F.round("score", 4).alias("score"))
+
+
+def built_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index built over all documents with stand-in models: the triples of its graph."""
+    scratch = Scratch(spark, "built")
+    entities, relations = _vocabularies(spark, sf_dir)
+    chunks = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), "text").filter("text is not null")
+    made = answer.build_index(chunks, _one_generator, _encoder, scratch.save(entities, "entities"), scratch.save(relations, "relations"), scratch.save)
+    edges = made["graph"]["edges"].select("edge_id", F.col("chunk_index").alias("index"))
+    triples = made["graph"]["triples"].join(made["graph"]["vectors"], "row_id")
+    asked = made["hype"]["chunks"].select("index", F.size("questions").alias("questions"))
+    per_chunk = edges.groupBy("index").agg(F.count("*").alias("edges"))
+    return triples.join(asked, "index").join(per_chunk, "index").select("row_id", "index", "head", "relation", "tail", F.md5("text").alias("text"), "questions", "edges")
+
+
+def _answer_generator():
+    def reply(row):
+        if len(row["prompt"]) % 5 == 0:
+            raise ValueError("no answer")
+        return f"{len(row['prompt'])} letters"
+
+    return reply
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from the reranked chunks of every question; null where the generator failed."""
+    return answer.answer(I.questions(spark, sf_dir), _reranked(spark, sf_dir), _answer_generator)
+
+
+def chain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reasoning chains of the best chunks in their order, each spelled out."""
+    triples, edges, hits, save = _graph_parts(spark, sf_dir)
+    got = graph.graph_search(hits, I.questions(spark, sf_dir), triples, edges, TOP, save=save)
+    return got.select("query_id", "chunk_index", F.posexplode("reasoning_chains").alias("pos", "chain"))
 
 
 def _with(*parts: str) -> str:
@@ -446,9 +635,20 @@ def queries() -> dict:
         "report_pivot": report_pivot,
         "diagnoses": diagnoses,
         "undiagnosed": undiagnosed,
+        "diagnosis_texts": diagnosis_texts,
+        "stored_reports": stored_reports,
+        "stored_chunks": stored_chunks,
+        "stored_vocabularies": stored_vocabularies,
+        "stored_index": stored_index,
+        "aligned_mentions": aligned_mentions,
+        "built_graph": built_graph,
+        "answers": answers,
+        "chain_texts": chain_texts,
     }
 
 
+# The wording of the question.
+_PROMPTS_SQL = "p AS (SELECT query_id, 'Answer the question: ' || query || chr(10) || 'Here the retrived chunks:' || chr(10) || coalesce(c, '') || chr(10) || 'Output in markdown format' || chr(10) AS prompt FROM q LEFT JOIN (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY r) AS c FROM rr GROUP BY query_id) USING (query_id))"
 _RERANK_SQL = "rr AS (SELECT * FROM (SELECT query_id, chunk_index, text, -abs(length(text) - 1000.0::DOUBLE) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY -abs(length(text) - 1000.0::DOUBLE) DESC, rank) AS r FROM hybrid JOIN documents ON doc_id = chunk_index WHERE text IS NOT NULL) WHERE r <= 20)"
 
 
@@ -526,11 +726,20 @@ def oracle_sql() -> dict:
         )
         + " SELECT query_id, chunk_index, round(rrf_score, 8) AS rrf_score, dense_rank, sparse_rank, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, f, chunk_index) AS rank FROM fused) WHERE rank <= 40",
         "reranked_hits": _with(I.SEARCH_SQL, _RERANK_SQL) + " SELECT query_id, chunk_index, rerank_score, r::INTEGER AS rank FROM rr",
-        "prompts": _with(I.SEARCH_SQL, _RERANK_SQL, "p AS (SELECT query_id, 'Answer the question: ' || query || chr(10) || 'Here the retrived chunks:' || chr(10) || coalesce(c, '') || chr(10) || 'Output in markdown format' || chr(10) AS prompt FROM q LEFT JOIN (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY r) AS c FROM rr GROUP BY query_id) USING (query_id))") + " SELECT query_id, md5(prompt) AS prompt, length(prompt)::INTEGER AS letters FROM p",
+        "prompts": _with(I.SEARCH_SQL, _RERANK_SQL, _PROMPTS_SQL) + " SELECT query_id, md5(prompt) AS prompt, length(prompt)::INTEGER AS letters FROM p",
         "report_headers": "SELECT o_orderkey::VARCHAR AS run_key, 'Run' || o_orderkey AS run_id, o_orderstatus AS polymer_type, 1000.0::DOUBLE AS element_count, o_orderkey % 9 / 2 AS packing_time_s, 60.0::DOUBLE AS \"mold_temperature_C\", NULL::DOUBLE AS cycle_time_s FROM orders",
-        "report_stats": _with(I.REPORTS_SQL) + " SELECT k::VARCHAR AS run_key, stage, field, round(m, 6) AS max, NULL::DOUBLE AS min, 'mm' AS unit FROM last_nodes",
-        "report_summaries": _with(I.REPORTS_SQL) + ' SELECT run_key, round(fill_s, 6) AS actual_filling_time_s, round(warpage, 6) AS warpage_mm, round(dt, 6) AS mold_temp_diff, round(freeze_s, 6) AS packing_gate_freeze, packing_time_s, NULL::DOUBLE AS gate_freeze_time_s, NULL::DOUBLE AS "max_sprue_pressure_MPa", 100.0::DOUBLE AS volume_filled_percent FROM runs',
-        "report_pivot": _with(I.REPORTS_SQL) + " SELECT k::VARCHAR AS run_key, (count(*) FILTER (stage = 'filling'))::INTEGER AS filling, (count(*) FILTER (stage = 'packing'))::INTEGER AS packing, (count(*) FILTER (stage = 'cooling'))::INTEGER AS cooling, (count(*) FILTER (stage = 'warpage'))::INTEGER AS warpage, round(max(m) FILTER (stage = 'warpage'), 6) AS warpage_max FROM last_nodes GROUP BY k",
-        "diagnoses": _with(I.REPORTS_SQL, DIAGNOSES_SQL),
+        "report_stats": _with(I.REPORTS_SQL) + " SELECT k::VARCHAR AS run_key, stage, field, round(m, 6) AS max, least AS min, 'mm' AS unit FROM last_nodes",
+        "report_summaries": _with(I.REPORTS_SQL) + ' SELECT run_key, round(fill_s, 6) AS actual_filling_time_s, round(warpage, 6) AS warpage_mm, round(dt, 6) AS mold_temp_diff, round(freeze_s, 6) AS packing_gate_freeze, round(sprue, 6) AS "max_sprue_pressure_MPa", round(clamp, 6) AS max_clamping_force_ton, round(stress, 6) AS residual_stress, packing_time_s, header_freeze AS gate_freeze_time_s, part_weight AS part_weight_g, runner_weight AS runner_weight_g, 100.0::DOUBLE AS volume_filled_percent FROM runs',
+        "report_pivot": _with(I.REPORTS_SQL) + " SELECT k::VARCHAR AS run_key, (count(*) FILTER (stage = 'filling'))::INTEGER AS filling, (count(*) FILTER (stage = 'packing'))::INTEGER AS packing, (count(*) FILTER (stage = 'cooling'))::INTEGER AS cooling, (count(*) FILTER (stage = 'warpage'))::INTEGER AS warpage, round(max(m) FILTER (field = 'TotalDisplacement'), 6) AS warpage_max FROM last_nodes GROUP BY k",
+        "diagnoses": _with(I.REPORTS_SQL, DIAGNOSES_SQL) + DIAGNOSED_SQL,
+        "diagnosis_texts": _with(I.REPORTS_SQL, DIAGNOSES_SQL, _spelled(DIAGNOSIS_TEXT_SQL)),
+        "stored_reports": I.HEADERS_SQL,
+        "stored_chunks": _with(*chunks, *pages) + " SELECT 'text' AS modality, source_file, page, block_no AS no, piece, text FROM text_chunks UNION ALL SELECT modality, source_file, page, figure_index, 0, text FROM figures",
+        "stored_vocabularies": _with(VOCABULARIES_SQL),
+        "stored_index": STORED_INDEX_SQL,
+        "aligned_mentions": _with(I.TRIPLES_SQL, "facts AS (SELECT * FROM raw_triples)", NEAREST_SQL) + " SELECT kind, mention, aligned, ord, round(score, 4) AS score FROM nearest",
+        "built_graph": _with(I.TRIPLES_SQL, BUILT_SQL.format(extra=len(M.questions_prompt(2))), NEAREST_SQL, BUILT_GRAPH_SQL),
+        "answers": _with(I.SEARCH_SQL, _RERANK_SQL, _PROMPTS_SQL) + " SELECT query_id, CASE WHEN length(prompt) % 5 > 0 THEN chr(10) || 'ANWSER:' || chr(10) || length(prompt) || ' letters' END AS answer, CASE WHEN length(prompt) % 5 = 0 THEN 'ValueError: no answer' END AS error FROM p",
+        "chain_texts": _with(*_encoded_graph_sql(20), CHAINS_SQL),
         "undiagnosed": _with(I.REPORTS_SQL) + " SELECT run_key, 'no warpage' AS reason FROM runs WHERE warpage IS NULL",
     }
