@@ -9,9 +9,12 @@ a model need not repeat itself.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +26,6 @@ TABLE_PROMPT = "Describe this table in plain sentences, with all its figures:\n"
 FIGURE_PROMPT = "Describe what this figure shows. Its caption: "
 TRIPLES = "struct<triples:array<struct<head:string,relation:string,tail:string>>>"
 QUESTIONS = "struct<questions:array<string>>"
-ENCODED = "struct<dense:array<float>,sparse:map<string,float>>"
 
 
 def map_with_fallback(df: DataFrame, inputs: list[str], make_generator: Callable[[], Generator], out_col: str = "reply", tasks: int | None = None) -> DataFrame:
@@ -119,22 +121,30 @@ def triple_text(head: Column, relation: Column, tail: Column) -> Column:
 
 
 def encode(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable[[list[str], int | None], list[tuple[list[float], dict[str, float]]]]], max_length: int | None, batch_size: int = 16) -> DataFrame:
-    """``df`` with dense and sparse: the encoder is made once in each worker and called in batches; max_length None means whole texts."""
+    """``df`` with dense and sparse: the encoder is made once in each task and called in batches; max_length None means whole texts.
 
-    @F.pandas_udf(ENCODED)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    Columns already called so are replaced; save the result before reading it twice.
+    """
+    df = df.drop(*[c for c in ("dense", "sparse") if c != text_col])
+    at = df.columns.index(text_col)
+    schema = T.StructType([*df.schema.fields, T.StructField("dense", T.ArrayType(T.FloatType())), T.StructField("sparse", T.MapType(T.StringType(), T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make_encoder()
-        for part in parts:
-            texts = part.fillna("").tolist()
+        for batch in batches:
             # A batch's maps take many times the room of its texts, so they go on in steps.
-            step = 16 * batch_size
-            for start in range(0, len(texts), step):
-                some, rows = texts[start : start + step], []
-                for a in range(0, len(some), batch_size):
-                    rows += encoder(some[a : a + batch_size], max_length)
-                yield pd.DataFrame({"dense": [list(map(float, d)) for d, _ in rows], "sparse": [dict(s) for _, s in rows]})
-
-    return df.withColumn("_e", run(F.col(text_col))).select("*", "_e.dense", "_e.sparse").drop("_e")
+            for start in range(0, len(batch), 16 * batch_size):
+                part = batch.slice(start, 16 * batch_size)
+                texts, rows = part.column(at).fill_null("").to_pylist(), []
+                for a in range(0, len(texts), batch_size):
+                    rows += encoder(texts[a : a + batch_size], max_length)
+                ends = lambda which: pa.array(np.cumsum([0, *(len(r[which]) for r in rows)]), pa.int32())
+                dense = pa.ListArray.from_arrays(ends(0), pa.array(np.fromiter(chain.from_iterable(d for d, _ in rows), np.float32)))
+                keys = pa.array(chain.from_iterable(s for _, s in rows), pa.string())
+                weights = pa.array(np.fromiter(chain.from_iterable(s.values() for _, s in rows), np.float32))
+                yield pa.RecordBatch.from_arrays([*part.columns, dense, pa.MapArray.from_arrays(ends(1), keys, weights)], names=[*part.schema.names, "dense", "sparse"])
+
+    return df.mapInArrow(run, schema)
 
 
 def postings(encoded: DataFrame, id_col: str = "row_id") -> DataFrame:

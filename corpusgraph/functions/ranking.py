@@ -97,6 +97,12 @@ def pack_vectors(df: DataFrame, id_col: str, vector_col: str, prefix: str) -> Da
 
 def _best(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n best of each row: largest score, ties to the smaller id; both sorted."""
+    if n == 1:
+        # Columns in the order of their ids: the first largest is that of the smallest id.
+        order = np.argsort(ids, axis=1, kind="stable")
+        ranked = np.take_along_axis(scores, order, 1)
+        at = ranked.argmax(axis=1)[:, None]
+        return np.take_along_axis(ranked, at, 1), np.take_along_axis(ids, np.take_along_axis(order, at, 1), 1)
     order = np.lexsort((ids, -scores))[:, :n] if scores.shape[1] <= 4 * n else None
     if order is None:
         least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]

@@ -20,11 +20,14 @@ def number_triples(found: DataFrame) -> DataFrame:
     return dense_index(drop_empty_and_loops(found), ["index"], ["pos", "head", "relation", "tail"], "triple_no").drop("pos")
 
 
-def build_graph(raw: DataFrame, entities: DataFrame, relations: DataFrame, make_encoder) -> tuple[DataFrame, DataFrame]:
+def build_graph(raw: DataFrame, entities: DataFrame, relations: DataFrame, make_encoder, save: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(triples, edges) of raw triples aligned to vocabularies with vectors (ord, name, vec / ord, phrase, canonical, vec)."""
+    save = save or (lambda df, name: df)
     heads, rels = distinct_mentions(raw)
-    vec = lambda df: encode(df, "mention", make_encoder, 32).select("mention", F.col("dense").alias("vec"))
-    aligned = drop_empty_and_loops(apply_alignment(raw, align_entities(vec(heads), entities), align_relations(vec(rels), relations)))
+    vec = lambda df, name: save(encode(df, "mention", make_encoder, 32).select("mention", F.col("dense").alias("vec")), name)
+    to_entity = save(align_entities(vec(heads, "entity_vectors"), entities), "aligned_entities")
+    to_relation = save(align_relations(vec(rels, "relation_vectors"), relations), "aligned_relations")
+    aligned = save(drop_empty_and_loops(apply_alignment(raw, to_entity, to_relation)), "aligned")
     return triple_table(aligned), build_edges(aligned)
 
 
@@ -36,7 +39,7 @@ def build_index(chunks: DataFrame, make_generator, make_encoder, entities: DataF
     """
     asked = save(generate_questions(chunks, make_generator), "asked")
     raw = save(number_triples(extract_triples(chunks, make_generator)), "raw_triples")
-    triples, edges = build_graph(raw, entities, relations, make_encoder)
+    triples, edges = build_graph(raw, entities, relations, make_encoder, save)
     triples = save(triples, "triples")
     hype = save(encode(asked.select(F.col("index").alias("row_id"), index_text(F.col("text"), F.col("questions")).alias("t")), "t", make_encoder, 1024).drop("t"), "hype_vectors")
     graph = save(encode(triples.select("row_id", triple_text(F.col("head"), F.col("relation"), F.col("tail")).alias("t")), "t", make_encoder, 256).drop("t"), "graph_vectors")

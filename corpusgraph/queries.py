@@ -328,7 +328,8 @@ def encoded_triples(spark: SparkSession, sf_dir: str, scratch: Scratch | None =
     if scratch:
         triples = scratch.save(triples, "triples")
     told = triples.select("row_id", M.triple_text(F.col("head"), F.col("relation"), F.col("tail")).alias("t"))
-    return triples, I.encoded(told, "row_id", "t", _encoder)
+    vectors = I.encoded(told, "row_id", "t", _encoder)
+    return triples, scratch.save(vectors, "triple_vectors") if scratch else vectors
 
 
 def encoded_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,8 +337,8 @@ def encoded_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, docs = I.questions(spark, sf_dir), I.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
     words = I.term_counts(asked, "query_id", "query").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("sparse"))
     asked = asked.join(I.encoded(asked, "query_id", "query", _encoder), "query_id").join(words, "query_id", "left")
-    hype = {"vectors": I.encoded(docs, "row_id", "text", _encoder), "postings": I.term_counts(docs, "row_id", "text"), "chunks": docs.select(F.col("row_id").alias("index"), "text")}
     scratch = Scratch(spark, "encoded-retrieved")
+    hype = {"vectors": scratch.save(I.encoded(docs, "row_id", "text", _encoder), "document_vectors"), "postings": I.term_counts(docs, "row_id", "text"), "chunks": docs.select(F.col("row_id").alias("index"), "text")}
     triples, vectors = encoded_triples(spark, sf_dir, scratch)
     found = answer.retrieve(asked, hype, {"triples": triples, "edges": graph.build_edges(scratch.read("raw")), "vectors": vectors}, _length_scorer, save=scratch.save)
     return found.select("query_id", "chunk_index", F.round("rrf_score", 8).alias("rrf_score"), "graph_rank", "hype_rank", "rerank_score", "rank")
@@ -553,11 +554,12 @@ def _vocabularies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def aligned_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All entities and relations of the lines, encoded and aligned to the vocabularies."""
-    entities, relations = _vocabularies(spark, sf_dir)
+    scratch = Scratch(spark, "mentions")
+    entities, relations = (scratch.save(v, n) for v, n in zip(_vocabularies(spark, sf_dir), ("entities", "relations"), strict=True))
     heads, rels = align.distinct_mentions(I.raw_triples(spark, sf_dir))
-    vec = lambda m: I.encoded(m, "mention", "mention", _encoder).withColumnRenamed("dense", "vec")
-    e = align.align_entities(vec(heads), entities).withColumn("kind", F.lit("entity"))
-    r = align.align_relations(vec(rels), relations).withColumn("kind", F.lit("relation"))
+    vec = lambda m, name: scratch.save(I.encoded(m, "mention", "mention", _encoder).withColumnRenamed("dense", "vec"), name)
+    e = align.align_entities(vec(heads, "heads"), entities).withColumn("kind", F.lit("entity"))
+    r = align.align_relations(vec(rels, "rels"), relations).withColumn("kind", F.lit("relation"))
     return e.unionByName(r).select("kind", "mention", "aligned", "ord", F.round("score", 4).alias("score"))
 
 
