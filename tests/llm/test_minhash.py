@@ -81,3 +81,52 @@ def test_query_against_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in H.op10_minhash(spark, d).collect())
     assert got == brute(docs)
+
+
+def test_clashing_columns_long_texts_and_repeats(spark):
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{i % 5000}x{i}" for i in range(30_000))
+    docs = [(1, long), (2, long + " more words at the end"), (3, "z" * 300_000), (4, "z" * 300_000), (5, "Z" * 299_999), (5, "Z" * 299_999)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").select("*", *[F.lit(9).alias(c) for c in ("n_shingles", "h1", "lead", "rep", "s", "_part", "bands", "kept")])
+    got = sorted(set(ours(df)))
+    assert got == [(1, 29_996, 1, True), (2, 30_001, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True)]
+    assert H.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_words_that_differ_anywhere_have_different_hashes():
+    import pyarrow as pa
+
+    def thue_morse(n, flip):
+        return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+    texts = [thue_morse(4096, 0), thue_morse(4096, 1), "x" * 63 + "y", "x" * 64, "x" * 65, "x" * 64 + "y", "abcdefgh", "abcdefg", "abcdefg\0"]
+    (_, s, begins), = H.shingle_sets(pa.array(texts, pa.string()))
+    assert begins.tolist() == list(range(len(texts) + 1)) and len(set(s.tolist())) == len(texts)
+
+
+def test_more_sets_than_one_round_of_sketches_holds():
+    n = (1 << 24) // H.BINS + 5
+    one = H.sketches(np.arange(n, dtype=np.uint64), np.arange(n + 1))
+    assert one.shape == (n, H.BINS)
+    for i in (0, n - 6, n - 5, n - 1):
+        assert (one[i] == H.sketches(np.array([i], dtype=np.uint64), np.array([0, 1]))[0]).all()
+
+
+def test_hot_keys_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    from corpusgraph.llm.common import spread_join
+
+    rows = spark.range(5000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id")).alias("k"), "id")
+    facts = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("fact"))
+    got = spread_join(rows, facts, ["k"])
+    assert got.count() == 5000 and got.filter("fact = 2 * k").count() == 5000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in spread_join(rows, facts, ["k"]).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 2500
