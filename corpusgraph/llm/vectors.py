@@ -47,16 +47,6 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.concatenate(flat).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best: largest score, ties to the smaller id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= least)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))][:k]
-
-
 def search_grid(candidates: DataFrame, queries: DataFrame, keys: list[str], kernel: Kernel, score_type: str, dims: int | None = None) -> DataFrame:
     """(query_id, vec_id, score) of every block pair.
 
