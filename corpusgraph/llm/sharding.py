@@ -46,8 +46,8 @@ def fill_table(names: list[str], slots: int = SLOTS) -> list[int]:
 
 def lookup_table(spark: SparkSession, names: list[str], slots: int = SLOTS) -> DataFrame:
     """(slot, shard): the table's fixed number of rows, cut from one binary literal."""
-    packed = b"".join(i.to_bytes(2, "big") for i in fill_table(names, slots))
-    cell = F.conv(F.hex(F.substring(F.lit(packed), F.col("slot").cast("int") * 2 + 1, F.lit(2))), 16, 10)
+    packed = b"".join(i.to_bytes(4, "big") for i in fill_table(names, slots))
+    cell = F.conv(F.hex(F.substring(F.lit(packed), F.col("slot").cast("int") * 4 + 1, F.lit(4))), 16, 10)
     return spark.range(slots).select(F.col("id").alias("slot"), cell.cast("int").alias("shard"))
 
 

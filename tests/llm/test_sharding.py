@@ -29,3 +29,10 @@ def test_query_and_odd_rows(spark):
     got = S.place_rows(odd, "key", S.shard_names()).collect()
     assert len(got) == 4 and len({r.shard for r in got if not r.key}) == 1 and len({r.shard for r in got if r.key}) == 1
     assert S.place_rows(odd.limit(0), "key", S.shard_names()).count() == 0
+
+
+def test_more_shards_than_two_bytes_hold(spark):
+    names = [f"s{i}" for i in range(70_000)]
+    table = S.lookup_table(spark, names, 140_009)
+    got = table.agg({"shard": "max", "slot": "count"}).first()
+    assert got[0] == 69_999 and got[1] == 140_009
