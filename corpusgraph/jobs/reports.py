@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +59,7 @@ def run_header(reports: DataFrame, key_col: str = "path") -> DataFrame:
     return base.select("run_key", *structs)
 
 
-_NODES = T.ArrayType(T.StructType([T.StructField("ord", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("stage", "field", "max_raw", "min_raw", "avg_raw", "unit")]]))
+_CELLS = ("ord", "stage", "field", "max_raw", "min_raw", "avg_raw", "unit")
 
 
 def _first_truthy(*values):
@@ -67,15 +69,21 @@ def _first_truthy(*values):
     return values[-1]
 
 
-def _stat_nodes(raw: str | None) -> list[dict] | None:
-    """Statistic nodes of a document in the order a reader meets them; None for bad JSON."""
-    if raw is None:
-        return None
+def _parsed(raw: str | None):
+    """The document, None for one that is no JSON or nested deeper than a reader follows."""
     try:
-        stack, out = [json.loads(raw)], []
-    except (ValueError, RecursionError):  # no JSON, or nested deeper than a reader follows
+        return None if raw is None else (json.loads(raw),)
+    except (ValueError, RecursionError):
         return None
-    text = lambda v: None if v is None else json.dumps(v) if not isinstance(v, str) else v
+
+
+def _text(v) -> str | None:
+    return v if v is None or isinstance(v, str) else json.dumps(v)
+
+
+def _stat_nodes(raw: str | None) -> list[tuple]:
+    """Cells of a document's statistic nodes in the order a reader meets them."""
+    stack, out = list(_parsed(raw) or ()), []
     while stack:
         node = stack.pop()
         if isinstance(node, dict):
@@ -84,30 +92,44 @@ def _stat_nodes(raw: str | None) -> list[dict] | None:
             if stage:
                 most = _first_truthy(node.get("Statistics_Max"), node.get("History_Y_YMax"), node.get("Y_SpecificTime"))
                 least = _first_truthy(node.get("Statistics_Min"), node.get("History_Y_YMin"))
-                out.append({"ord": len(out), "stage": stage, "field": tag[len(stage) + 1 :], "max_raw": text(most), "min_raw": text(least), "avg_raw": text(node.get("Statistics_Avg")), "unit": str(node.get("Unit") or "").strip()})
+                out.append((len(out), stage, tag[len(stage) + 1 :], _text(most), _text(least), _text(node.get("Statistics_Avg")), str(node.get("Unit") or "").strip()))
             stack += reversed(list(node.values()))
         elif isinstance(node, list):
             stack += reversed(node)
     return out
 
 
-@F.pandas_udf(_NODES)
-def _flatten(raw: pd.Series) -> pd.Series:
-    return raw.map(_stat_nodes)
+def _flatten(reports: DataFrame, key_col: str) -> DataFrame:
+    """run_key and the cells of every statistic node, a row each."""
+    kinds = [pa.int32(), *[pa.string()] * (len(_CELLS) - 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_stat_nodes(raw) for raw in batch.column(1).to_pylist()]
+            at = pa.array([i for i, nodes in enumerate(found) for _ in nodes], pa.int64())
+            cells = list(zip(*[node for nodes in found for node in nodes], strict=True)) or [()] * len(_CELLS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, k) for c, k in zip(cells, kinds, strict=True))], names=["run_key", *_CELLS])
+
+    key = reports.schema[key_col].dataType.simpleString()
+    return reports.select(F.col(key_col).alias("run_key"), "raw").mapInArrow(run, f"run_key {key}, ord int, " + ", ".join(f"{c} string" for c in _CELLS[1:]))
+
+
+@F.pandas_udf(T.BooleanType())
+def _readable(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda text: _parsed(text) is not None).astype(bool)
 
 
 def stage_stats(reports: DataFrame, key_col: str = "path") -> DataFrame:
     """run_key, stage, field, max, min, avg, max_raw, min_raw, avg_raw, unit: the last node of a tag in the document counts."""
-    nodes = reports.select(F.col(key_col).alias("run_key"), F.explode(_flatten("raw")).alias("n")).select("run_key", "n.*")
     cells = F.struct("ord", "max_raw", "min_raw", "avg_raw", "unit")
-    last = nodes.groupBy("run_key", "stage", "field").agg(F.max(cells).alias("l"))
+    last = _flatten(reports, key_col).groupBy("run_key", "stage", "field").agg(F.max(cells).alias("l"))
     raw = lambda c: F.when(F.col(f"l.{c}_raw") != "", F.col(f"l.{c}_raw"))
     return last.select("run_key", "stage", "field", *[parse_value(raw(c)).alias(c) for c in ("max", "min", "avg")], *[raw(c).alias(f"{c}_raw") for c in ("max", "min", "avg")], "l.unit")
 
 
 def bad_reports(reports: DataFrame, key_col: str = "path") -> DataFrame:
     """run_key of the reports that are no readable JSON."""
-    return reports.filter(_flatten("raw").isNull()).select(F.col(key_col).alias("run_key"))
+    return reports.filter(~_readable("raw")).select(F.col(key_col).alias("run_key"))
 
 
 def _stat(stage: str, field: str) -> Column:

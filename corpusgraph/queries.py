@@ -379,7 +379,7 @@ def report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark, sf_dir):
-    r = I.reports(spark, sf_dir)
+    r = Scratch(spark, "reports").save(I.reports(spark, sf_dir), "made")
     return D.run_summary(D.run_header(r), D.stage_stats(r))
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from corpusgraph.operators import align
 from tests.conftest import rows
 
@@ -28,3 +30,13 @@ def test_evaluation_classes(spark):
     assert [r[0] for r in got.orderBy("ord").select("status").collect()] == ["canonical_hit", "canonical_drift", "aligned_hit", "missed", "mismatched", "rejection_hit", "false_positive"]
     total = align.alignment_report(got).filter("kind is null").first()
     assert total.cases == 7 and abs(total.percent - 300 / 7) < 1e-9
+
+
+def test_gaps_empty_vocabularies_and_missing_vectors(spark):
+    mentions = spark.createDataFrame([("near", [1.0, 0.0]), ("none", None), ("hole", [None, 1.0]), ("other length", [1.0])], "mention string, vec array<double>")
+    gaps = spark.createDataFrame([(10_000, "A", [0.9, 0.1]), (5, "B", None), (70_000, "C", [0.9, 0.1])], "ord int, name string, vec array<double>")
+    stays = [("hole", "hole", None), ("none", "none", None), ("other length", "other length", None)]
+    assert rows(align.align_entities(mentions, gaps), "mention", "aligned", "ord") == sorted([("near", "A", 10_000), *stays], key=repr)
+    assert rows(align.align_entities(mentions, gaps.limit(0)), "mention", "aligned") == [(m, m) for m in ("hole", "near", "none", "other length")]
+    phrases = gaps.withColumnRenamed("name", "canonical").withColumn("phrase", F.lit("p"))
+    assert rows(align.align_relations(mentions, phrases, 0.95), "mention", "aligned", "ord") == sorted([("near", "near", 10_000), *stays], key=repr)

@@ -50,3 +50,19 @@ def test_header_summary_and_quarantine(spark):
     runs = D.run_summary(header, D.stage_stats(r))
     assert rows(runs.filter("run_key = 'r0'"), "warpage_mm", "max_sprue_pressure_MPa", "gate_freeze_time_s", "volume_filled_percent") == [(0.42, 88.0, 2.0, 100.0)]
     assert rows(D.undiagnosed(runs)) == [("r1", "no warpage"), ("r2", "no warpage"), ("r3", "no warpage")]
+
+
+def test_deep_documents_are_listed_and_end_no_job(spark):
+    deep = '{"a":' * 100_000 + "1" + "}" * 100_000
+    tagged = {"Tag": "Warpage_T", "Statistics_Max": 4}
+    for _ in range(300):
+        tagged = {"x": [tagged]}
+    r = table(spark, deep, tagged, "", "null", "[]")
+    assert rows(D.stage_stats(r), "run_key", "max") == [("r1", 4.0)]
+    assert rows(D.bad_reports(r)) == [("r0",), ("r2",)]
+
+
+def test_round_one_is_that_of_exact_binary_values(spark):
+    values = [x / 20 for x in range(-400, 400)] + [0.05, 0.15, 0.25, 0.35, 1.05, 3.15, 2.675, 1e14 + 0.25, 1e16, -0.05, 123456.75, 0.1 + 0.2, 5e-324]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", D.round_one(F.col("x")).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == [round(v, 1) for v in values]
