@@ -30,6 +30,7 @@ def block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 _COUNT_CN = r"len(regexp_extract_all(t, 'CN\s*\d+'))"
+# The patterns and phrases of the block rules and of captions.
 RULES_SQL = rf"""
 ruled AS (SELECT *, {_STRIPPED} AS t FROM blocks),
 judged AS (SELECT *, length(t) >= 50 AND NOT regexp_matches(t, '^\d+$') AS keep,
@@ -175,7 +176,10 @@ aligned AS (SELECT mention, CASE WHEN score >= 0.3 THEN 'name' || ord ELSE menti
 
 
 def alignment_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases: every vector is expected to fall to the first vocabulary vector of its label."""
+    """Cases: every vector is expected to fall to the first vocabulary vector of its label.
+
+    The vocabulary is the first 48 vectors, as many as the vocabulary of entities has names.
+    """
     v = I.table(spark, sf_dir, "embeddings")
     first = v.filter(_VOCAB).groupBy("label").agg(F.min("vec_id").alias("f"))
     name = F.when(F.col("vec_id") % 10 == 3, F.concat(F.lit("mention"), F.col("vec_id").cast("string"))).otherwise(F.concat(F.lit("name"), F.col("f").cast("string")))
