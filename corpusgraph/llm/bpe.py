@@ -71,15 +71,55 @@ class _Known(dict):
     def __missing__(self, key):
         made = self.make(key)
         if len(key) <= 64:
-            self[key] = made
-            self.held += len(key) + len(made) + _ENTRY_BYTES
+            self.keep(key, made)
         return made
 
+    def keep(self, key, made) -> None:
+        self[key] = made
+        self.held += len(key) + len(made) + _ENTRY_BYTES
+
     def clear(self) -> None:
         super().clear()
         self.held = 0
 
 
+class _PairTable:
+    """A hash table of merges for many pairs at once: open addressing, the next slot for whoever finds one taken."""
+
+    def __init__(self, merged: dict[tuple[int, int], int]) -> None:
+        keys = np.array([a << _ID_BITS | b for a, b in merged], dtype=np.int64)
+        values = np.array(list(merged.values()), dtype=np.int64)
+        self.bits = max(4, int(len(keys)).bit_length() + 2)
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.full(1 << self.bits, _NEVER, dtype=np.int64)
+        slot, self.steps = self._slot(keys), 0
+        while len(keys):
+            self.steps += 1
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            placed = self.keys[slot] == keys
+            self.values[slot[placed]] = values[placed]
+            keys, values, slot = keys[~placed], values[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The merge of each pair, _NEVER where there is none."""
+        slot = self._slot(keys)
+        out = np.where(self.keys[slot] == keys, self.values[slot], _NEVER)
+        open_ = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] >= 0))
+        for _ in range(1, self.steps):
+            if not len(open_):
+                break
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[open_]]
+            found = held == keys[open_]
+            out[open_[found]] = self.values[slot[open_[found]]]
+            open_ = open_[~found & (held >= 0)]
+        return out
+
+
 class ForcedBoundaryBpe:
     """A byte-level BPE vocabulary in the JSON form of the tokenizers library.
 
@@ -113,6 +153,11 @@ class ForcedBoundaryBpe:
         ordered = sorted(self.added, key=len, reverse=True)
         self.between = regex.compile("(" + "|".join(map(regex.escape, ordered)) + ")") if ordered else None
         self.words = regex.compile(_PATTERN)
+        self.table = _PairTable(self.merged)
+        self.single_ids = np.array(self.single, dtype=np.int64)
+        # Rounds over many fragments merge all of a fragment's lowest pairs at once, which is the same as one by one where no pair ranks before those that made its halves.
+        made = {m & _ID_MASK: m >> _ID_BITS for m in self.merged.values()}
+        self.in_order = len(made) == len(self.merged) and all(max(made.get(a, -1), made.get(b, -1)) < m >> _ID_BITS for (a, b), m in self.merged.items())
         self.known_words = _Known(self.word_ids)
         self.known = _Known(self.merge)
 
@@ -175,19 +220,75 @@ class ForcedBoundaryBpe:
             out += self.known[part]
         return array("i", out).tobytes()
 
-    def encode_packed(self, text: str) -> bytes:
+    def many_words(self, words: list[str]) -> list[bytes]:
+        """word_ids of many words at once: their fragments lie end to end and are merged in rounds."""
+        raw = [w.encode() for w in words]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        begins = np.cumsum([0, *map(len, raw)])[:-1]
+        first = np.zeros(len(data), dtype=bool)
+        first[1:] = ~self.inside[data[:-1], data[1:]]
+        first[begins] = True
+        fragment = np.cumsum(first) - 1
+        of_word = fragment[begins]
+        n_fragments = int(fragment[-1]) + 1
+        ids, done = self.single_ids[data], []
+        while len(ids):
+            m = np.full(len(ids), _NEVER, dtype=np.int64)
+            same = np.flatnonzero(fragment[1:] == fragment[:-1])
+            m[same] = self.table.find(ids[same] << _ID_BITS | ids[same + 1])
+            starts = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
+            least = np.repeat(np.minimum.reduceat(m, starts), np.diff(np.append(starts, len(ids))))
+            whole = least == _NEVER
+            done.append((fragment[whole], ids[whole]))
+            hit = (m == least) & ~whole
+            # A letter twice over and more: every other pair from the left.
+            at = np.arange(len(ids))
+            head = hit & ~np.concatenate([[False], hit[:-1]])
+            hit &= (at - np.maximum.accumulate(np.where(head, at, 0))) % 2 == 0
+            ids[hit] = m[hit] & _ID_MASK
+            stay = ~whole
+            stay[np.flatnonzero(hit) + 1] = False
+            ids, fragment = ids[stay], fragment[stay]
+        fragment, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(fragment, kind="stable")
+        packed = ids[order].astype(np.int32).tobytes()
+        before = np.concatenate([[0], np.cumsum(np.bincount(fragment, minlength=n_fragments))])
+        edges = (4 * np.append(before[of_word], len(ids))).tolist()
+        return [packed[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers the ids of new short words."""
+        new = [w for w in words - self.known_words.keys() if len(w) <= 64] if self.in_order else []
+        for a in range(0, len(new), 50_000):
+            some = new[a : a + 50_000]
+            for w, ids in zip(some, self.many_words(some), strict=True):
+                self.known_words.keep(w, ids)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers, one after another."""
         if self.known_words.held + self.known.held > REMEMBERED_BYTES:
             self.known_words.clear()
             self.known.clear()
-        out: list[bytes] = []
-        for i, part in enumerate(self.between.split(text) if self.between else [text]):
-            if i % 2:
-                out.append(np.int32(self.added[part]).tobytes())
-            elif len(part) <= STEP_CHARS:
-                out += map(self.known_words.__getitem__, self.words.findall(part))
-            else:
-                out += (self.known_words[match[0]] for match in self.words.finditer(part))
-        return b"".join(out)
+        find, split = self.words.findall, self.between.split if self.between else lambda t: [t]
+        parts = [split(t) for t in texts]
+        # A very long part's words are not listed beforehand.
+        lists = [[part if i % 2 or len(part) > STEP_CHARS else find(part) for i, part in enumerate(own)] for own in parts]
+        self.learn(set().union(*(words for own in lists for words in own if isinstance(words, list))))
+        get, out = self.known_words.__getitem__, []
+        for own in lists:
+            made: list[bytes] = []
+            for i, words in enumerate(own):
+                if i % 2:
+                    made.append(np.int32(self.added[words]).tobytes())
+                elif isinstance(words, list):
+                    made += map(get, words)
+                else:
+                    made += (get(match[0]) for match in self.words.finditer(words))
+            out.append(b"".join(made))
+        return out
+
+    def encode_packed(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), dtype=np.int32).tolist()
@@ -237,7 +338,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
         for batch in batches:
             column = batch.column(text_at)
             for a, b in _steps(column):
-                ids = [bpe.encode_packed(text or "") for text in column.slice(a, b - a).to_pylist()]
+                ids = bpe.encode_many([text or "" for text in column.slice(a, b - a).to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)]) // 4
                 values = np.frombuffer(b"".join(ids), dtype=np.int32)
                 made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))]

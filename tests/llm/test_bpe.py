@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -42,6 +43,25 @@ def test_memory_is_bounded_by_bytes(monkeypatch):
         assert own.known_words.held + own.known.held < 20_000
 
 
+@settings(max_examples=100, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(st.sampled_from([*"aaaeotinshr ", "é", "日", "\U0001f600"]), min_size=1, max_size=30), min_size=1, max_size=40))
+def test_many_words_at_once_as_one_by_one(words):
+    assert OWN.in_order and OWN.many_words(words) == [OWN.word_ids(w) for w in words]
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.sampled_from(["a", "it's", " ", "  ", "\n", " \n", "\t ", "12", "!", "'s", "é", "日本", "\u3000", "\x1f", "<|endoftext|>", "x" * 70]), max_size=25).map("".join))
+def test_pieces_between_single_spaces(text):
+    assert OWN.encode(text) == library(text)
+
+
+def test_pair_table_finds_what_is_there_and_nothing_else():
+    keys = np.array([a << 20 | b for a, b in OWN.merged], dtype=np.int64)
+    assert (OWN.table.find(keys) == np.array(list(OWN.merged.values()))).all()
+    none = np.array([k for k in range(10**6, 10**6 + 5000) if (k >> 20, k & 0xFFFFF) not in OWN.merged], dtype=np.int64)
+    assert (OWN.table.find(none) == bpe._NEVER).all()
+
+
 def test_cuts_lie_on_token_boundaries():
     word = "supercalifragilistic§日本xq"
     ends, at = set(), 0
