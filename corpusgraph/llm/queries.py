@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_topk, minhash, mixing, quality, sharding, suffixes, url_filter, warc
+from . import ann, bpe, exact_topk, merkle, minhash, mixing, quality, sharding, suffixes, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,15 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_suffixes": suffixes.op9_suffixes,
         "op10_minhash": minhash.op10_minhash,
+        "op12_merkle": merkle.op12_merkle,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_url_filter": url_filter.OP2_SQL, "op3_sharding": sharding.OP3_SQL, "op4_warc": warc.OP4_SQL, "op7_exact_topk": exact_topk.OP7_SQL}
+    return {
+        "op2_url_filter": url_filter.OP2_SQL,
+        "op3_sharding": sharding.OP3_SQL,
+        "op4_warc": warc.OP4_SQL,
+        "op7_exact_topk": exact_topk.OP7_SQL,
+        "op12_merkle": merkle.OP12_SQL,
+    }
