@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_topk, merkle, minhash, mixing, quality, sharding, suffixes, url_filter, warc
+from . import ann, bpe, exact_topk, lexical, merkle, minhash, mixing, quality, sharding, suffixes, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_suffixes": suffixes.op9_suffixes,
         "op10_minhash": minhash.op10_minhash,
+        "op11_lexical": lexical.op11_lexical,
         "op12_merkle": merkle.op12_merkle,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict:
         "op3_sharding": sharding.OP3_SQL,
         "op4_warc": warc.OP4_SQL,
         "op7_exact_topk": exact_topk.OP7_SQL,
+        "op11_lexical": lexical.OP11_SQL,
         "op12_merkle": merkle.OP12_SQL,
     }

@@ -43,9 +43,9 @@ def byte_steps(ends: np.ndarray, size: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def word_spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the first word of each text (one more than texts); a text's end ends its word."""
-    space = IS_SPACE[raw]
+def word_spans(raw: np.ndarray, ends: np.ndarray, gaps: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the first word of each text (one more than texts); a text's end ends its word. ``gaps`` tells the bytes that are in no word."""
+    space = gaps[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[ends] = True
     solid = ~space
