@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_topk, lexical, merkle, minhash, mixing, quality, sharding, suffixes, url_filter, warc
+from . import ann, bpe, exact_topk, lexical, merkle, minhash, mixing, pii, quality, sharding, suffixes, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_minhash": minhash.op10_minhash,
         "op11_lexical": lexical.op11_lexical,
         "op12_merkle": merkle.op12_merkle,
+        "op13_pii": pii.op13_pii,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict:
         "op7_exact_topk": exact_topk.OP7_SQL,
         "op11_lexical": lexical.OP11_SQL,
         "op12_merkle": merkle.OP12_SQL,
+        "op13_pii": pii.OP13_SQL,
     }
