@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,9 +32,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        path = self._path(self.root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        path = self._path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        # With its scheme, so that what reads it without Spark looks in the same store.
+        self.root = re.sub("^file:/+", "file:///", store.makeQualified(path).toString())
+        store.deleteOnExit(path)
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
