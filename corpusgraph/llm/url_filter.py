@@ -58,6 +58,10 @@ def bloom_words(n_rules: int) -> int:
     return 1 << max(6, (max(1, n_rules) // WORD_KEYS).bit_length())
 
 
+#: Words of the filter that are laid out at once.
+RUN_WORDS = 64
+
+
 def _word(key: Column, words: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(words)).cast("int")
 
@@ -76,13 +80,25 @@ def blocked_bloom(rules: DataFrame, words: int) -> DataFrame:
     return rules.groupBy(_word(F.col("rule"), words).alias("word")).agg(F.bit_or(_mask(F.col("rule"))).alias("bits"))
 
 
+def filter_array(listed: DataFrame, words: int) -> DataFrame:
+    """(filter): one row with all words of the filter, empty ones too.
+
+    Runs of RUN_WORDS words are laid out side by side, each from a map of its own, as
+    a map is searched from its start; so the work grows with the words.
+    """
+    runs = listed.sparkSession.range(-(-words // RUN_WORDS)).withColumnRenamed("id", "run")
+    filled = blocked_bloom(listed, words).groupBy(F.floor(F.col("word") / RUN_WORDS).alias("run")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word") % RUN_WORDS, "bits"))).alias("m"))
+    laid = F.transform(F.sequence(F.lit(0), F.lit(RUN_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    whole = runs.join(filled, "run", "left").select("run", laid.alias("bits")).agg(F.array_sort(F.collect_list(F.struct("run", "bits"))).alias("all"))
+    return whole.select(F.flatten(F.transform("all", lambda r: r["bits"])).alias("filter"))
+
+
 def _possible(urls: DataFrame, listed: DataFrame, words: int) -> DataFrame:
     """``urls`` with hits: the candidate keys (struct of host and path) that the filter lets pass.
 
     The filter is one array, worked out once and sent with the plan.
     """
-    filled = blocked_bloom(listed, words).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    array = filled.select(F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("filter")).scalar()
+    array = filter_array(listed, words).scalar()
 
     def passes(key: Column) -> Column:
         whole = F.concat(key["rule_host"], key["rule_path"])
