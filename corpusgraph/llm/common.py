@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,12 @@ class Scratch(scratch.Scratch):
         super().__init__(spark, name)
 
 
+def arrow_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path of a folder that Spark wrote, for tasks that read it without Spark; s3a and s3n are names of s3."""
+    scheme, rest = uri.split("://", 1)
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``facts`` (one row for each key) where some keys may hold a large share of the rows.
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, spread_join
+from .common import Scratch, arrow_store, partitions, spread_join
 
 #: Bytes of payload in a row of the chunk table.
 CHUNK_BYTES = 32 * 1024
@@ -29,6 +29,8 @@ CHUNK_BYTES = 32 * 1024
 REVISIT_BYTES = 1000
 #: Bytes of html that one archive gets, about.
 ARCHIVE_BYTES = 64 * 1024 * 1024
+#: Bytes that are read, or unpacked, at once.
+READ_BYTES = 1 << 16
 #: Bytes in which the head of an HTTP message is looked for.
 MOST_HEAD = 1 << 20
 _END = b"\r\n\r\n"
@@ -38,12 +40,12 @@ _DATE = "2024-01-01T00:00:00Z"
 def payload_chunks(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """record columns without ``payload`` plus chunk (number from 0), n_chunks, data (bytes); an empty payload is one empty chunk.
 
-    The payload is cut inside its row, so no chunk's row carries the whole of it.
+    Chunks are cut one by one, so no row but the record's own carries the whole payload.
     """
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk_bytes)).cast("int")
     others = [c for c in records.columns if c != "payload"]
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("payload", i * chunk_bytes + 1, F.lit(chunk_bytes)))
-    return records.withColumn("n_chunks", n).select(*others, "n_chunks", F.posexplode(cut).alias("chunk", "data"))
+    each = records.withColumn("n_chunks", n).select(*others, "payload", "n_chunks", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    return each.select(*others, "n_chunks", "chunk", F.substring("payload", F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data"))
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> tuple[DataFrame, DataFrame]:
@@ -125,7 +127,7 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = arrow_store(folder)
         store.create_dir(root, recursive=True)
         name = f"{root}/part-{task.partitionId():06d}.warc.gz"
         part = f"{root}/.part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
@@ -163,48 +165,55 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
 
 
 class _Lines:
-    """Reads a WARC file, gzip of many members or plain, piece by piece."""
+    """Reads a WARC file, gzip of many members or plain, piece by piece.
 
-    def __init__(self, raw) -> None:
-        self.raw, self.buffer = raw, b""
-        begin = raw.read(1 << 16)
-        self.z, self.ahead = (zlib.decompressobj(31), begin) if begin[:2] == b"\x1f\x8b" else (None, begin)
+    No step reads or unpacks more than READ_BYTES, however well the file is packed;
+    what is not used yet is ``buffer`` from ``at`` on.
+    """
 
-    def _more(self) -> bool:
-        while True:
-            data = self.ahead or (self.z.unused_data if self.z else b"") or self.raw.read(1 << 16)
-            self.ahead = b""
-            if not data:
-                return False
-            if self.z is None:
-                self.buffer += data
-                return True
+    def __init__(self, raw) -> None:
+        self.raw, self.at = raw, 0
+        begin = raw.read(READ_BYTES)
+        packed = begin[:2] == b"\x1f\x8b"
+        self.z, self.packed, self.buffer = (zlib.decompressobj(31), begin, b"") if packed else (None, b"", begin)
+
+    def _next(self) -> bytes:
+        if self.z is None:
+            return self.raw.read(READ_BYTES)
+        while data := self.packed or self.raw.read(READ_BYTES):
             if self.z.eof:
                 self.z = zlib.decompressobj(31)
-            if got := self.z.decompress(data):
-                self.buffer += got
-                return True
+            got = self.z.decompress(data, READ_BYTES)
+            self.packed = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            if got:
+                return got
+        return b""
+
+    def _more(self) -> bool:
+        got = self._next()
+        self.buffer, self.at = self.buffer[self.at :] + got, 0
+        return bool(got)
 
     def head(self) -> dict[str, str] | None:
         """The header block up to its empty line, None at the end of the file."""
-        while _END not in self.buffer:
+        while (end := self.buffer.find(_END, self.at)) < 0:
             if not self._more():
                 if self.buffer.strip():
                     raise OSError("archive ends inside a header")
                 return None
-        block, _, self.buffer = self.buffer.partition(_END)
+        block, self.at = self.buffer[self.at : end], end + len(_END)
         lines = block.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
         return {"": lines[0]} | {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
     def body(self, n: int, most: int) -> Iterator[bytes]:
         while n:
-            while not self.buffer:
-                if not self._more():
-                    raise OSError("archive ends inside a payload")
             step = min(n, most)
-            while len(self.buffer) < step and self._more():
+            while len(self.buffer) - self.at < step and self._more():
                 pass
-            piece, self.buffer = self.buffer[:step], self.buffer[step:]
+            piece = self.buffer[self.at : self.at + step]
+            if not piece:
+                raise OSError("archive ends inside a payload")
+            self.at += len(piece)
             n -= len(piece)
             yield piece
 
@@ -286,7 +295,7 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, where = fs.FileSystem.from_uri(path if "://" in path else store_uri + path)
+                store, where = arrow_store(path if "://" in path else store_uri + path)
                 rows, held = [], 0
                 with store.open_input_stream(where, compression=None) as raw:
                     lines = _Lines(raw)

@@ -1,6 +1,8 @@
 import glob
 import gzip
 import hashlib
+import time
+import zlib
 
 from corpusgraph.llm import warc as W
 from tests.compare import assert_same
@@ -89,3 +91,23 @@ def test_archives_of_other_writers(spark, tmp_path):
 
 def test_query(spark):
     assert_same(W.op4_warc(spark, DIR), DIR, W.OP4_SQL)
+
+
+def test_well_packed_payloads_are_read_in_steps(spark, tmp_path):
+    """256 MB of zeros in one member: flat memory, and time in proportion."""
+    n, packer = 256 << 20, zlib.compressobj(9, zlib.DEFLATED, 31)
+    with open(tmp_path / "zeros.warc.gz", "wb") as out:
+        out.write(packer.compress(f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:z>\r\nContent-Length: {n}\r\n\r\n".encode()))
+        for _ in range(n >> 20):
+            out.write(packer.compress(bytes(1 << 20)))
+        out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+    with open(tmp_path / "zeros.warc.gz", "rb") as raw:
+        lines, began = W._Lines(raw), time.time()
+        assert lines.head()["content-length"] == str(n)
+        read = most = 0
+        for piece in lines.body(n, W.CHUNK_BYTES):
+            read, most = read + len(piece), max(most, len(lines.buffer))
+        assert read == n and most <= W.CHUNK_BYTES + W.READ_BYTES and time.time() - began < 20
+        assert next(lines.body(4, 4)) == b"\r\n\r\n" and lines.head() is None
+    last = W.read_archives(spark.createDataFrame([(str(tmp_path / "zeros.warc.gz"),)], "path string"), with_data=False).filter("last").collect()
+    assert [(r.record_id, r.upto) for r in last] == [("z", n)]
