@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, arrow_store, partitions
 from .words import text_bytes
 
 #: Bytes of a string whose repeats go.
@@ -213,15 +213,21 @@ def _file_by_part(replies: DataFrame, root: str) -> None:
 
 
 class _Replies:
-    """Replies to the blocks of one part after another."""
+    """Replies to the blocks of one part after another.
 
-    def __init__(self, root: str) -> None:
-        self.root, self.part, self.rows = root, None, None
+    ``every``: each part has replies, so a part without a folder is an error, not
+    "none". A root that cannot be seen always is one.
+    """
+
+    def __init__(self, root: str, every: bool = False) -> None:
+        self.root, self.every, self.part, self.rows = root, every, None, None
 
     def of(self, block: int) -> pa.Table | None:
         if self.part != block >> 32:
-            store, where = fs.FileSystem.from_uri(self.root)
+            store, where = arrow_store(self.root)
             self.part = block >> 32
+            if store.get_file_info(f"{where}/of={self.part}" if self.every else where).type == fs.FileType.NotFound:
+                raise FileNotFoundError(f"replies to part {self.part} in {self.root}")
             found = store.get_file_info(fs.FileSelector(f"{where}/of={self.part}", allow_not_found=True))
             files = sorted(f.path for f in found if f.path.endswith(".parquet"))
             self.rows = pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read() for f in files]) if files else None
@@ -377,7 +383,7 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The runs of open windows; of runs of the same text only the block's first, as the others are repeats as a whole."""
-        replies = _Replies(sample_root)
+        replies = _Replies(sample_root, every=True)
         for batch in batches:
             for number, raw, ends, ids in _rows(batch):
                 block = _Block(raw, ends)
@@ -439,7 +445,7 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
             yield _found(some.column(2).to_numpy(), some.column(3).to_numpy(), _fixed(np.tile(mask, (len(some), 1))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples, firsts = _Replies(sample_root), _Replies(first_root)
+        samples, firsts = _Replies(sample_root, every=True), _Replies(first_root)
         for batch in batches:
             for number, raw, ends, rest in _rows(batch):
                 block = _Block(raw, ends)

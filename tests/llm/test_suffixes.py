@@ -99,3 +99,12 @@ def test_query_against_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = sorted((tuple(r) for r in S.op9_suffixes(spark, "/root/testdata/sf0.001").collect()), key=repr)
     assert got == brute(docs)
+
+
+def test_a_missing_reply_is_an_error(tmp_path):
+    (tmp_path / "of=0").mkdir()
+    with pytest.raises(FileNotFoundError):
+        S._Replies(f"file://{tmp_path}", every=True).of(1 << 32)
+    with pytest.raises(FileNotFoundError):
+        S._Replies(f"file://{tmp_path}/none").of(0)
+    assert S._Replies(f"file://{tmp_path}").of(1 << 32) is None
