@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 #: Vectors in a pack, and bytes of packs that are broadcast at most; beyond that both sides are shuffled.
 PACK_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
@@ -17,8 +21,6 @@ SCORE_BYTES = 16 << 20
 HELD_BYTES = 64 << 20
 #: Parts in which a pack of queries meets its vectors when both sides are shuffled.
 SALTS = 32
-#: Ranges of keys whose counts are added up side by side.
-RANGES = 64
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
@@ -26,37 +28,38 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank_col
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def dense_index(df: DataFrame, coarse: list[str], fine: list[str], index_col: str) -> DataFrame:
-    """Numbers rows from 0 in the order of coarse, then fine columns.
+def number_rows(df: DataFrame, key: list[str], order: list[str], index_col: str, scratch: Scratch | None = None, count_col: str | None = None) -> DataFrame:
+    """Numbers rows from 0 in the order of ``order`` within their key (no key: all rows); nulls come first.
 
-    Rows are counted by coarse key (files, say). RANGES keys, the least by hash, cut
-    the keys into ranges; keys are added up within each range in a task of its own,
-    and only one total of each range meets the others. Each key's rows are numbered
-    in a task of their own.
+    Rows are sorted into ranges of (key, order), which are sampled to be of like size
+    whatever the keys are, and written once. Only the ranges' counts of each key are
+    added up, so no task's rows grow with a key. ``count_col`` gets the key's rows.
     """
-    counts = df.groupBy(*coarse).count()
-    cuts = counts.select(F.struct(*coarse).alias("k")).orderBy(F.xxhash64(*coarse), "k").limit(RANGES - 1).collect()
-    kind = counts.select(F.struct(*coarse).alias("k")).schema["k"].dataType
-    key = F.struct(*coarse)
-    range_no = F.lit(0)
-    if cuts:
-        bounds = counts.sparkSession.createDataFrame([([r.k for r in cuts],)], f"cuts array<{kind.simpleString()}>")
-        counts = counts.join(F.broadcast(bounds), F.lit(True))
-        range_no = F.size(F.filter("cuts", lambda c: c <= key))
-    counts = counts.withColumn("_range", range_no).drop("cuts")
-    totals = counts.groupBy("_range").agg(F.sum("count").alias("_total"))
-    upto = lambda w: F.coalesce(w, F.lit(0))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_range", upto(F.sum("_total").over(earlier)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)
-    summed = counts.withColumn("_inside", upto(F.sum("count").over(inside))).join(F.broadcast(starts), "_range")
-    offsets = summed.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(coarse)], (F.col("_start") + F.col("_inside")).alias("_before"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(coarse)]
-    on = same[0]
-    for more in same[1:]:
-        on = on & more
-    within = Window.partitionBy(*coarse).orderBy(*fine)
-    return df.join(offsets, on).withColumn(index_col, (F.col("_before") + F.row_number().over(within) - 1).cast("long")).drop("_before", *[f"_{i}" for i in range(len(coarse))])
+    scratch = scratch or Scratch(df.sparkSession, "numbered")
+    ranged = df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    held = scratch.save(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), f"{index_col}-sorted")
+    counts = held.groupBy(*key, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    whole = Window.partitionBy(*key)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_key{i}" for i in range(len(key))]
+    starts = scratch.save(
+        counts.select(*[F.col(c).alias(n) for c, n in zip(key, names, strict=True)], F.col("_part").alias("_of"), (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("_count")),
+        f"{index_col}-starts",
+    )
+    size = starts.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(F.col(n).cast("string")), F.lit(0)) for n in names), F.lit(48))), F.lit(0))).first()[0]
+    on = F.col("_part") == F.col("_of")
+    for c, n in zip(key, names, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    placed = held.join(F.broadcast(starts) if size <= BROADCAST_BYTES else starts, on)
+    numbered = placed.withColumn(index_col, (F.col("_row") + F.col("_shift")).cast("long"))
+    if count_col:
+        numbered = numbered.withColumn(count_col, F.col("_count"))
+    return numbered.select(*[c for c in df.columns if c != index_col], index_col, *([count_col] if count_col else []))
+
+
+def dense_index(df: DataFrame, coarse: list[str], fine: list[str], index_col: str) -> DataFrame:
+    """Numbers all rows from 0 in the order of coarse, then fine columns."""
+    return number_rows(df, [], [*coarse, *fine], index_col)
 
 
 def vector_matrix(column: pa.Array) -> np.ndarray:
@@ -66,18 +69,19 @@ def vector_matrix(column: pa.Array) -> np.ndarray:
 
 
 def pack_vectors(df: DataFrame, id_col: str, vector_col: str, prefix: str) -> DataFrame:
-    """dims and the ids and row-major doubles of up to PACK_ROWS vectors of equal length; null and empty vectors are left out."""
+    """dims and the number, the ids and the row-major doubles of packs of up to PACK_ROWS vectors of equal length; null and empty vectors are left out."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        numbers = count(TaskContext.get().partitionId() << 32)
 
         def pack(dims: int) -> pa.RecordBatch:
             ids = pa.concat_arrays([x for x, _ in held[dims]])
             flat = np.concatenate([m for _, m in held.pop(dims)])
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), lists, pa.array([flat.tobytes()], pa.binary())], names=["dims", f"{prefix}_ids", f"{prefix}_rows"])
+            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([next(numbers)], pa.int64()), lists, pa.array([flat.tobytes()], pa.binary())], names=["dims", f"{prefix}_no", f"{prefix}_ids", f"{prefix}_rows"])
 
         for batch in batches:
             ids, v = batch.column(0), batch.column(1)
@@ -92,7 +96,7 @@ def pack_vectors(df: DataFrame, id_col: str, vector_col: str, prefix: str) -> Da
         for dims in list(held):
             yield pack(dims)
 
-    return rows.mapInArrow(run, f"dims int, {prefix}_ids array<{kind}>, {prefix}_rows binary")
+    return rows.mapInArrow(run, f"dims int, {prefix}_no long, {prefix}_ids array<{kind}>, {prefix}_rows binary")
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +123,7 @@ def _search(n: int):
     """Keeps each query's n best over all packs that a task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, list] = {}
+        best: dict[int, list] = {}
         held = 0
 
         def hand_on() -> Iterator[pa.RecordBatch]:
@@ -134,7 +138,7 @@ def _search(n: int):
                 dims = cell["dims"].as_py()
                 q_ids, v_ids = cell["q_ids"].values, cell["v_ids"].values.to_numpy()
                 q, v = (np.frombuffer(cell[c].as_buffer(), dtype=np.float64).reshape(-1, dims) for c in ("q_rows", "v_rows"))
-                name = cell["q_rows"].as_buffer().to_pybytes()[:64] + repr(q_ids[0]).encode() + len(q_ids).to_bytes(4, "big")
+                name = cell["q_no"].as_py()
                 parts = []
                 step = max(1, SCORE_BYTES // 8 // len(v))
                 for a in range(0, len(q), step):
@@ -155,6 +159,12 @@ def _search(n: int):
     return run
 
 
+def _once(hits: DataFrame, query_id: str, id_col: str) -> DataFrame:
+    """Each pair of ids once, with its best score; the rows of a query then lie together, as a ranking of them wants."""
+    best = Window.partitionBy(query_id, id_col).orderBy(F.desc("score"))
+    return hits.repartition(query_id).withColumn("_turn", F.row_number().over(best)).filter("_turn = 1").drop("_turn")
+
+
 def top_k_inner_product(queries: DataFrame, vectors: DataFrame, n: int, id_col: str = "row_id", vector_col: str = "dense", query_id: str = "query_id") -> DataFrame:
     """query_id, id_col, score, rank: the n largest inner products in double precision, ties to the smaller id.
 
@@ -163,7 +173,8 @@ def top_k_inner_product(queries: DataFrame, vectors: DataFrame, n: int, id_col:
     broadcast if they fit BROADCAST_BYTES, else packs of both sides meet by a
     shuffle. A task keeps the n best of each query over all it meets, so only those
     are ranked in the end. Vectors of different length do not meet; rows with a null
-    id, a null vector or a null component have no part.
+    id, a null vector or a null component have no part. The vectors' ids differ; rows that
+    share a query's id are one query and count by the best of their vectors.
     """
     size = lambda df: df.agg(F.coalesce(F.sum(8 * F.greatest(F.lit(1), F.size(vector_col))), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     q_size, v_size = size(queries), size(vectors)
@@ -178,5 +189,5 @@ def top_k_inner_product(queries: DataFrame, vectors: DataFrame, n: int, id_col:
         dealt = lambda rows, k: F.pmod(F.xxhash64(rows), F.lit(k)).cast("int")
         met = v.withColumn("salt", dealt("v_ids", SALTS)).withColumn("block", each(blocks)).join(q.withColumn("block", dealt("q_ids", blocks)).withColumn("salt", each(SALTS)), ["dims", "block", "salt"])
     kind = queries.schema[query_id].dataType.simpleString()
-    hits = met.select("dims", "q_ids", "q_rows", "v_ids", "v_rows").mapInArrow(_search(n), f"{query_id} {kind}, {id_col} long, score double")
-    return top_k(hits, [query_id], [F.desc("score"), F.col(id_col)], n)
+    hits = met.select("dims", "q_no", "q_ids", "q_rows", "v_ids", "v_rows").mapInArrow(_search(n), f"{query_id} {kind}, {id_col} long, score double")
+    return top_k(_once(hits, query_id, id_col), [query_id], [F.desc("score"), F.col(id_col)], n)

@@ -3,20 +3,54 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import ranking as R
+from corpusgraph.functions.scratch import Scratch
 from corpusgraph.operators.search import sparse_top_k
 from tests.conftest import rows
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 64])
-def test_dense_index_over_any_number_of_ranges(spark, monkeypatch, ranges):
-    monkeypatch.setattr(R, "RANGES", ranges)
-    rng = np.random.default_rng(ranges)
-    data = [(None if i % 17 == 0 else f"f{int(rng.integers(0, 40)):02d}", int(rng.integers(0, 3)), i) for i in range(500)]
-    df = spark.createDataFrame(data, "f string, m int, n int").repartition(5)
-    got = {r.n: r.i for r in R.dense_index(df, ["m", "f"], ["n"], "i").collect()}
-    order = sorted(data, key=lambda r: (r[1], r[0] is not None, r[0] or "", r[2]))
-    assert got == {r[2]: i for i, r in enumerate(order)}
-    assert R.dense_index(df.limit(0), ["m", "f"], ["n"], "i").count() == 0
+@pytest.mark.parametrize("ranges,few", [("1", R.BROADCAST_BYTES), ("7", 0), ("64", R.BROADCAST_BYTES)])
+def test_numbers_over_any_number_of_ranges(spark, monkeypatch, ranges, few):
+    monkeypatch.setattr(R, "BROADCAST_BYTES", few)
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        rng = np.random.default_rng(int(ranges))
+        data = [(None if i % 17 == 0 else f"f{int(rng.integers(0, 40)):02d}", int(rng.integers(0, 3)), i) for i in range(500)]
+        df = spark.createDataFrame(data, "f string, m int, n int").repartition(5)
+        got = {r.n: r.i for r in R.dense_index(df, ["m", "f"], ["n"], "i").collect()}
+        order = sorted(data, key=lambda r: (r[1], r[0] is not None, r[0] or "", r[2]))
+        assert got == {r[2]: i for i, r in enumerate(order)}
+        assert R.dense_index(df.limit(0), ["m", "f"], ["n"], "i").count() == 0
+        within = {r.n: (r.i, r.all) for r in R.number_rows(df, ["f"], ["m", "n"], "i", count_col="all").collect()}
+        own = {}
+        for f, m, n in sorted(data, key=lambda r: (r[1], r[2])):
+            own.setdefault(f, []).append(n)
+        assert within == {n: (i, len(ns)) for ns in own.values() for i, n in enumerate(ns)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_no_task_numbers_more_rows_as_keys_grow(spark):
+    """One key with nearly all rows, or a key for each row: ranges stay of like size, and only their counts meet."""
+    # Ranges this small would else be put together.
+    together = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(together, "false")
+    for key in ("0", "id"):
+        df = spark.range(20_000).selectExpr(f"{key} AS k", "id AS n").repartition(4)
+        scratch = Scratch(spark, "numbers")
+        got = R.number_rows(df, [], ["k", "n"], "i", scratch)
+        assert got.filter("i <> n").count() == 0
+        parts = [r["count"] for r in scratch.read("i-sorted").groupBy("_part").count().collect()]
+        assert max(parts) < 2 * 20_000 / 4 and scratch.read("i-starts").count() == len(parts)
+    spark.conf.unset(together)
+
+
+def test_packs_of_queries_are_told_apart(spark):
+    """Packs that begin alike are packs of their own; rows that share an id are one query."""
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, dense array<double>").coalesce(1)
+    q = q.unionByName(spark.createDataFrame([(1, [1.0, 0.0]), (3, [1.0, 1.0])], "query_id long, dense array<double>").coalesce(1))
+    v = spark.createDataFrame([(7, [2.0, 0.0]), (8, [0.0, 3.0])], "row_id long, dense array<double>").coalesce(1)
+    got = [tuple(r) for r in R.top_k_inner_product(q, v, 2).orderBy("query_id", "rank").select("query_id", "row_id", "score").collect()]
+    assert got == [(1, 7, 2.0), (1, 8, 0.0), (2, 8, 3.0), (2, 7, 0.0), (3, 8, 3.0), (3, 7, 2.0)]
 
 
 @pytest.mark.parametrize("few", [R.BROADCAST_BYTES, 0])
