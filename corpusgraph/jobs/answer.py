@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.models import encode, extract_triples, generate_questions, index_text, map_with_fallback, postings, triple_text
 from ..functions.ranking import dense_index
+from ..functions.scratch import Scratch
 from ..operators.align import align_entities, align_relations, apply_alignment, distinct_mentions, drop_empty_and_loops
 from ..operators.fuse import answer_prompts, build_context, rerank, rrf
 from ..operators.graph import attach_chunk, build_edges, graph_search, triple_table
@@ -49,19 +50,18 @@ def build_index(chunks: DataFrame, make_generator, make_encoder, entities: DataF
     }
 
 
-def retrieve(queries: DataFrame, hype: dict[str, DataFrame], graph: dict[str, DataFrame], make_scorer, top_k: int = 20, save: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, hype: dict[str, DataFrame], graph: dict[str, DataFrame], make_scorer, top_k: int = 20, scratch: Scratch | None = None) -> DataFrame:
     """query_id, chunk_index, rrf_score, ranks, rerank_score, text, rank: the top_k chunks of every question.
 
     queries: query_id, query, dense, and query postings as a map ``sparse``. Both
-    searches give 2 * top_k hits from twice as many candidates each. ``save`` is
-    that of graph_search.
+    searches give 2 * top_k hits from twice as many candidates each.
     """
     wide = 2 * top_k
     vectors = queries.select("query_id", "dense")
     words = queries.select("query_id", F.explode("sparse").alias("token", "weight")).withColumn("weight", F.col("weight").cast("double"))
     hybrid = hybrid_search(dense_top_k(vectors, hype["vectors"], 2 * wide), sparse_top_k(words, hype["postings"], 2 * wide), wide)
     over_triples = dense_top_k(vectors, graph["vectors"], 2 * wide)
-    by_graph = graph_search(over_triples, queries.select("query_id", "query"), graph["triples"], graph["edges"], wide, chains=False, save=save)
+    by_graph = graph_search(over_triples, queries.select("query_id", "query"), graph["triples"], graph["edges"], wide, chains=False, scratch=scratch)
     fused = attach_chunk(rrf({"graph": by_graph, "hype": hybrid}, wide), hype["chunks"])
     pairs = fused.join(queries.select("query_id", "query"), "query_id").withColumn("text", F.coalesce("text", F.lit("")))
     return rerank(pairs, make_scorer, top_k)

@@ -84,18 +84,22 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRIPLES_SQL = r"""
 words AS (SELECT doc_id, i - 1 AS block_no, list_filter(regexp_split_to_array(parts[i], '\s+'), lambda w: w <> '') AS w, parts[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
-raw_triples AS (SELECT doc_id * 10000 + block_no AS triple_no, doc_id AS "index", w[1] AS head, w[(len(w) + 1) // 2] AS relation, w[-1] AS tail, line AS text FROM words WHERE len(w) >= 3 AND w[1] <> w[-1]),
+raw_triples AS (SELECT doc_id * 16777216 + block_no AS triple_no, doc_id AS "index", w[1] AS head, w[(len(w) + 1) // 2] AS relation, w[-1] AS tail, line AS text FROM words WHERE len(w) >= 3 AND w[1] <> w[-1]),
 edges AS (SELECT triple_no AS edge_id, head, tail, relation, "index" AS chunk_index, text FROM raw_triples),
 triples AS (SELECT CAST(row_number() OVER (ORDER BY "index", triple_no) - 1 AS BIGINT) AS row_id, "index", head, relation, tail, text FROM raw_triples)"""
 
 
+#: A document's lines are numbered from its id times this, so that numbers of lines differ.
+LINES = 1 << 24
+
+
 def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first, middle and last word of every line of three words or more whose ends differ, with the whole line."""
     words = F.filter(F.split("line", r"\s+"), lambda w: w != "")
     rows = lines(spark, sf_dir).select("doc_id", "block_no", "line", words.alias("w")).filter(F.size("w") >= 3)
     middle = F.floor((F.size("w") + 1) / 2).cast("int")
     cells = [F.try_element_at("w", i).alias(c) for i, c in ((F.lit(1), "head"), (middle, "relation"), (F.lit(-1), "tail"))]
-    return rows.select((F.col("doc_id") * 10000 + F.col("block_no")).alias("triple_no"), F.col("doc_id").alias("index"), *cells, F.col("line").alias("text")).filter("head <> tail")
+    return rows.select((F.col("doc_id") * LINES + F.col("block_no")).alias("triple_no"), F.col("doc_id").alias("index"), *cells, F.col("line").alias("text")).filter("head <> tail")
 
 
 SEARCH_SQL = r"""

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import dense_index, top_k
+from ..functions.ranking import BROADCAST_BYTES, dense_index, number_rows, top_k
+from ..functions.scratch import Scratch
 from ..functions.text import strip
 
 DECAY, MAX_DEPTH, SEED_BONUS, LEXICAL_SCORE, REST_SHARE = 0.82, 2, 0.2, 0.8, 0.1
 #: Parts in which the rows of one neighbour are looked through first.
 HUB_PARTS = 16
+#: Rows of a node beyond which it is cut into parts, and rows of a bucket, about.
+HUB_EDGES, BUCKET_EDGES = 10_000, 2_000_000
 
 
 def build_edges(aligned: DataFrame) -> DataFrame:
@@ -70,12 +74,58 @@ def seed_nodes(dense: DataFrame, lexical: DataFrame, bonus: float = SEED_BONUS)
     return both.select("query_id", "node", score.alias("score"), order.alias("path"))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """Each edge from both ends: node, nbr, dir (0 out, 1 in), grp (first edge of the pair), edge_id, chunk_index, relation."""
-    pair = edges.withColumn("grp", F.min("edge_id").over(Window.partitionBy("head", "tail")))
+@dataclass(frozen=True)
+class Adjacency:
+    """A graph's edges from both ends, stored in buckets of (node, part).
+
+    links: every edge; neighbours: each different neighbour once, by its first edge;
+    chunks: each different chunk of a node with its number of edges. A node with more
+    than HUB_EDGES rows is cut into parts; ``hubs`` (node, parts) names such nodes.
+    """
+
+    links: DataFrame
+    neighbours: DataFrame
+    chunks: DataFrame
+    hubs: DataFrame
+
+
+def _bucketed(rows: DataFrame, buckets: int, name: str, scratch: Scratch) -> DataFrame:
+    """The rows written in buckets of (node, part), one file each, so that joins on these need no exchange of them."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    rows.repartition(buckets, "node", "part").write.bucketBy(buckets, "node", "part").sortBy("node", "part").option("path", f"{scratch.root}/{name}").option("compression", "zstd").format("parquet").saveAsTable(table)
+    stored = rows.sparkSession.table(table)
+    # The frame knows the files and their buckets; the catalog need not keep the name.
+    rows.sparkSession.sql(f"DROP TABLE {table}")
+    return stored
+
+
+def store_adjacency(edges: DataFrame, scratch: Scratch | None = None) -> Adjacency:
+    """The adjacency of an edge table; worked out once, then read by every level of every search."""
+    scratch = scratch or Scratch(edges.sparkSession, "adjacency")
+    first = edges.groupBy("head", "tail").agg(F.min("edge_id").alias("grp"))
+    pair = edges.select("head", "tail", "edge_id", "chunk_index", "relation").join(first, ["head", "tail"])
     rest = ["grp", "edge_id", "chunk_index", "relation"]
-    out = pair.select(F.col("head").alias("node"), F.col("tail").alias("nbr"), F.lit(0).cast("long").alias("dir"), *rest)
-    return out.unionByName(pair.select(F.col("tail").alias("node"), F.col("head").alias("nbr"), F.lit(1).cast("long").alias("dir"), *rest))
+    ends = [F.struct(F.col(a).alias("node"), F.col(b).alias("nbr"), F.lit(d).cast("long").alias("dir")) for d, a, b in ((0, "head", "tail"), (1, "tail", "head"))]
+    both = scratch.save(pair.select(F.explode(F.array(*ends)).alias("e"), *rest).select("e.*", *rest), "ends")
+    degrees = both.groupBy("node").count()
+    hubs = scratch.save(degrees.filter(F.col("count") > HUB_EDGES).select("node", F.ceil(F.col("count") / HUB_EDGES).cast("int").alias("parts")), "hubs")
+    buckets = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // BUCKET_EDGES))
+    parted = lambda rows, col: _with_parts(rows, hubs).withColumn("part", F.pmod(F.xxhash64(col), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    near = both.groupBy("node", "nbr").agg(F.min_by(F.struct("dir", "grp", "edge_id"), F.struct("dir", "grp", "edge_id")).alias("f")).select("node", "nbr", "f.*")
+    told = both.filter("chunk_index is not null").groupBy("node", "chunk_index").agg(F.count("*").alias("n"))
+    return Adjacency(_bucketed(parted(both, "edge_id"), buckets, "links", scratch), _bucketed(parted(near, "nbr"), buckets, "neighbours", scratch), _bucketed(parted(told, "chunk_index"), buckets, "chunks", scratch), hubs)
+
+
+def _with_parts(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``rows`` with the parts of their node, null where it is no hub; a long list of hubs is joined, not sent to all."""
+    size = hubs.agg(F.coalesce(F.sum(F.octet_length("node") + 16), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(hubs) if size <= BROADCAST_BYTES else hubs, "node", "left")
+
+
+def _meet(frontier: DataFrame, stored: DataFrame, hubs: DataFrame) -> DataFrame:
+    """A frontier and a stored table by node: the frontier moves to the table's buckets, a hub's rows to each of its parts."""
+    dealt = _with_parts(frontier, hubs).withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(stored, ["node", "part"]).drop("part")
 
 
 def _above_before(met: DataFrame, known: DataFrame) -> DataFrame:
@@ -93,33 +143,46 @@ def _above_before(met: DataFrame, known: DataFrame) -> DataFrame:
     return onward.join(known, ["query_id", "nbr"], "left").filter(F.col("w") > F.coalesce("best", F.lit(0.0))).drop("_before", "_part", "best")
 
 
-def expand_graph(seeds: DataFrame, edges: DataFrame, decay: float = DECAY, max_depth: int = MAX_DEPTH, save: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """Contributions of a first-in-first-out expansion by best score: query_id, node, nbr, dir, relation, chunk_index, hop, w, path.
+def expansion_levels(seeds: DataFrame, stored: Adjacency, decay: float = DECAY, max_depth: int = MAX_DEPTH, scratch: Scratch | None = None) -> list[DataFrame]:
+    """What each level of a first-in-first-out expansion by best score goes through: query_id, node, score, path.
 
-    Each level joins its frontier with the edges of both directions; a neighbour
-    goes on if its score is above its best so far, in the order of ``path``.
-    Parallel edges each contribute. ``save`` writes a table and reads it back: with
-    it the adjacency and each level are worked out once.
+    A neighbour goes on if its score is above its best so far, in the order of
+    ``path``. Of parallel edges only the first can raise a neighbour's score, so the
+    levels read each neighbour once, not each edge.
     """
-    save = save or (lambda df, name: df)
-    seeds = save(seeds.select("query_id", "node", "score", "path"), "seeds")
-    links, frontier, out = save(adjacency(edges), "adjacency"), seeds, None
-    best = seeds.groupBy("query_id", "node").agg(F.max("score").alias("best"))
-    for hop in range(1, max_depth + 1):
-        met = frontier.join(links, "node").withColumn("w", F.col("score") * decay).withColumn("path", F.concat("path", F.array("dir", "grp", "edge_id"))).drop("score")
-        part = save(met.select("query_id", "node", "nbr", "dir", "relation", "chunk_index", F.lit(hop).alias("hop"), "w", "path"), f"hop-{hop}")
-        out = part if out is None else out.unionByName(part)
-        if hop == max_depth:
-            break
-        frontier = save(_above_before(part.select("query_id", "nbr", "w", "path"), best.withColumnRenamed("node", "nbr")).select("query_id", F.col("nbr").alias("node"), F.col("w").alias("score"), "path"), f"frontier-{hop}")
-        best = best.unionByName(frontier.select("query_id", "node", F.col("score").alias("best"))).groupBy("query_id", "node").agg(F.max("best").alias("best"))
-    empty = links.select(F.lit(0).cast("long").alias("query_id"), "node", "nbr", "dir", "relation", "chunk_index", F.lit(0).alias("hop"), F.lit(0.0).alias("w"), F.array("dir").alias("path")).limit(0)
-    return out if out is not None else empty
+    scratch = scratch or Scratch(seeds.sparkSession, "expansion")
+    levels = [scratch.save(seeds.select("query_id", "node", "score", "path"), "level-0")] if max_depth > 0 else []
+    best = levels[0].groupBy("query_id", "node").agg(F.max("score").alias("best")) if levels else None
+    for hop in range(1, max_depth):
+        met = _meet(levels[-1], stored.neighbours, stored.hubs).select("query_id", "nbr", (F.col("score") * decay).alias("w"), F.concat("path", F.array("dir", "grp", "edge_id")).alias("path"))
+        onward = _above_before(met, best.withColumnRenamed("node", "nbr"))
+        levels.append(scratch.save(onward.select("query_id", F.col("nbr").alias("node"), F.col("w").alias("score"), "path"), f"level-{hop}"))
+        if hop + 1 < max_depth:
+            best = best.unionByName(levels[-1].select("query_id", "node", F.col("score").alias("best"))).groupBy("query_id", "node").agg(F.max("best").alias("best"))
+    return levels
+
+
+def expanded_edges(levels: list[DataFrame], stored: Adjacency, decay: float = DECAY) -> DataFrame:
+    """The contributions of all levels, one for each edge: query_id, node, nbr, dir, relation, chunk_index, hop, w, path."""
+    columns = ["query_id", "node", "nbr", "dir", "relation", "chunk_index"]
+    out = stored.links.select(F.lit(0).cast("long").alias("query_id"), *columns[1:], F.lit(0).alias("hop"), F.lit(0.0).alias("w"), F.array("dir").alias("path")).limit(0)
+    for hop, frontier in enumerate(levels, 1):
+        met = _meet(frontier, stored.links, stored.hubs)
+        part = met.select(*columns, F.lit(hop).alias("hop"), (F.col("score") * decay).alias("w"), F.concat("path", F.array("dir", "grp", "edge_id")).alias("path"))
+        out = part if hop == 1 else out.unionByName(part)
+    return out
+
+
+def expand_graph(seeds: DataFrame, edges: DataFrame, decay: float = DECAY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Contributions of a first-in-first-out expansion by best score; parallel edges each contribute. See expanded_edges."""
+    stored = store_adjacency(edges)
+    return expanded_edges(expansion_levels(seeds, stored, decay, max_depth), stored, decay)
 
 
 def contributions(seeds: DataFrame, expanded: DataFrame) -> DataFrame:
     """Seed edges and expansion edges as query_id, chunk_index, w, path, chain."""
     three = lambda c: F.format_string("%.3f", F.col(c))
+    # The wording of chains.
     first = F.concat(F.lit("SeedTriple: ("), "head", F.lit(") -["), "relation", F.lit("]-> ("), "tail", F.lit(") [score="), three("score"), F.lit("]"))
     source, target = (F.when(F.col("dir") == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("node", "nbr"), ("nbr", "node")))
     later = F.concat(F.when(F.col("dir") == 0, "Out: (").otherwise("In: ("), source, F.lit(") -["), F.coalesce("relation", F.lit("")), F.lit("]-> ("), target, F.lit(") [hop="), F.col("hop").cast("string"), F.lit(", score="), three("w"), F.lit("]"))
@@ -128,17 +191,42 @@ def contributions(seeds: DataFrame, expanded: DataFrame) -> DataFrame:
     return s.unionByName(e)
 
 
+def _score(most, total):
+    """The best contribution plus a tenth of the others' sum, to nine decimals, as sums differ beyond that by their order."""
+    return F.round(most + REST_SHARE * (total - most), 9)
+
+
 def score_chunks(contributed: DataFrame) -> DataFrame:
-    """query_id, chunk_index, score: the best contribution plus a tenth of the others' sum.
+    """query_id, chunk_index, score from single contributions (query_id, chunk_index, w)."""
+    return contributed.groupBy("query_id", "chunk_index").agg(_score(F.max("w"), F.sum("w")).alias("score"))
+
+
+def chunk_scores(seeds: DataFrame, levels: list[DataFrame], stored: Adjacency, decay: float = DECAY) -> DataFrame:
+    """The same from seed edges and levels, without a row for each edge.
+
+    All edges from a node to a chunk contribute alike, so a question's scores at a node
+    are added up first and meet the node's chunks with the number of their edges.
+    """
+    out = seeds.select("query_id", "chunk_index", F.col("score").alias("most"), F.col("score").alias("total"))
+    for frontier in levels:
+        at = frontier.groupBy("query_id", "node").agg(F.max("score").alias("most"), F.sum("score").alias("total"))
+        out = out.unionByName(_meet(at, stored.chunks, stored.hubs).select("query_id", "chunk_index", (F.col("most") * decay).alias("most"), (F.col("total") * decay * F.col("n")).alias("total")))
+    return out.groupBy("query_id", "chunk_index").agg(_score(F.max("most"), F.sum("total")).alias("score"))
+
 
-    Scores are kept to nine decimals, as sums differ beyond that by their order.
+def chain_rows(contributed: DataFrame, hits: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """query_id, chunk_index, pos, chain: the hits' reasoning chains, numbered from 0 in the order of contribution.
+
+    Chains are sorted in ranges and numbered by the ranges' counts, so a chunk at a hub
+    takes no list and no task of its own.
     """
-    best = F.max("w")
-    return contributed.groupBy("query_id", "chunk_index").agg(F.round(best + REST_SHARE * (F.sum("w") - best), 9).alias("score"))
+    told = contributed.join(hits.select("query_id", "chunk_index"), ["query_id", "chunk_index"], "left_semi")
+    numbered = number_rows(told.select("query_id", "chunk_index", "path", "chain"), ["query_id", "chunk_index"], ["path", "chain"], "pos", scratch)
+    return numbered.select("query_id", "chunk_index", F.col("pos").cast("int").alias("pos"), "chain")
 
 
 def reasoning_chains(contributed: DataFrame, hits: DataFrame) -> DataFrame:
-    """``hits`` with reasoning_chains in the order of contribution; only the hits' chunks are gathered."""
+    """``hits`` with reasoning_chains as lists in the order of contribution, for hits whose chains fit a row; chain_rows has no such bound."""
     wanted = hits.select("query_id", "chunk_index")
     lists = contributed.join(wanted, ["query_id", "chunk_index"], "left_semi").groupBy("query_id", "chunk_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "chain"))), lambda x: x["chain"]).alias("reasoning_chains"))
     return hits.join(lists, ["query_id", "chunk_index"], "left")
@@ -153,19 +241,32 @@ def attach_chunk(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined
 
 
-def graph_search(dense_hits: DataFrame, queries: DataFrame, triples: DataFrame, edges: DataFrame, k: int, chains: bool = True, decay: float = DECAY, max_depth: int = MAX_DEPTH, bonus: float = SEED_BONUS, save: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """query_id, chunk_index, score, rank (and reasoning_chains) of the k best chunks.
+@dataclass(frozen=True)
+class GraphHits:
+    """The best chunks (query_id, chunk_index, score, rank) and what told them (that of ``contributions``, worked out when read)."""
+
+    hits: DataFrame
+    told: DataFrame
+
+
+def search_graph(dense_hits: DataFrame, queries: DataFrame, triples: DataFrame, edges: DataFrame, k: int, decay: float = DECAY, max_depth: int = MAX_DEPTH, bonus: float = SEED_BONUS, scratch: Scratch | None = None, stored: Adjacency | None = None) -> GraphHits:
+    """The k best chunks of every question by graph expansion.
 
     dense_hits: hits over the triples' vectors (query_id, row_id, score, rank);
-    queries: query_id, query. A question without seeds has no rows. ``save`` is
-    that of expand_graph; the edges are read several times, so they should be a
-    written table.
+    queries: query_id, query. A question without seeds has no rows. ``stored`` is the
+    edges' adjacency, if there is one already.
     """
-    seeds = seed_edges(dense_hits, triples)
-    if save:
-        seeds = save(seeds, "seed-edges")
+    scratch = scratch or Scratch(edges.sparkSession, "graph-search")
+    stored = stored or store_adjacency(edges, scratch)
+    seeds = scratch.save(seed_edges(dense_hits, triples), "seed-edges")
     named = match_nodes(queries, graph_nodes(edges))
-    expanded = expand_graph(seed_nodes(seed_nodes_dense(seeds), named, bonus), edges, decay, max_depth, save)
-    given = contributions(seeds, expanded)
-    hits = top_k(score_chunks(given), ["query_id"], [F.desc("score"), F.col("chunk_index")], k)
-    return reasoning_chains(given, hits) if chains else hits
+    levels = expansion_levels(seed_nodes(seed_nodes_dense(seeds), named, bonus), stored, decay, max_depth, scratch)
+    scored = chunk_scores(seeds, levels, stored, decay)
+    hits = scratch.save(top_k(scored, ["query_id"], [F.desc("score"), F.col("chunk_index")], k), "graph-hits")
+    return GraphHits(hits, contributions(seeds, expanded_edges(levels, stored, decay)))
+
+
+def graph_search(dense_hits: DataFrame, queries: DataFrame, triples: DataFrame, edges: DataFrame, k: int, chains: bool = True, decay: float = DECAY, max_depth: int = MAX_DEPTH, bonus: float = SEED_BONUS, scratch: Scratch | None = None, stored: Adjacency | None = None) -> DataFrame:
+    """query_id, chunk_index, score, rank (and reasoning_chains) of the k best chunks; see search_graph."""
+    found = search_graph(dense_hits, queries, triples, edges, k, decay, max_depth, bonus, scratch, stored)
+    return reasoning_chains(found.told, found.hits) if chains else found.hits

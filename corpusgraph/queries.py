@@ -257,7 +257,7 @@ def _graph_parts(spark, sf_dir):
     scratch = Scratch(spark, "graph")
     triples, vectors = encoded_triples(spark, sf_dir, scratch)
     hits = top_k_inner_product(I.encoded(I.questions(spark, sf_dir), "query_id", "query", _encoder), vectors, 20)
-    return triples, graph.build_edges(scratch.read("raw")), scratch.save(hits, "hits"), scratch.save
+    return triples, graph.build_edges(scratch.read("raw")), scratch.save(hits, "hits"), scratch
 
 
 def named_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,14 +267,14 @@ def named_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two levels of expansion from the dense seeds: per question and chunk, contributions and their sum."""
-    triples, edges, hits, save = _graph_parts(spark, sf_dir)
+    triples, edges, hits, _ = _graph_parts(spark, sf_dir)
     seeds = graph.seed_nodes_dense(graph.seed_edges(hits, triples)).select("query_id", "node", "score", F.array(F.lit(0).cast("long"), F.col("seen")).alias("path"))
-    return graph.expand_graph(seeds, edges, save=save).groupBy("query_id", "chunk_index", "hop").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("w"))
+    return graph.expand_graph(seeds, edges).groupBy("query_id", "chunk_index", "hop").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("w"))
 
 
 def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triples, edges, hits, save = _graph_parts(spark, sf_dir)
-    got = graph.graph_search(hits, I.questions(spark, sf_dir), triples, edges, TOP, chains=False, save=save)
+    triples, edges, hits, scratch = _graph_parts(spark, sf_dir)
+    got = graph.graph_search(hits, I.questions(spark, sf_dir), triples, edges, TOP, chains=False, scratch=scratch)
     return got.select("query_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
 
@@ -307,9 +307,10 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many reasoning chains each of the best chunks has."""
-    triples, edges, hits, save = _graph_parts(spark, sf_dir)
-    got = graph.graph_search(hits, I.questions(spark, sf_dir), triples, edges, TOP, save=save)
-    return got.select("query_id", "chunk_index", F.size("reasoning_chains").alias("chains"))
+    triples, edges, hits, scratch = _graph_parts(spark, sf_dir)
+    found = graph.search_graph(hits, I.questions(spark, sf_dir), triples, edges, TOP, scratch=scratch)
+    told = found.told.join(found.hits, ["query_id", "chunk_index"], "left_semi")
+    return told.groupBy("query_id", "chunk_index").agg(F.count("*").cast("int").alias("chains"))
 
 
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +322,7 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "retrieved")
     raw = scratch.save(I.raw_triples(spark, sf_dir), "raw")
     triples = scratch.save(graph.triple_table(raw), "triples")
-    found = answer.retrieve(asked, hype, {"triples": triples, "edges": graph.build_edges(raw), "vectors": I.vectors(spark, sf_dir)}, _length_scorer, save=scratch.save)
+    found = answer.retrieve(asked, hype, {"triples": triples, "edges": graph.build_edges(raw), "vectors": I.vectors(spark, sf_dir)}, _length_scorer, scratch=scratch)
     return found.select("query_id", "chunk_index", F.round("rrf_score", 8).alias("rrf_score"), "graph_rank", "hype_rank", "rerank_score", "rank")
 
 
@@ -344,7 +345,7 @@ def encoded_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "encoded-retrieved")
     hype = {"vectors": scratch.save(I.encoded(docs, "row_id", "text", _encoder), "document_vectors"), "postings": I.term_counts(docs, "row_id", "text"), "chunks": docs.select(F.col("row_id").alias("index"), "text")}
     triples, vectors = encoded_triples(spark, sf_dir, scratch)
-    found = answer.retrieve(asked, hype, {"triples": triples, "edges": graph.build_edges(scratch.read("raw")), "vectors": vectors}, _length_scorer, save=scratch.save)
+    found = answer.retrieve(asked, hype, {"triples": triples, "edges": graph.build_edges(scratch.read("raw")), "vectors": vectors}, _length_scorer, scratch=scratch)
     return found.select("query_id", "chunk_index", F.round("rrf_score", 8).alias("rrf_score"), "graph_rank", "hype_rank", "rerank_score", "rank")
 
 
@@ -596,9 +597,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reasoning chains of the best chunks in their order, each spelled out."""
-    triples, edges, hits, save = _graph_parts(spark, sf_dir)
-    got = graph.graph_search(hits, I.questions(spark, sf_dir), triples, edges, TOP, save=save)
-    return got.select("query_id", "chunk_index", F.posexplode("reasoning_chains").alias("pos", "chain"))
+    triples, edges, hits, scratch = _graph_parts(spark, sf_dir)
+    found = graph.search_graph(hits, I.questions(spark, sf_dir), triples, edges, TOP, scratch=scratch)
+    return graph.chain_rows(found.told, found.hits, scratch)
 
 
 def _with(*parts: str) -> str:
