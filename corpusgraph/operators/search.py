@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import top_k, top_k_inner_product
+from ..functions.scratch import Scratch
+from .postings import block_postings, search_blocks
 
 DENSE_WEIGHT = 0.7
 #: Postings of questions that are broadcast at most.
@@ -24,13 +26,14 @@ def sparse_top_k(query_postings: DataFrame, postings: DataFrame, n: int) -> Data
     shared tokens meet. While the questions' postings are few they are broadcast:
     a row's postings lie in one partition, its scores are summed and the best of each
     question chosen there, so that a token in all rows sends no pairs about. Beyond
-    BROADCAST_POSTINGS both sides meet by token; a hot token is split by the adaptive join.
+    BROADCAST_POSTINGS the postings are put in blocks and questions meet blocks (see
+    postings.py); an index of blocks that is there already is searched by search_blocks.
     """
+    if query_postings.count() > BROADCAST_POSTINGS:
+        scratch = Scratch(postings.sparkSession, "postings")
+        return search_blocks(query_postings, block_postings(postings, scratch), n, scratch).hits
     q = query_postings.select("query_id", "token", F.col("weight").alias("q_weight"))
-    if query_postings.count() <= BROADCAST_POSTINGS:
-        met = postings.join(F.broadcast(q.select("token").distinct()), "token", "left_semi").repartition("row_id").join(F.broadcast(q), "token")
-    else:
-        met = postings.join(q, "token")
+    met = postings.join(F.broadcast(q.select("token").distinct()), "token", "left_semi").repartition("row_id").join(F.broadcast(q), "token")
     scored = met.groupBy("query_id", "row_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.col("row_id")], n).filter("score > 0")
 

@@ -15,7 +15,7 @@ from .functions.scratch import Scratch
 from .jobs import answer
 from .jobs import inputs as I
 from .jobs import reports as D
-from .operators import align, fuse, graph, layout, search
+from .operators import align, fuse, graph, layout, postings, search
 from .sources import tables
 
 TOP = 40
@@ -244,6 +244,14 @@ def sparse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sparse(spark, sf_dir).select("query_id", "row_id", "score", "rank")
 
 
+def block_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse hits once more, from postings in blocks, of which only those are scored whose bound reaches the floor."""
+    scratch = Scratch(spark, "block-hits")
+    docs = I.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
+    index = postings.block_postings(I.term_counts(docs, "row_id", "text"), scratch)
+    return postings.search_blocks(I.term_counts(I.questions(spark, sf_dir), "query_id", "query"), index, 2 * TOP, scratch).hits.select("query_id", "row_id", "score", "rank")
+
+
 def _hybrid(spark, sf_dir):
     return search.hybrid_search(top_k_inner_product(I.question_vectors(spark, sf_dir), I.vectors(spark, sf_dir), 2 * TOP), _sparse(spark, sf_dir), TOP)
 
@@ -626,6 +634,7 @@ def queries() -> dict:
         "graph_nodes": graph_nodes,
         "dense_hits": dense_hits,
         "sparse_hits": sparse_hits,
+        "block_hits": block_hits,
         "hybrid_hits": hybrid_hits,
         "named_nodes": named_nodes,
         "expansion": expansion,
@@ -708,6 +717,7 @@ def oracle_sql() -> dict:
         "graph_nodes": _with(I.TRIPLES_SQL, NODES_SQL) + " SELECT * FROM nodes",
         "dense_hits": _with(I.SEARCH_SQL) + " SELECT query_id, row_id, round(score, 6) AS score, rank::INTEGER AS rank FROM dense",
         "sparse_hits": _with(I.SEARCH_SQL) + " SELECT query_id, row_id, score, rank::INTEGER AS rank FROM sparse",
+        "block_hits": _with(I.SEARCH_SQL) + " SELECT query_id, row_id, score, rank::INTEGER AS rank FROM sparse",
         "hybrid_hits": _with(I.SEARCH_SQL) + " SELECT query_id, chunk_index, round(score, 6) AS score, round(dense_score, 6) AS dense_score, round(sparse_score, 6) AS sparse_score, rank::INTEGER AS rank FROM hybrid",
         "named_nodes": _with(*found, NAMED_SQL) + " SELECT * FROM named",
         "expansion": _with(*seeds, "seeds AS (SELECT query_id, node, score, [0::BIGINT, seen::BIGINT] AS path FROM seed_d)", EXPAND_SQL) + " SELECT query_id, chunk_index, hop, count(*) AS n, round(sum(w), 4) AS w FROM contrib GROUP BY ALL",
