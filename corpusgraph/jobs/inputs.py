@@ -102,11 +102,9 @@ def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("doc_id") * LINES + F.col("block_no")).alias("triple_no"), F.col("doc_id").alias("index"), *cells, F.col("line").alias("text")).filter("head <> tail")
 
 
+#: Parts of a search; dense_all (query_id, row_id, score) is what encoded texts give.
 SEARCH_SQL = r"""
 q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
-vec AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS v FROM embeddings),
-qv AS (SELECT query_id, v FROM q JOIN vec ON row_id = query_id),
-dense_all AS (SELECT query_id, row_id, list_inner_product(qv.v, vec.v) AS score FROM qv, vec),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM dense_all) WHERE rank <= 80),
 post AS (SELECT doc_id AS row_id, token, count(*)::DOUBLE AS weight FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS token FROM documents) WHERE token <> '' GROUP BY ALL),
 qpost AS (SELECT query_id, token, count(*)::DOUBLE AS weight FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '\s+')) AS token FROM q) WHERE token <> '' GROUP BY ALL),
@@ -120,14 +118,6 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("dense"))
-
-
-def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions(spark, sf_dir).join(vectors(spark, sf_dir), F.col("row_id") == F.col("query_id")).select("query_id", "dense")
-
-
 def encoded(rows: DataFrame, id_col: str, text_col: str, make_encoder) -> DataFrame:
     """id_col, dense: every text encoded whole, in steps of 2^-20: inner products are then exact, so equal ones tie in any order of adding."""
     fine = F.transform("dense", lambda x: F.floor(x.cast("double") * F.lit(1048576.0) + 0.5) / F.lit(1048576.0))
@@ -151,21 +141,26 @@ def _scores_sql(name: str, ids: str, vectors: str) -> str:
     return f"{name} AS (SELECT query_id, row_id, coalesce(score, 0.0::DOUBLE) AS score FROM (SELECT query_id, row_id FROM q, {ids}) LEFT JOIN (SELECT query_id, row_id, sum(a.x * b.x) AS score FROM q_dense a JOIN {vectors} b USING (d) GROUP BY ALL) USING (query_id, row_id))"
 
 
-#: Questions, documents and triples encoded; the counts, the sparse and the hybrid search are those of SEARCH_SQL.
-ENCODED_SQL = ",".join(
-    [
-        "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)",
-        *(part for name in ("post", "qpost") for part in re.findall(rf"^({name} AS .*),$", SEARCH_SQL, re.M)),
-        "tpost AS (SELECT row_id, token, count(*)::DOUBLE AS weight FROM (SELECT row_id, unnest(regexp_split_to_array(lower('(' || head || ') --[' || relation || ']--> (' || tail || ')'), '\\s+')) AS token FROM triples) WHERE token <> '' GROUP BY ALL)",
-        f"word_hash AS (SELECT token, {_CRC} AS h FROM (SELECT token FROM post UNION SELECT token FROM qpost UNION SELECT token FROM tpost))",
-        _dense_sql("q_dense", "query_id", "qpost"),
-        _dense_sql("d_dense", "row_id", "post"),
-        _dense_sql("t_dense", "row_id", "tpost"),
-        _scores_sql("dense_all", "(SELECT doc_id AS row_id FROM documents)", "d_dense"),
-        _scores_sql("triple_all", "(SELECT row_id FROM triples)", "t_dense"),
-        *(part for name in ("dense", "sparse_all", "sparse", "hybrid_all", "hybrid") for part in re.findall(rf"^({name} AS .*?),?$", SEARCH_SQL, re.M)),
-    ]
-)
+def _search_sql(*names: str) -> list[str]:
+    return [part for name in names for part in re.findall(rf"^({name} AS .*?),?$", SEARCH_SQL, re.M)]
+
+
+SPARSE_SQL = ",".join(_search_sql("q", "post", "qpost", "sparse_all", "sparse"))
+
+
+def _encoded_sql(triples: bool) -> str:
+    """Questions, documents and, where wanted, triples encoded; the counts, the sparse and the hybrid search are those of SEARCH_SQL."""
+    more, words = [], "SELECT token FROM post UNION SELECT token FROM qpost"
+    if triples:
+        more = ["tpost AS (SELECT row_id, token, count(*)::DOUBLE AS weight FROM (SELECT row_id, unnest(regexp_split_to_array(lower('(' || head || ') --[' || relation || ']--> (' || tail || ')'), '\\s+')) AS token FROM triples) WHERE token <> '' GROUP BY ALL)"]
+        words += " UNION SELECT token FROM tpost"
+    dense = [_dense_sql("q_dense", "query_id", "qpost"), _dense_sql("d_dense", "row_id", "post"), _scores_sql("dense_all", "(SELECT doc_id AS row_id FROM documents)", "d_dense")]
+    if triples:
+        dense += [_dense_sql("t_dense", "row_id", "tpost"), _scores_sql("triple_all", "(SELECT row_id FROM triples)", "t_dense")]
+    return ",".join([*_search_sql("q", "post", "qpost"), *more, f"word_hash AS (SELECT token, {_CRC} AS h FROM ({words}))", *dense, *_search_sql("dense", "sparse_all", "sparse", "hybrid_all", "hybrid")])
+
+
+ENCODED_SQL, ENCODED_DOCUMENTS_SQL = _encoded_sql(True), _encoded_sql(False)
 
 
 def term_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -230,8 +230,16 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- retrieval ---------------------------------------------------------------------------------
 
 
+def _dense(spark, sf_dir):
+    """The dense hits of every question over all documents, encoded whole."""
+    scratch = Scratch(spark, "vectors")
+    docs = I.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
+    vectors = scratch.save(I.encoded(docs, "row_id", "text", _encoder), "documents")
+    return search.dense_top_k(scratch.save(I.encoded(I.questions(spark, sf_dir), "query_id", "query", _encoder), "questions"), vectors, 2 * TOP)
+
+
 def dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.dense_top_k(I.question_vectors(spark, sf_dir), I.vectors(spark, sf_dir), 2 * TOP)
+    hits = _dense(spark, sf_dir)
     return hits.select("query_id", "row_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -253,7 +261,7 @@ def block_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark, sf_dir):
-    return search.hybrid_search(top_k_inner_product(I.question_vectors(spark, sf_dir), I.vectors(spark, sf_dir), 2 * TOP), _sparse(spark, sf_dir), TOP)
+    return search.hybrid_search(_dense(spark, sf_dir), _sparse(spark, sf_dir), TOP)
 
 
 def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,8 +296,7 @@ def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fused_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of the dense and the sparse list."""
-    dense = top_k_inner_product(I.question_vectors(spark, sf_dir), I.vectors(spark, sf_dir), 2 * TOP)
-    lists = {"dense": dense.withColumnRenamed("row_id", "chunk_index"), "sparse": _sparse(spark, sf_dir).withColumnRenamed("row_id", "chunk_index")}
+    lists = {"dense": _dense(spark, sf_dir).withColumnRenamed("row_id", "chunk_index"), "sparse": _sparse(spark, sf_dir).withColumnRenamed("row_id", "chunk_index")}
     got = fuse.rrf(lists, TOP)
     return got.select("query_id", "chunk_index", F.round("rrf_score", 8).alias("rrf_score"), "dense_rank", "sparse_rank", "rank")
 
@@ -321,19 +328,6 @@ def chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("query_id", "chunk_index").agg(F.count("*").cast("int").alias("chains"))
 
 
-def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both searches, fusion and reranking for every question."""
-    words = I.term_counts(I.questions(spark, sf_dir), "query_id", "query").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("sparse"))
-    asked = I.questions(spark, sf_dir).join(I.question_vectors(spark, sf_dir), "query_id").join(words, "query_id")
-    docs = I.table(spark, sf_dir, "documents")
-    hype = {"vectors": I.vectors(spark, sf_dir), "postings": I.term_counts(docs.withColumnRenamed("doc_id", "row_id"), "row_id", "text"), "chunks": docs.select(F.col("doc_id").alias("index"), "text")}
-    scratch = Scratch(spark, "retrieved")
-    raw = scratch.save(I.raw_triples(spark, sf_dir), "raw")
-    triples = scratch.save(graph.triple_table(raw), "triples")
-    found = answer.retrieve(asked, hype, {"triples": triples, "edges": graph.build_edges(raw), "vectors": I.vectors(spark, sf_dir)}, _length_scorer, scratch=scratch)
-    return found.select("query_id", "chunk_index", F.round("rrf_score", 8).alias("rrf_score"), "graph_rank", "hype_rank", "rerank_score", "rank")
-
-
 def encoded_triples(spark: SparkSession, sf_dir: str, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """The triple table, and a vector of every triple."""
     raw = I.raw_triples(spark, sf_dir)
@@ -345,18 +339,37 @@ def encoded_triples(spark: SparkSession, sf_dir: str, scratch: Scratch | None =
     return triples, scratch.save(vectors, "triple_vectors") if scratch else vectors
 
 
-def encoded_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``retrieved`` with every question, document and triple encoded, so that each of them is a dense candidate."""
+def _indexes(spark: SparkSession, sf_dir: str, scratch: Scratch) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame]]:
+    """Encoded questions and the tables of both indexes, so that every document and every triple is a dense candidate."""
     asked, docs = I.questions(spark, sf_dir), I.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
     words = I.term_counts(asked, "query_id", "query").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("sparse"))
     asked = asked.join(I.encoded(asked, "query_id", "query", _encoder), "query_id").join(words, "query_id", "left")
-    scratch = Scratch(spark, "encoded-retrieved")
     hype = {"vectors": scratch.save(I.encoded(docs, "row_id", "text", _encoder), "document_vectors"), "postings": I.term_counts(docs, "row_id", "text"), "chunks": docs.select(F.col("row_id").alias("index"), "text")}
     triples, vectors = encoded_triples(spark, sf_dir, scratch)
-    found = answer.retrieve(asked, hype, {"triples": triples, "edges": graph.build_edges(scratch.read("raw")), "vectors": vectors}, _length_scorer, scratch=scratch)
+    return asked, hype, {"triples": triples, "edges": graph.build_edges(scratch.read("raw")), "vectors": vectors}
+
+
+def _found(asked: DataFrame, hype: dict, triples: dict, scratch: Scratch) -> DataFrame:
+    found = answer.retrieve(asked, hype, triples, _length_scorer, scratch=scratch)
     return found.select("query_id", "chunk_index", F.round("rrf_score", 8).alias("rrf_score"), "graph_rank", "hype_rank", "rerank_score", "rank")
 
 
+def encoded_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both searches, fusion and reranking for every question."""
+    scratch = Scratch(spark, "encoded-retrieved")
+    return _found(*_indexes(spark, sf_dir, scratch), scratch)
+
+
+def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored indexes: both are written, read back by their folder alone, and searched."""
+    scratch = Scratch(spark, "retrieved")
+    asked, hype, triples = _indexes(spark, sf_dir, scratch)
+    folder = f"{scratch.root}/index"
+    tables.write_index(hype, folder, "hype")
+    tables.write_index(triples, folder, "graph")
+    return _found(asked, tables.read_index(spark, folder, "hype"), tables.read_index(spark, folder, "graph"), scratch)
+
+
 NODES_SQL = "nodes AS (SELECT node, min(first_seen) AS first_seen FROM (SELECT head AS node, 2 * edge_id AS first_seen FROM edges UNION ALL SELECT tail, 2 * edge_id + 1 FROM edges) GROUP BY node)"
 NAMED_SQL = r"""
 cand AS (SELECT DISTINCT query_id, query, substr(lower(query), i, n) AS piece FROM q, (SELECT DISTINCT length(trim(node)) AS n FROM nodes WHERE length(trim(node)) >= 2) l, range(1, 1000) t(i) WHERE i + n - 1 <= length(query)),
@@ -696,9 +709,9 @@ def oracle_sql() -> dict:
     blocks = [I.LINES_SQL, RULES_SQL]
     chunks = [*blocks, CHUNKS_SQL]
     pages = [I.PAGES_SQL, CAPTIONS_SQL]
-    found = [I.TRIPLES_SQL, NODES_SQL, I.SEARCH_SQL]
-    seeds = [*_encoded(found), *_encoded([SEEDS_SQL])]
-    return {
+    found = [I.TRIPLES_SQL, NODES_SQL, I.SPARSE_SQL]
+    seeds = _encoded([I.TRIPLES_SQL, NODES_SQL, I.SEARCH_SQL, SEEDS_SQL])
+    sql = {
         "block_rules": _with(*blocks) + " SELECT doc_id, block_no, keep, claim, reason FROM judged",
         "text_chunks": _with(*chunks) + " SELECT * FROM text_chunks",
         "captions": _with(*pages) + " SELECT * FROM captions",
@@ -715,21 +728,14 @@ def oracle_sql() -> dict:
         "mapped_triples": _with(I.TRIPLES_SQL, MAPPED_SQL),
         "triple_rows": _with(I.TRIPLES_SQL) + " SELECT * FROM triples",
         "graph_nodes": _with(I.TRIPLES_SQL, NODES_SQL) + " SELECT * FROM nodes",
-        "dense_hits": _with(I.SEARCH_SQL) + " SELECT query_id, row_id, round(score, 6) AS score, rank::INTEGER AS rank FROM dense",
-        "sparse_hits": _with(I.SEARCH_SQL) + " SELECT query_id, row_id, score, rank::INTEGER AS rank FROM sparse",
-        "block_hits": _with(I.SEARCH_SQL) + " SELECT query_id, row_id, score, rank::INTEGER AS rank FROM sparse",
-        "hybrid_hits": _with(I.SEARCH_SQL) + " SELECT query_id, chunk_index, round(score, 6) AS score, round(dense_score, 6) AS dense_score, round(sparse_score, 6) AS sparse_score, rank::INTEGER AS rank FROM hybrid",
+        "dense_hits": _with(I.ENCODED_DOCUMENTS_SQL) + " SELECT query_id, row_id, round(score, 6) AS score, rank::INTEGER AS rank FROM dense",
+        "sparse_hits": _with(I.SPARSE_SQL) + " SELECT query_id, row_id, score, rank::INTEGER AS rank FROM sparse",
+        "block_hits": _with(I.SPARSE_SQL) + " SELECT query_id, row_id, score, rank::INTEGER AS rank FROM sparse",
+        "hybrid_hits": _with(I.ENCODED_DOCUMENTS_SQL) + " SELECT query_id, chunk_index, round(score, 6) AS score, round(dense_score, 6) AS dense_score, round(sparse_score, 6) AS sparse_score, rank::INTEGER AS rank FROM hybrid",
         "named_nodes": _with(*found, NAMED_SQL) + " SELECT * FROM named",
         "expansion": _with(*seeds, "seeds AS (SELECT query_id, node, score, [0::BIGINT, seen::BIGINT] AS path FROM seed_d)", EXPAND_SQL) + " SELECT query_id, chunk_index, hop, count(*) AS n, round(sum(w), 4) AS w FROM contrib GROUP BY ALL",
         "graph_hits": _with(*_encoded_graph_sql(20)) + " SELECT query_id, chunk_index, round(score, 6) AS score, rank::INTEGER AS rank FROM by_graph",
         "chain_counts": _with(*_encoded_graph_sql(20)) + " SELECT query_id, chunk_index, count(*)::INTEGER AS chains FROM given JOIN by_graph USING (query_id, chunk_index) GROUP BY ALL",
-        "retrieved": _with(
-            *_graph_sql(80),
-            "ranked AS (SELECT query_id, chunk_index, rank, 0 AS o FROM by_graph UNION ALL SELECT query_id, chunk_index, rank, 1 FROM hybrid), fused AS (SELECT query_id, chunk_index, sum(1.0::DOUBLE / (100 + rank)) AS rrf_score, min(rank) FILTER (o = 0)::INTEGER AS graph_rank, min(rank) FILTER (o = 1)::INTEGER AS hype_rank, min(o * 1000 + rank) AS f FROM ranked GROUP BY ALL)",
-            "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, f, chunk_index) AS r FROM fused) WHERE r <= 40)",
-            "again AS (SELECT b.*, -abs(length(coalesce(text, '')) - 1000.0::DOUBLE) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY -abs(length(coalesce(text, '')) - 1000.0::DOUBLE) DESC, r) AS rank FROM best b LEFT JOIN documents ON doc_id = chunk_index)",
-        )
-        + " SELECT query_id, chunk_index, round(rrf_score, 8) AS rrf_score, graph_rank, hype_rank, rerank_score, rank::INTEGER AS rank FROM again WHERE rank <= 20",
         "encoded_retrieved": _with(
             *_encoded_graph_sql(80),
             "ranked AS (SELECT query_id, chunk_index, rank, 0 AS o FROM by_graph UNION ALL SELECT query_id, chunk_index, rank, 1 FROM hybrid), fused AS (SELECT query_id, chunk_index, sum(1.0::DOUBLE / (100 + rank)) AS rrf_score, min(rank) FILTER (o = 0)::INTEGER AS graph_rank, min(rank) FILTER (o = 1)::INTEGER AS hype_rank, min(o * 1000 + rank) AS f FROM ranked GROUP BY ALL)",
@@ -738,12 +744,12 @@ def oracle_sql() -> dict:
         )
         + " SELECT query_id, chunk_index, round(rrf_score, 8) AS rrf_score, graph_rank, hype_rank, rerank_score, rank::INTEGER AS rank FROM again WHERE rank <= 20",
         "fused_hits": _with(
-            I.SEARCH_SQL,
+            I.ENCODED_DOCUMENTS_SQL,
             "ranked AS (SELECT query_id, row_id AS chunk_index, rank, 0 AS o FROM dense UNION ALL SELECT query_id, row_id, rank, 1 FROM sparse), fused AS (SELECT query_id, chunk_index, sum(1.0::DOUBLE / (100 + rank)) AS rrf_score, min(rank) FILTER (o = 0)::INTEGER AS dense_rank, min(rank) FILTER (o = 1)::INTEGER AS sparse_rank, min(o * 1000 + rank) AS f FROM ranked GROUP BY ALL)",
         )
         + " SELECT query_id, chunk_index, round(rrf_score, 8) AS rrf_score, dense_rank, sparse_rank, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, f, chunk_index) AS rank FROM fused) WHERE rank <= 40",
-        "reranked_hits": _with(I.SEARCH_SQL, _RERANK_SQL) + " SELECT query_id, chunk_index, rerank_score, r::INTEGER AS rank FROM rr",
-        "prompts": _with(I.SEARCH_SQL, _RERANK_SQL, _PROMPTS_SQL) + " SELECT query_id, md5(prompt) AS prompt, length(prompt)::INTEGER AS letters FROM p",
+        "reranked_hits": _with(I.ENCODED_DOCUMENTS_SQL, _RERANK_SQL) + " SELECT query_id, chunk_index, rerank_score, r::INTEGER AS rank FROM rr",
+        "prompts": _with(I.ENCODED_DOCUMENTS_SQL, _RERANK_SQL, _PROMPTS_SQL) + " SELECT query_id, md5(prompt) AS prompt, length(prompt)::INTEGER AS letters FROM p",
         "report_headers": "SELECT o_orderkey::VARCHAR AS run_key, 'Run' || o_orderkey AS run_id, o_orderstatus AS polymer_type, 1000.0::DOUBLE AS element_count, o_orderkey % 9 / 2 AS packing_time_s, 60.0::DOUBLE AS \"mold_temperature_C\", NULL::DOUBLE AS cycle_time_s FROM orders",
         "report_stats": _with(I.REPORTS_SQL) + " SELECT k::VARCHAR AS run_key, stage, field, round(m, 6) AS max, least AS min, 'mm' AS unit FROM last_nodes",
         "report_summaries": _with(I.REPORTS_SQL) + ' SELECT run_key, round(fill_s, 6) AS actual_filling_time_s, round(warpage, 6) AS warpage_mm, round(dt, 6) AS mold_temp_diff, round(freeze_s, 6) AS packing_gate_freeze, round(sprue, 6) AS "max_sprue_pressure_MPa", round(clamp, 6) AS max_clamping_force_ton, round(stress, 6) AS residual_stress, packing_time_s, header_freeze AS gate_freeze_time_s, part_weight AS part_weight_g, runner_weight AS runner_weight_g, 100.0::DOUBLE AS volume_filled_percent FROM runs',
@@ -756,7 +762,8 @@ def oracle_sql() -> dict:
         "stored_index": STORED_INDEX_SQL,
         "aligned_mentions": _with(I.TRIPLES_SQL, "facts AS (SELECT * FROM raw_triples)", NEAREST_SQL) + " SELECT kind, mention, aligned, ord, round(score, 4) AS score FROM nearest",
         "built_graph": _with(I.TRIPLES_SQL, BUILT_SQL.format(extra=len(M.questions_prompt(2))), NEAREST_SQL, BUILT_GRAPH_SQL),
-        "answers": _with(I.SEARCH_SQL, _RERANK_SQL, _PROMPTS_SQL) + " SELECT query_id, CASE WHEN length(prompt) % 5 > 0 THEN chr(10) || 'ANWSER:' || chr(10) || length(prompt) || ' letters' END AS answer, CASE WHEN length(prompt) % 5 = 0 THEN 'ValueError: no answer' END AS error FROM p",
+        "answers": _with(I.ENCODED_DOCUMENTS_SQL, _RERANK_SQL, _PROMPTS_SQL) + " SELECT query_id, CASE WHEN length(prompt) % 5 > 0 THEN chr(10) || 'ANWSER:' || chr(10) || length(prompt) || ' letters' END AS answer, CASE WHEN length(prompt) % 5 = 0 THEN 'ValueError: no answer' END AS error FROM p",
         "chain_texts": _with(*_encoded_graph_sql(20), CHAINS_SQL),
         "undiagnosed": _with(I.REPORTS_SQL) + " SELECT run_key, 'no warpage' AS reason FROM runs WHERE warpage IS NULL",
     }
+    return sql | {"retrieved": sql["encoded_retrieved"]}
