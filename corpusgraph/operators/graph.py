@@ -13,8 +13,6 @@ from ..functions.scratch import Scratch
 from ..functions.text import strip
 
 DECAY, MAX_DEPTH, SEED_BONUS, LEXICAL_SCORE, REST_SHARE = 0.82, 2, 0.2, 0.8, 0.1
-#: Parts in which the rows of one neighbour are looked through first.
-HUB_PARTS = 16
 #: Rows of a node beyond which it is cut into parts, and rows of a bucket, about.
 HUB_EDGES, BUCKET_EDGES = 10_000, 2_000_000
 
@@ -131,16 +129,12 @@ def _meet(frontier: DataFrame, stored: DataFrame, hubs: DataFrame) -> DataFrame:
 def _above_before(met: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of ``met`` whose w is above all that their neighbour had before, in the order of path.
 
-    A row that exceeds all before it also does so within its own part, so each part of
-    a hub's rows first keeps only such rows; the parts' largest so far are those of all.
+    A neighbour has at most one row for each of the question's rows in the level, so
+    no group grows with the graph.
     """
-    def rising(rows: DataFrame, keys: list[str]) -> DataFrame:
-        before = F.max("w").over(Window.partitionBy(*keys).orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-        return rows.withColumn("_before", F.coalesce(before, F.lit(0.0))).filter(F.col("w") > F.col("_before"))
-
-    parts = met.withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(HUB_PARTS)))
-    onward = rising(rising(parts, ["query_id", "nbr", "_part"]), ["query_id", "nbr"])
-    return onward.join(known, ["query_id", "nbr"], "left").filter(F.col("w") > F.coalesce("best", F.lit(0.0))).drop("_before", "_part", "best")
+    before = F.max("w").over(Window.partitionBy("query_id", "nbr").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    rising = met.withColumn("_before", F.coalesce(before, F.lit(0.0))).filter(F.col("w") > F.col("_before"))
+    return rising.join(known, ["query_id", "nbr"], "left").filter(F.col("w") > F.coalesce("best", F.lit(0.0))).drop("_before", "best")
 
 
 def expansion_levels(seeds: DataFrame, stored: Adjacency, decay: float = DECAY, max_depth: int = MAX_DEPTH, scratch: Scratch | None = None) -> list[DataFrame]:

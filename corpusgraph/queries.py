@@ -15,7 +15,7 @@ from .functions.scratch import Scratch
 from .jobs import answer
 from .jobs import inputs as I
 from .jobs import reports as D
-from .operators import align, fuse, graph, layout, postings, search
+from .operators import align, fuse, graph, layout, pivots, postings, search
 from .sources import tables
 
 TOP = 40
@@ -243,6 +243,15 @@ def dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "row_id", F.round("score", 6).alias("score"), "rank")
 
 
+def pivot_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense hits once more, from vectors stored in groups around pivots, of which only those are read whose bound reaches the floor."""
+    scratch = Scratch(spark, "pivot-hits")
+    docs = I.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
+    index = pivots.group_vectors(scratch.save(I.encoded(docs, "row_id", "text", _encoder), "documents"), scratch)
+    hits = pivots.search_groups(I.encoded(I.questions(spark, sf_dir), "query_id", "query", _encoder), index, 2 * TOP, scratch).hits
+    return hits.select("query_id", "row_id", F.round("score", 6).alias("score"), "rank")
+
+
 def _sparse(spark, sf_dir):
     words = I.term_counts(I.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id"), "row_id", "text")
     return search.sparse_top_k(I.term_counts(I.questions(spark, sf_dir), "query_id", "query"), words, 2 * TOP)
@@ -332,8 +341,6 @@ def encoded_triples(spark: SparkSession, sf_dir: str, scratch: Scratch | None =
     """The triple table, and a vector of every triple."""
     raw = I.raw_triples(spark, sf_dir)
     triples = graph.triple_table(scratch.save(raw, "raw") if scratch else raw)
-    if scratch:
-        triples = scratch.save(triples, "triples")
     told = triples.select("row_id", M.triple_text(F.col("head"), F.col("relation"), F.col("tail")).alias("t"))
     vectors = I.encoded(told, "row_id", "t", _encoder)
     return triples, scratch.save(vectors, "triple_vectors") if scratch else vectors
@@ -646,6 +653,7 @@ def queries() -> dict:
         "triple_rows": triple_rows,
         "graph_nodes": graph_nodes,
         "dense_hits": dense_hits,
+        "pivot_hits": pivot_hits,
         "sparse_hits": sparse_hits,
         "block_hits": block_hits,
         "hybrid_hits": hybrid_hits,
@@ -766,4 +774,4 @@ def oracle_sql() -> dict:
         "chain_texts": _with(*_encoded_graph_sql(20), CHAINS_SQL),
         "undiagnosed": _with(I.REPORTS_SQL) + " SELECT run_key, 'no warpage' AS reason FROM runs WHERE warpage IS NULL",
     }
-    return sql | {"retrieved": sql["encoded_retrieved"]}
+    return sql | {"retrieved": sql["encoded_retrieved"], "pivot_hits": sql["dense_hits"]}
