@@ -142,7 +142,8 @@ def expansion_levels(seeds: DataFrame, stored: Adjacency, decay: float = DECAY,
 
     A neighbour goes on if its score is above its best so far, in the order of
     ``path``. Of parallel edges only the first can raise a neighbour's score, so the
-    levels read each neighbour once, not each edge.
+    levels read each neighbour once, not each edge. The last level is by far the
+    largest and is not written: what adds it up by node needs no further shuffle.
     """
     scratch = scratch or Scratch(seeds.sparkSession, "expansion")
     levels = [scratch.save(seeds.select("query_id", "node", "score", "path"), "level-0")] if max_depth > 0 else []
@@ -150,7 +151,8 @@ def expansion_levels(seeds: DataFrame, stored: Adjacency, decay: float = DECAY,
     for hop in range(1, max_depth):
         met = _meet(levels[-1], stored.neighbours, stored.hubs).select("query_id", "nbr", (F.col("score") * decay).alias("w"), F.concat("path", F.array("dir", "grp", "edge_id")).alias("path"))
         onward = _above_before(met, best.withColumnRenamed("node", "nbr"))
-        levels.append(scratch.save(onward.select("query_id", F.col("nbr").alias("node"), F.col("w").alias("score"), "path"), f"level-{hop}"))
+        reached = onward.select("query_id", F.col("nbr").alias("node"), F.col("w").alias("score"), "path")
+        levels.append(reached if hop + 1 == max_depth else scratch.save(reached, f"level-{hop}"))
         if hop + 1 < max_depth:
             best = best.unionByName(levels[-1].select("query_id", "node", F.col("score").alias("best"))).groupBy("query_id", "node").agg(F.max("best").alias("best"))
     return levels
