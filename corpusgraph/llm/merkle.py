@@ -12,18 +12,17 @@ worked out the other way round: each block hands its nodes the siblings above th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, partitions, table
+from ..functions.ranking import number_rows
+from .common import Scratch, ascii_lower, table
 
 FANOUT_BITS = 3
 FANOUT = 1 << FANOUT_BITS
 #: Levels that a block collapses, and so the nodes that it holds at most.
 LEVELS = 3
 BLOCK = FANOUT**LEVELS
-#: Bytes of the table of first positions that are broadcast at most; beyond that it is joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
 
 STEPS = "array<struct<left:string,right:string>>"
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -75,22 +74,6 @@ def _steps(levels: Column, at: Column) -> Column:
     return F.transform(F.slice(levels, 1, F.size(levels) - 1), step)
 
 
-def positions(rows: DataFrame, key: str, order: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """``rows`` with pos, from 0 in the order of ``order`` within their key, and n, the key's rows.
-
-    Rows are sorted into ranges of (key, order); a range's rows of a key are counted,
-    and only these counts are added up. Equal rows may take each other's place.
-    """
-    ranged = rows.repartitionByRange(partitions(rows.sparkSession), key, *order).sortWithinPartitions(key, *order)
-    held = scratch.save(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), f"{name}-sorted")
-    counts = held.groupBy(key, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = scratch.save(counts.select(key, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(Window.partitionBy(key)).alias("n")), f"{name}-starts")
-    size = starts.agg(F.coalesce(F.sum(F.octet_length(F.col(key)) + 64), F.lit(0))).first()[0]
-    placed = held.join(F.broadcast(starts) if size <= BROADCAST_BYTES else starts, [key, "_part"])
-    return placed.withColumn("pos", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
-
-
 def _rounds(nodes: DataFrame, scratch: Scratch, name: str) -> tuple[list[DataFrame], DataFrame]:
     """Rounds of blocks (key, block, nodes, levels) up to one node of each key, and that node (key, node).
 
@@ -137,9 +120,10 @@ def manifest(rows: DataFrame, group: str, order: list[str], leaf: Column, keep:
     by = [F.col(c).alias(f"_by{i}") for i, c in enumerate(order)]
     leaves = rows.select(key.alias("key"), *by, leaf.alias("node"), *[c.alias(f"_keep{i}") for i, c in enumerate((keep or {}).values())])
     # Sorting into ranges reads its rows twice: digests, not texts.
-    placed = positions(scratch.save(leaves, "leaves"), "key", [*(f"_by{i}" for i in range(len(by))), "node"], scratch, "leaf").drop(*(f"_by{i}" for i in range(len(by))))
+    names = [f"_by{i}" for i in range(len(by))]
+    placed = number_rows(scratch.save(leaves, "leaves"), ["key"], [*names, "node"], "pos", count_col="n").drop(*names)
     rounds, subroots = _rounds(placed, scratch, "round")
-    groups = positions(subroots.select(F.lit("").alias("key"), F.col("key").alias("_group"), "node"), "key", ["_group"], scratch, "groups")
+    groups = number_rows(subroots.select(F.lit("").alias("key"), F.col("key").alias("_group"), "node"), ["key"], ["_group"], "pos", count_col="n")
     upper, root = _rounds(groups, scratch, "upper")
     none = F.array().cast(STEPS)
     tops = _ways(upper, root.select("key", none.alias("above"), F.col("node").alias("root")))

@@ -86,7 +86,7 @@ def test_trees_of_every_shape(spark, monkeypatch, levels, sizes):
 
 def test_odd_rows(spark, monkeypatch):
     """Null ids and texts, rows that repeat, empty and very long texts; no rows, no manifest."""
-    monkeypatch.setattr(merkle, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr("corpusgraph.functions.ranking.BROADCAST_BYTES", 0)
     rows = [(None, "A", "en", "s", 1), (None, None, "en", "s", 1), (3, "Same", "en", None, None), (3, "Same", "en", None, None), (3, "", "en", "s", 0), (5, "LONG " * 300_000, None, "s", 9), (6, None, None, None, None)]
     assert ours(spark, rows, 1) == brute(rows) == ours(spark, rows, 5)
     assert ours(spark, []) == []
