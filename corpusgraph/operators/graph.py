@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from ..functions.text import strip
 DECAY, MAX_DEPTH, SEED_BONUS, LEXICAL_SCORE, REST_SHARE = 0.82, 2, 0.2, 0.8, 0.1
 #: Rows of a node beyond which it is cut into parts, and rows of a bucket, about.
 HUB_EDGES, BUCKET_EDGES = 10_000, 2_000_000
+#: Names in an automaton, about, and questions that it reads at once.
+AUTOMATON_NODES, AUTOMATON_QUESTIONS = 20_000, 100_000
 
 
 def build_edges(aligned: DataFrame) -> DataFrame:
@@ -45,22 +49,46 @@ def seed_nodes_dense(seeds: DataFrame) -> DataFrame:
     return ends.groupBy("query_id", "node").agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"), F.min(2 * F.col("rank") + F.col("side")).cast("long").alias("seen"))
 
 
-def match_nodes(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+def _names_in(names: pa.Table, asked: pa.Table) -> pa.Table:
+    """Which names of one part occur in which questions: an automaton over the names reads each question once."""
+    automaton, rows_of = ahocorasick.Automaton(), {}
+    for i, low in enumerate(names.column("low").to_pylist()):
+        rows_of.setdefault(low, []).append(i)
+    for low, rows in rows_of.items():
+        automaton.add_word(low, rows)
+    who, which = [], []
+    if rows_of and len(asked):
+        automaton.make_automaton()
+        for q, text in enumerate(asked.column("low").to_pylist()):
+            found = {i for _, rows in automaton.iter(text) for i in rows}
+            who += [q] * len(found)
+            which += sorted(found)
+    ids = asked.column("query_id").take(pa.array(who, pa.int64()))
+    some = names.select(["node", "first_seen"]).take(pa.array(which, pa.int64()))
+    return pa.table([ids, some.column(0), some.column(1)], names=["query_id", "node", "first_seen"])
+
+
+def match_nodes(queries: DataFrame, nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """query_id, node, first_seen of the nodes that a question names.
 
     Nodes of two characters or more: those with a Latin letter as whole words in any
-    case, the others as substrings. Every substring of a question that is as long as
-    some node is looked up by equality, and what meets is checked exactly.
+    case, the others as substrings. The nodes are dealt into parts of AUTOMATON_NODES,
+    each an automaton that reads all questions once; what it finds is checked exactly.
     """
-    named = nodes.withColumn("s", strip(F.col("node"))).filter(F.length("s") >= 2)
-    lengths = named.select(F.length("s").alias("n")).distinct()
-    sized = queries.select("query_id", "query", F.lower("query").alias("low")).join(F.broadcast(lengths.agg(F.array_sort(F.collect_list("n")).alias("ns"))), F.lit(True))
-    fitting = sized.select("query_id", "query", "low", F.explode(F.filter("ns", lambda n: n <= F.length("low"))).alias("n"))
-    pieces = fitting.select("query_id", "query", F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("n") + 1), lambda i: F.col("low").substr(i, F.col("n")))).alias("piece")).distinct()
-    met = pieces.join(named, F.col("piece") == F.lower("s"))
-    escaped = F.regexp_replace("s", r"([^\p{L}\p{N}_\s])", r"\\$1")
+    scratch = scratch or Scratch(nodes.sparkSession, "names")
+    asked = queries.select("query_id", "query").filter("query_id is not null and query is not null")
+    named = scratch.save(nodes.withColumn("low", F.lower(strip(F.col("node")))).filter(F.length("low") >= 2).select("low", "node", "first_seen"), "names")
+    parts, blocks = max(1, -(-named.count() // AUTOMATON_NODES)), max(1, -(-asked.count() // AUTOMATON_QUESTIONS))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    left = named.withColumn("part", dealt("low", parts)).withColumn("block", each(blocks)).groupBy("part", "block")
+    right = asked.select("query_id", F.lower("query").alias("low"), dealt("query_id", blocks).alias("block")).withColumn("part", each(parts)).groupBy("part", "block")
+    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema, *named.schema]}
+    met = left.cogroup(right).applyInArrow(_names_in, ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "node", "first_seen"))).join(asked, "query_id")
+    name = strip(F.col("node"))
+    escaped = F.regexp_replace(name, r"([^\p{L}\p{N}_\s])", r"\\$1")
     whole_word = F.call_function("regexp_like", F.col("query"), F.concat(F.lit(r"(?iuU)\b"), escaped, F.lit(r"\b")))
-    exact = F.when(F.col("s").rlike("[a-zA-Z]"), whole_word).otherwise(F.col("query").contains(F.col("s")))
+    exact = F.when(name.rlike("[a-zA-Z]"), whole_word).otherwise(F.col("query").contains(name))
     return met.filter(exact).select("query_id", "node", "first_seen").distinct()
 
 
@@ -85,6 +113,7 @@ class Adjacency:
     neighbours: DataFrame
     chunks: DataFrame
     hubs: DataFrame
+    few_hubs: bool
 
 
 def _bucketed(rows: DataFrame, buckets: int, name: str, scratch: Scratch) -> DataFrame:
@@ -107,23 +136,23 @@ def store_adjacency(edges: DataFrame, scratch: Scratch | None = None) -> Adjacen
     both = scratch.save(pair.select(F.explode(F.array(*ends)).alias("e"), *rest).select("e.*", *rest), "ends")
     degrees = both.groupBy("node").count()
     hubs = scratch.save(degrees.filter(F.col("count") > HUB_EDGES).select("node", F.ceil(F.col("count") / HUB_EDGES).cast("int").alias("parts")), "hubs")
+    few = hubs.agg(F.coalesce(F.sum(F.octet_length("node") + 16), F.lit(0))).first()[0] <= BROADCAST_BYTES
     buckets = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // BUCKET_EDGES))
-    parted = lambda rows, col: _with_parts(rows, hubs).withColumn("part", F.pmod(F.xxhash64(col), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    parted = lambda rows, col: _with_parts(rows, hubs, few).withColumn("part", F.pmod(F.xxhash64(col), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     near = both.groupBy("node", "nbr").agg(F.min_by(F.struct("dir", "grp", "edge_id"), F.struct("dir", "grp", "edge_id")).alias("f")).select("node", "nbr", "f.*")
     told = both.filter("chunk_index is not null").groupBy("node", "chunk_index").agg(F.count("*").alias("n"))
-    return Adjacency(_bucketed(parted(both, "edge_id"), buckets, "links", scratch), _bucketed(parted(near, "nbr"), buckets, "neighbours", scratch), _bucketed(parted(told, "chunk_index"), buckets, "chunks", scratch), hubs)
+    return Adjacency(_bucketed(parted(both, "edge_id"), buckets, "links", scratch), _bucketed(parted(near, "nbr"), buckets, "neighbours", scratch), _bucketed(parted(told, "chunk_index"), buckets, "chunks", scratch), hubs, few)
 
 
-def _with_parts(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+def _with_parts(rows: DataFrame, hubs: DataFrame, few: bool) -> DataFrame:
     """``rows`` with the parts of their node, null where it is no hub; a long list of hubs is joined, not sent to all."""
-    size = hubs.agg(F.coalesce(F.sum(F.octet_length("node") + 16), F.lit(0))).first()[0]
-    return rows.join(F.broadcast(hubs) if size <= BROADCAST_BYTES else hubs, "node", "left")
+    return rows.join(F.broadcast(hubs) if few else hubs, "node", "left")
 
 
-def _meet(frontier: DataFrame, stored: DataFrame, hubs: DataFrame) -> DataFrame:
+def _meet(frontier: DataFrame, table: DataFrame, stored: Adjacency) -> DataFrame:
     """A frontier and a stored table by node: the frontier moves to the table's buckets, a hub's rows to each of its parts."""
-    dealt = _with_parts(frontier, hubs).withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(stored, ["node", "part"]).drop("part")
+    dealt = _with_parts(frontier, stored.hubs, stored.few_hubs).withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(table, ["node", "part"]).drop("part")
 
 
 def _above_before(met: DataFrame, known: DataFrame) -> DataFrame:
@@ -149,7 +178,7 @@ def expansion_levels(seeds: DataFrame, stored: Adjacency, decay: float = DECAY,
     levels = [scratch.save(seeds.select("query_id", "node", "score", "path"), "level-0")] if max_depth > 0 else []
     best = levels[0].groupBy("query_id", "node").agg(F.max("score").alias("best")) if levels else None
     for hop in range(1, max_depth):
-        met = _meet(levels[-1], stored.neighbours, stored.hubs).select("query_id", "nbr", (F.col("score") * decay).alias("w"), F.concat("path", F.array("dir", "grp", "edge_id")).alias("path"))
+        met = _meet(levels[-1], stored.neighbours, stored).select("query_id", "nbr", (F.col("score") * decay).alias("w"), F.concat("path", F.array("dir", "grp", "edge_id")).alias("path"))
         onward = _above_before(met, best.withColumnRenamed("node", "nbr"))
         reached = onward.select("query_id", F.col("nbr").alias("node"), F.col("w").alias("score"), "path")
         levels.append(reached if hop + 1 == max_depth else scratch.save(reached, f"level-{hop}"))
@@ -163,7 +192,7 @@ def expanded_edges(levels: list[DataFrame], stored: Adjacency, decay: float = DE
     columns = ["query_id", "node", "nbr", "dir", "relation", "chunk_index"]
     out = stored.links.select(F.lit(0).cast("long").alias("query_id"), *columns[1:], F.lit(0).alias("hop"), F.lit(0.0).alias("w"), F.array("dir").alias("path")).limit(0)
     for hop, frontier in enumerate(levels, 1):
-        met = _meet(frontier, stored.links, stored.hubs)
+        met = _meet(frontier, stored.links, stored)
         part = met.select(*columns, F.lit(hop).alias("hop"), (F.col("score") * decay).alias("w"), F.concat("path", F.array("dir", "grp", "edge_id")).alias("path"))
         out = part if hop == 1 else out.unionByName(part)
     return out
@@ -206,7 +235,7 @@ def chunk_scores(seeds: DataFrame, levels: list[DataFrame], stored: Adjacency, d
     out = seeds.select("query_id", "chunk_index", F.col("score").alias("most"), F.col("score").alias("total"))
     for frontier in levels:
         at = frontier.groupBy("query_id", "node").agg(F.max("score").alias("most"), F.sum("score").alias("total"))
-        out = out.unionByName(_meet(at, stored.chunks, stored.hubs).select("query_id", "chunk_index", (F.col("most") * decay).alias("most"), (F.col("total") * decay * F.col("n")).alias("total")))
+        out = out.unionByName(_meet(at, stored.chunks, stored).select("query_id", "chunk_index", (F.col("most") * decay).alias("most"), (F.col("total") * decay * F.col("n")).alias("total")))
     return out.groupBy("query_id", "chunk_index").agg(_score(F.max("most"), F.sum("total")).alias("score"))
 
 

@@ -53,6 +53,47 @@ def test_named_nodes(spark):
     assert [r[1] for r in rows(graph.match_nodes(q, nodes), "query_id", "node")] == ["Mold Temp", "PC", "模温"]
 
 
+def test_hubs_in_parts_and_no_exchange_over_edges(spark, monkeypatch):
+    """A hub's rows are cut into parts, parallel edges each count, and no join moves the stored edges."""
+    monkeypatch.setattr(graph, "HUB_EDGES", 3)
+    edges = [(i, "hub", f"n{i % 7}", "r", i % 4, "") for i in range(40)] + [(100 + i, f"n{i}", f"n{i + 1}", "r", 9, "") for i in range(6)]
+    stored = graph.store_adjacency(spark.createDataFrame(edges, EDGE))
+    assert {r.node: r.parts for r in stored.hubs.collect()}["hub"] == 14
+    seeds = [("n0", 0.9), ("hub", 0.5)]
+    s = spark.createDataFrame([(1, n, w, [0, i]) for i, (n, w) in enumerate(seeds)], "query_id long, node string, score double, path array<long>")
+    levels = graph.expansion_levels(s, stored, 0.82, 3)
+    told = graph.expanded_edges(levels, stored)
+    want = walk(edges, seeds, 0.82, 3)
+    assert rows(told, "chunk_index", "hop", "w") == sorted(want, key=repr)
+    none = spark.createDataFrame([], "query_id long, chunk_index long, score double")
+    totals = {}
+    for c, _, w in want:
+        totals.setdefault(c, []).append(w)
+    assert rows(graph.chunk_scores(none, levels, stored), "chunk_index", "score") == [(c, round(max(w) + 0.1 * (sum(w) - max(w)), 9)) for c, w in sorted(totals.items())]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph._meet(levels[0], stored.neighbours, stored)._jdf.queryExecution().executedPlan().toString()
+        scan = [line for line in plan.splitlines() if "neighbours" in line or "Bucketed: true" in line]
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(node") == 1, scan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_chains_are_numbered_without_lists(spark):
+    told = spark.createDataFrame([(1, 7, 1.0, [1, i], f"c{i}") for i in (5, 1, 3)] + [(1, 8, 1.0, [0], "x"), (2, 7, 1.0, [0], "y")], "query_id long, chunk_index long, w double, path array<long>, chain string")
+    hits = spark.createDataFrame([(1, 7), (2, 7)], "query_id long, chunk_index long")
+    assert rows(graph.chain_rows(told, hits)) == [(1, 7, 0, "c1"), (1, 7, 1, "c3"), (1, 7, 2, "c5"), (2, 7, 0, "y")]
+
+
+def test_names_in_several_automata(spark, monkeypatch):
+    monkeypatch.setattr(graph, "AUTOMATON_NODES", 2)
+    monkeypatch.setattr(graph, "AUTOMATON_QUESTIONS", 1)
+    names = ["PC", "pc", "Mold", "old", "模温", "b", "a.b", None]
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "node string, first_seen int")
+    q = spark.createDataFrame([(1, "PC, mold; 高模温 a.b"), (2, "bold"), (3, None), (4, "")], "query_id long, query string")
+    assert rows(graph.match_nodes(q, nodes), "query_id", "node") == [(1, "Mold"), (1, "PC"), (1, "a.b"), (1, "pc"), (1, "模温")]
+
+
 def test_search_scores_chains_and_stub_chunks(spark):
     edges = spark.createDataFrame([(0, "x", "y", "r", 7, ""), (1, "y", "z", "s", 9, "")], EDGE)
     triples = spark.createDataFrame([(0, 7, "x", "r", "y", ""), (1, 9, "y", "s", "z", "")], "row_id long, index long, head string, relation string, tail string, text string")
