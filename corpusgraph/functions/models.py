@@ -28,8 +28,13 @@ TRIPLES = "struct<triples:array<struct<head:string,relation:string,tail:string>>
 QUESTIONS = "struct<questions:array<string>>"
 
 
-def map_with_fallback(df: DataFrame, inputs: list[str], make_generator: Callable[[], Generator], out_col: str = "reply", tasks: int | None = None) -> DataFrame:
-    """``df`` with out_col and error: one call a row with the named input columns; ``tasks`` spreads slow calls."""
+def map_with_fallback(df: DataFrame, inputs: list[str], make_generator: Callable[[], Generator], out_col: str = "reply", tasks: int | None = None, store: str | None = None) -> DataFrame:
+    """``df`` with out_col and error: one call a row with the named input columns; ``tasks`` spreads slow calls.
+
+    ``store`` names a folder of replies: see stored_replies.
+    """
+    if store:
+        return stored_replies(df, inputs, make_generator, store, out_col, tasks)
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType()), T.StructField("error", T.StringType())])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,16 +53,41 @@ def map_with_fallback(df: DataFrame, inputs: list[str], make_generator: Callable
     return (df.repartition(tasks) if tasks else df).mapInPandas(call, schema)
 
 
-def _described(rows: DataFrame, inputs: list[str], make_generator, tasks: int | None) -> DataFrame:
-    told = map_with_fallback(rows, inputs, make_generator, "_reply", tasks)
+def stored_replies(df: DataFrame, inputs: list[str], make_generator: Callable[[], Generator], store: str, out_col: str = "reply", tasks: int | None = None) -> DataFrame:
+    """``df`` with out_col and error, where equal inputs are asked once and answered inputs never again.
+
+    Replies are kept in the folder ``store`` by a hash of their inputs; only inputs
+    without a reply there are asked, each once however many rows have them, and their
+    replies are added before anything reads them. Failures are kept for this run's rows
+    but asked again by the next run. A store serves one kind of generator.
+    """
+    spark = df.sparkSession
+    key = F.sha2(F.to_json(F.array(*[F.coalesce(F.base64(F.col(c).cast("string").cast("binary")), F.lit("-")) for c in inputs])), 256)
+    keyed = df.withColumn("_key", key)
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    kept = lambda: spark.read.schema("_key string, _told string, _error string").parquet(store)
+    asked = keyed.select("_key", *inputs).dropDuplicates(["_key"])
+    if there:
+        asked = asked.join(kept().filter("_error is null").select("_key"), "_key", "left_anti")
+    told = map_with_fallback(asked, inputs, make_generator, "_told", tasks).select("_key", "_told", F.col("error").alias("_error"))
+    told.write.mode("append").parquet(store)
+    # Of several replies to the same inputs a good one counts, and the same in each run.
+    best = kept().groupBy("_key").agg(F.min(F.struct(F.col("_error").isNotNull().alias("failed"), "_told", "_error")).alias("r"))
+    replies = best.select("_key", F.col("r._told").alias(out_col), F.col("r._error").alias("error"))
+    return keyed.drop(out_col, "error").join(replies, "_key", "left").select(*[c for c in df.columns if c not in (out_col, "error")], out_col, "error")
+
+
+def _described(rows: DataFrame, inputs: list[str], make_generator, tasks: int | None, store: str | None) -> DataFrame:
+    told = map_with_fallback(rows, inputs, make_generator, "_reply", tasks, store)
     answer = strip(F.col("_reply"))
     return told.withColumn("text", F.coalesce(F.when(answer != "", answer), F.col("text"))).drop("_reply", "error", *[c for c in inputs if c.startswith("_")])
 
 
-def describe_tables(chunks: DataFrame, make_generator, tasks: int | None = None) -> DataFrame:
+def describe_tables(chunks: DataFrame, make_generator, tasks: int | None = None, store: str | None = None) -> DataFrame:
     """Table chunks with the reply as text; a blank or failed reply keeps the markdown."""
     prompt = F.concat(F.lit(TABLE_PROMPT), "text")
-    return _described(chunks.withColumn("_prompt", prompt), ["_prompt"], make_generator, tasks)
+    return _described(chunks.withColumn("_prompt", prompt), ["_prompt"], make_generator, tasks, store)
 
 
 def figure_uri(image: Column, ext: Column) -> Column:
@@ -66,19 +96,21 @@ def figure_uri(image: Column, ext: Column) -> Column:
     return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.regexp_replace(F.base64(image), r"\s", ""))
 
 
-def describe_figures(chunks: DataFrame, make_generator, tasks: int | None = None) -> DataFrame:
+def describe_figures(chunks: DataFrame, make_generator, tasks: int | None = None, store: str | None = None) -> DataFrame:
     """Figure chunks (with bytes, ext) with the reply as text; a blank or failed reply keeps the caption."""
     prompt = F.concat(F.lit(FIGURE_PROMPT), "text")
     ready = chunks.withColumn("_prompt", prompt).withColumn("_image", figure_uri(F.col("bytes"), F.col("ext")))
-    return _described(ready, ["_prompt", "_image"], make_generator, tasks)
+    return _described(ready, ["_prompt", "_image"], make_generator, tasks, store)
 
 
-def route_by_modality(chunks: DataFrame, make_table_generator, make_figure_generator, tasks: int | None = None) -> DataFrame:
-    """Tables and figures get rewritten texts, all else passes unchanged."""
+def route_by_modality(chunks: DataFrame, make_table_generator, make_figure_generator, tasks: int | None = None, store: str | None = None) -> DataFrame:
+    """Tables and figures get rewritten texts, all else passes unchanged; ``store`` is a folder of replies for each of both."""
+    of = lambda name: store and f"{store}/{name}"
     kind = F.coalesce(F.col("modality"), F.lit("text"))
     text = chunks.filter(~kind.isin("table", "figure"))
-    tables = describe_tables(chunks.filter(kind == "table"), make_table_generator, tasks)
-    figures = describe_figures(chunks.filter(kind == "figure"), make_figure_generator, tasks) if "bytes" in chunks.columns else describe_tables(chunks.filter(kind == "figure"), make_figure_generator, tasks)
+    tables = describe_tables(chunks.filter(kind == "table"), make_table_generator, tasks, of("tables"))
+    describe = describe_figures if "bytes" in chunks.columns else describe_tables
+    figures = describe(chunks.filter(kind == "figure"), make_figure_generator, tasks, of("figures"))
     return text.unionByName(tables).unionByName(figures)
 
 
@@ -88,9 +120,9 @@ def parse_triples(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     return parsed.select("index", "pos", *[F.coalesce(F.col(f"t.{c}"), F.lit("")).alias(c) for c in ("head", "relation", "tail")], "text")
 
 
-def extract_triples(chunks: DataFrame, make_generator, tasks: int | None = None) -> DataFrame:
+def extract_triples(chunks: DataFrame, make_generator, tasks: int | None = None, store: str | None = None) -> DataFrame:
     prompt = F.concat(F.lit('List the facts of this text as JSON {"triples": [{"head", "relation", "tail"}]}:\n'), "text")
-    return parse_triples(map_with_fallback(chunks.select("index", "text", prompt.alias("prompt")), ["prompt"], make_generator, tasks=tasks))
+    return parse_triples(map_with_fallback(chunks.select("index", "text", prompt.alias("prompt")), ["prompt"], make_generator, tasks=tasks, store=store))
 
 
 def parse_questions(reply: Column) -> Column:
@@ -102,10 +134,10 @@ def questions_prompt(n: int) -> str:
     return f'Write {n} questions that this text answers as JSON {{"questions": [...]}}:\n'
 
 
-def generate_questions(chunks: DataFrame, make_generator, n: int = 2, tasks: int | None = None) -> DataFrame:
+def generate_questions(chunks: DataFrame, make_generator, n: int = 2, tasks: int | None = None, store: str | None = None) -> DataFrame:
     """``chunks`` with questions: what a reader could ask that the text answers."""
     prompt = F.concat(F.lit(questions_prompt(n)), "text")
-    told = map_with_fallback(chunks.withColumn("_prompt", prompt), ["_prompt"], make_generator, "_reply", tasks)
+    told = map_with_fallback(chunks.withColumn("_prompt", prompt), ["_prompt"], make_generator, "_reply", tasks, store)
     return told.withColumn("questions", parse_questions(F.col("_reply"))).drop("_prompt", "_reply", "error")
 
 

@@ -106,10 +106,28 @@ def _stub_figure():
     return reply
 
 
-def described_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _media(spark, sf_dir):
     media = layout.table_chunks(I.page_tables(spark, sf_dir)).unionByName(layout.figure_chunks(I.page_images(spark, sf_dir), I.page_text(spark, sf_dir))).drop("piece")
-    ready = media.withColumn("bytes", F.encode("text", "UTF-8")).withColumn("ext", F.lit("jpg"))
-    return M.route_by_modality(ready, _stub_table, _stub_figure).select("modality", "source_file", "page", "no", "text")
+    return media.withColumn("bytes", F.encode("text", "UTF-8")).withColumn("ext", F.lit("jpg"))
+
+
+def described_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.route_by_modality(_media(spark, sf_dir), _stub_table, _stub_figure).select("modality", "source_file", "page", "no", "text")
+
+
+def _no_model():
+    def reply(row):
+        raise ConnectionError("no model")
+
+    return reply
+
+
+def described_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The descriptions of a second run that has no model: every reply comes from the first run's store."""
+    scratch = Scratch(spark, "replies")
+    store = f"{scratch.root}/replies"
+    M.route_by_modality(_media(spark, sf_dir), _stub_table, _stub_figure, store=store)
+    return M.route_by_modality(_media(spark, sf_dir), _no_model, _no_model, store=store).select("modality", "source_file", "page", "no", "text")
 
 
 _T, _F = len(M.TABLE_PROMPT), len(M.FIGURE_PROMPT)
@@ -642,6 +660,7 @@ def queries() -> dict:
         "figure_chunks": figure_chunks,
         "layout_chunks": layout_chunks,
         "described_chunks": described_chunks,
+        "described_again": described_again,
         "parsed_triples": parsed_triples,
         "index_texts": index_texts,
         "encoded_texts": encoded_pages,
@@ -774,4 +793,4 @@ def oracle_sql() -> dict:
         "chain_texts": _with(*_encoded_graph_sql(20), CHAINS_SQL),
         "undiagnosed": _with(I.REPORTS_SQL) + " SELECT run_key, 'no warpage' AS reason FROM runs WHERE warpage IS NULL",
     }
-    return sql | {"retrieved": sql["encoded_retrieved"], "pivot_hits": sql["dense_hits"]}
+    return sql | {"retrieved": sql["encoded_retrieved"], "pivot_hits": sql["dense_hits"], "described_again": sql["described_chunks"]}

@@ -1,3 +1,5 @@
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusgraph import queries as Q
@@ -77,3 +79,33 @@ def test_long_turns_are_encoded_whole(spark, tmp_path):
     long = " ".join(f"w{i}" for i in range(3000)) + " w0"
     spark.createDataFrame([(1, 0, "a b a"), (1, 1, long)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert rows(Q.encoded_pages(spark, str(tmp_path))) == [(1, 0, 2, 3, 1.0), (1, 1, 3000, 3001, 1.0)]
+
+
+def test_stored_replies_are_asked_once(spark, tmp_path):
+    """Equal inputs cost one call, a second run only those that failed or are new; nulls and other columns stay."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def model(run):
+        def make():
+            def reply(row):
+                open(calls / f"{run}-{uuid.uuid4().hex}", "w").close()
+                if row["p"] == "bad" and run == 1:
+                    raise ValueError("not now")
+                return f"{row['p']}/{row['q']}"
+
+            return reply
+
+        return make
+
+    data = [(1, "a", None, "x"), (2, "a", None, "y"), (3, "bad", "q", None), (4, None, "a", "z"), (5, "a", "-", "w")] + [(10 + i, "hot", "q", "x") for i in range(50)]
+    df = spark.createDataFrame(data, "n int, p string, q string, error string").repartition(3)
+    store = f"file://{tmp_path}/store"
+    first = {r.n: (r.reply, r.error) for r in M.map_with_fallback(df, ["p", "q"], model(1), store=store).collect()}
+    assert len(first) == len(data) and first[1] == first[2] == ("a/None", None) and first[3] == (None, "ValueError: not now")
+    assert first[4] == ("None/a", None) and first[5] == ("a/-", None) and first[59] == ("hot/q", None)
+    assert len(list(calls.glob("1-*"))) == 5
+    more = df.unionByName(spark.createDataFrame([(99, "new", "q", None)], df.schema))
+    second = {r.n: (r.reply, r.error) for r in M.map_with_fallback(more, ["p", "q"], model(2), store=store).collect()}
+    assert len(list(calls.glob("2-*"))) == 2
+    assert second == first | {3: ("bad/q", None), 99: ("new/q", None)}
