@@ -192,17 +192,15 @@ class Mix:
         made from; other columns may have any names.
         """
         names = docs.columns
-        turn = Window.partitionBy("k1", "k2").orderBy("row")
         lists = (
             self.draws()
             .groupBy("k1", "k2", "row", "size", "pass", "shard")
             .agg(F.array_sort(F.collect_list(F.struct("slice", "words"))).alias("taken"), F.sum("words").alias("words"), F.min("turn").alias("turn"))
-            .withColumn("copy", F.dense_rank().over(turn))
         )
-        # Equal rows are told apart by their turn among their equals, on both sides.
+        # What is drawn of equal rows is the text of any of them, so one stands for all.
         rows = docs.select(columns_hash(docs, 1).alias("k1"), columns_hash(docs, 2).alias("k2"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"))
-        rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")))
-        met = rows.join(lists, ["k1", "k2"]).filter(F.col("own") - F.col("copy") == 0)
+        rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))).filter("own = 1")
+        met = rows.join(lists, ["k1", "k2"])
         chosen = met.select("d", F.when(F.col("words") < F.col("size"), F.col("taken")).alias("taken"), "shard", "turn")
         block, text_at = self.block, names.index("text")
 

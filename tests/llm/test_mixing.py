@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -143,6 +144,18 @@ def test_documents_with_clashing_columns_repeated_rows_and_shards(spark):
     assert by_part == per_shard
 
 
+def test_many_equal_rows_are_no_square(spark):
+    """Rows that all repeat one another take about the time of different ones, not that of all their pairs."""
+    took = []
+    for same in (False, True):
+        docs = spark.range(60_000).selectExpr("0L AS doc_id" if same else "id AS doc_id", "'a b c d' AS text", "'s' AS source")
+        mix, began = M.Mix(docs), time.time()
+        got = mix.documents(docs).agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", " "))).alias("words")).first()
+        took.append(time.time() - began)
+        assert got.words == mix.taken().agg(F.sum("taken")).first()[0] == 360_000 and got.n >= 90_000
+    assert took[1] < 10 * took[0] + 10
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, source string, text string")
     assert M.Mix(none).taken().count() == 0
