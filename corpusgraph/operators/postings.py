@@ -38,16 +38,18 @@ def block_postings(postings: DataFrame, scratch: Scratch) -> DataFrame:
     weight = F.col("weight").cast("double")
     known = postings.filter("row_id is not null and token is not null and weight is not null").select("row_id", "token", weight.alias("weight"))
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
-    rows = known.groupBy("row_id").agg(length.alias("length"), F.count("*").alias("n"))
+    rows = known.groupBy("row_id").agg(length.alias("length"), F.count("*").alias("n"), F.collect_list(F.struct("token", "weight")).alias("cells"))
     # Squares beyond a double's range give no bound; such rows are a class of their own.
     power = F.when(F.col("length") < float("inf"), F.floor(2 * F.log2(F.greatest("length", F.lit(2.0**-500)))).cast("long")).otherwise(F.lit(2000))
-    classed = scratch.save(rows.select("row_id", power.alias("class"), "length", "n"), "classes")
+    classed = scratch.save(rows.withColumn("class", power), "rows")
     # At most one row for each power of two that a double has.
     parts = classed.groupBy("class").agg(F.ceil(F.sum("n") / BLOCK_POSTINGS).alias("parts"))
     block = F.shiftleft(F.col("class") + 2048, 32) + F.pmod(F.xxhash64("row_id"), F.col("parts"))
-    of = classed.join(F.broadcast(parts), "class").select("row_id", "length", block.alias("block"))
-    lists = known.join(of, "row_id").groupBy("block", "token").agg(F.min("weight").alias("least"), F.max("weight").alias("most"), F.max("length").alias("longest"), F.count("*").alias("n"), F.collect_list(F.struct("row_id", "weight")).alias("rows"))
-    return scratch.save(lists.repartition("block").sortWithinPartitions("block", "token"), "blocks")
+    # Whole rows move to their block, where its tokens are gathered without a further shuffle.
+    dealt = classed.join(F.broadcast(parts), "class").select(block.alias("block"), "row_id", "length", "cells").repartition("block")
+    each = dealt.select("block", "row_id", "length", F.inline("cells"))
+    lists = each.groupBy("block", "token").agg(F.min("weight").alias("least"), F.max("weight").alias("most"), F.max("length").alias("longest"), F.count("*").alias("n"), F.collect_list(F.struct("row_id", "weight")).alias("rows"))
+    return scratch.save(lists.sortWithinPartitions("block", "token"), "blocks")
 
 
 def _best_rows(n: int):
