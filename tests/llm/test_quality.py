@@ -1,3 +1,5 @@
+import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -91,3 +93,59 @@ def test_bounds_of_the_sample_and_repeated_ids(spark):
     assert np.allclose(again[0][0], again[1][0]) and again[0][1] == again[1][1]
     w, bias = Q.train(docs, labels, most_features=0)
     assert not w.any() and bias == 0.0
+
+
+M64 = (1 << 64) - 1
+
+
+def word_hash(word):
+    """As hash_words: eight bytes at a time, or BLAKE2 of a longer word."""
+    if len(word) > 64:
+        return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+    def mix(x):
+        x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & M64
+        x = ((x ^ x >> 29) * 0x9E3779B97F4A7C15) & M64
+        return x ^ x >> 32
+
+    h = mix(len(word) * 0x9E3779B97F4A7C15 & M64)
+    for i in range(0, len(word), 8):
+        h = mix((h ^ int.from_bytes(word[i : i + 8], "little")) * 0xD6E8FEB86659FD93 & M64)
+    return h
+
+
+def plain_features(text):
+    """The features of one text, worked out word by word in whole numbers."""
+    one, two = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+    def mix(x):
+        x = ((x ^ x >> 29) * two) & M64
+        return x ^ x >> 32
+
+    def kind(c):
+        return ord("a") if 0x61 <= c < 0x7B else ord("A") if 0x41 <= c < 0x5B else ord("0") if 0x30 <= c < 0x3A else 0x80 if c >= 0x80 else c
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    w = [word_hash(x) for x in words]
+    s = []
+    for i, x in enumerate(words):
+        shape = kind(x[0]) | (i > 0 and w[i] == w[i - 1]) << 40
+        for back in (1, 2, 3):
+            shape |= kind(x[max(len(x) - back, 0)]) << 8 * back
+        s.append(mix(shape * one & M64))
+    pairs, threes = range(len(w) - 1), range(len(w) - 2)
+    grams = [*w, *(mix(w[i] * one + w[i + 1] & M64) for i in pairs), *(x + 1 & M64 for x in s), *(mix(s[i] * one + s[i + 1] + 2 & M64) for i in pairs)]
+    grams += [mix(mix(s[i] * one + s[i + 1] & M64) * one + s[i + 2] + 3 & M64) for i in threes]
+    grams += [mix(int.from_bytes(x[i : i + 6], "little") * one + 4 & M64) for x in words if len(x) > 24 for i in range(len(x) - 5)]
+    return {(g * two & M64) >> 46 for g in grams}
+
+
+def test_features_and_scores_against_plain_python(spark):
+    texts = ["The cat THE cat cat 42!", "", None, "a", "b b", "naïve Größe 東京東京東京東京東京東京", "x" * 30 + " " + "y" * 65, "\t tab\x0bsep\x85not ", "l" + "o" * 200 + "ng", "Wörter: ja, nein; ja."]
+    assert feature_sets(*texts) == [plain_features(t) for t in texts]
+    weights, bias = np.random.default_rng(4).normal(size=1 << Q.BITS).astype(np.float32), 0.25
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in Q.score_texts(docs, (weights, bias)).collect():
+        own = sorted(plain_features(r.text))
+        margin = float(np.sum(weights[own].astype(float))) / max(1, len(own)) ** 0.5 + bias
+        assert abs(r.score - 1 / (1 + np.exp(-2 * margin))) < 1e-9
