@@ -115,6 +115,14 @@ def described_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.route_by_modality(_media(spark, sf_dir), _stub_table, _stub_figure).select("modality", "source_file", "page", "no", "text")
 
 
+def figure_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a figure's image is sent as; the page's html stands for the image, in three formats."""
+    p = I.table(spark, sf_dir, "pages")
+    ext = F.when(F.col("page_id") % 3 == 0, "jpg").when(F.col("page_id") % 3 == 1, "PNG").otherwise("webp")
+    uri = M.figure_uri(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), ext)
+    return p.select("page_id", F.md5(uri).alias("uri"), F.length(uri).cast("long").alias("letters"))
+
+
 def _no_model():
     def reply(row):
         raise ConnectionError("no model")
@@ -445,6 +453,13 @@ def report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("run_key", *[F.coalesce(F.size(s), F.lit(0)).alias(s) for s in D.STAGES], F.round(F.try_element_at("warpage", F.lit("TotalDisplacement"))["max"], 6).alias("warpage_max"))
 
 
+def report_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of every stage of the nested view."""
+    p = D.stats_pivot(D.stage_stats(I.reports(spark, sf_dir)))
+    cells = F.flatten(F.array(*[F.coalesce(F.transform(F.map_entries(stage), lambda e: F.struct(F.lit(stage).alias("stage"), e["key"].alias("field"), e["value"].alias("v"))), F.array()) for stage in D.STAGES]))
+    return p.select("run_key", F.inline(cells)).select("run_key", "stage", "field", F.round("v.max", 6).alias("max"), "v.min", "v.avg", "v.unit")
+
+
 def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = D.diagnose(_runs(spark, sf_dir))
     c = "hard_constraints"
@@ -661,6 +676,7 @@ def queries() -> dict:
         "layout_chunks": layout_chunks,
         "described_chunks": described_chunks,
         "described_again": described_again,
+        "figure_uris": figure_uris,
         "parsed_triples": parsed_triples,
         "index_texts": index_texts,
         "encoded_texts": encoded_pages,
@@ -689,6 +705,7 @@ def queries() -> dict:
         "report_stats": report_stats,
         "report_summaries": report_summaries,
         "report_pivot": report_pivot,
+        "report_values": report_values,
         "diagnoses": diagnoses,
         "undiagnosed": undiagnosed,
         "diagnosis_texts": diagnosis_texts,
@@ -781,6 +798,8 @@ def oracle_sql() -> dict:
         "report_stats": _with(I.REPORTS_SQL) + " SELECT k::VARCHAR AS run_key, stage, field, round(m, 6) AS max, least AS min, 'mm' AS unit FROM last_nodes",
         "report_summaries": _with(I.REPORTS_SQL) + ' SELECT run_key, round(fill_s, 6) AS actual_filling_time_s, round(warpage, 6) AS warpage_mm, round(dt, 6) AS mold_temp_diff, round(freeze_s, 6) AS packing_gate_freeze, round(sprue, 6) AS "max_sprue_pressure_MPa", round(clamp, 6) AS max_clamping_force_ton, round(stress, 6) AS residual_stress, packing_time_s, header_freeze AS gate_freeze_time_s, part_weight AS part_weight_g, runner_weight AS runner_weight_g, 100.0::DOUBLE AS volume_filled_percent FROM runs',
         "report_pivot": _with(I.REPORTS_SQL) + " SELECT k::VARCHAR AS run_key, (count(*) FILTER (stage = 'filling'))::INTEGER AS filling, (count(*) FILTER (stage = 'packing'))::INTEGER AS packing, (count(*) FILTER (stage = 'cooling'))::INTEGER AS cooling, (count(*) FILTER (stage = 'warpage'))::INTEGER AS warpage, round(max(m) FILTER (field = 'TotalDisplacement'), 6) AS warpage_max FROM last_nodes GROUP BY k",
+        "report_values": _with(I.REPORTS_SQL) + " SELECT k::VARCHAR AS run_key, stage, field, round(m, 6) AS max, least AS min, NULL::DOUBLE AS avg, 'mm' AS unit FROM last_nodes",
+        "figure_uris": "SELECT page_id, md5(uri) AS uri, length(uri) AS letters FROM (SELECT page_id, 'data:image/' || CASE page_id % 3 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' ELSE 'webp' END || ';base64,' || to_base64(encode(coalesce(html, ''))) AS uri FROM pages)",
         "diagnoses": _with(I.REPORTS_SQL, DIAGNOSES_SQL) + DIAGNOSED_SQL,
         "diagnosis_texts": _with(I.REPORTS_SQL, DIAGNOSES_SQL, _spelled(DIAGNOSIS_TEXT_SQL)),
         "stored_reports": I.HEADERS_SQL,
