@@ -164,8 +164,11 @@ ENCODED_SQL, ENCODED_DOCUMENTS_SQL = _encoded_sql(True), _encoded_sql(False)
 
 
 def term_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col, token, weight: how often each lower-cased word occurs."""
-    tokens = texts.select(F.col(id_col), F.explode(F.split(F.lower(text_col), r"\s+")).alias("token")).filter("token <> ''")
+    """id_col, token, weight: how often each lower-cased word occurs.
+
+    Texts move once, whole; their words are then counted where they lie.
+    """
+    tokens = texts.select(id_col, text_col).repartition(id_col).select(F.col(id_col), F.explode(F.split(F.lower(text_col), r"\s+")).alias("token")).filter("token <> ''")
     return tokens.groupBy(id_col, "token").agg(F.count("*").cast("double").alias("weight"))
 
 
