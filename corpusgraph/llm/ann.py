@@ -24,16 +24,15 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .vectors import every_nth, matrix, rank_hits, search_grid, table_of, usable_vectors
 
-#: Tables, and hashes in each (three from LARGE vectors on).
+#: Tables, and hashes in each, for any number of vectors.
 TABLES = 8
 HASHES = 2
-LARGE = 4_000_000
-#: Shuffled buckets of all tables at most: their sizes are broadcast.
-MOST_BUCKETS = 1_000_000
 #: Share of a table's buckets that a query probes at REFERENCE vectors; it falls with their number to the power of FALL.
 PROBED = 1 / 18
 REFERENCE = 2000
 FALL = 0.3
+#: Buckets with so many vectors, on average, are probed beyond that share, which makes small tables nearly exact.
+FEW = 80
 ROUNDS = 3
 SEED = 20240229
 
@@ -96,13 +95,10 @@ def probed_buckets(sides: list[np.ndarray], probes: int) -> np.ndarray:
 
 
 def plan(n: int, dims: int) -> tuple[int, int]:
-    """(hashes, probes) for n vectors: longer tables and a smaller probed share the more there are."""
+    """(hashes, probes) for n vectors: one law for all sizes, whose probed share falls steadily, so that no size is a turning point for recall."""
     axes = 2 << max(0, int(dims - 1).bit_length())
-    hashes = HASHES + (n >= LARGE and TABLES * axes**HASHES <= MOST_BUCKETS)
-    share = PROBED * (REFERENCE / max(n, 1)) ** FALL
-    # With a hash more, a bucket is smaller by the number of axes, and near vectors lie in more of them.
-    probes = int(np.ceil(share * axes**HASHES)) * (8 if hashes > HASHES else 1)
-    return hashes, int(min(max(probes, axes // 2, 1), axes**hashes))
+    share = PROBED * (REFERENCE / max(n, 1)) ** FALL + FEW / max(n, 1)
+    return HASHES, int(min(max(np.ceil(share * axes**HASHES), axes // 2), axes**HASHES))
 
 
 def hashed(rows: DataFrame, id_col: str, tables: int, hashes: int, probes: int, seed: int = SEED) -> DataFrame:

@@ -123,3 +123,31 @@ def test_ann_query_against_all_vectors(spark):
 def test_probed_share_falls_with_the_number_of_vectors():
     shares = [ann.plan(n, 64)[1] / 128 ** ann.plan(n, 64)[0] for n in (500, 2000, 10_000, 100_000, 1_000_000, 10_000_000)]
     assert shares == sorted(shares, reverse=True) and shares[-1] < shares[0] / 50
+
+
+def test_near_vectors_are_probed_alike_at_any_size():
+    """Planted at the cosines of the five nearest of n random vectors: the tail of the cosine's density holds 1 / n for each."""
+    rng = np.random.default_rng(17)
+    cosines = np.linspace(1, -1, 1 << 17)
+    tail = np.cumsum((1 - cosines**2) ** 30.5)
+    q, away = ann.units(rng.normal(size=(100, 64))), rng.normal(size=(100, 5, 64))
+    away = away - (away @ q[:, :, None]) * q[:, None, :]
+    away /= np.linalg.norm(away, axis=2, keepdims=True)
+    for n in (500, 20_000, 1_000_000, 3_999_999, 4_000_000, 40_000_000, 400_000_000):
+        t = np.interp(np.cumsum(rng.exponential(size=(100, 5)), axis=1) / n, tail / tail[-1], cosines)[:, :, None]
+        near = (t * q[:, None, :] + np.sqrt(1 - t**2) * away).reshape(-1, 64)
+        hashes, probes = ann.plan(n, 64)
+        found = np.zeros((100, 5), dtype=bool)
+        for signs in ann.table_signs(64, ann.TABLES * hashes).reshape(ann.TABLES, hashes, ann.ROUNDS, 64):
+            codes = []
+            for rows, most in ((q, probes), (near, 1)):
+                turned = [ann.hadamard_rotate(rows, s) for s in signs]
+                codes.append(ann.probed_buckets([np.concatenate([y, -y], axis=1) for y in turned], most))
+            found |= (codes[0][:, None, :] == codes[1].reshape(100, 5, 1)).any(axis=2)
+        assert found.mean() >= 0.9, n
+
+
+def test_plan_has_no_switch_by_size():
+    plans = [ann.plan(int(2 ** (e / 8)), 64) for e in range(40, 264)]
+    assert len({hashes for hashes, _ in plans}) == 1
+    assert all(b <= a <= 1.1 * b + 1 for (_, a), (_, b) in zip(plans, plans[1:], strict=False))
