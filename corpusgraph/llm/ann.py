@@ -2,10 +2,10 @@
 
 A hash turns unit vectors by a pseudo-rotation (three rounds of random signs and a
 fast Hadamard transform) and takes the nearest signed axis. A table concatenates
-several such hashes, so that its buckets shrink as the corpus grows. A query
-probes the buckets whose axes are nearest to it together in several tables; all
-vectors found there are ranked by their exact cosine. Queries that find too few
-are compared with all vectors.
+as many such hashes at every size; the share of its buckets that a query probes
+falls as the corpus grows. A query probes the buckets whose axes are nearest to it
+together in several tables; all vectors found there are ranked by their exact
+cosine. Queries that find too few are compared with all vectors.
 
 All hashes of a table but the last name the shuffled bucket, in blocks; the last
 one is looked up inside the task, where a query only meets candidates whose axis it
