@@ -1,6 +1,10 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from corpusgraph import queries as Q
 from corpusgraph.sources import tables as T
+from tests.compare import assert_same
 from tests.conftest import rows
 
 
@@ -44,3 +48,12 @@ def test_two_writers_take_two_numbers(spark, tmp_path):
     versions = T._Versions(spark, f"file://{tmp_path}", "hype")
     assert versions.put(1, {"chunks": ["a"]}) and not versions.put(1, {"chunks": ["b"]})
     assert versions.last() == (1, {"chunks": ["a"]})
+
+
+def test_stored_vectors_of_words_that_cancel_out(spark, tmp_path):
+    """Two words of opposite sign on one axis, and words that only Unicode's spaces part, are stored as the SQL has them."""
+    texts = ["w0 w179", "w0 w179 w179", "a\u00a0b c\u2003d a\x1cb", " \n", "", None]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), f"{tmp_path}/documents.parquet")
+    pq.write_table(pa.table({"conv_id": pa.array([1, 1], pa.int64()), "turn": pa.array([0, 1], pa.int64()), "text": texts[:2]}), f"{tmp_path}/conversations.parquet")
+    for name in ("stored_index", "encoded_texts"):
+        assert_same(Q.queries()[name](spark, str(tmp_path)), str(tmp_path), Q.oracle_sql()[name])
