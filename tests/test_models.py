@@ -109,3 +109,22 @@ def test_stored_replies_are_asked_once(spark, tmp_path):
     second = {r.n: (r.reply, r.error) for r in M.map_with_fallback(more, ["p", "q"], model(2), store=store).collect()}
     assert len(list(calls.glob("2-*"))) == 2
     assert second == first | {3: ("bad/q", None), 99: ("new/q", None)}
+
+
+def test_triples_are_kept_without_their_chunks_text(spark, tmp_path):
+    """A chunk of many triples is written once, not once for each of them, and every triple and edge still has its text."""
+    chunks = spark.createDataFrame([(i, f"{i} " + "long text " * 50) for i in range(3)], "index long, text string")
+    facts = '{"questions":["q"],"triples":[%s]}' % ",".join('{"head":"h%d","relation":"r","tail":"t"}' % i for i in range(20))
+    kept = {}
+
+    def save(df, name):
+        df.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        kept[name] = spark.read.parquet(f"{tmp_path}/{name}")
+        return kept[name]
+
+    entities = M.encode(spark.createDataFrame([(0, "h1")], "ord int, name string"), "name", M.HashingEncoder, 32).select("ord", "name", F.col("dense").alias("vec"))
+    relations = M.encode(spark.createDataFrame([(0, "r", "R")], "ord int, phrase string, canonical string"), "phrase", M.HashingEncoder, 32).select("ord", "phrase", "canonical", F.col("dense").alias("vec"))
+    index = answer.build_index(chunks, lambda: lambda row: facts, M.HashingEncoder, entities, relations, save)
+    assert [name for name, t in kept.items() if "text" in t.columns] == ["asked"]
+    for table, key in (("triples", "index"), ("edges", "chunk_index")):
+        assert rows(index["graph"][table].groupBy(key, "text").count()) == sorted((r[0], r[1], 20) for r in chunks.collect())
