@@ -122,3 +122,46 @@ def test_every_triple_and_document_is_a_dense_candidate(spark, tmp_path):
     assert rows(vectors, "row_id") == rows(triples, "row_id") == [(0,), (1,)]
     found = Q.encoded_retrieved(spark, str(tmp_path))
     assert rows(found.filter("graph_rank is not null and hype_rank is not null"), "query_id", "chunk_index") == [(7000, 5000), (7000, 5001)]
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_sums_in_small_cells_equal_a_sequential_walk(spark, monkeypatch, k):
+    """Chunks in several groups, questions in several blocks, pairs in several steps, hubs in parts, equal scores and seed edges of their own."""
+    for name, n in (("CELL_CHUNKS", 4), ("CELL_QUESTIONS", 2), ("CELL_PAIRS", 3), ("HUB_EDGES", 5)):
+        monkeypatch.setattr(graph, name, n)
+    rng = random.Random(5)
+    nodes = "abcdefgh"
+    edges = [(i, *rng.sample(nodes, 2), "r", rng.choice([*range(100, 120), None]), "") for i in range(60)]
+    asked = {q: [(n, rng.choice([0.0, 0.5, 0.9, 1.0])) for n in rng.sample(nodes, 3)] for q in range(7)}
+    stored = graph.store_adjacency(spark.createDataFrame(edges, EDGE))
+    s = spark.createDataFrame([(q, n, w, [0, i]) for q, seeds in asked.items() for i, (n, w) in enumerate(seeds)], "query_id long, node string, score double, path array<long>")
+    own = [(q, c, 0.7) for q in range(0, 7, 2) for c in (100, 999)]
+    levels = graph.expansion_levels(s, stored, 0.82, 2)
+    scored = graph.chunk_scores(spark.createDataFrame(own, "query_id long, chunk_index long, score double"), levels, stored, 0.82, k)
+    want, sums = {}, {}
+    for q, seeds in asked.items():
+        totals = {c: [w] for p, c, w in own if p == q}
+        for c, hop, w in walk(edges, seeds, 0.82, 2):
+            sums.setdefault((q, c, hop), []).append(w)
+            if c is not None:
+                totals.setdefault(c, []).append(w)
+        want[q] = sorted((-round(max(w) + 0.1 * (sum(w) - max(w)), 9), c) for c, w in totals.items())[:k]
+    got = {q: [] for q in asked}
+    for r in scored.collect():
+        got[r.query_id].append((-r.score, r.chunk_index))
+    assert {q: sorted(x)[:k] for q, x in got.items()} == want
+    if k:
+        # Of each cell a question has its best and their equals, not all that it reaches.
+        assert scored.count() < len(sums) / 2
+    else:
+        assert {(r.query_id, r.chunk_index, r.hop): (r.n, round(r.w, 9)) for r in graph.level_sums(levels, stored).collect()} == {key: (len(w), round(sum(w), 9)) for key, w in sums.items()}
+
+
+def test_only_edges_of_hits_are_told(spark):
+    """What a question reaches besides its hits has no row in what told them."""
+    edges = spark.createDataFrame([(i, "hub", f"n{i}", "r", i, "") for i in range(50)], EDGE)
+    triples = spark.createDataFrame([(0, 7, "hub", "r", "n7", "")], "row_id long, index long, head string, relation string, tail string, text string")
+    hits = spark.createDataFrame([(1, 0, 0.5, 1)], "query_id long, row_id long, score double, rank int")
+    found = graph.search_graph(hits, spark.createDataFrame([(1, "?")], "query_id long, query string"), triples, edges, 2)
+    assert rows(found.hits, "chunk_index") == [(0,), (7,)]
+    assert rows(found.told.groupBy("chunk_index").count()) == [(0, 2), (7, 3)]
