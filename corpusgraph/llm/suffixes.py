@@ -55,9 +55,15 @@ BLOCK_BYTES = 4 << 20
 #: Bytes of text for each bucket of the cover sample, and for each partition of suffix buckets, about.
 SAMPLE_BYTES = 48 << 20
 BUCKET_BYTES = 12 << 20
+#: Open windows whose runs are found at once; each takes about 80 bytes then.
+STEP_WINDOWS = 1 << 18
+#: What keeps the row groups and pages of the block table small: Parquet's writer else looks at its size after 100 rows of BLOCK_BYTES.
+SMALL_GROUPS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: Runs that are worked on at once, and different runs of one bucket beyond which it is dealt anew.
 STEP_RUNS = 60_000
 CROWDED = 300_000
+#: Rows of a bucket that are compared with their neighbours at once.
+COMPARED = 20_000
 #: Columns that are made here.
 MADE = ("n_bytes", "n_removed", "n_spans", "kept")
 
@@ -111,23 +117,36 @@ class _Block:
         at = self.inside((periods[:, None] + np.array(COVER)).ravel(), COVER_DEPTH)
         return at, _hash(self.words, at, _SAMPLE_STEPS) >> np.uint64(32 - bits)
 
-    def unsettled(self, equal: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold, within a period of their start, a sampled suffix with an equal."""
+    def unsettled(self, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and sizes of the stretches of windows that hold, within a period of their start, one of these sampled suffixes (ascending)."""
+        low, high = np.maximum(equal - COVER_PERIOD + 1, 0), equal + 1
+        new = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]])) if len(equal) else np.zeros(0, np.int64)
+        low, high = low[new], high[np.append(new[1:], len(equal)) - 1] if len(equal) else high
+        # A window lies in one text.
+        long = self.ends - self.begins >= WINDOW
+        least, most = self.begins[long], self.ends[long] - WINDOW + 1
+        first = np.searchsorted(most, low, side="right")
+        n = np.maximum(np.searchsorted(least, high, side="left") - first, 0)
+        of, text = np.repeat(np.arange(len(low)), n), _runs(first, n)
+        low, high = np.maximum(low[of], least[text]), np.minimum(high[of], most[text])
+        return low[high > low], (high - low)[high > low]
+
+    def covered(self, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether a byte lies in one of these ranges."""
         change = np.zeros(len(self.raw) + 1, dtype=np.int32)
-        np.add.at(change, np.maximum(equal - COVER_PERIOD + 1, 0), 1)
-        np.add.at(change, equal + 1, -1)
-        return self.inside(np.flatnonzero(np.cumsum(change[:-1]) > 0), WINDOW)
+        np.add.at(change, begin, 1)
+        np.add.at(change, begin + sizes, -1)
+        return np.cumsum(change[:-1], dtype=np.int32) > 0
 
-    def runs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, windows, anchor and the anchor's hash of each run: neighbouring windows of ``at`` with the same anchor.
+    def runs(self, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, windows, anchor and the anchor's hash of each run: neighbouring windows of a stretch with the same anchor.
 
         The anchor is the window's string of ANCHOR bytes of least hash, the first of several.
         """
-        if not len(at):
-            return at, at, at, np.zeros(0, np.uint64)
-        head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
-        sizes = np.diff(np.concatenate([head, [len(at)]]))
-        place = _runs(at[head], sizes + SHIFTS - 1)
+        if not len(begin):
+            return begin, begin, begin, np.zeros(0, np.uint64)
+        at, head = _runs(begin, sizes), np.cumsum(sizes) - sizes
+        place = _runs(begin, sizes + SHIFTS - 1)
         h = _hash(self.words, place, _ANCHOR_STEPS)
         low = np.uint64(max(1, int(len(place) - 1).bit_length()))
         least, span = (h >> low << low) | np.arange(len(place), dtype=np.uint64), 1
@@ -145,6 +164,18 @@ class _Block:
         return at[first], np.diff(np.concatenate([first, [len(at)]])), place[anchor[first]], h[anchor[first]]
 
 
+def _steps(begin: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ranges, long ones cut, in steps of ``most`` positions or fewer."""
+    n = -(-sizes // most)
+    of, turn = np.repeat(np.arange(len(sizes)), n), _runs(np.zeros(len(n), np.int64), n)
+    begin, sizes = begin[of] + turn * most, np.minimum(sizes[of] - turn * most, most)
+    upto, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, side="right"))
+        yield begin[start:stop], sizes[start:stop]
+        start = stop
+
+
 def block_table(docs: DataFrame) -> DataFrame:
     """block, raw (texts end to end), ends, ids, rest (all other columns as an Arrow stream), n_bytes.
 
@@ -196,14 +227,17 @@ def _blobs(block: int, buckets: np.ndarray, n_buckets: int, keys: np.ndarray) ->
 def rank_sample(table: pa.Table) -> pa.Table:
     """Of one bucket of the cover sample: a bit for each of a block's keys, whether it occurs more than once."""
     parts = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in table.column("keys")]
-    keys, sizes = np.concatenate(parts), [len(p) for p in parts]
-    ordered = np.sort(keys)
+    ordered = np.concatenate(parts)
+    ordered.sort()
     equal = ordered[1:][ordered[1:] == ordered[:-1]]
+    del ordered
     equal = equal[np.concatenate([[True], equal[1:] != equal[:-1]])] if len(equal) else equal
-    at = np.searchsorted(equal, keys)
-    flags = equal[np.minimum(at, len(equal) - 1)] == keys if len(equal) else np.zeros(len(keys), bool)
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def flags(keys: np.ndarray) -> np.ndarray:
+        return equal[np.minimum(np.searchsorted(equal, keys), len(equal) - 1)] == keys if len(equal) else np.zeros(len(keys), bool)
+
+    # Part by part: places of all keys at once would take more room than these.
+    bits, sizes = [np.packbits(flags(p)).tobytes() for p in parts], [len(p) for p in parts]
     return pa.table([table.column("block"), table.column("bucket"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["block", "bucket", "n", "bits"])
 
 
@@ -243,14 +277,14 @@ def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray
     return out, sizes
 
 
-def _common(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bytes that each row shares with the row before it, from the start; 0 for the first."""
-    out = np.zeros(len(rows), dtype=np.int64)
-    if len(rows) > 1:
-        differ = rows[1:] != rows[:-1]
-        some = differ.any(axis=1)
-        out[1:] = np.where(some, differ.argmax(axis=1), rows.shape[1])
-        out[1:] = np.minimum(out[1:], np.minimum(sizes[1:], sizes[:-1]))
+def _common(rows: np.ndarray, sizes: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Bytes that each row shares with the row before it (in ``order``), from the start; 0 for the first."""
+    out, order = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows)) if order is None else order
+    for a in range(1, len(rows), COMPARED):
+        now, before = order[a : a + COMPARED], order[a - 1 : a - 1 + COMPARED][: len(order) - a]
+        differ = rows[now] != rows[before]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+        out[a : a + COMPARED] = np.minimum(same, np.minimum(sizes[now], sizes[before]))
     return out
 
 
@@ -264,7 +298,7 @@ class _Bucket:
         shared = _common(right, n_right)
         same_key = np.concatenate([[False], key[1:] == key[:-1]])
         again = np.zeros(len(key), dtype=bool)
-        again[1:] = same_key[1:] & (n_right[1:] == n_right[:-1]) & (shared[1:] == n_right[1:]) & (n_left[1:] == n_left[:-1]) & (left[1:] == left[:-1]).all(axis=1)
+        again[1:] = same_key[1:] & (n_right[1:] == n_right[:-1]) & (shared[1:] == n_right[1:]) & (n_left[1:] == n_left[:-1]) & (_common(left, n_left)[1:] == n_left[1:])
         keep = np.flatnonzero(~again)
         self.t, self.key, self.right, self.left, self.n_right, self.n_left = t.take(pa.array(keep)), key[keep], right[keep], left[keep], n_right[keep], n_left[keep]
 
@@ -280,7 +314,7 @@ class _Bucket:
         group = np.cumsum(new_key)
         words = np.ascontiguousarray(np.pad(self.left, ((0, 0), (0, -SHIFTS % 8)))).view(">u8").astype(np.uint64)
         order = np.lexsort((self.n_left, *words.T[::-1], group))
-        before = np.where(np.concatenate([[True], group[order][1:] != group[order][:-1]]), 0, _common(self.left[order], self.n_left[order]))
+        before = np.where(np.concatenate([[True], group[order][1:] != group[order][:-1]]), 0, _common(self.left, self.n_left, order))
         head = np.concatenate([[True], group[order][1:] != group[order][:-1]])
         block, at, ids = (self.t.column(c).to_numpy() for c in ("block", "a", "id"))
         turn = np.lexsort((at + self.n_left, block, ids))
@@ -353,7 +387,7 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     scratch = Scratch(spark, "suffixes")
-    blocks = scratch.save(block_table(docs), "blocks")
+    blocks = scratch.save(block_table(docs), "blocks", SMALL_GROUPS)
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = max(3, int(np.ceil(np.log2(max(1, total / SAMPLE_BYTES)))))
     n_buckets, small = 1 << bits, np.int16 if bits < 15 else np.int32
@@ -367,12 +401,12 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
                 _, keys = _Block(raw, ends).sample(bits)
                 yield _blobs(number, (keys >> np.uint64(32)).astype(small), n_buckets, (keys & low).astype(np.uint32))
 
-    def open_windows(block: _Block, number: int, replies: _Replies) -> np.ndarray:
-        """Starts of the windows that the cover sample leaves open; replies come bucket by bucket."""
+    def open_windows(block: _Block, number: int, replies: _Replies) -> tuple[np.ndarray, np.ndarray]:
+        """Stretches of the windows that the cover sample leaves open; replies come bucket by bucket."""
         at, keys = block.sample(bits)
         rows = replies.of(number) if len(at) else None
         if rows is None:
-            return at[:0]
+            return block.unsettled(at[:0])
         rows = rows.sort_by("bucket")
         got = [np.unpackbits(np.frombuffer(b.as_buffer(), dtype=np.uint8), count=n.as_py()) for b, n in zip(rows.column("bits"), rows.column("n"), strict=True)]
         if sum(map(len, got)) != len(at):
@@ -386,24 +420,26 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
         replies = _Replies(sample_root, every=True)
         for batch in batches:
             for number, raw, ends, ids in _rows(batch):
-                block = _Block(raw, ends)
-                start, n, anchor, key = block.runs(open_windows(block, number, replies))
-                stop, seen, own = start + n + WINDOW - 1, set(), []
-                for i, (a, b) in enumerate(zip(start.tolist(), stop.tolist(), strict=True)):
-                    text = raw[a:b]
-                    if text not in seen:
-                        seen.add(text)
-                        own.append(i)
-                owners = np.frombuffer(ids, dtype=np.int64)
-                for i in range(0, len(own), 20_000):
-                    some = own[i : i + 20_000]
-                    a, b, c = start[some], stop[some], anchor[some]
-                    offsets = lambda sizes: pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                    right = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, offsets(b - c), pa.py_buffer(block.raw[_runs(c, b - c)])])
-                    back = np.repeat(c - 1, c - a) - _runs(np.zeros(len(some), np.int64), c - a)
-                    left = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, offsets(c - a), pa.py_buffer(block.raw[back])])
-                    of = owners[np.searchsorted(block.ends, a, side="right")]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), right, left, pa.array(of), pa.array(np.full(len(some), number)), pa.array(a.astype(np.int32))], names=["mkey", "rhs", "lhs", "id", "block", "a"])
+                block, owners, seen = _Block(raw, ends), np.frombuffer(ids, dtype=np.int64), set()
+                for begin, sizes in _steps(*open_windows(block, number, replies), STEP_WINDOWS):
+                    yield from deal_runs(block, number, raw, owners, seen, *block.runs(begin, sizes))
+
+    def deal_runs(block: _Block, number: int, raw: bytes, owners: np.ndarray, seen: set, start: np.ndarray, n: np.ndarray, anchor: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        stop, own = start + n + WINDOW - 1, []
+        for i, (a, b) in enumerate(zip(start.tolist(), stop.tolist(), strict=True)):
+            text = raw[a:b]
+            if text not in seen:
+                seen.add(text)
+                own.append(i)
+        for i in range(0, len(own), 20_000):
+            some = own[i : i + 20_000]
+            a, b, c = start[some], stop[some], anchor[some]
+            offsets = lambda sizes: pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            right = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, offsets(b - c), pa.py_buffer(block.raw[_runs(c, b - c)])])
+            back = np.repeat(c - 1, c - a) - _runs(np.zeros(len(some), np.int64), c - a)
+            left = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, offsets(c - a), pa.py_buffer(block.raw[back])])
+            of = owners[np.searchsorted(block.ends, a, side="right")]
+            yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), right, left, pa.array(of), pa.array(np.full(len(some), number)), pa.array(a.astype(np.int32))], names=["mkey", "rhs", "lhs", "id", "block", "a"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted runs come bucket by bucket; whole buckets are worked on, some at a time."""
@@ -449,8 +485,7 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
         for batch in batches:
             for number, raw, ends, rest in _rows(batch):
                 block = _Block(raw, ends)
-                gone = np.zeros(len(block.raw), dtype=bool)
-                gone[open_windows(block, number, samples)] = True
+                gone = block.covered(*open_windows(block, number, samples))
                 rows = firsts.of(number)
                 if rows is not None and len(rows):
                     mask = np.frombuffer(b"".join(rows.column("mask").to_pylist()), dtype=np.uint8).reshape(len(rows), -1)
@@ -458,16 +493,13 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
                     gone[rows.column("a").to_numpy()[run] + j] = False
                 edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
                 on, off = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
-                cover = np.zeros(len(block.raw) + 1, dtype=np.int32)
-                np.add.at(cover, on, 1)
-                np.add.at(cover, off + WINDOW - 1, -1)
-                removed = np.cumsum(cover[:-1]) > 0
+                removed = block.covered(on, off + WINDOW - 1 - on)
                 begins = block.begins[block.begins < len(removed)]
                 edge = removed.copy()
                 edge[1:] &= ~removed[:-1]
                 edge[begins] = removed[begins]
                 bounds = np.concatenate([[0], block.ends])
-                upto = lambda m: np.concatenate([[0], np.cumsum(m)])[bounds]
+                upto = lambda m: np.concatenate([[0], np.cumsum(m, dtype=np.int32)])[bounds].astype(np.int64)
                 sizes, n_removed, n_spans, left = np.diff(bounds), np.diff(upto(removed)), np.diff(upto(edge)), block.raw[~removed].tobytes()
                 stops = np.cumsum(sizes - n_removed)
                 kept = [left[b - n : b] for b, n in zip(stops.tolist(), (sizes - n_removed).tolist(), strict=True)]

@@ -1,7 +1,10 @@
+import glob
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +111,27 @@ def test_a_missing_reply_is_an_error(tmp_path):
     with pytest.raises(FileNotFoundError):
         S._Replies(f"file://{tmp_path}/none").of(0)
     assert S._Replies(f"file://{tmp_path}").of(1 << 32) is None
+
+
+def test_memory_of_a_block_whose_windows_are_all_open():
+    """Open windows are stretches, and their runs are found step by step: no arrays as long as the block (112 MB before)."""
+    raw = random.Random(2).randbytes(2 << 20)
+    block = S._Block(raw, np.array([1 << 20, 2 << 20], np.int64).tobytes())
+    at, _ = block.sample(3)
+    tracemalloc.start()
+    begin, sizes = block.unsettled(at)
+    runs = [block.runs(b, n)[1] for b, n in S._steps(begin, sizes, S.STEP_WINDOWS)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(int(n.sum()) for n in runs) == int(sizes.sum()) == 2 * ((1 << 20) - 99)
+    assert peak < 48 << 20, peak
+
+
+def test_small_row_groups_of_the_block_table(spark):
+    """A task reads a few blocks at a time, however many a file has."""
+    scratch = S.Scratch(spark, "groups")
+    texts = [(i, random.Random(i).randbytes(1 << 19).hex()) for i in range(28)]
+    scratch.save(S.block_table(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)), "blocks", S.SMALL_GROUPS)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(scratch.root.removeprefix("file://") + "/blocks/*.parquet")]
+    rows = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(rows) >= 7 and max(rows) <= 5, rows
