@@ -1,3 +1,4 @@
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -128,3 +129,14 @@ def test_triples_are_kept_without_their_chunks_text(spark, tmp_path):
     assert [name for name, t in kept.items() if "text" in t.columns] == ["asked"]
     for table, key in (("triples", "index"), ("edges", "chunk_index")):
         assert rows(index["graph"][table].groupBy(key, "text").count()) == sorted((r[0], r[1], 20) for r in chunks.collect())
+
+
+def test_vectors_alone_are_those_of_the_encoder(spark):
+    """Encoded by matrix they equal the encoder's lists in steps of 2^-20, bit by bit, empty and cancelling texts too."""
+    texts = ["w0 w179", "A b\tc  a", "", None, "é ß x", "one two three four five " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
+    for unit in (False, True):
+        made = lambda: M.HashingEncoder(unit=unit)  # noqa: E731, B023
+        want = {r.row_id: [math.floor(x * 1048576.0 + 0.5) / 1048576.0 for x in r.dense] for r in M.encode(df, "text", made, None).collect()}
+        assert {r.row_id: r.dense for r in M.encode_steps(df, "row_id", "text", made, 1 / 1048576).collect()} == want
+        assert {r.row_id: r.dense for r in M.encode_steps(df, "row_id", "text", lambda: made().__call__, 1 / 1048576).collect()} == want
